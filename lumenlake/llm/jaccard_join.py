@@ -20,9 +20,11 @@ every link without comparing all pairs:
    neighbours on both sides (each miss parts one pair of common neighbours; see
    ``_frequent_prefix``).  Their number is linear in the set, not quadratic.
 4. Index lists are resolved without all their pairs: each list links its members
-   to one leader, links are verified on the whole sets, components are formed,
-   and only members of a list that are still in different components are paired.
-   All verified and unverified decisions are exact; nothing is capped.
+   to one leader, links are verified on the whole sets and components are formed;
+   that is done for some leaders in turn, and then members of a list that are
+   still in different components are paired.  Pairs whose sizes or lonely tokens
+   (which no other set has) rule a link out are not verified.  All decisions are
+   exact; nothing is capped.
 
 Scale: texts never shuffle.  The documents are scanned by vectorised Python
 (Arrow batches); what shuffles are class-1 tokens of the low hash range (5/16 of
@@ -51,6 +53,8 @@ HOT_SHARE = 1 / 65536
 HOT_LEAST = 64
 #: Hashes below this are counted; the rest of class 1 comes after them in the order.
 LOW = np.uint64((5 << 60) - 1)
+#: Rounds in which an index list's members meet one leader, before those still apart meet each other.
+STAR_ROUNDS = 2
 #: Bits of the candidate filter (1 MB).
 FILTER_BITS = 1 << 23
 
@@ -88,7 +92,7 @@ def _scan(docs: DataFrame, schema: T.StructType, each) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from each(batches)
 
-    return docs.mapInArrow(run, schema)
+    return shared.map_arrow(docs, run, schema)
 
 
 def document_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,78 +142,96 @@ def document_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("hits IS NULL").select("doc_id", "n_shingles", "set_id"), both.where("hits IS NOT NULL").select("token", "hits")
 
 
-def _prefixes(docs: DataFrame, hot, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Tokens of the low range with (n, how many the set has), and signatures that need no frequencies."""
+def _prefixes(docs: DataFrame, hot, num: int, den: int, low: bool) -> DataFrame:
+    """(sig, set_id, n, n_low): the class-1 tokens of the low range (``low``), or the signatures that need no frequencies.
 
-    def reader(low: bool):
-        def each(batches):
-            frequent = hot.value
-            seen: set[int] = set()  # sets of this task: a copy adds nothing
-
-            def split(part):
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, part), len(frequent) - 1)
-                    is_hot = frequent[at] == part
-                    return part[~is_hot], part[is_hot]
-                return part, part[:0]
+    n_low is how many class-1 tokens of the low range the set has.
+    """
 
-            for batch in batches:
-                values, sets, sizes, lows = [], [], [], []
-                for _, part in shared.shingle_sets(batch.column(0)):
-                    n = len(part)
-                    if not n or (me := _set_id(part)) in seen:
-                        continue
-                    seen.add(me)
-                    rare, often = split(part)
-                    n_low = int(np.searchsorted(rare, LOW, "right"))
-                    need = _budget(n, num, den) + 1
-                    if low:
-                        own = rare[:n_low]
-                    else:
-                        own = rare[n_low:need] if n_low < need else rare[:0]
-                        if len(rare) < need and len(often) > 1:
-                            own = np.concatenate([own, np.unique(_frequent_prefix(often, n, len(rare), num, den))])
-                    if len(own):
-                        values.append(own.view(np.int64))
-                        sets.append(np.full(len(own), me, np.int64))
-                        sizes.append(np.full(len(own), n, np.int32))
-                        lows.append(np.full(len(own), n_low, np.int32))
-                if values:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (values, sets, sizes, lows)], names=["sig", "set_id", "n", "n_low"])
-
-        return each
-
-    schema = "sig long, set_id long, n int, n_low int"
-    text = docs.select("text")
-    return _scan(text, schema, reader(True)), _scan(text, schema, reader(False)).select("sig", "set_id", "n")
+    def each(batches):
+        frequent = hot.value
+        seen: set[int] = set()  # sets of this task: a copy adds nothing
+
+        def split(part):
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, part), len(frequent) - 1)
+                is_hot = frequent[at] == part
+                return part[~is_hot], part[is_hot]
+            return part, part[:0]
+
+        def out(rows):
+            values = np.concatenate([r[0] for r in rows]).view(np.int64)
+            lengths = [len(r[0]) for r in rows]
+            columns = [np.repeat(np.array([r[i] for r in rows], kind), lengths) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array(values), *map(pa.array, columns)], names=["sig", "set_id", "n", "n_low"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for _, part in shared.shingle_sets(batch.column(0)):
+                n = len(part)
+                if not n or (me := _set_id(part)) in seen:
+                    continue
+                seen.add(me)
+                rare, often = split(part)
+                n_low = int(np.searchsorted(rare, LOW, "right"))
+                need = _budget(n, num, den) + 1
+                if low:
+                    own = rare[:n_low].copy()
+                else:
+                    own = rare[n_low:need].copy() if n_low < need else rare[:0]
+                    if len(rare) < need and len(often) > 1:
+                        own = np.concatenate([own, np.unique(_frequent_prefix(often, n, len(rare), num, den))])
+                if len(own):
+                    rows.append((own, me, n, n_low))
+                    held += len(own)
+                    if held >= 200_000:
+                        yield out(rows)
+                        rows, held = [], 0
+        if rows:
+            yield out(rows)
+
+    return _scan(docs.select("text"), "sig long, set_id long, n int, n_low int", each)
 
 
 def _index(docs: DataFrame, hot, num: int, den: int) -> DataFrame:
-    """(sig, set_id, n): the index lists that have two sets at least."""
-    low, direct = _prefixes(docs, hot, num, den)
+    """(sig, set_id, n, lone): the index lists that have two sets at least.
+
+    lone counts tokens of the set that no other set has, of those in the low range.
+    """
+    low = _prefixes(docs, hot, num, den, True)
     # No token here is frequent, so none has more than a 65,536th of the rows.
-    counted = low.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("df > 1")
+    by_token = Window.partitionBy("sig")
+    counted = low.withColumns({"df": F.count(F.lit(1)).over(by_token), "r0": F.min("set_id").over(by_token), "r1": F.max("set_id").over(by_token)}).where("r0 <> r1").drop("r0", "r1")
     by_set = Window.partitionBy("set_id")
     own = counted.repartition("set_id").dropDuplicates(["set_id", "sig"])
     place = F.row_number().over(by_set.orderBy("df", "sig"))
-    lonely = F.col("n_low") - F.count(F.lit(1)).over(by_set)  # tokens no other set has: they come first
+    lone = F.col("n_low") - F.count(F.lit(1)).over(by_set).cast("int")  # these come first in the order
     need = F.least(F.col("n_low"), F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)).cast("int") + 1)
-    singles = own.withColumns({"place": place, "lonely": lonely}).where(F.col("place") <= need - F.col("lonely")).select("sig", "set_id", "n")
-    rows = shared.cut(singles.unionByName(direct))
-    ends = rows.groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("leader"), F.max("set_id").alias("last")).where("leader.set_id <> last")
-    return shared.cut(rows.join(ends.select("sig", "leader"), "sig").select("sig", "set_id", "n", "leader").distinct())
+    own = shared.cut(own.withColumns({"place": place, "lone": lone}).select("sig", "set_id", "n", "lone", F.expr("place = 1").alias("first"), (F.col("place") <= need - F.col("lone")).alias("inside")))
+    known = own.where("first").select("set_id", "lone")
+    direct = _prefixes(docs, hot, num, den, False).join(known, "set_id", "left").select("sig", "set_id", "n", F.coalesce("lone", "n_low").alias("lone"))
+    rows = shared.cut(own.where("inside").select("sig", "set_id", "n", "lone").unionByName(direct))
+    # Lists of the same sets say the same: one of them stays.  Lists of one set say nothing.
+    mark = F.xxhash64(F.col("set_id"), F.lit(1)).cast("decimal(38,0)")
+    lists = rows.distinct().groupBy("sig").agg(F.sum(mark).alias("mark"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    kept = lists.groupBy("mark", "m").agg(F.min("sig").alias("sig")).select("sig")
+    return shared.cut(rows.distinct().join(kept, "sig"))
 
 
 # ------------------------------------------------------------------ verification
 
 
-def _near(a: str, b: str, num: int, den: int):
-    return F.least(a, b) * den >= F.greatest(a, b) * num
+def _possible(a: str, b: str, num: int, den: int):
+    """Sizes near enough, and enough tokens that are not known to be alone on either side."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    near = F.least(n, m) * den >= F.greatest(n, m) * num
+    common = F.least(n - F.col(f"{a}.lone"), m - F.col(f"{b}.lone"))
+    return near & (common * (den + num) >= (n + m) * num)
 
 
 def _candidate_filter(spark: SparkSession, pairs: DataFrame):
-    """A bit set of fixed size of the sets in ``pairs``; it only saves work, joins decide."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    """A bit set of fixed size of the sets in ``pairs`` (a, b or set_id); it only saves work, joins decide."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct() if "a" in pairs.columns else pairs.select(F.col("set_id").alias("id")).distinct()
     slot = F.pmod("id", F.lit(FILTER_BITS))
     rows = ids.groupBy(F.floor(slot / F.lit(32768)).alias("k")).agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(32768))).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -259,7 +281,38 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
     sets = _scan(docs.select("text"), "set_id long, tokens binary", blobs).dropDuplicates(["set_id"])
     with_a = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
-    return with_b.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    return shared.map_arrow(with_b.select("a", "b", "x", "y"), similar, "a long, b long")
+
+
+def _all_lone(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets`` (set_id) -> (set_id, lone): how many of all tokens of a set none of the others has (at least)."""
+    bits = _candidate_filter(docs.sparkSession, sets)
+
+    def each(batches):
+        wanted = bits.value
+        seen: set[int] = set()
+        for batch in batches:
+            rows, held = [], 0
+            for _, part in shared.shingle_sets(batch.column(0)):
+                if len(part):
+                    me = _set_id(part)
+                    slot = me % FILTER_BITS
+                    if wanted[slot >> 3] >> (slot & 7) & 1 and me not in seen:
+                        seen.add(me)
+                        rows.append((part.copy(), me))
+                        held += len(part)
+                if held >= 200_000:
+                    yield pairs_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield pairs_of(rows)
+
+    def pairs_of(rows):
+        tokens = np.concatenate([r[0] for r in rows]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), [len(r[0]) for r in rows]))], names=["token", "set_id"])
+
+    owners = _scan(docs.select("text"), "token long, set_id long", each).groupBy("token").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("last"))
+    return owners.where("set_id = last").groupBy("set_id").agg(F.count(F.lit(1)).cast("int").alias("all_lone"))
 
 
 def set_links(docs: DataFrame, heavy: DataFrame, total: int, num: int, den: int) -> DataFrame:
@@ -272,28 +325,39 @@ def set_links(docs: DataFrame, heavy: DataFrame, total: int, num: int, den: int)
     frequent = spark.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64).view(np.uint64)))
     index = _index(docs, frequent, num, den)
 
-    # Each list's members against its leader.
-    stars = index.where("set_id <> leader.set_id").where(_near("n", "leader.n", num, den)).select(F.col("leader.set_id").alias("a"), F.col("set_id").alias("b"))
-    stars = shared.cut(stars.distinct())
-    edges = shared.cut(_verified(docs, stars, num, den))
-    labels = components(edges)
-
-    # Members of a list that are still apart, against each other.
-    named = index.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-    named = shared.cut(named)
-    apart = named.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
-    mixed = named.join(apart, "sig")
-    x = mixed.select("sig", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = mixed.select("sig", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = x.join(y, "sig").where("ra < rb").where(_near("na", "nb", num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = shared.cut(rest.join(known, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return labels
-    more = shared.cut(_verified(docs, rest, num, den))
-    if more.isEmpty():
-        return labels
-    return components(edges.select("a", "b").unionByName(more))
+    edges = spark.createDataFrame([], "a long, b long")
+    tried = edges
+    labels = spark.createDataFrame([], "node long, root long")
+    me = F.struct("set_id", "n", "lone", "root")
+    for turn in range(STAR_ROUNDS + 1):
+        if index.isEmpty():
+            break
+        named = index.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        apart = named.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
+        named = shared.cut(named.join(apart, "sig"))
+        if turn == 1:
+            # For what is left, count lonely tokens in the whole sets: better leaders, and fewer pairs that may link.
+            lone = _all_lone(docs, named.select("set_id").distinct())
+            index = shared.cut(named.join(lone, "set_id", "left").select("sig", "set_id", "n", F.greatest("lone", F.coalesce("all_lone", F.lit(0))).alias("lone")))
+            named = index.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        if turn < STAR_ROUNDS:
+            # Each list's members against its leader, the set with the fewest tokens of its own.
+            leaders = named.groupBy("sig").agg(F.min(F.struct("lone", "set_id", "n", "root")).alias("x"))
+            pairs = named.select("sig", me.alias("y")).join(leaders, "sig")
+        else:
+            pairs = named.select("sig", me.alias("x")).join(named.select("sig", me.alias("y")), "sig").where("x.root < y.root")
+        pairs = pairs.where("x.root <> y.root").where(_possible("x", "y", num, den))
+        pairs = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+        pairs = shared.cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            if turn < STAR_ROUNDS:
+                continue
+            break
+        found = shared.cut(_verified(docs, pairs, num, den))
+        tried, edges = tried.unionByName(pairs), edges.unionByName(found)
+        if not found.isEmpty():
+            labels = shared.cut(components(edges))
+    return labels
 
 
 def jaccard_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

@@ -4,20 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import jaccard_join
+from lumenlake.llm import bpe, chat, jaccard_join, mixing
 from lumenlake.llm.shared import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.parse(chat.render(chat.turns(rows))))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op5_bpe": op5_bpe,
+    "op8_chat_formatting": op8_chat_formatting,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE_SQL,
+    "op8_chat_formatting": chat.ORACLE_SQL,
     "op3_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
 }

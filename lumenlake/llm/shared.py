@@ -17,10 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenlake.session import ship
+
 #: Bytes of text that a kernel handles at once (a longer document alone).
 CHUNK_BYTES = 2 << 20
 #: ASCII white space that separates words: [\x20\x09-\x0D].
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
+#: Rows of an Arrow batch: whole texts are long, and 10,000 of them (Spark's default) would not fit beside each other.
+BATCH_ROWS = 1000
 #: Words in a shingle.
 SHINGLE_WORDS = 5
 M64 = (1 << 64) - 1
@@ -54,6 +58,13 @@ def write_table(frame: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(frame.schema).parquet(path), path
 
 
+def map_arrow(frame: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship(frame.sparkSession)
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return frame.mapInArrow(function, schema)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove what ``write_table`` wrote."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
