@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlake.llm import bpe, chat, fingerprint, html_extract, jaccard_join, langid, mixing, toxicity
+from lumenlake.llm import ann, bpe, chat, fingerprint, html_extract, jaccard_join, langid, lm_score, mixing, toxicity
 from lumenlake.llm.shared import table
 
 
@@ -46,6 +46,16 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_fingerprints": op2_fingerprints,
@@ -54,11 +64,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_lm_scoring": op10_lm_scoring,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op8_chat_formatting": chat.ORACLE_SQL,
+    "op9_nearest_neighbours": ann.ORACLE_SQL,
     "op3_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
 }
