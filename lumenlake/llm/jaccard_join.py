@@ -21,8 +21,8 @@ every link without comparing all pairs:
    ``_frequent_prefix``).  Their number is linear in the set, not quadratic.
 4. Index lists are resolved without all their pairs: each list links its members
    to one leader, links are verified on the whole sets and components are formed;
-   that is done for some leaders in turn, and then members of a list that are
-   still in different components are paired.  Pairs whose sizes or lonely tokens
+   that is done twice, and then components that meet in a list are compared
+   whole, large ones in blocks without listing their pairs.  Pairs whose sizes or lonely tokens
    (which no other set has) rule a link out are not verified.  All decisions are
    exact; nothing is capped.
 
@@ -55,6 +55,8 @@ HOT_LEAST = 64
 LOW = np.uint64((5 << 60) - 1)
 #: Rounds in which an index list's members meet one leader, before those still apart meet each other.
 STAR_ROUNDS = 2
+#: Two components of so many pairs at most are compared by their pairs, larger ones in blocks of so many tokens.
+SMALL_PAIRS, BLOCK_TOKENS = 16, 200_000
 #: Bits of the candidate filter (1 MB).
 FILTER_BITS = 1 << 23
 
@@ -240,32 +242,40 @@ def _candidate_filter(spark: SparkSession, pairs: DataFrame):
     return spark.sparkContext.broadcast(bits)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    spark = docs.sparkSession
-    bits = _candidate_filter(spark, pairs)
+def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, tokens: packed sorted hashes) of the sets in ``wanted`` (and of few others), read from the texts again."""
+    bits = _candidate_filter(docs.sparkSession, wanted)
 
-    def blobs(batches):
-        wanted = bits.value
+    def each(batches):
+        chosen = bits.value
         seen: set[int] = set()
+        ids, sets, size = [], [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "tokens"])
+
         for batch in batches:
-            ids, sets = [], []
-            size = 0
             for _, part in shared.shingle_sets(batch.column(0)):
                 if not len(part):
                     continue
                 me = _set_id(part)
                 slot = me % FILTER_BITS
-                if wanted[slot >> 3] >> (slot & 7) & 1 and me not in seen:
+                if chosen[slot >> 3] >> (slot & 7) & 1 and me not in seen:
                     seen.add(me)
                     ids.append(me)
                     sets.append(part.tobytes())
                     size += len(sets[-1])
-                    if size >= 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "tokens"])
+                    if size >= 4 << 20:
+                        yield out()
                         ids, sets, size = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "tokens"])
+        if ids:
+            yield out()
+
+    return _scan(docs.select("text"), "set_id long, tokens binary", each).dropDuplicates(["set_id"])
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
 
     def similar(batches):
         for batch in batches:
@@ -278,12 +288,90 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
                 keep[i] = den * common >= num * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    sets = _scan(docs.select("text"), "set_id long, tokens binary", blobs).dropDuplicates(["set_id"])
+    sets = _whole_sets(docs, pairs)
     with_a = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
     return shared.map_arrow(with_b.select("a", "b", "x", "y"), similar, "a long, b long")
 
 
+def _verified_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between ``queries`` (root, set_id, n) and the ``members`` (root, set_id, n) of components.
+
+    Components may be large, so no pairs are listed: members and queries are cut
+    into blocks of about BLOCK_TOKENS tokens, and each block of queries meets each
+    block of members, whose tokens are one sorted array.  A query's first link in
+    a block is enough, as the component is connected.
+    """
+    sets = shared.cut(_whole_sets(docs, queries.select("set_id").union(members.select("set_id")).distinct()))
+    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("m_blocks"))
+    sizes = sizes.join(queries.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("q_blocks")), "root")
+    placed = {}
+    for name, frame, own, other in (("m", members, "m_blocks", "q_blocks"), ("q", queries, "q_blocks", "m_blocks")):
+        rows = frame.join(sizes, "root").join(sets, "set_id")
+        mine = F.pmod(F.xxhash64("set_id"), F.col(own)).cast("int")
+        rows = rows.select("root", "set_id", "tokens", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        placed[name] = rows.select("root", "m_blocks", "q_blocks", "set_id", "tokens").groupBy("root", "m_blocks", "q_blocks")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            names = left["set_id"].to_numpy()
+            parts = [np.frombuffer(x, np.uint64) for x in left["tokens"].to_pylist()]
+            lengths = np.array([len(x) for x in parts])
+            tokens = np.concatenate(parts)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], np.repeat(np.arange(len(parts)), lengths)[order]
+            for me, blob in zip(right["set_id"].to_pylist(), right["tokens"].to_pylist(), strict=True):
+                x = np.frombuffer(blob, np.uint64)
+                low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+                hits = high - low
+                total = int(hits.sum())
+                at = np.arange(total) + np.repeat(low - np.cumsum(hits) + hits, hits)
+                common = np.bincount(owner[at], minlength=len(parts))
+                linked = np.flatnonzero(den * common >= num * (len(x) + lengths - common))
+                if len(linked):
+                    a.append(me)
+                    b.append(int(names[linked[0]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed["m"].cogroup(placed["q"]).applyInArrow(meet, "a long, b long")
+
+
+def _apart(docs: DataFrame, named: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between members of ``named`` lists (sig, set_id, n, lone, root) that are in different components.
+
+    What meets are components, not sets: two components that a list holds both
+    are compared whole.  Small ones by their pairs, others in blocks.
+    """
+    named = shared.cut(named.where((F.col("n") - F.col("lone")) * den >= F.col("n") * num))
+    ends = named.groupBy("sig", "root").agg(F.max(F.col("n") - F.col("lone")).alias("best"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = (ends.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("root", "best", "lo", "hi")]) for side in "xy")
+    may = (F.col("hi_x") * den >= F.col("lo_y") * num) & (F.col("hi_y") * den >= F.col("lo_x") * num)
+    may = may & (F.least("best_x", "best_y") * (den + num) >= (F.col("lo_x") + F.col("lo_y")) * num)
+    met = x.join(y, "sig").where("root_x < root_y").where(may).select("root_x", "root_y").distinct()
+    members = shared.cut(named.select("root", "set_id", "n", "lone").distinct())
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    met = met.join(sizes.select(F.col("root").alias("root_x"), F.col("size").alias("size_x")), "root_x")
+    met = shared.cut(met.join(sizes.select(F.col("root").alias("root_y"), F.col("size").alias("size_y")), "root_y"))
+    me = F.struct("set_id", "n", "lone")
+    small = met.where(F.col("size_x") * F.col("size_y") <= SMALL_PAIRS)
+    pairs = small.join(members.select(F.col("root").alias("root_x"), me.alias("x")), "root_x").join(members.select(F.col("root").alias("root_y"), me.alias("y")), "root_y")
+    pairs = pairs.where(_possible("x", "y", num, den)).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+    pairs = shared.cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    found = [] if pairs.isEmpty() else [shared.cut(_verified(docs, pairs, num, den))]
+    large = met.where(F.col("size_x") * F.col("size_y") > SMALL_PAIRS)
+    big, other = (F.when(F.col("size_x") >= F.col("size_y"), F.col(a)).otherwise(F.col(b)) for a, b in (("root_x", "root_y"), ("root_y", "root_x")))
+    large = shared.cut(large.select(big.alias("root"), other.alias("asks")))
+    if not large.isEmpty():
+        queries = shared.cut(large.join(members.withColumnRenamed("root", "asks"), "asks").select("root", "set_id", "n").distinct())
+        targets = members.join(large.select("root").distinct(), "root").select("root", "set_id", "n")
+        found.append(shared.cut(_verified_blocks(docs, queries, targets, num, den)))
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    for f in found:
+        none = none.unionByName(f)
+    return none
+
+
 def _all_lone(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """``sets`` (set_id) -> (set_id, lone): how many of all tokens of a set none of the others has (at least)."""
     bits = _candidate_filter(docs.sparkSession, sets)
@@ -328,7 +416,6 @@ def set_links(docs: DataFrame, heavy: DataFrame, total: int, num: int, den: int)
     edges = spark.createDataFrame([], "a long, b long")
     tried = edges
     labels = spark.createDataFrame([], "node long, root long")
-    me = F.struct("set_id", "n", "lone", "root")
     for turn in range(STAR_ROUNDS + 1):
         if index.isEmpty():
             break
@@ -340,22 +427,21 @@ def set_links(docs: DataFrame, heavy: DataFrame, total: int, num: int, den: int)
             lone = _all_lone(docs, named.select("set_id").distinct())
             index = shared.cut(named.join(lone, "set_id", "left").select("sig", "set_id", "n", F.greatest("lone", F.coalesce("all_lone", F.lit(0))).alias("lone")))
             named = index.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        if turn < STAR_ROUNDS:
+        if turn == STAR_ROUNDS:
+            found = _apart(docs, named, tried, num, den)
+        else:
             # Each list's members against its leader, the set with the fewest tokens of its own.
             leaders = named.groupBy("sig").agg(F.min(F.struct("lone", "set_id", "n", "root")).alias("x"))
-            pairs = named.select("sig", me.alias("y")).join(leaders, "sig")
-        else:
-            pairs = named.select("sig", me.alias("x")).join(named.select("sig", me.alias("y")), "sig").where("x.root < y.root")
-        pairs = pairs.where("x.root <> y.root").where(_possible("x", "y", num, den))
-        pairs = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-        pairs = shared.cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn < STAR_ROUNDS:
+            pairs = named.select("sig", F.struct("set_id", "n", "lone", "root").alias("y")).join(leaders, "sig")
+            pairs = pairs.where("x.root <> y.root").where(_possible("x", "y", num, den))
+            pairs = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+            pairs = shared.cut(pairs.join(tried, ["a", "b"], "left_anti"))
+            if pairs.isEmpty():
                 continue
-            break
-        found = shared.cut(_verified(docs, pairs, num, den))
-        tried, edges = tried.unionByName(pairs), edges.unionByName(found)
+            tried = tried.unionByName(pairs)
+            found = shared.cut(_verified(docs, pairs, num, den))
         if not found.isEmpty():
+            edges = edges.unionByName(found)
             labels = shared.cut(components(edges))
     return labels
 
@@ -374,10 +460,9 @@ def jaccard_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY
     if not 0 < num <= den:
         raise ValueError("similarity must be in (0, 1]")
     rows, heavy = document_sets(docs)
-    total = rows.agg(F.sum("n_shingles")).first()[0]
-    if not total:
+    labels = _labels(docs, rows, heavy, num, den)
+    if labels is None:
         return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    labels = set_links(docs, heavy, total, num, den)
     least = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     joined = least.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     joined = shared.cut(joined)
@@ -387,6 +472,45 @@ def jaccard_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY
     return rows.join(final, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _labels(docs: DataFrame, rows: DataFrame, heavy: DataFrame, num: int, den: int) -> DataFrame | None:
+    total = rows.agg(F.sum("n_shingles")).first()[0]
+    return set_links(docs, heavy, total, num, den) if total else None
+
+
+def distinct_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` (doc_id, text, any columns) of each group of linked documents: that of the smallest doc_id.
+
+    Null doc_ids are the last choice.  Documents without shingles are groups of
+    their own and all stay; of repeated rows one stays.  The columns are those of
+    ``docs``.  Texts shuffle once, by (doc_id, set), so copies are spread.
+    """
+    num, den = similarity
+    rows, heavy = document_sets(docs)
+    labels = _labels(docs, rows, heavy, num, den)
+    if labels is None:
+        return docs
+    named = rows.where("set_id IS NOT NULL").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_id")).alias("first")
+    kept = named.groupBy(F.coalesce("root", "set_id").alias("group")).agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.set_id").alias("kept_set"), F.lit(True).alias("kept_row"))
+    at = docs.columns.index("text")
+
+    def each(batches):
+        for batch in batches:
+            sets = np.zeros(batch.num_rows, np.int64)
+            empty = np.ones(batch.num_rows, bool)
+            for row, part in shared.shingle_sets(batch.column(at)):
+                if len(part):
+                    sets[row], empty[row] = _set_id(part), False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, mask=empty)], names=[*batch.schema.names, "own_set_id"])
+
+    own = _scan(docs, T.StructType([*docs.schema.fields, T.StructField("own_set_id", T.LongType())]), each)
+    joined = own.join(shared.cut(kept), own["doc_id"].eqNullSafe(F.col("kept_id")) & own["own_set_id"].eqNullSafe(F.col("kept_set")), "left")
+    others = [c for c, t in docs.dtypes if c != "doc_id" and not t.startswith("map")]
+    again = F.row_number().over(Window.partitionBy("doc_id", "own_set_id").orderBy(*others)) if others else F.lit(1)
+    joined = joined.where("own_set_id IS NULL OR kept_row").withColumn("again", again)
+    return joined.where("own_set_id IS NULL OR again = 1").select(*docs.columns)
+
+
 #: DuckDB SQL of ``op3_ngram_jaccard_join`` (exact, all pairs that share a shingle).
 ORACLE_SQL = r"""
 WITH RECURSIVE words AS (

@@ -220,6 +220,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return shared.map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose language the model tells: not ``und`` and not ambiguous.  All columns kept, nothing shuffled."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        guess = predictor(shipped.value)
+        for batch in batches:
+            langs, _, ambiguous = guess(batch.column(at))
+            yield batch.filter(pa.array((langs != UNDETERMINED) & ~ambiguous))
+
+    return shared.map_arrow(docs, run, docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     """Whether a row is kept from learning: crc32 of its doc_id as text, modulo 5, is 0."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
