@@ -7,6 +7,7 @@ for ``select`` instead of a search in a frame's columns.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from itertools import combinations
 
 SCALES = (0, 1, 2, 4)
 ZONES = ("lesion", "inner", "outer")
@@ -62,21 +63,17 @@ FROZEN = (*BASIC, *FRACTAL, *MULTIZONE)
 
 
 def _groups() -> dict[str, tuple[str, ...]]:
-    groups = {
-        "basic": BASIC,
-        "fractal": FRACTAL,
-        "extrema": EXTREMA,
-        "extrema_full": EXTREMA,
-        "extrema_compact": EXTREMA_COMPACT,
-        "basic_fractal": (*BASIC, *FRACTAL),
-        "basic_extrema": (*BASIC, *EXTREMA),
-        "basic_extrema_compact": (*BASIC, *EXTREMA_COMPACT),
-        "fractal_extrema": (*FRACTAL, *EXTREMA),
-        "fractal_extrema_compact": (*FRACTAL, *EXTREMA_COMPACT),
+    single = {"basic": BASIC, "fractal": FRACTAL, "extrema": EXTREMA}
+    groups = single | {"extrema_full": EXTREMA, "extrema_compact": EXTREMA_COMPACT, "multizone_extrema": MULTIZONE}
+    # two families beside each other, with all extrema or the compact ones
+    for first, second in combinations(single, 2):
+        groups[f"{first}_{second}"] = (*single[first], *single[second])
+        if second == "extrema":
+            groups[f"{first}_{second}_compact"] = (*single[first], *EXTREMA_COMPACT)
+    groups |= {
         "fused": (*BASIC, *FRACTAL, *EXTREMA),
         "fused_full": (*BASIC, *FRACTAL, *EXTREMA),
         "fused_compact": (*BASIC, *FRACTAL, *EXTREMA_COMPACT),
-        "multizone_extrema": MULTIZONE,
         "basic_margin_extrema": (*BASIC, *MARGIN),
         "basic_multizone_extrema": (*BASIC, *MULTIZONE),
         "fractal_multizone_extrema": (*FRACTAL, *MULTIZONE),
