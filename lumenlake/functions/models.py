@@ -311,20 +311,23 @@ MODELS = {
     "random_forest": Forest,
     "extra_trees": lambda **k: Forest(random_cuts=True, **k),
     "boosted": Boosted,
+    "histogram_boosted": lambda **k: Boosted(**k),  # trees of bounded depth stand in for a bounded number of leaves
     "adaptive": Adaptive,
     "embedded": Embedded,
 }
 
-#: Parameter grids of a screen, by model.
+#: Parameter grids of a screen, by model (fixed values of the study protocol).
+_C = (0.01, 0.1, 1.0, 10.0, 100.0)
 GRIDS = {
-    "logistic": [{"c": c} for c in (0.01, 0.1, 1.0, 10.0, 100.0)],
-    "linear_svm": [{"c": c} for c in (0.01, 0.1, 1.0, 10.0)],
-    "rbf_svm": [{"c": c, "gamma": g} for c in (0.1, 1.0, 10.0) for g in ("scale", 0.01, 0.001)],
-    "random_forest": [{"leaf": leaf, "columns": m} for leaf in (1, 3, 5) for m in ("sqrt", 0.3)],
-    "extra_trees": [{"leaf": leaf, "columns": m} for leaf in (1, 3, 5) for m in ("sqrt", 0.3)],
-    "boosted": [{"rate": r, "depth": d} for r in (0.03, 0.1) for d in (2, 3)],
-    "adaptive": [{"rate": r, "rounds": n} for r in (0.1, 0.5) for n in (100, 200)],
-    "embedded": [{"c": c} for c in (0.01, 0.1, 1.0, 10.0, 100.0)],
+    "logistic": [{"c": c} for c in _C],
+    "linear_svm": [{"c": c} for c in _C],
+    "rbf_svm": [{"c": c, "gamma": g} for c in (0.1, 1.0, 10.0, 100.0) for g in ("scale", 0.01, 0.1)],
+    "random_forest": [{"columns": m, "leaf": leaf, "depth": d} for m in ("sqrt", 0.5) for leaf in (1, 3) for d in (30, 8)],
+    "extra_trees": [{"columns": m, "leaf": leaf, "depth": d} for m in ("sqrt", 0.5) for leaf in (1, 3) for d in (30, 8)],
+    "histogram_boosted": [{"rate": r, "depth": d, "ridge": x} for r in (0.03, 0.1) for d in (3, 4) for x in (0.0, 1.0, 10.0)],
+    "boosted": [{"rate": r, "rounds": n, "depth": d} for r in (0.03, 0.1) for n in (100, 300) for d in (1, 2)],
+    "adaptive": [{"rate": r, "rounds": n} for r in (0.03, 0.1, 0.5) for n in (100, 300)],
+    "embedded": [{"c": c} for c in _C],
 }
 
 

@@ -79,34 +79,33 @@ def _groups() -> dict[str, tuple[str, ...]]:
         "fractal_multizone_extrema": (*FRACTAL, *MULTIZONE),
         "fused_multizone": FROZEN,
     }
-    # handcrafted screens
-    groups |= {
-        "frozen98": FROZEN,
-        "multifractal": MULTIFRACTAL,
-        "wavelet": WAVELET,
-        "shape": SHAPE,
-        "advanced76": ADVANCED,
-        "frozen98_multifractal": (*FROZEN, *MULTIFRACTAL),
-        "frozen98_wavelet": (*FROZEN, *WAVELET),
-        "frozen98_shape": (*FROZEN, *SHAPE),
-        "frozen98_advanced76": (*FROZEN, *ADVANCED),
-    }
-    # component-tree comparators
-    groups |= {"component_tree": COMPONENT_TREE, "basic_component_tree": (*BASIC, *COMPONENT_TREE), "frozen98_component_tree": (*FROZEN, *COMPONENT_TREE)}
-    # factorial of three blocks: multifractal with fractal, wavelet, shape
-    blocks = {"gf": (*FRACTAL, *MULTIFRACTAL), "w": WAVELET, "s": SHAPE}
-    for bits in range(1, 8):
-        chosen = [k for i, k in enumerate(blocks) if bits >> i & 1]
-        groups["block_" + "_".join(chosen)] = tuple(c for k in chosen for c in blocks[k])
-    # one zone of the advanced block
-    groups |= {f"region22_{z}": (*_multifractal(z), *_wavelet(z)) for z in ZONES}
+    # screens of the wide table
+    parts = {"multifractal": MULTIFRACTAL, "wavelet": WAVELET, "shape": SHAPE}
+    groups |= {f"{n}{len(c)}": c for n, c in parts.items()}
+    groups |= {"frozen98": FROZEN, "advanced76": ADVANCED, "frozen98_advanced": (*FROZEN, *ADVANCED), "frozen98_component_tree": (*FROZEN, *COMPONENT_TREE)}
+    groups |= {f"frozen98_{n}": (*FROZEN, *c) for n, c in parts.items()}
+    groups["frozen98_multifractal_shape"] = (*FROZEN, *MULTIFRACTAL, *SHAPE)
+    # comparators with connected morphology
+    base = {"conventional": BASIC, "conv_fractal": (*BASIC, *FRACTAL), "fused_extrema": FROZEN}
+    groups |= base | {"component_tree": COMPONENT_TREE} | {f"{'conv' if n == 'conventional' else n}_component_tree": (*c, *COMPONENT_TREE) for n, c in base.items()}
+    # factorial of three blocks: each choice of them, named by their letters and its size
+    blocks = {"gf": MULTIFRACTAL, "w": WAVELET, "s": SHAPE}
+    for n in (1, 2, 3):
+        for chosen in combinations(blocks, n):
+            columns = tuple(c for k in chosen for c in blocks[k])
+            groups[f"{''.join(chosen) if n < 3 else 'gfwb'}{len(columns)}"] = columns
+    # one zone of the advanced block, and all its texture
+    for zone in ZONES:
+        columns = (*_multifractal(zone), *_wavelet(zone))
+        groups[f"{zone}{len(columns)}"] = columns
+    groups["texture66"] = (*MULTIFRACTAL, *WAVELET)
     groups |= {"all": ALL}
     return groups
 
 
 GROUPS = _groups()
 #: Sizes that the formats fix; checked when the module is read.
-SIZES = {"basic": 24, "fractal": 11, "extrema": 59, "extrema_compact": 19, "multizone_extrema": 63, "frozen98": 98, "multifractal": 30, "wavelet": 36, "shape": 10, "advanced76": 76, "component_tree": 54, "region22_lesion": 22, "fused": 94}
+SIZES = {"basic": 24, "fractal": 11, "extrema": 59, "extrema_compact": 19, "multizone_extrema": 63, "fused": 94, "frozen98": 98, "advanced76": 76, "component_tree": 54, "texture66": 66} | {n: int("".join(filter(str.isdigit, n))) for n in GROUPS if n[-1].isdigit()}
 for _name, _size in SIZES.items():
     if len(GROUPS[_name]) != _size or len(set(GROUPS[_name])) != _size:
         raise AssertionError(f"group {_name} has {len(GROUPS[_name])} columns, not {_size}")
@@ -122,6 +121,18 @@ def family_of(column: str) -> str:
     raise KeyError(f"no family has the column {column}")
 
 
+#: Families of the fused group in studies of their contribution.
+CONTRIBUTIONS = {"basic_": "basic", "fractal_": "fractal", "zone_lesion_": "lesion_extrema", "zone_inner_": "inner_margin_extrema", "zone_outer_": "outer_margin_extrema"}
+
+
+def contribution_of(column: str) -> str:
+    """The contribution family of a column of the fused group; KeyError for any other."""
+    for prefix, family in CONTRIBUTIONS.items():
+        if column.startswith(prefix):
+            return family
+    raise KeyError(f"no contribution family has the column {column}")
+
+
 def group_columns(columns: Iterable[str], group: str) -> list[str]:
     """The columns of a named group that a table has, in the table's order within the group's families.
 

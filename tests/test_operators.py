@@ -233,3 +233,18 @@ def test_extraction_keeps_failures(spark):
     assert audit["good"]["mask_foreground_pixels"] == sum(mask) and len(audit["good"]["dhash64"]) == 16 and audit["none"]["pixel_sha256"] is None
     pairs = spark.createDataFrame([("good", "empty", 0)], "first string, second string, hamming int")
     assert extract.confirmed_pairs(pairs, frame, "image").first()["ssim_256"] == pytest.approx(1.0)
+
+
+def test_gates(spark):
+    from lumenlake.operators import gates
+
+    table = spark.createDataFrame([("a", 0.8, 0.7, 0.01), ("b", 0.75, 0.75, -0.02)], "dataset string, auc double, reference_auc double, ci_low double")
+    assert gates.primary_supported(table).first()["supported"]
+    assert not gates.primary_supported(table.withColumn("ci_low", F.lit(-1.0))).first()["supported"]
+    early = spark.createDataFrame([("a", 0.02, 0.97), ("b", -0.005, 0.4)], "dataset string, mean double, p_positive double")
+    assert gates.early_promoted(early).first()["promoted"]
+    assert not gates.early_promoted(early.withColumn("mean", F.col("mean") - 0.01)).first()["promoted"]
+    deltas = spark.createDataFrame([("locked_external", "ws46", 0.0, -0.1), ("lodo", "ws46", 0.02, -0.1), ("lodo", "x", -1.0, -1.0)], "context string, ablated_model string, point_delta double, delta_ci_low double")
+    scores_table = spark.createDataFrame([("full", 0.8), ("ws46", 0.78)], "model string, auc double")
+    row = gates.block_claim(deltas, scores_table, "full", "ws46").first()
+    assert (row["external"], row["mean_gain"], row["no_loss"], row["retained"]) == (False, True, True, True)
