@@ -21,8 +21,8 @@ every link without comparing all pairs:
    ``_frequent_prefix``).  Their number is linear in the set, not quadratic.
 4. Index lists are resolved without all their pairs: each list links its members
    to one leader, links are verified on the whole sets and components are formed;
-   that is done twice, and then components that meet in a list are compared
-   whole, large ones in blocks without listing their pairs.  Pairs whose sizes or lonely tokens
+   that is done twice, and then the sets of lists with one leader are compared
+   whole, in blocks without listing their pairs.  Pairs whose sizes or lonely tokens
    (which no other set has) rule a link out are not verified.  All decisions are
    exact; nothing is capped.
 
@@ -55,8 +55,8 @@ HOT_LEAST = 64
 LOW = np.uint64((5 << 60) - 1)
 #: Rounds in which an index list's members meet one leader, before those still apart meet each other.
 STAR_ROUNDS = 2
-#: Two components of so many pairs at most are compared by their pairs, larger ones in blocks of so many tokens.
-SMALL_PAIRS, BLOCK_TOKENS = 16, 200_000
+#: Tokens of a block when groups are compared whole.
+BLOCK_TOKENS = 200_000
 #: Bits of the candidate filter (1 MB).
 FILTER_BITS = 1 << 23
 
@@ -75,14 +75,15 @@ def _budget(n: int, num: int, den: int) -> int:
 def _frequent_prefix(frequent: np.ndarray, n: int, spent: int, num: int, den: int) -> np.ndarray:
     """Combinations of neighbouring frequent tokens that a set must index.
 
-    dx of the first L of its frequent tokens can miss (dx <= tau - spent); both
-    sides together miss at most q = n (1 - t) / t.  At least L - dx are common,
-    with L - dx - 1 gaps, of which q are broken: L = 2 + dx + q leaves one pair.
+    If no token of class 1 is shared, the ``spent`` ones here are misses.  Then dx
+    of the first L frequent tokens can miss (dx <= tau - spent), and with the
+    other side's misses at most q = n (1 - t) / t - spent.  At least L - dx are
+    common, with L - dx - 1 gaps, of which q are broken: L = 2 + dx + q leaves one.
     With fewer than L tokens all are used; 3/7 of both sizes are common and 1/7
     missed (t = 0.75), so a pair remains if both sizes add up to 7, and smaller
     sets that link are equal.
     """
-    length = 2 + _budget(n, num, den) - spent + n * (den - num) // num
+    length = 2 + _budget(n, num, den) - spent + max(0, n * (den - num) // num - spent)
     part = frequent[:length]
     return shared.mix(part[:-1] * np.uint64(0xA24BAED4963EE407) + part[1:])
 
@@ -212,12 +213,13 @@ def _index(docs: DataFrame, hot, num: int, den: int) -> DataFrame:
     own = shared.cut(own.withColumns({"place": place, "lone": lone}).select("sig", "set_id", "n", "lone", F.expr("place = 1").alias("first"), (F.col("place") <= need - F.col("lone")).alias("inside")))
     known = own.where("first").select("set_id", "lone")
     direct = _prefixes(docs, hot, num, den, False).join(known, "set_id", "left").select("sig", "set_id", "n", F.coalesce("lone", "n_low").alias("lone"))
-    rows = shared.cut(own.where("inside").select("sig", "set_id", "n", "lone").unionByName(direct))
+    rows = own.where("inside").select("sig", "set_id", "n", "lone").unionByName(direct)
+    rows = shared.cut(rows.repartition("sig").dropDuplicates(["sig", "set_id"]))
     # Lists of the same sets say the same: one of them stays.  Lists of one set say nothing.
     mark = F.xxhash64(F.col("set_id"), F.lit(1)).cast("decimal(38,0)")
-    lists = rows.distinct().groupBy("sig").agg(F.sum(mark).alias("mark"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    lists = rows.groupBy("sig").agg(F.sum(mark).alias("mark"), F.count(F.lit(1)).alias("m")).where("m > 1")
     kept = lists.groupBy("mark", "m").agg(F.min("sig").alias("sig")).select("sig")
-    return shared.cut(rows.distinct().join(kept, "sig"))
+    return shared.cut(rows.join(kept, "sig"))
 
 
 # ------------------------------------------------------------------ verification
@@ -295,81 +297,66 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
 
 
 def _verified_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between ``queries`` (root, set_id, n) and the ``members`` (root, set_id, n) of components.
+    """Links (a, b) between ``queries`` and ``members`` (hub, set_id, n, root) of one hub and of different components (root).
 
-    Components may be large, so no pairs are listed: members and queries are cut
-    into blocks of about BLOCK_TOKENS tokens, and each block of queries meets each
-    block of members, whose tokens are one sorted array.  A query's first link in
-    a block is enough, as the component is connected.
+    Groups may be large, so no pairs are listed: members and queries are cut into
+    blocks of about BLOCK_TOKENS tokens, and each block of queries meets each block
+    of members, whose tokens are one sorted array.  Of a query's links in a block
+    one to each component is enough, as components are connected.
     """
-    sets = shared.cut(_whole_sets(docs, queries.select("set_id").union(members.select("set_id")).distinct()))
-    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("m_blocks"))
-    sizes = sizes.join(queries.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("q_blocks")), "root")
+    sets = shared.cut(_whole_sets(docs, members.select("set_id").distinct()))
+    sizes = members.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("m_blocks"))
+    sizes = sizes.join(queries.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("q_blocks")), "hub")
     placed = {}
     for name, frame, own, other in (("m", members, "m_blocks", "q_blocks"), ("q", queries, "q_blocks", "m_blocks")):
-        rows = frame.join(sizes, "root").join(sets, "set_id")
+        rows = frame.join(sizes, "hub").join(sets, "set_id")
         mine = F.pmod(F.xxhash64("set_id"), F.col(own)).cast("int")
-        rows = rows.select("root", "set_id", "tokens", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
-        placed[name] = rows.select("root", "m_blocks", "q_blocks", "set_id", "tokens").groupBy("root", "m_blocks", "q_blocks")
+        rows = rows.select("hub", "set_id", "root", "tokens", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        # columns of their own: both sides come from the same tables
+        rows = rows.select(*[F.col(c).alias(f"{name}_{c}") for c in ("hub", "m_blocks", "q_blocks", "set_id", "root", "tokens")])
+        placed[name] = rows.groupBy(f"{name}_hub", f"{name}_m_blocks", f"{name}_q_blocks")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
-            names = left["set_id"].to_numpy()
-            parts = [np.frombuffer(x, np.uint64) for x in left["tokens"].to_pylist()]
+            names, roots = left["m_set_id"].to_numpy(), left["m_root"].to_numpy()
+            parts = [np.frombuffer(x, np.uint64) for x in left["m_tokens"].to_pylist()]
             lengths = np.array([len(x) for x in parts])
             tokens = np.concatenate(parts)
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], np.repeat(np.arange(len(parts)), lengths)[order]
-            for me, blob in zip(right["set_id"].to_pylist(), right["tokens"].to_pylist(), strict=True):
+            for me, root, blob in zip(right["q_set_id"].to_pylist(), right["q_root"].to_pylist(), right["q_tokens"].to_pylist(), strict=True):
                 x = np.frombuffer(blob, np.uint64)
                 low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
                 hits = high - low
                 total = int(hits.sum())
                 at = np.arange(total) + np.repeat(low - np.cumsum(hits) + hits, hits)
                 common = np.bincount(owner[at], minlength=len(parts))
-                linked = np.flatnonzero(den * common >= num * (len(x) + lengths - common))
-                if len(linked):
-                    a.append(me)
-                    b.append(int(names[linked[0]]))
+                linked = np.flatnonzero((den * common >= num * (len(x) + lengths - common)) & (roots != root))
+                _, first = np.unique(roots[linked], return_index=True)
+                a += [me] * len(first)
+                b += names[linked[first]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return placed["m"].cogroup(placed["q"]).applyInArrow(meet, "a long, b long")
 
 
-def _apart(docs: DataFrame, named: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
+def _apart(docs: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
     """Links between members of ``named`` lists (sig, set_id, n, lone, root) that are in different components.
 
-    What meets are components, not sets: two components that a list holds both
-    are compared whole.  Small ones by their pairs, others in blocks.
+    Lists with one leader make one group (its hub), so two sets that any list
+    holds are in a group together, and there are no more (hub, set) rows than list
+    entries.  In a group all sets outside its largest component are compared with
+    all its sets.  Sets too many of whose tokens are alone can link with none.
     """
     named = shared.cut(named.where((F.col("n") - F.col("lone")) * den >= F.col("n") * num))
-    ends = named.groupBy("sig", "root").agg(F.max(F.col("n") - F.col("lone")).alias("best"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = (ends.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("root", "best", "lo", "hi")]) for side in "xy")
-    may = (F.col("hi_x") * den >= F.col("lo_y") * num) & (F.col("hi_y") * den >= F.col("lo_x") * num)
-    may = may & (F.least("best_x", "best_y") * (den + num) >= (F.col("lo_x") + F.col("lo_y")) * num)
-    met = x.join(y, "sig").where("root_x < root_y").where(may).select("root_x", "root_y").distinct()
-    members = shared.cut(named.select("root", "set_id", "n", "lone").distinct())
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    met = met.join(sizes.select(F.col("root").alias("root_x"), F.col("size").alias("size_x")), "root_x")
-    met = shared.cut(met.join(sizes.select(F.col("root").alias("root_y"), F.col("size").alias("size_y")), "root_y"))
-    me = F.struct("set_id", "n", "lone")
-    small = met.where(F.col("size_x") * F.col("size_y") <= SMALL_PAIRS)
-    pairs = small.join(members.select(F.col("root").alias("root_x"), me.alias("x")), "root_x").join(members.select(F.col("root").alias("root_y"), me.alias("y")), "root_y")
-    pairs = pairs.where(_possible("x", "y", num, den)).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-    pairs = shared.cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    found = [] if pairs.isEmpty() else [shared.cut(_verified(docs, pairs, num, den))]
-    large = met.where(F.col("size_x") * F.col("size_y") > SMALL_PAIRS)
-    big, other = (F.when(F.col("size_x") >= F.col("size_y"), F.col(a)).otherwise(F.col(b)) for a, b in (("root_x", "root_y"), ("root_y", "root_x")))
-    large = shared.cut(large.select(big.alias("root"), other.alias("asks")))
-    if not large.isEmpty():
-        queries = shared.cut(large.join(members.withColumnRenamed("root", "asks"), "asks").select("root", "set_id", "n").distinct())
-        targets = members.join(large.select("root").distinct(), "root").select("root", "set_id", "n")
-        found.append(shared.cut(_verified_blocks(docs, queries, targets, num, den)))
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    for f in found:
-        none = none.unionByName(f)
-    return none
+    leaders = named.groupBy("sig").agg(F.min(F.struct("lone", "set_id")).alias("x"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    members = shared.cut(named.join(leaders.select("sig", F.col("x.set_id").alias("hub")), "sig").select("hub", "set_id", "n", "root").distinct())
+    largest = members.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("hub").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+    queries = shared.cut(members.join(largest, "hub").where("root <> largest").select("hub", "set_id", "n", "root"))
+    if queries.isEmpty():
+        return queries.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
+    return shared.cut(_verified_blocks(docs, queries, members, num, den))
 
 
 def _all_lone(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -428,7 +415,7 @@ def set_links(docs: DataFrame, heavy: DataFrame, total: int, num: int, den: int)
             index = shared.cut(named.join(lone, "set_id", "left").select("sig", "set_id", "n", F.greatest("lone", F.coalesce("all_lone", F.lit(0))).alias("lone")))
             named = index.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         if turn == STAR_ROUNDS:
-            found = _apart(docs, named, tried, num, den)
+            found = _apart(docs, named, num, den)
         else:
             # Each list's members against its leader, the set with the fewest tokens of its own.
             leaders = named.groupBy("sig").agg(F.min(F.struct("lone", "set_id", "n", "root")).alias("x"))
