@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from lumenlake.functions import models
 from lumenlake.session import ship
 
+#: Rows of a table that is shipped to each task as a whole.
+MOST_ROWS = 1_000_000
+
 # ------------------------------------------------------------------ large tables
 
 
@@ -135,7 +138,7 @@ def _cells(frame: DataFrame, folds: DataFrame, group: str, grid: Sequence[dict])
     return frame.join(folds, group).join(held, "repeat").crossJoin(F.broadcast(table))
 
 
-def grid_scores(frame: DataFrame, folds: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, group: str, model: str, grid: Sequence[dict], weight: str | None = None) -> DataFrame:
+def grid_scores(frame: DataFrame, folds: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, group: str, model: str, grid: Sequence[dict], weight: str | None = None, by: str | None = None) -> DataFrame:
     """repeat, held, param_id, params and the keys and probability of each held-out row, for every cell of the grid.
 
     ``folds`` has (group, repeat, fold).  A cell is one task's fit, so the cells
@@ -161,7 +164,7 @@ def grid_scores(frame: DataFrame, folds: DataFrame, keys: Sequence[str], columns
 
     needed = list(dict.fromkeys([*names, group, target, *columns, *([weight] if weight else [])]))
     cells = _cells(frame.select(*needed), folds, group, grid)
-    return cells.groupBy("repeat", "held", "param_id").applyInPandas(cell, schema)
+    return cells.groupBy(*([by] if by else []), "repeat", "held", "param_id").applyInPandas(cell, schema)
 
 
 def tune(scores: DataFrame, group: str, target: str) -> DataFrame:
@@ -264,10 +267,13 @@ def coefficient_stability(frame: DataFrame, draws: DataFrame, columns: Sequence[
 def permutation_importance(frame: DataFrame, columns: Sequence[str], families: dict[str, Sequence[str]], target: str, group: str, c: float, permutations: int, seed: int) -> DataFrame:
     """family, permutation, drop: the fall of the group-balanced AUC when the rows of a whole family of columns are permuted.
 
-    The model is fitted once and shipped; each permutation is a task.
+    The model is fitted once and shipped with the table; each permutation is a
+    task.  ValueError beyond MOST_ROWS rows.
     """
     spark = frame.sparkSession
     ship(spark)
+    if frame.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"permutation importance takes tables of up to {MOST_ROWS} rows")
     pdf = frame.select(group, target, *columns).orderBy(group, target, *columns).toPandas()
     x, y = _frame(pdf, columns), pdf[target].to_numpy(int)
     code = np.unique(pdf[group].astype(str), return_inverse=True)[1]
