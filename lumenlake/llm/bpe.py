@@ -40,7 +40,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words whose tokens a worker keeps; the store is emptied when it is full.
 KEPT_WORDS = 300_000
 #: Transitions that a worker keeps.
-KEPT_ARCS = 2_000_000
+KEPT_ARCS = 200_000
 #: Bytes of text in an output batch.
 BATCH_BYTES = 4 << 20
 
@@ -61,6 +61,8 @@ class Automaton:
         self.labels = {i: bytes(chars[c] for c in token) for token, i in vocab.items()}
         for text, i in special.items():
             self.labels[i] = text.encode()
+        self.lengths = {i: len(label) for i, label in self.labels.items()}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.labels}
         self.bytes_ids = {label[0]: i for i, label in self.labels.items() if len(label) == 1}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
@@ -69,13 +71,13 @@ class Automaton:
         for time, (a, b) in enumerate(merges):
             self._gadget(vocab[a], vocab[b], vocab[a + b], time)
         self.table: dict[int, bool] = {}
-        # Tokens by their bytes from last to first: where a word's prefix ends, the tokens that end there.
-        self.ends: dict = {}
+        # All ends of labels, with the token that is just that (or -1): what can lie before an end position.
+        self.ends: dict[bytes, int] = {}
         for i in self.made.keys() | self.bytes_ids.values():
-            node = self.ends
-            for byte in reversed(self.labels[i]):
-                node = node.setdefault(byte, {})
-            node[-1] = i
+            label = self.labels[i]
+            for at in range(1, len(label)):
+                self.ends.setdefault(label[at:], -1)
+            self.ends[label] = i
 
     def _gadget(self, u: int, v: int, uv: int, time: int) -> None:
         self.removed.setdefault((u, v), time)
@@ -104,14 +106,13 @@ class Automaton:
             table.clear()
         states = [-1]
         for end in range(1, len(word) + 1):
-            node, at = ends, end
+            at = end
             while True:
                 at -= 1
-                node = node.get(word[at])
-                if node is None:
+                token = ends.get(word[at:end])
+                if token is None:
                     raise ValueError("a byte has no token")
-                token = node.get(-1)
-                if token is not None:
+                if token >= 0:
                     state = states[at]
                     if state < 0:
                         break
@@ -122,10 +123,11 @@ class Automaton:
                     if ok:
                         break
             states.append(token)
-        out, at = [], len(word)
+        out, at, lengths = [], len(word), self.lengths
         while at:
-            out.append(states[at])
-            at -= len(self.labels[states[at]])
+            token = states[at]
+            out.append(token)
+            at -= lengths[token]
         out.reverse()
         return out
 
@@ -151,7 +153,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.automaton.run(word.encode()))
+        ids = b"".join(map(self.automaton.packed.__getitem__, self.automaton.run(word.encode())))
         self[word] = ids
         return ids
 

@@ -8,6 +8,8 @@ document, so memory is bounded by ``CHUNK_BYTES`` or by the longest document.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenlake.session import ship
 
 #: Bytes of text that a kernel handles at once (a longer document alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: ASCII white space that separates words: [\x20\x09-\x0D].
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 #: Rows of an Arrow batch: whole texts are long, and 10,000 of them (Spark's default) would not fit beside each other.
@@ -45,9 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """``frame`` computed once and kept as reliable checkpoint files (survives lost executors)."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """``frame`` computed once and kept as reliable checkpoint files (survives lost executors).
+
+    What led to it is then garbage; it is collected at once, so that Spark drops
+    the shuffle files of finished steps and iterations do not pile them up.
+    """
+    spark = frame.sparkSession
+    shared_dir(spark)
+    kept = frame.checkpoint(eager=True)
+    del frame
+    gc.collect()
+    spark._jvm.System.gc()
+    return kept
 
 
 def write_table(frame: DataFrame) -> tuple[DataFrame, str]:
@@ -62,7 +73,28 @@ def map_arrow(frame: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(frame.sparkSession)
     frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return frame.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return frame.mapInArrow(run, schema)
+
+
+def settle(spark: SparkSession) -> None:
+    """``release`` on the driver, after a model was fitted there; the JVM gives back what the collected sample took."""
+    release()
+    spark._jvm.System.gc()
+
+
+def release() -> None:
+    """Give a finished task's memory back: workers live on, and what one task needed would stay beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
