@@ -57,8 +57,10 @@ _NAMED = frozenset(
     "cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars side widget widgets footer masthead topbar toolbar "
     "share sharing social comment comments commentary disqus reply replies respond discussion feedback related recommended recommendations "
-    "teaser teasers newsletter subscribe subscription signup login search pagination pager copyright legal disclaimer skip complementary contentinfo".split()
+    "teaser teasers newsletter subscribe subscription signup login search pagination pager copyright legal disclaimer skip complementary contentinfo form dialog status tablist".split()
 )
+#: Beginnings of such words that stand in longer ones as well (cookiebar, commentlist).
+_STEMS = re.compile("cookie|advert|sponsor|comment|sidebar|newsletter|subscri|breadcrumb|footer|consent|navbar|popup|disclaimer|paginat|masthead|navigat")
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -79,7 +81,9 @@ def _outside(tag: str, attrs: str, inside_main: bool) -> bool:
     for found in _NAMES.finditer(attrs):
         for name in (found[1] or found[2] or found[3] or "").split():
             words = [w.lower() for w in _WORD.findall(name)]
-            if not {"no", "with", "has", "without"} & set(words) and (_NAMED & set(words) or ("header" in words and not inside_main)):
+            if {"no", "with", "has", "without"} & set(words):
+                continue
+            if _NAMED & set(words) or any(_STEMS.search(w) for w in words) or ("header" in words and not inside_main):
                 return True
     return False
 
