@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from lumenlake.functions import lesion, perturb, raster
 from lumenlake.functions.registry import FAMILIES
-from lumenlake.session import ship
+from lumenlake.session import ship, spread
 
 #: Pictures of an Arrow batch.
 BATCH_ROWS = 64
@@ -32,7 +32,7 @@ def _map(frame: DataFrame, run, schema) -> DataFrame:
     spark = frame.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return frame.mapInArrow(run, schema)
+    return spread(frame).mapInArrow(run, schema)
 
 
 def extract(images: DataFrame, keys: Sequence[str], families: Sequence[str] = tuple(FAMILIES)) -> DataFrame:

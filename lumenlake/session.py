@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -39,3 +39,20 @@ def ship(spark: SparkSession) -> None:
                 archive.write(source, source.relative_to(root.parent))
         context.addPyFile(str(path))
     _SHIPPED.add(context.applicationId)
+
+
+#: Tables of fewer bytes than this may lie in fewer partitions than there are cores.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, for work that is heavy for each row.
+
+    Small files are one task however costly their rows are; dealing them costs a
+    shuffle of at most SPREAD_BYTES.  Larger tables have enough splits of their own
+    and are left as they are.
+    """
+    if frame.isStreaming:
+        return frame
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(4 * frame.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else frame
