@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter or between two languages go."""
+    """Documents whose language is told; those without a letter, and those that no language claims for more than half, go."""
     return langid.recognised(docs, langid.fit(docs.where(~F.coalesce(langid.held_out(), F.lit(False)))))
 
 

@@ -26,7 +26,7 @@ from lumenlake.llm import shared
 #: Hash buckets of two- and of three-byte grams.
 BUCKETS = 1024
 #: Labelled documents of a language that the model is fitted on, at most; documents longer than FIT_BYTES are not used for it.
-FIT_DOCS, FIT_BYTES = 300, 200_000
+FIT_DOCS, FIT_BYTES = 250, 100_000
 #: Languages of the model, at most (the most frequent ones).
 FIT_LANGS = 200
 #: Documents in a histogram block.
@@ -130,11 +130,11 @@ def train(texts: list[str], langs: list[str], steps: int = 150) -> Model:
             at = int(draw.integers(0, max(1, len(text) - length)))
             pieces.append(text[at : at + length])
         labels += [names.index(lang)] * 3
-    blocks = []
+    x, y = np.empty((len(pieces), 2 * BUCKETS), np.float32), np.array(labels)
     for i in range(0, len(pieces), BLOCK):
-        for _, buf, offs in shared.text_chunks(pa.array(pieces[i : i + BLOCK])):
-            blocks.append(features(buf, offs))
-    x, y = np.concatenate(blocks), np.array(labels)
+        for row, buf, offs in shared.text_chunks(pa.array(pieces[i : i + BLOCK])):
+            x[i + row : i + row + len(offs) - 1] = features(buf, offs)
+    del pieces
     target = model.code[y]
     balance = (len(y) / (len(names) * np.bincount(y, minlength=len(names))))[y].astype(np.float32)[:, None]
     w, b = np.zeros((x.shape[1], target.shape[1]), np.float32), np.zeros(target.shape[1], np.float32)
@@ -168,8 +168,13 @@ def fit(docs: DataFrame) -> Model:
     ranked = rows.where(F.col("lang").isin(often)).select("doc_id", "lang", draw.alias("draw"))
     chosen = ranked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("place") <= FIT_DOCS)
     chosen = chosen.select("doc_id", "lang").distinct()
-    picked = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).orderBy("lang", "doc_id").limit(FIT_DOCS * FIT_LANGS).collect()
-    return train([r["text"] for r in picked], [r["lang"] for r in picked])
+    picked = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    texts, langs = picked["text"].to_pylist(), picked["lang"].to_pylist()
+    del picked
+    model = train(texts, langs)
+    del texts
+    shared.settle(docs.sparkSession)
+    return model
 
 
 def predictor(model: Model):
@@ -221,15 +226,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language the model tells: not ``und`` and not ambiguous.  All columns kept, nothing shuffled."""
+    """The rows of ``docs`` whose language the model tells: not ``und``, and one language likelier than all others together.
+
+    All columns are kept and nothing is shuffled.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         guess = predictor(shipped.value)
         for batch in batches:
-            langs, _, ambiguous = guess(batch.column(at))
-            yield batch.filter(pa.array((langs != UNDETERMINED) & ~ambiguous))
+            langs, scores, _ = guess(batch.column(at))
+            yield batch.filter(pa.array((langs != UNDETERMINED) & (scores > 0.5)))
 
     return shared.map_arrow(docs, run, docs.schema)
 
