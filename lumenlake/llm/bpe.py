@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -63,6 +64,10 @@ class Automaton:
             self.labels[i] = text.encode()
         self.lengths = {i: len(label) for i, label in self.labels.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.labels}
+        # all labels behind each other: where each begins, its length, the bytes
+        in_order = [self.labels.get(i, b"") for i in range(max(self.labels) + 1)]
+        length = np.array([len(label) for label in in_order], np.int64)
+        self.tape = np.cumsum(length) - length, length, np.frombuffer(b"".join(in_order), np.uint8)
         self.bytes_ids = {label[0]: i for i, label in self.labels.items() if len(label) == 1}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
@@ -70,14 +75,15 @@ class Automaton:
         self.removed: dict[tuple[int, int], int] = {}
         for time, (a, b) in enumerate(merges):
             self._gadget(vocab[a], vocab[b], vocab[a + b], time)
-        self.table: dict[int, bool] = {}
-        # All ends of labels, with the token that is just that (or -1): what can lie before an end position.
-        self.ends: dict[bytes, int] = {}
+        self.rows: dict[int, dict[int, bool]] = {}
+        self.known = 0
+        # Labels by their bytes from last to first: where a word's prefix ends, the tokens that end there.
+        self.ends: dict = {}
         for i in self.made.keys() | self.bytes_ids.values():
-            label = self.labels[i]
-            for at in range(1, len(label)):
-                self.ends.setdefault(label[at:], -1)
-            self.ends[label] = i
+            node = self.ends
+            for byte in reversed(self.labels[i]):
+                node = node.setdefault(byte, {})
+            node[-1] = i
 
     def _gadget(self, u: int, v: int, uv: int, time: int) -> None:
         self.removed.setdefault((u, v), time)
@@ -101,28 +107,35 @@ class Automaton:
 
     def run(self, word: bytes) -> list[int]:
         """The tokens of a pre-split word."""
-        table, ends = self.table, self.ends
-        if len(table) > KEPT_ARCS:
-            table.clear()
-        states = [-1]
+        rows, ends = self.rows, self.ends
+        if self.known > KEPT_ARCS:
+            rows.clear()
+            self.known = 0
+        states: list[int] = [-1]
+        here: list[dict[int, bool] | None] = [None]  # the transition row of the state at each position; all arcs leave the first
         for end in range(1, len(word) + 1):
-            at = end
+            node, at = ends, end
             while True:
                 at -= 1
-                token = ends.get(word[at:end])
-                if token is None:
+                node = node.get(word[at])
+                if node is None:
                     raise ValueError("a byte has no token")
-                if token >= 0:
-                    state = states[at]
-                    if state < 0:
+                token = node.get(-1)
+                if token is not None:
+                    row = here[at]
+                    if row is None:
                         break
-                    key = state << 32 | token
-                    ok = table.get(key)
+                    ok = row.get(token)
                     if ok is None:
-                        ok = table[key] = self.arc(state, token)
+                        ok = row[token] = self.arc(states[at], token)
+                        self.known += 1
                     if ok:
                         break
             states.append(token)
+            row = rows.get(token)
+            if row is None:
+                row = rows[token] = {}
+            here.append(row)
         out, at, lengths = [], len(word), self.lengths
         while at:
             token = states[at]
@@ -179,7 +192,14 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.automaton.labels.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+        """The labels of the arcs, one after the other, as text."""
+        tokens = np.frombuffer(ids, "<u4")
+        if not len(tokens):
+            return ""
+        begin, length, letters = self.automaton.tape
+        size = length[tokens]
+        after = np.cumsum(size)
+        return letters[np.arange(after[-1]) + np.repeat(begin[tokens] - after + size, size)].tobytes().decode("utf-8", "replace")
 
 
 def _batches(batches: Iterable[pa.RecordBatch], make, names: list[str]) -> Iterator[pa.RecordBatch]:
