@@ -23,6 +23,7 @@ def study(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("image"),
         F.col("o_custkey").alias("patient_id"),
         F.col("n_name").alias("dataset"),
+        F.col("n_regionkey").alias("region"),
         (F.col("o_orderstatus") == "F").cast("int").alias("target"),
         F.col("o_totalprice").alias("x_price"),
         F.month("o_orderdate").cast("double").alias("x_month"),
@@ -54,7 +55,7 @@ def stratified_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("group_shuffle_split")
 def group_shuffle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.group_split(study(spark, sf_dir), "patient_id", ["dataset", "target"], 0.2, 20260717)
+    return folds.group_split(study(spark, sf_dir), "patient_id", ["region", "target"], 0.2, 20260717)
 
 
 @query("scaling")
