@@ -129,6 +129,12 @@ def _frame(pdf: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
     return pdf[list(columns)].to_numpy(np.float64)
 
 
+def _nothing(schema) -> pd.DataFrame:
+    """No rows of a schema, with its types."""
+    kinds = {"integer": "int32", "long": "int64", "double": "float64"}
+    return pd.DataFrame({f.name: pd.Series(dtype=kinds.get(f.dataType.typeName(), "object")) for f in schema.fields})
+
+
 def _cells(frame: DataFrame, folds: DataFrame, group: str, grid: Sequence[dict]) -> DataFrame:
     """Rows once for each (repeat, held fold, parameters)."""
     spark = frame.sparkSession
@@ -158,7 +164,7 @@ def grid_scores(frame: DataFrame, folds: DataFrame, keys: Sequence[str], columns
         y = train[target].to_numpy(int)
         got = pdf[test]
         if len(set(y)) < 2 or got.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return _nothing(schema)
         fitted = models.make(model, json.loads(pdf["params"].iloc[0])).fit(_frame(train, columns), y, None if weight is None else train[weight].to_numpy(float))
         return pd.DataFrame({"repeat": got["repeat"], "held": got["held"], "param_id": got["param_id"], "params": got["params"], **{n: got[n] for n in names}, target: got[target].astype(int), "probability": fitted.score(_frame(got, columns))})
 
@@ -238,7 +244,7 @@ def transfer_scores(frame: DataFrame, pairs: DataFrame, keys: Sequence[str], col
         train, got = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
         y = train[target].to_numpy(int)
         if len(set(y)) < 2 or got.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return _nothing(schema)
         fitted = models.make(model, params).fit(_frame(train, columns), y, None if weight is None else train[weight].to_numpy(float))
         return pd.DataFrame({"run": got["run"], **{n: got[n] for n in names}, dataset: got[dataset], target: got[target].astype(int), "probability": fitted.score(_frame(got, columns))})
 
@@ -254,7 +260,7 @@ def coefficient_stability(frame: DataFrame, draws: DataFrame, columns: Sequence[
         pdf = pdf.loc[pdf.index.repeat(pdf["m"])]
         y = pdf[target].to_numpy(int)
         if len(set(y)) < 2:
-            return pd.DataFrame({"iteration": [], "column": [], "coefficient": []})
+            return pd.DataFrame({"iteration": pd.Series(dtype="int64"), "column": pd.Series(dtype="object"), "coefficient": pd.Series(dtype="float64")})
         coef = models.Logistic(c).fit(_frame(pdf, columns), y).coef
         return pd.DataFrame({"iteration": int(pdf["iteration"].iloc[0]), "column": list(columns), "coefficient": coef})
 
