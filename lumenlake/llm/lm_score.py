@@ -5,11 +5,14 @@ both sides of it; the score of a document is the sum of these conditional log
 probabilities (its pseudo-log-likelihood).
 
 * The vocabulary are the most frequent words of the whole corpus, counted over
-  all documents (grouped sums, added up in each task first); all other words share
-  hash buckets, so every word has a probability.
+  all documents (grouped sums, added up in each task first).  It grows with the
+  words that occur LEAST times or more, up to what the driver can hold.  All other
+  words share hash buckets; the probability of a bucket is parted among its words
+  by their counts in the corpus (a join: the counts are never gathered), with
+  UNSEEN occurrences for words that the corpus does not have.
 * The network adds an embedding of each of the ``2 * REACH`` neighbours, weighted
-  for its place, applies a rectifier, and predicts first the word's frequency
-  class and then the word in it, so that a word costs 2 * 32 outputs.
+  for its place, applies a rectifier, and predicts the word's frequency class, the
+  part of the class and the word in it, so that a word costs 3 * 32 outputs at most.
 * It is trained in numpy on windows of all documents (every STRIDE-th position,
   another one each round): each task runs stochastic gradient descent (Adagrad) over its
   documents from the common parameters, and the parameters are averaged, weighted
@@ -34,9 +37,12 @@ from pyspark.sql import types as T
 from lumenlake.llm import shared
 from lumenlake.llm.toxicity import chunk_hashes
 
-#: Frequency classes and words in each; the last BUCKETS outputs are hash buckets of rare words.
+#: Frequency classes, words in each of a class's parts; the last BUCKETS outputs are hash buckets of rare words.
 CLASSES, IN_CLASS, BUCKETS = 32, 32, 256
-VOCABULARY = CLASSES * IN_CLASS - BUCKETS
+#: A class has as many parts as words of so many occurrences need, at most MOST_PARTS.
+LEAST, MOST_PARTS = 16, 32
+#: Occurrences that a bucket keeps for words that the corpus does not have.
+UNSEEN = 0.5
 #: Words on each side, length of embeddings, hidden units.
 REACH, DIM, HIDDEN = 2, 16, 32
 #: Rounds of training; of every STRIDE windows a round sees one; windows of a step.
@@ -49,30 +55,38 @@ PIECES, PARTIALS = 16, 32
 _OUT = CLASSES * IN_CLASS
 _PAD = _OUT
 _PLACES = [o for o in range(-REACH, REACH + 1) if o]
-_SHAPES = [(_OUT + 1, DIM), (len(_PLACES), DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, IN_CLASS), (CLASSES, IN_CLASS)]
+
+
+def _shapes(parts: int) -> list[tuple[int, ...]]:
+    """Of the parameters: embeddings, first layer, classes, parts of each class, words of each part."""
+    return [
+        (_OUT * parts + 1, DIM), (len(_PLACES), DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,),
+        (CLASSES, HIDDEN, parts), (CLASSES, parts), (CLASSES * parts, HIDDEN, IN_CLASS), (CLASSES * parts, IN_CLASS),
+    ]
 
 
 class Vocabulary:
-    """Ids of word hashes: frequent words by rank, others by bucket."""
+    """Ids of word hashes: frequent words by rank, others by bucket (the last BUCKETS of the _OUT * parts ids)."""
 
-    def __init__(self, frequent: list[int]):
+    def __init__(self, frequent: list[int], parts: int = 1):
+        self.parts, self.pad = parts, _OUT * parts
         hashes = np.array(frequent, dtype=np.int64).view(np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order.astype(np.int32)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        bucket = (VOCABULARY + (hashes >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
+        bucket = (self.pad - BUCKETS + (hashes >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
         if not len(self.hashes):
             return bucket
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.ids[at], bucket)
 
 
-def windows(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+def windows(ids: np.ndarray, first: np.ndarray, pad: int = _PAD) -> np.ndarray:
     """The neighbours of every word, padding beyond its document: words x 2 * REACH."""
     n = len(first) - 1
     lengths = np.diff(first)
-    line = np.full(len(ids) + REACH * (n + 1), _PAD, np.int32)
+    line = np.full(len(ids) + REACH * (n + 1), pad, np.int32)
     place = np.arange(len(ids)) + REACH * (np.repeat(np.arange(n), lengths) + 1)
     line[place] = ids
     return np.stack([line[place + o] for o in _PLACES], axis=1)
@@ -87,21 +101,23 @@ class Network:
     def fresh(cls, logs: np.ndarray, seed: int = 3) -> Network:
         """Small random weights; output biases from the log frequencies of the outputs."""
         draw = np.random.default_rng(seed)
-        params = [draw.normal(0, 0.3 / np.sqrt(s[-2] if len(s) > 1 else 1), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _SHAPES]
-        table = logs.reshape(CLASSES, IN_CLASS)
-        top = table.max(1, keepdims=True)
-        params[4] = (np.log(np.exp(table - top).sum(1)) + top[:, 0]).astype(np.float32)
-        params[6] = table.astype(np.float32)
-        params[0][_PAD] = 0
+        parts = len(logs) // _OUT
+        params = [draw.normal(0, 0.3 / np.sqrt(min(s[-2], _OUT + 1) if len(s) > 1 else 1), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _shapes(parts)]
+        for bias, width in ((8, IN_CLASS), (6, parts), (4, CLASSES)):
+            logs = logs.reshape(-1, width)
+            params[bias] = logs.reshape(params[bias].shape).astype(np.float32)
+            top = logs.max(1, keepdims=True)
+            logs = np.log(np.exp(logs - top).sum(1)) + top[:, 0]
+        params[0][-1] = 0
         return cls(params)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params])
 
     @classmethod
-    def unflat(cls, flat: np.ndarray) -> Network:
+    def unflat(cls, flat: np.ndarray, parts: int = 1) -> Network:
         out, at = [], 0
-        for shape in _SHAPES:
+        for shape in _shapes(parts):
             size = int(np.prod(shape))
             out.append(flat[at : at + size].reshape(shape).astype(np.float32).copy())
             at += size
@@ -109,46 +125,43 @@ class Network:
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> float:
         """One step of Adagrad on the mean loss of a batch; the loss."""
-        e, w, b, wc, bc, ww, bw = self.params
+        e, w, b, wc, bc, wm, bm, ww, bw = self.params
         if not self.squares:
             self.squares = [np.full_like(p, 1e-6) for p in self.params]
-        n = len(target)
+        n, parts = len(target), wm.shape[2]
         x = e[context].reshape(n, -1)  # n x (places * DIM)
         flat_w = w.reshape(-1, HIDDEN)
         z = x @ flat_w + b
         h = np.maximum(z, 0)
-        group, own = target // IN_CLASS, target % IN_CLASS
+        leaf = target // IN_CLASS
+        group = leaf // parts
         rows = np.arange(n)
         pc = _softmax(h @ wc + bc)
         loss = -np.log(np.maximum(pc[rows, group], 1e-30)).sum()
         pc[rows, group] -= 1
         gh = pc @ wc.T
-        g_ww, g_bw = np.zeros_like(ww), np.zeros_like(bw)
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            at = order[edges[c] : edges[c + 1]]
-            p = _softmax(h[at] @ ww[c] + bw[c])
-            k = np.arange(len(at))
-            loss -= np.log(np.maximum(p[k, own[at]], 1e-30)).sum()
-            p[k, own[at]] -= 1
-            gh[at] += p @ ww[c].T
-            g_ww[c] = h[at].T @ p
-            g_bw[c] = p.sum(0)
+        changes = []
+        for k, node, own in ((5, group, leaf % parts), (7, leaf, target % IN_CLASS)):
+            if k == 5 and parts == 1:
+                continue
+            missed, back, which, g_w, g_b = _choice(self.params[k], self.params[k + 1], node, own, h)
+            loss += missed
+            gh += back
+            changes += [(k, which, g_w), (k + 1, which, g_b)]
         gz = gh * (z > 0)
         gx = (gz @ flat_w.T).reshape(-1, DIM)
-        grads = [None, (x.T @ gz).reshape(w.shape), gz.sum(0), h.T @ pc, pc.sum(0), g_ww, g_bw]
-        for param, square, grad in list(zip(self.params, self.squares, grads, strict=True))[1:]:
-            grad /= n
-            square += grad * grad
-            param -= rate * grad / np.sqrt(square)
+        every = slice(None)
+        changes += [(1, every, (x.T @ gz).reshape(w.shape)), (2, every, gz.sum(0)), (3, every, h.T @ pc), (4, every, pc.sum(0))]
         flat = context.ravel()
         order = np.argsort(flat, kind="stable")
         which, start = np.unique(flat[order], return_index=True)
-        grad = np.add.reduceat(gx[order], start, axis=0) / n
-        self.squares[0][which] += grad * grad
-        e[which] -= rate * grad / np.sqrt(self.squares[0][which])
-        e[_PAD] = 0
+        changes.append((0, which, np.add.reduceat(gx[order], start, axis=0)))
+        for k, which, grad in changes:
+            grad /= n
+            square = self.squares[k][which] + grad * grad
+            self.squares[k][which] = square
+            self.params[k][which] -= rate * grad / np.sqrt(square)
+        e[-1] = 0
         return float(loss) / n
 
     def tables(self) -> np.ndarray:
@@ -157,7 +170,8 @@ class Network:
 
     def log_probabilities(self, tables: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each word given its window, in float64."""
-        _, _, b, wc, bc, ww, bw = self.params
+        _, _, b, wc, bc, wm, bm, ww, bw = self.params
+        parts = wm.shape[2]
         out = np.empty(len(target))
         for i in range(0, len(target), BLOCK):
             c, t = context[i : i + BLOCK], target[i : i + BLOCK]
@@ -166,20 +180,15 @@ class Network:
                 h += tables[p][c[:, p]]
             h += b
             np.maximum(h, 0, out=h)
-            group, own = t // IN_CLASS, t % IN_CLASS
-            order = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-            h, group, own = h[order], group[order], own[order]
-            rows = np.arange(len(t))
-            z = h @ wc + bc
-            top = z.max(1)
-            result = z[rows, group].astype(np.float64) - top - np.log(np.exp(z - top[:, None]).sum(1, dtype=np.float64))
-            for k in range(CLASSES):
-                a, e = edges[k], edges[k + 1]
-                if a < e:
-                    z = h[a:e] @ ww[k] + bw[k]
-                    top = z.max(1)
-                    result[a:e] += z[np.arange(e - a), own[a:e]] - top - np.log(np.exp(z - top[:, None]).sum(1, dtype=np.float64))
+            leaf = t // IN_CLASS
+            order = np.argsort(leaf, kind="stable")
+            h, leaf, own = h[order], leaf[order], t[order] % IN_CLASS
+            group = leaf // parts
+            result = _picked(h @ wc + bc, group)
+            for k, a, e in _runs(group) if parts > 1 else ():
+                result[a:e] += _picked(h[a:e] @ wm[k] + bm[k], leaf[a:e] % parts)
+            for k, a, e in _runs(leaf):
+                result[a:e] += _picked(h[a:e] @ ww[k] + bw[k], own[a:e])
             out[i + order] = result
         return out
 
@@ -190,6 +199,32 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _choice(w: np.ndarray, b: np.ndarray, node: np.ndarray, own: np.ndarray, h: np.ndarray):
+    """Softmax of each row in its node's layer: the loss, its gradients for ``h`` and, of the nodes met, for w and b."""
+    rows = np.arange(len(h))
+    own_w = w[node]
+    p = _softmax(np.matmul(h[:, None, :], own_w)[:, 0] + b[node])
+    loss = -np.log(np.maximum(p[rows, own], 1e-30)).sum()
+    p[rows, own] -= 1
+    back = np.matmul(own_w, p[:, :, None])[:, :, 0]
+    order = np.argsort(node, kind="stable")
+    which, start = np.unique(node[order], return_index=True)
+    p = p[order]
+    return loss, back, which, np.add.reduceat(h[order][:, :, None] * p[:, None, :], start, axis=0), np.add.reduceat(p, start, axis=0)
+
+
+def _picked(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at ``own``, in float64."""
+    top = z.max(1)
+    return z[np.arange(len(z)), own].astype(np.float64) - top - np.log(np.exp(z - top[:, None]).sum(1, dtype=np.float64))
+
+
+def _runs(ordered: np.ndarray):
+    """Runs of equal values: value, first row, row after the last."""
+    which, start = np.unique(ordered, return_index=True)
+    return zip(which.tolist(), start.tolist(), [*start[1:].tolist(), len(ordered)], strict=True)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``docs`` (text) -> (word: 64-bit hash, n) over all documents, added up in each task before the shuffle."""
 
@@ -228,7 +263,7 @@ def _round(docs: DataFrame, vocabulary, flat, turn: int) -> np.ndarray | None:
     """The weighted mean of what each task's documents make of the common parameters."""
 
     def local(batches):
-        net = Network.unflat(flat.value)
+        net = Network.unflat(flat.value, vocabulary.value.parts)
         seen = 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
@@ -251,7 +286,7 @@ def _round(docs: DataFrame, vocabulary, flat, turn: int) -> np.ndarray | None:
                     continue
                 ids = vocabulary.value(hashes)
                 at = np.arange(turn * STRIDE // ROUNDS, len(ids), STRIDE) if len(ids) > STRIDE else np.arange(len(ids))
-                held.append((windows(ids, first)[at], ids[at]))
+                held.append((windows(ids, first, vocabulary.value.pad)[at], ids[at]))
                 waiting += len(at)
                 if waiting >= 64 * BATCH:
                     learn()
@@ -278,26 +313,33 @@ def _round(docs: DataFrame, vocabulary, flat, turn: int) -> np.ndarray | None:
 class Model:
     vocabulary: Vocabulary
     network: Network
+    counts: DataFrame  # word, n: of the whole corpus
+    rare: np.ndarray  # occurrences of each bucket's words
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     """Vocabulary and network of ``docs`` (text); without any word an untrained network over buckets only."""
     context = docs.sparkSession.sparkContext
     counts = shared.cut(word_counts(docs))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    vocabulary = Vocabulary([r["word"] for r in top])
+    bucket = F.shiftrightunsigned("word", 40) % BUCKETS
+    sums = counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= LEAST).alias("often")).collect()
+    parts = min(max(-(-(sum(r["often"] for r in sums) + BUCKETS) // _OUT), 1), MOST_PARTS)
+    top = counts.orderBy(F.desc("n"), "word").limit(_OUT * parts - BUCKETS).collect()
+    vocabulary = Vocabulary([r["word"] for r in top], parts)
     shipped = context.broadcast(vocabulary)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rare = max(0, total - sum(r["n"] for r in top))
-    often = np.full(_OUT, rare / BUCKETS + 1.0)
-    often[:VOCABULARY] = 1.0
+    rare = np.zeros(BUCKETS, np.int64)
+    for r in sums:
+        rare[r["bucket"]] = r["n"]
+    np.subtract.at(rare, (np.array([r["word"] for r in top], np.int64).view(np.uint64) >> np.uint64(40)).astype(np.int64) % BUCKETS, np.array([r["n"] for r in top], np.int64))
+    often = np.ones(_OUT * parts)
     often[: len(top)] += [r["n"] for r in top]
+    often[-BUCKETS:] += rare
     network = Network.fresh(np.log(often / often.sum()))
-    for turn in range(rounds if total else 0):
+    for turn in range(rounds if top else 0):
         flat = _round(docs, shipped, context.broadcast(network.flat()), turn)
         if flat is not None:
-            network = Network.unflat(flat)
-    return Model(vocabulary, network)
+            network = Network.unflat(flat, parts)
+    return Model(vocabulary, network, counts, rare)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -307,26 +349,38 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     null, empty or wordless text has no tokens, log_prob 0, and null mean and
     perplexity.  Whole texts; other columns are ignored, repeated rows kept.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network, np.log(model.rare + UNSEEN)))
 
     def run(batches):
-        model = shipped.value
-        tables = model.network.tables()
+        vocabulary, network, whole = shipped.value
+        tables = network.tables()
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             n = batch.num_rows
-            tokens, logs = np.zeros(n, np.int64), np.zeros(n)
+            tokens, logs, others = np.zeros(n, np.int64), np.zeros(n), np.zeros(n + 1, np.int64)
+            words = [np.zeros(0, np.uint64)]
             for row, buf, offs in shared.text_chunks(batch.column(1)):
                 hashes, first = chunk_hashes(buf, offs)
                 counts = np.diff(first)
                 tokens[row : row + len(counts)] = counts
                 if len(hashes):
-                    ids = model.vocabulary(hashes)
-                    each = model.network.log_probabilities(tables, windows(ids, first), ids)
+                    ids = vocabulary(hashes)
+                    each = network.log_probabilities(tables, windows(ids, first, vocabulary.pad), ids)
+                    at = np.flatnonzero(ids >= vocabulary.pad - BUCKETS)
+                    each[at] -= whole[ids[at] - (vocabulary.pad - BUCKETS)]
+                    words.append(hashes[at])
+                    others[row + 1 : row + 1 + len(counts)] = np.diff(np.searchsorted(at, first))
                     some = np.flatnonzero(counts)
                     logs[row + some] = np.add.reduceat(each, first[:-1][some])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.array(logs)], names=["doc_id", "n_tokens", "log_prob"])
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType())])
-    scored = shared.map_arrow(docs.select("doc_id", "text"), run, schema)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(others).astype(np.int32)), pa.array(np.concatenate(words).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + n)), batch.column(0), pa.array(tokens), pa.array(logs), lists], names=["row", "doc_id", "n_tokens", "log_net", "words"])
+            key += n
+
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_net", T.DoubleType()), T.StructField("words", T.ArrayType(T.LongType()))])
+    # rows are numbered by task, so they are written once before they are joined
+    scored = shared.cut(shared.map_arrow(docs.select("doc_id", "text"), run, schema))
+    rare = scored.select(F.col("row").alias("of"), F.explode("words").alias("word")).join(model.counts, "word", "left")
+    rare = rare.groupBy("of").agg(F.sum(F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).alias("log_words"))
+    scored = scored.join(rare, F.col("row") == F.col("of"), "left").withColumn("log_prob", F.col("log_net") + F.coalesce("log_words", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))

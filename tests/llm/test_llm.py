@@ -503,3 +503,33 @@ def test_lm_edges(spark, odd):
     assert lm_score.score(odd, lm_score.fit(odd)).count() == 9
     empty = odd.limit(0)
     assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
+
+
+def test_lm_vocabulary_follows_the_corpus(spark):
+    frequent, some, once = ([a + "".join(chr(97 + int(c)) for c in f"{i:04d}") for i in range(n)] for a, n in (("f", 2000), ("s", 3000), ("o", 3000)))
+    docs = spark.createDataFrame(list(enumerate([" ".join(frequent)] * lm_score.LEAST + [" ".join(some)] * 9 + [" ".join(once)])), "doc_id long, text string")
+    model = lm_score.fit(docs, rounds=1)
+    known = set(model.vocabulary.hashes.tolist())
+    hashed = {w: int(toxicity._hashes([w])[0][0]) for w in frequent + some + once}
+    assert all(hashed[w] in known for w in frequent)
+    # words of one bucket part its probability by their counts; one that the corpus does not have gets the least
+    buckets = {}
+    for w in some + once + [f"u{c}" for c in once]:
+        h = hashed.get(w) or int(toxicity._hashes([w])[0][0])
+        if h not in known:
+            buckets.setdefault((h >> 40) % lm_score.BUCKETS, {}).setdefault(w[0], w)
+    three = next(b for b in buckets.values() if len(b) == 3)
+    trial = spark.createDataFrame([(w,) * 2 for w in three.values()], "doc_id string, text string")
+    got = {r["doc_id"][0]: r["log_prob"] for r in lm_score.score(trial, model).collect()}
+    assert got["s"] - got["o"] == pytest.approx(np.log(9)) and got["o"] - got["u"] == pytest.approx(np.log(1 / lm_score.UNSEEN))
+
+
+def test_lm_probabilities_of_parts_add_up():
+    n = 3 * lm_score._OUT
+    net = lm_score.Network.fresh(np.log(np.arange(1, n + 1) / (n * (n + 1) / 2)))
+    rng = np.random.default_rng(2)
+    context, target = rng.integers(0, n + 1, (512, 4)).astype(np.int32), rng.integers(0, n, 512).astype(np.int32)
+    before = net.step(context, target, 0.1)
+    assert [net.step(context, target, 0.1) for _ in range(20)][-1] < before - 1
+    p = np.exp(net.log_probabilities(net.tables(), np.repeat(context[:1], n, 0), np.arange(n, dtype=np.int32)))
+    assert p.sum() == pytest.approx(1.0, abs=1e-4)
