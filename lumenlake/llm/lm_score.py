@@ -13,8 +13,8 @@ probabilities (its pseudo-log-likelihood).
 * The network adds an embedding of each of the ``2 * REACH`` neighbours, weighted
   for its place, applies a rectifier, and predicts the word's frequency class, the
   part of the class and the word in it, so that a word costs 3 * 32 outputs at most.
-* It is trained in numpy on windows of all documents (every STRIDE-th position,
-  another one each round): each task runs stochastic gradient descent (Adagrad) over its
+* It is trained in numpy on the windows of all positions of all documents, each in
+  one of the rounds: each task runs stochastic gradient descent (Adagrad) over its
   documents from the common parameters, and the parameters are averaged, weighted
   by windows, in two grouped steps.  What is gathered grows with the corpus; the
   driver gets one set of parameters a round.
@@ -45,8 +45,8 @@ LEAST, MOST_PARTS = 16, 32
 UNSEEN = 0.5
 #: Words on each side, length of embeddings, hidden units.
 REACH, DIM, HIDDEN = 2, 16, 32
-#: Rounds of training; of every STRIDE windows a round sees one; windows of a step.
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 256, 0.1
+#: Rounds of training, which share the positions of each document; windows of a step.
+ROUNDS, BATCH, RATE = 2, 256, 0.1
 #: Windows that a kernel scores at once.
 BLOCK = 1 << 16
 #: Pieces in which parameters are averaged, and partial averages of each.
@@ -152,10 +152,7 @@ class Network:
         gx = (gz @ flat_w.T).reshape(-1, DIM)
         every = slice(None)
         changes += [(1, every, (x.T @ gz).reshape(w.shape)), (2, every, gz.sum(0)), (3, every, h.T @ pc), (4, every, pc.sum(0))]
-        flat = context.ravel()
-        order = np.argsort(flat, kind="stable")
-        which, start = np.unique(flat[order], return_index=True)
-        changes.append((0, which, np.add.reduceat(gx[order], start, axis=0)))
+        changes.append((0, *_added(gx, context.ravel())))
         for k, which, grad in changes:
             grad /= n
             square = self.squares[k][which] + grad * grad
@@ -209,8 +206,19 @@ def _choice(w: np.ndarray, b: np.ndarray, node: np.ndarray, own: np.ndarray, h:
     back = np.matmul(own_w, p[:, :, None])[:, :, 0]
     order = np.argsort(node, kind="stable")
     which, start = np.unique(node[order], return_index=True)
-    p = p[order]
-    return loss, back, which, np.add.reduceat(h[order][:, :, None] * p[:, None, :], start, axis=0), np.add.reduceat(p, start, axis=0)
+    columns, ordered = np.ascontiguousarray(h[order].T), p[order]
+    g_w = np.empty((len(which), *w.shape[1:]), np.float32)
+    for k, (a, e) in enumerate(zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True)):
+        np.dot(columns[:, a:e], ordered[a:e], out=g_w[k])
+    return loss, back, which, g_w, _added(p, node)[1]
+
+
+def _added(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``at`` and the sums of their rows."""
+    which, own = np.unique(at, return_inverse=True)
+    width = values.shape[1]
+    sums = np.bincount((own[:, None] * width + np.arange(width)).ravel(), values.ravel(), len(which) * width)
+    return which, sums.reshape(-1, width).astype(np.float32)
 
 
 def _picked(z: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -259,8 +267,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return shared.map_arrow(docs.select("text"), each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _round(docs: DataFrame, vocabulary, flat, turn: int) -> np.ndarray | None:
-    """The weighted mean of what each task's documents make of the common parameters."""
+def targets(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The words that a round trains on: of each document those at places turn, turn + rounds, and so on."""
+    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(place % rounds == turn)
+
+
+def _round(docs: DataFrame, vocabulary, flat, turn: int, rounds: int) -> tuple[np.ndarray | None, int]:
+    """The weighted mean of what each task's documents make of the common parameters, and the number of windows."""
 
     def local(batches):
         net = Network.unflat(flat.value, vocabulary.value.parts)
@@ -285,7 +299,7 @@ def _round(docs: DataFrame, vocabulary, flat, turn: int) -> np.ndarray | None:
                 if not len(hashes):
                     continue
                 ids = vocabulary.value(hashes)
-                at = np.arange(turn * STRIDE // ROUNDS, len(ids), STRIDE) if len(ids) > STRIDE else np.arange(len(ids))
+                at = targets(first, turn, rounds)
                 held.append((windows(ids, first, vocabulary.value.pad)[at], ids[at]))
                 waiting += len(at)
                 if waiting >= 64 * BATCH:
@@ -306,7 +320,7 @@ def _round(docs: DataFrame, vocabulary, flat, turn: int) -> np.ndarray | None:
     schema = "piece int, part int, weight double, vals binary"
     parts = shared.map_arrow(docs.select("text"), local, schema).groupBy("piece", "part").applyInArrow(mean, schema)
     rows = parts.groupBy("piece").applyInArrow(mean, schema).orderBy("piece").collect()
-    return np.concatenate([np.frombuffer(r["vals"], np.float32) for r in rows]) if rows else None
+    return (np.concatenate([np.frombuffer(r["vals"], np.float32) for r in rows]), int(rows[0]["weight"])) if rows else (None, 0)
 
 
 @dataclass
@@ -315,6 +329,7 @@ class Model:
     network: Network
     counts: DataFrame  # word, n: of the whole corpus
     rare: np.ndarray  # occurrences of each bucket's words
+    trained: int  # windows that the network was trained on
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -335,11 +350,13 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     often[: len(top)] += [r["n"] for r in top]
     often[-BUCKETS:] += rare
     network = Network.fresh(np.log(often / often.sum()))
+    trained = 0
     for turn in range(rounds if top else 0):
-        flat = _round(docs, shipped, context.broadcast(network.flat()), turn)
+        flat, seen = _round(docs, shipped, context.broadcast(network.flat()), turn, rounds)
+        trained += seen
         if flat is not None:
             network = Network.unflat(flat, parts)
-    return Model(vocabulary, network, counts, rare)
+    return Model(vocabulary, network, counts, rare, trained)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -533,3 +533,11 @@ def test_lm_probabilities_of_parts_add_up():
     assert [net.step(context, target, 0.1) for _ in range(20)][-1] < before - 1
     p = np.exp(net.log_probabilities(net.tables(), np.repeat(context[:1], n, 0), np.arange(n, dtype=np.int32)))
     assert p.sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_trains_on_every_position(spark):
+    first = np.array([0, 1, 1, 4, 40])
+    assert sorted(np.concatenate([lm_score.targets(first, turn, 3) for turn in range(3)])) == list(range(40))
+    texts = ["one", "two words", None, "", " ".join(["many", "more", "words"] * 100)] * 7
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    assert lm_score.fit(docs).trained == 7 * 303
