@@ -19,12 +19,16 @@ probabilities (its pseudo-log-likelihood).
   by windows, in two grouped steps.  What is gathered grows with the corpus; the
   driver gets one set of parameters a round.
 
+The tokens are words (runs of letters).  With ``split=everything``, as in the query,
+runs of digits and single symbols are tokens too and only white space is none.
+
 Scoring reads whole texts.  The embeddings are multiplied into the first layer
 beforehand, so a chunk of text costs a few table look-ups and matrix products.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -65,6 +69,25 @@ def _shapes(parts: int) -> list[tuple[int, ...]]:
     ]
 
 
+#: Hashes of a chunk's tokens and each document's first one.
+Split = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+# Kinds of bytes: white space, letters, digits, symbols.
+_KIND = np.array([0 if b in shared.SPACE_BYTES else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+
+
+def everything(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of letters, runs of digits and single other ASCII characters: all but white space."""
+    if len(buf) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+    kind = _KIND[buf]
+    fresh = np.ones(len(buf) + 1, dtype=bool)
+    fresh[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+    fresh[offs] = True
+    starts, ends = np.flatnonzero(fresh[:-1] & (kind > 0)), np.flatnonzero(fresh[1:] & (kind > 0)) + 1
+    return shared.word_hashes(buf, starts, ends), np.searchsorted(starts, offs)
+
+
 class Vocabulary:
     """Ids of word hashes: frequent words by rank, others by bucket (the last BUCKETS of the _OUT * parts ids)."""
 
@@ -233,7 +256,7 @@ def _runs(ordered: np.ndarray):
     return zip(which.tolist(), start.tolist(), [*start[1:].tolist(), len(ordered)], strict=True)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, split: Split = chunk_hashes) -> DataFrame:
     """``docs`` (text) -> (word: 64-bit hash, n) over all documents, added up in each task before the shuffle."""
 
     def each(batches):
@@ -252,7 +275,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, buf, offs in shared.text_chunks(batch.column(0)):
-                words, counts = np.unique(chunk_hashes(buf, offs)[0], return_counts=True)
+                words, counts = np.unique(split(buf, offs)[0], return_counts=True)
                 held.append((words, counts))
                 size += len(words)
                 if size >= 1 << 20:
@@ -273,7 +296,7 @@ def targets(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return np.flatnonzero(place % rounds == turn)
 
 
-def _round(docs: DataFrame, vocabulary, flat, turn: int, rounds: int) -> tuple[np.ndarray | None, int]:
+def _round(docs: DataFrame, vocabulary, flat, turn: int, rounds: int, split: Split) -> tuple[np.ndarray | None, int]:
     """The weighted mean of what each task's documents make of the common parameters, and the number of windows."""
 
     def local(batches):
@@ -295,7 +318,7 @@ def _round(docs: DataFrame, vocabulary, flat, turn: int, rounds: int) -> tuple[n
 
         for batch in batches:
             for _, buf, offs in shared.text_chunks(batch.column(0)):
-                hashes, first = chunk_hashes(buf, offs)
+                hashes, first = split(buf, offs)
                 if not len(hashes):
                     continue
                 ids = vocabulary.value(hashes)
@@ -330,12 +353,13 @@ class Model:
     counts: DataFrame  # word, n: of the whole corpus
     rare: np.ndarray  # occurrences of each bucket's words
     trained: int  # windows that the network was trained on
+    split: Split
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, rounds: int = ROUNDS, split: Split = chunk_hashes) -> Model:
     """Vocabulary and network of ``docs`` (text); without any word an untrained network over buckets only."""
     context = docs.sparkSession.sparkContext
-    counts = shared.cut(word_counts(docs))
+    counts = shared.cut(word_counts(docs, split))
     bucket = F.shiftrightunsigned("word", 40) % BUCKETS
     sums = counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= LEAST).alias("often")).collect()
     parts = min(max(-(-(sum(r["often"] for r in sums) + BUCKETS) // _OUT), 1), MOST_PARTS)
@@ -352,21 +376,22 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     network = Network.fresh(np.log(often / often.sum()))
     trained = 0
     for turn in range(rounds if top else 0):
-        flat, seen = _round(docs, shipped, context.broadcast(network.flat()), turn, rounds)
+        flat, seen = _round(docs, shipped, context.broadcast(network.flat()), turn, rounds, split)
         trained += seen
         if flat is not None:
             network = Network.unflat(flat, parts)
-    return Model(vocabulary, network, counts, rare, trained)
+    return Model(vocabulary, network, counts, rare, trained, split)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_tokens, log_prob, mean_log_prob, perplexity; one row per input row.
 
-    log_prob is the sum over all words of the log probability given both sides; a
-    null, empty or wordless text has no tokens, log_prob 0, and null mean and
+    log_prob is the sum over all tokens of the log probability given both sides; a
+    null or empty text, or one without a token, has no tokens, log_prob 0, and null mean and
     perplexity.  Whole texts; other columns are ignored, repeated rows kept.
     """
     shipped = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network, np.log(model.rare + UNSEEN)))
+    split = model.split
 
     def run(batches):
         vocabulary, network, whole = shipped.value
@@ -377,7 +402,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             tokens, logs, others = np.zeros(n, np.int64), np.zeros(n), np.zeros(n + 1, np.int64)
             words = [np.zeros(0, np.uint64)]
             for row, buf, offs in shared.text_chunks(batch.column(1)):
-                hashes, first = chunk_hashes(buf, offs)
+                hashes, first = split(buf, offs)
                 counts = np.diff(first)
                 tokens[row : row + len(counts)] = counts
                 if len(hashes):

@@ -53,7 +53,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs))
+    return lm_score.score(docs, lm_score.fit(docs, split=lm_score.everything))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.llm import ann, bpe, chat, components, fingerprint, html_extract, jaccard_join, langid, lm_score, mixing, shared, toxicity
+from lumenlake.llm import ann, bpe, chat, components, fingerprint, html_extract, jaccard_join, langid, lm_score, mixing, queries, shared, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -541,3 +541,15 @@ def test_lm_trains_on_every_position(spark):
     texts = ["one", "two words", None, "", " ".join(["many", "more", "words"] * 100)] * 7
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
     assert lm_score.fit(docs).trained == 7 * 303
+
+
+def test_lm_query_drops_no_token(spark, odd, tmp_path):
+    texts = [r["text"] for r in odd.select("text").collect()] + ["4734663219866878$$$ ### %%%", "È$$$ onai*** a1b2\x00"]
+    odd.select("doc_id", "text").union(spark.createDataFrame([(8, texts[-2]), (9, texts[-1])], "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_tokens"] for r in queries.QUERIES["op10_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got[7] == 6 and got[8] == 10 and got[9] == 13
+    buf = pa.array(texts, pa.large_string())
+    for _, data, offs in shared.text_chunks(buf):
+        hashes, first = lm_score.everything(data, offs)
+        want = [re.findall(r"[a-z\x80-\U0010ffff]+|[0-9]+|[^\x20\x09-\x0D]", lower(x or "")) for x in texts]
+        assert np.diff(first).tolist() == [len(w) for w in want] and len(set(hashes.tolist())) == len({x for w in want for x in w})
