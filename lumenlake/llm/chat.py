@@ -58,6 +58,18 @@ def fold(events: DataFrame) -> DataFrame:
     return whole.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
 
+def events(rows: DataFrame) -> DataFrame:
+    """Finished rows (conv_id, turn, role, text) as a log for ``fold``: each row is a ``message`` event of its own message.
+
+    Rows that are equal in all four columns get messages of their own by number, so none is lost.
+    """
+    own = ["conv_id", "turn", "role", "text"]
+    same = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("rows"))
+    # equal rows cannot be told apart, so their number among themselves is a key whatever the order
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))
+    return same.select(*own, number.alias("number")).select("conv_id", F.col("turn").alias("seq"), F.struct("turn", "role", "text", "number").alias("msg"), F.lit("message").alias("kind"), "role", "text")
+
+
 def turns(rows: DataFrame) -> DataFrame:
     """Finished rows (conv_id, turn, role, text) as ``fold`` gives them: each row is one message of one event.
 

@@ -414,6 +414,19 @@ def test_chat_round_trip(spark):
     assert chat.turns(frame.limit(0)).count() == 0
 
 
+def test_chat_rows_are_folded(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 1, "assistant", None), (1, 1, None, "z"), (1, None, "user", "first"), (None, 2, "user", ""), (2, 10, "a", "b"), (2, 9, "a", "c")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = [{r["conv_id"]: [(t["seq"], t["role"], t["text"]) for t in r["turns"]] for r in f.collect()} for f in (chat.turns(frame), chat.fold(chat.events(frame)))]
+    assert pairs[0] == pairs[1] and len(pairs[1][1]) == 6
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    folded = []
+    fold = chat.fold
+    monkeypatch.setattr(chat, "fold", lambda log: folded.append(log) or fold(log))
+    got = {r["conv_id"]: r["n_turns"] for r in queries.QUERIES["op8_chat_formatting"](spark, str(tmp_path)).collect()}
+    assert len(folded) == 1 and got == {1: 6, None: 1, 2: 2, -1: 2}
+
+
 def test_chat_events(spark):
     log = [(1, 1, "a", "message", "user", "hi"), (1, 2, "b", "delta", "assistant", "he"), (1, 3, "b", "delta", None, "llo"), (1, 5, "a", "edit", None, "hi there"), (1, 6, "b", "regenerate", None, ""), (1, 7, "b", "delta", None, "good "), (1, 8, "b", "delta", None, "day"), (2, 1, "a", None, None, None)]
     events = spark.createDataFrame(log[::-1], "conv_id long, seq long, msg string, kind string, role string, text string")
