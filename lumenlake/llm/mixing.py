@@ -91,11 +91,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents of the mixture: each row of ``docs`` as often as ``mixed`` (of ``mix``) says, all columns kept.
 
-    doc_id should be unique; of repeated doc_ids each row is taken the mean number of copies of them, rounded up.
+    Rows of equal doc_id, source and size are alike to ``mix``, which takes them in any order: they share the copies
+    that it gave them, in order of a hash of the row.  Null and repeated doc_ids need no other care.
     """
-    taken = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.ceil(F.avg("copies")).cast("int").alias("mixed_copies")).where("mixed_copies > 0")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*[docs[c] for c in docs.columns])
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    # a struct is never null, so rows with nulls meet; window and join share one shuffle of the texts
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mixed_row"), F.struct("doc_id", "source", size.alias("size")).alias("mixed_key"))
+    own = own.withColumn("mixed_place", F.row_number().over(Window.partitionBy("mixed_key").orderBy(F.xxhash64("mixed_row"))))
+    taken = mixed.groupBy(F.struct("doc_id", "source", "size").alias("mixed_key")).agg(F.sum("copies").alias("mixed_sum"), F.count(F.lit(1)).alias("mixed_rows")).where("mixed_sum > 0")
+    copies = F.expr("cast(mixed_sum div mixed_rows + if(mixed_place <= mixed_sum % mixed_rows, 1, 0) as int)")
+    joined = own.join(taken, "mixed_key").withColumn("mixed_copies", copies).where("mixed_copies > 0")
+    return joined.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select("mixed_row.*")
 
 
 #: DuckDB SQL of ``op1_mixing``.

@@ -123,6 +123,18 @@ def test_mixing(spark):
     assert emitted.columns == docs.columns and emitted.count() == got["copies"].sum()
 
 
+def test_mixing_emits_each_row_s_own_copies(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 3 == 0 else i // 4, prose(rng, int(rng.integers(0, 60))), "en", ["a", "b", "c", None][int(rng.choice(4, p=[0.05, 0.1, 0.8, 0.05]))], i) for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOC)
+    mixed = mixing.mix(docs)
+    want = {tuple(r)[:3]: r["copies"] for r in mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies")).where("copies > 0").collect()}
+    out = mixing.emit(docs, mixed)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"]))) for r in out.collect())
+    assert got == want and None in {k[0] for k in got} and None in {k[1] for k in got}
+
+
 def test_mixing_edges(spark, odd):
     out = mixing.mix(odd).toPandas()
     assert len(out) == 9 and out.loc[out["size"] == 0, "taken"].sum() == 0
