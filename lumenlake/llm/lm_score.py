@@ -419,10 +419,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             key += n
 
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_net", T.DoubleType()), T.StructField("words", T.ArrayType(T.LongType()))])
-    # rows are numbered by task, so they are written once before they are joined
-    scored = shared.cut(shared.map_arrow(docs.select("doc_id", "text"), run, schema))
-    rare = scored.select(F.col("row").alias("of"), F.explode("words").alias("word")).join(model.counts, "word", "left")
-    rare = rare.groupBy("of").agg(F.sum(F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).alias("log_words"))
-    scored = scored.join(rare, F.col("row") == F.col("of"), "left").withColumn("log_prob", F.col("log_net") + F.coalesce("log_words", F.lit(0.0)))
+    scored = shared.map_arrow(docs.select("doc_id", "text"), run, schema)
+    # rows without a rare word take their number as key, so that they spread
+    each = scored.select("row", "doc_id", "n_tokens", "log_net", F.explode_outer("words").alias("rare")).withColumn("word", F.coalesce("rare", "row"))
+    share = F.when(F.col("rare").isNotNull(), F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).otherwise(0.0)
+    sums = each.join(model.counts, "word", "left").groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_tokens", "log_net")], F.sum(share).alias("log_words"))
+    scored = sums.withColumn("log_prob", F.col("log_net") + F.col("log_words"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
