@@ -1,35 +1,34 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A bidirectional window network predicts every word of a text from the words on
+A bidirectional window network predicts every token of a text from the tokens on
 both sides of it; the score of a document is the sum of these conditional log
-probabilities (its pseudo-log-likelihood).
-
-* The vocabulary are the most frequent words of the whole corpus, counted over
-  all documents (grouped sums, added up in each task first).  It grows with the
-  words that occur LEAST times or more, up to what the driver can hold.  All other
-  words share hash buckets; the probability of a bucket is parted among its words
-  by their counts in the corpus (a join: the counts are never gathered), with
-  UNSEEN occurrences for words that the corpus does not have.
-* The network adds an embedding of each of the ``2 * REACH`` neighbours, weighted
-  for its place, applies a rectifier, and predicts the word's frequency class, the
-  part of the class and the word in it, so that a word costs 3 * 32 outputs at most.
-* It is trained in numpy on the windows of all positions of all documents, each in
-  one of the rounds: each task runs stochastic gradient descent (Adagrad) over its
-  documents from the common parameters, and the parameters are averaged, weighted
-  by windows, in two grouped steps.  What is gathered grows with the corpus; the
-  driver gets one set of parameters a round.
-
-The tokens are words (runs of letters).  With ``split=everything``, as in the query,
-runs of digits and single symbols are tokens too and only white space is none.
-
-Scoring reads whole texts.  The embeddings are multiplied into the first layer
-beforehand, so a chunk of text costs a few table look-ups and matrix products.
+probabilities (its pseudo-log-likelihood).  Tokens are runs of letters, runs of
+digits and single symbols: all of a text but white space.
+
+* Tokens are counted over all documents.  The counts grow with the corpus and stay a
+  table of the cluster; the driver gets the most frequent words of it, TABLE at most.
+* The words of LEAST occurrences or more (MOST at most) are outputs of the network.
+  All others are predicted by frequency class (powers of two of their counts, and
+  the class of words beyond the driver's table); a class's probability is parted
+  among its words by their counts, with UNSEEN occurrences for words that the corpus
+  does not have.  Counts beyond the driver's table are joined, never gathered.
+* The network adds an embedding of each of the ``2 * REACH`` neighbours (a table for
+  each place), applies a rectifier and predicts a *head* -- the most frequent words,
+  the clusters of the others, the frequency classes -- and then the word in its
+  cluster.  Weights of outputs are 2 ** x with a linear mantissa (one cast instead
+  of an exponential) and normalised exactly.
+* It is trained in numpy (Adagrad) on the windows of all positions of all documents,
+  each in one of the rounds: each task trains on its documents from the common
+  parameters, and the parameters are averaged, weighted by windows, in two grouped
+  steps.  The driver gets one set of parameters a round.
+
+A step takes a stretch of text and sorts its tokens once; outputs, clusters and
+neighbours are then runs of rows, so no weights are gathered for a token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,45 +38,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlake.llm import shared
-from lumenlake.llm.toxicity import chunk_hashes
 
-#: Frequency classes, words in each of a class's parts; the last BUCKETS outputs are hash buckets of rare words.
-CLASSES, IN_CLASS, BUCKETS = 32, 32, 256
-#: A class has as many parts as words of so many occurrences need, at most MOST_PARTS.
-LEAST, MOST_PARTS = 16, 32
-#: Occurrences that a bucket keeps for words that the corpus does not have.
+#: Words that the driver and each task hold at most, with their counts.
+TABLE = 1 << 20
+#: Words are outputs from so many occurrences; the first SINGLES are in the head, the others in clusters of these sizes.
+LEAST, SINGLES, CLUSTERS = 16, 48, (*[64] * 4, *[256] * 4, *[1024] * 4)
+MOST = SINGLES + sum(CLUSTERS)
+#: Frequency classes of the other words; the last one is that of words beyond the table.
+RARE = 17
+#: Occurrences kept for words that the corpus does not have.
 UNSEEN = 0.5
-#: Words on each side, length of embeddings, hidden units.
-REACH, DIM, HIDDEN = 2, 16, 32
-#: Rounds of training, which share the positions of each document; windows of a step.
-ROUNDS, BATCH, RATE = 2, 256, 0.1
-#: Windows that a kernel scores at once.
-BLOCK = 1 << 16
+#: Words on each side, hidden units.
+REACH, HIDDEN = 2, 12
+#: Rounds of training, which share the documents; positions of a step; its rate.
+ROUNDS, STRETCH, RATE = 2, 16_384, 0.1
 #: Pieces in which parameters are averaged, and partial averages of each.
 PIECES, PARTIALS = 16, 32
 
-_OUT = CLASSES * IN_CLASS
-_PAD = _OUT
 _PLACES = [o for o in range(-REACH, REACH + 1) if o]
-
-
-def _shapes(parts: int) -> list[tuple[int, ...]]:
-    """Of the parameters: embeddings, first layer, classes, parts of each class, words of each part."""
-    return [
-        (_OUT * parts + 1, DIM), (len(_PLACES), DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,),
-        (CLASSES, HIDDEN, parts), (CLASSES, parts), (CLASSES * parts, HIDDEN, IN_CLASS), (CLASSES * parts, IN_CLASS),
-    ]
-
-
-#: Hashes of a chunk's tokens and each document's first one.
-Split = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-
 # Kinds of bytes: white space, letters, digits, symbols.
 _KIND = np.array([0 if b in shared.SPACE_BYTES else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+# An output's weight is the float32 whose bits are the whole number x * _UNIT + _ZERO.
+_UNIT, _ZERO = np.float32((1 << 23) / np.log(2)), np.float32(127 << 23)
+_SLOT_BITS = 16
 
 
 def everything(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of letters, runs of digits and single other ASCII characters: all but white space."""
+    """Hashes of a chunk's tokens and each document's first one: runs of letters, runs of digits, single other ASCII characters."""
     if len(buf) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
     kind = _KIND[buf]
@@ -89,174 +76,210 @@ def everything(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Vocabulary:
-    """Ids of word hashes: frequent words by rank, others by bucket (the last BUCKETS of the _OUT * parts ids)."""
-
-    def __init__(self, frequent: list[int], parts: int = 1):
-        self.parts, self.pad = parts, _OUT * parts
-        hashes = np.array(frequent, dtype=np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], order.astype(np.int32)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        bucket = (self.pad - BUCKETS + (hashes >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
-        if not len(self.hashes):
-            return bucket
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], bucket)
-
-
-def windows(ids: np.ndarray, first: np.ndarray, pad: int = _PAD) -> np.ndarray:
-    """The neighbours of every word, padding beyond its document: words x 2 * REACH."""
+    """Ids of token hashes: outputs by rank, then RARE frequency classes, then padding; shares of rare words in their class."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, beyond: int):
+        """``words`` (hashes) with ``counts`` are the table, ``beyond`` the occurrences of all other words."""
+        order = np.lexsort((words, -counts))
+        words, counts = words[order], counts[order].astype(np.float64)
+        self.outputs = min(MOST, int((counts >= LEAST).sum()))
+        self.pad = self.outputs + RARE
+        kind = np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), RARE - 2)
+        ids = np.where(np.arange(len(words)) < self.outputs, np.arange(len(words)), self.outputs + kind)
+        #: Occurrences of each id's words; the last class keeps UNSEEN ones.
+        self.mass = np.bincount(ids, counts, self.pad)
+        self.mass[-1] += beyond + UNSEEN
+        with np.errstate(divide="ignore"):
+            share = np.log(counts / self.mass[ids])
+        slot = (words[: self.outputs] >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        self.slots = np.full(1 << _SLOT_BITS, self.outputs, np.int64)
+        self.slots[slot[::-1]] = np.arange(self.outputs)[::-1]  # the more frequent of two words has the slot
+        self.top = np.append(words[: self.outputs], np.uint64(0))
+        by_hash = np.argsort(words)
+        self.words, self.ids, self.shares = words[by_hash], ids[by_hash].astype(np.uint16), share[by_hash].astype(np.float32)
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids; the places of words of the frequency classes, and their log shares (0 for those beyond the table)."""
+        found = self.slots[(hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]
+        ids = np.where(self.top[found] == hashes, found, self.pad - 1).astype(np.uint16)
+        others = np.flatnonzero(ids == self.pad - 1)
+        if not len(self.words):
+            return ids, others, np.zeros(len(others), np.float32)
+        own = hashes[others]
+        at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
+        known = self.words[at] == own
+        ids[others[known]] = self.ids[at[known]]
+        rare = ids[others] >= self.outputs
+        return ids, others[rare], np.where(known, self.shares[at], 0)[rare].astype(np.float32)
+
+
+def line_of(ids: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with REACH paddings before, between and after documents, and each token's place in that line."""
     n = len(first) - 1
-    lengths = np.diff(first)
-    line = np.full(len(ids) + REACH * (n + 1), pad, np.int32)
-    place = np.arange(len(ids)) + REACH * (np.repeat(np.arange(n), lengths) + 1)
+    place = np.arange(len(ids)) + REACH * (np.repeat(np.arange(n), np.diff(first)) + 1)
+    line = np.full(len(ids) + REACH * (n + 1), pad, np.uint16)
     line[place] = ids
-    return np.stack([line[place + o] for o in _PLACES], axis=1)
+    return line, place
 
 
-@dataclass
 class Network:
-    params: list[np.ndarray]
-    squares: list[np.ndarray] = field(default_factory=list)  # of the gradients, while training
+    """Embeddings for each place, hidden biases, head, clusters; the last row of an output layer are its biases."""
+
+    def __init__(self, outputs: int):
+        self.outputs, self.pad = outputs, outputs + RARE
+        edges = np.minimum(np.cumsum([0, SINGLES, *CLUSTERS]), outputs)
+        self.clusters = [(int(a), int(b)) for a, b in zip(edges[1:], edges[2:], strict=False) if b > a]
+        self.singles = int(edges[1])
+        sizes = [1] * self.singles + [b - a for a, b in self.clusters] + [1] * RARE
+        #: Of each id, its output in the head.
+        self.head = np.repeat(np.arange(len(sizes)), sizes)
+        self.shapes = [(len(_PLACES), self.pad + 1, HIDDEN), (HIDDEN,), (HIDDEN + 1, len(sizes)), *[(HIDDEN + 1, b - a) for a, b in self.clusters]]
+        self.squares: list[np.ndarray] = []
+        self.room: dict[str, np.ndarray] = {}
 
     @classmethod
-    def fresh(cls, logs: np.ndarray, seed: int = 3) -> Network:
-        """Small random weights; output biases from the log frequencies of the outputs."""
+    def fresh(cls, mass: np.ndarray, seed: int = 3) -> Network:
+        """Small random weights; output biases are the log frequencies of the outputs."""
+        net = cls(len(mass) - RARE)
         draw = np.random.default_rng(seed)
-        parts = len(logs) // _OUT
-        params = [draw.normal(0, 0.3 / np.sqrt(min(s[-2], _OUT + 1) if len(s) > 1 else 1), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _shapes(parts)]
-        for bias, width in ((8, IN_CLASS), (6, parts), (4, CLASSES)):
-            logs = logs.reshape(-1, width)
-            params[bias] = logs.reshape(params[bias].shape).astype(np.float32)
-            top = logs.max(1, keepdims=True)
-            logs = np.log(np.exp(logs - top).sum(1)) + top[:, 0]
-        params[0][-1] = 0
-        return cls(params)
+        net.params = [draw.normal(0, 0.1, s).astype(np.float32) for s in net.shapes]
+        net.params[0][:, net.pad] = 0
+        net.params[1][:] = 0
+        mass = mass + 0.5
+        head = np.bincount(net.head, mass)
+        net.params[2][-1] = np.log(head / head.sum())
+        for w, (a, b) in zip(net.params[3:], net.clusters, strict=True):
+            w[-1] = np.log(mass[a:b] / mass[a:b].sum())
+        return net
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params])
 
     @classmethod
-    def unflat(cls, flat: np.ndarray, parts: int = 1) -> Network:
-        out, at = [], 0
-        for shape in _shapes(parts):
-            size = int(np.prod(shape))
-            out.append(flat[at : at + size].reshape(shape).astype(np.float32).copy())
-            at += size
-        return cls(out)
-
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> float:
-        """One step of Adagrad on the mean loss of a batch; the loss."""
-        e, w, b, wc, bc, wm, bm, ww, bw = self.params
-        if not self.squares:
-            self.squares = [np.full_like(p, 1e-6) for p in self.params]
-        n, parts = len(target), wm.shape[2]
-        x = e[context].reshape(n, -1)  # n x (places * DIM)
-        flat_w = w.reshape(-1, HIDDEN)
-        z = x @ flat_w + b
-        h = np.maximum(z, 0)
-        leaf = target // IN_CLASS
-        group = leaf // parts
-        rows = np.arange(n)
-        pc = _softmax(h @ wc + bc)
-        loss = -np.log(np.maximum(pc[rows, group], 1e-30)).sum()
-        pc[rows, group] -= 1
-        gh = pc @ wc.T
-        changes = []
-        for k, node, own in ((5, group, leaf % parts), (7, leaf, target % IN_CLASS)):
-            if k == 5 and parts == 1:
+    def unflat(cls, flat: np.ndarray, outputs: int) -> Network:
+        net = cls(outputs)
+        cuts = np.cumsum([int(np.prod(s)) for s in net.shapes])
+        net.params = [p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, cuts[:-1]), net.shapes, strict=True)]
+        return net
+
+    def _room(self, name: str, rows: int, columns: int, kind=np.float32) -> np.ndarray:
+        """A buffer that lives from step to step."""
+        have = self.room.get(name)
+        if have is None or have.size < rows * columns:
+            have = self.room[name] = np.empty(rows * columns, kind)
+        return have[: rows * columns].reshape(rows, columns)
+
+    def _hidden(self, line: np.ndarray, a: int, e: int):
+        """The tokens line[a:e] that are no padding, by id: their places from a, ids and hidden units (a column of ones last)."""
+        order = np.argsort(line[a:e], kind="stable")
+        ids = line[a:e].take(order)
+        m = int(np.searchsorted(ids, self.pad))
+        order, ids = order[:m], ids[:m].astype(np.int64)
+        h = self._room("h", m, HIDDEN + 1)
+        z, more = self._room("z", m, HIDDEN), self._room("more", m, HIDDEN)
+        for p, o in enumerate(_PLACES):
+            rows = line.take(order + (a + o))
+            np.take(self.params[0][p], rows, axis=0, out=more if p else z, mode="clip")
+            if p:
+                z += more
+        z += self.params[1]
+        np.maximum(z, 0, out=h[:, :HIDDEN])
+        h[:, HIDDEN] = 1
+        return order, ids, h
+
+    def _weights(self, h: np.ndarray, w: np.ndarray, own: np.ndarray):
+        """Of each row of h: weights of the outputs, their sums, and the log probability of output ``own``."""
+        w = w * _UNIT
+        w[-1] += _ZERO
+        x = self._room("x", len(h), w.shape[1])
+        np.dot(h, w, out=x)
+        np.clip(x, 1e8, 2e9, out=x)
+        bits = self._room("bits", len(h), w.shape[1], np.int32)
+        np.copyto(bits, x, casting="unsafe")
+        weights = bits.view(np.float32)
+        total = weights @ np.ones(w.shape[1], np.float32)
+        return weights, total, np.log(weights[np.arange(len(h)), own] / total)
+
+    def log_probabilities(self, line: np.ndarray) -> np.ndarray:
+        """Of each token of a line (REACH paddings at either end) given its window; 0 at paddings."""
+        out = np.zeros(len(line), np.float32)
+        for a in range(REACH, len(line) - REACH, STRETCH):
+            order, ids, h = self._hidden(line, a, min(a + STRETCH, len(line) - REACH))
+            if not len(ids):
                 continue
-            missed, back, which, g_w, g_b = _choice(self.params[k], self.params[k + 1], node, own, h)
-            loss += missed
-            gh += back
-            changes += [(k, which, g_w), (k + 1, which, g_b)]
-        gz = gh * (z > 0)
-        gx = (gz @ flat_w.T).reshape(-1, DIM)
-        every = slice(None)
-        changes += [(1, every, (x.T @ gz).reshape(w.shape)), (2, every, gz.sum(0)), (3, every, h.T @ pc), (4, every, pc.sum(0))]
-        changes.append((0, *_added(gx, context.ravel())))
-        for k, which, grad in changes:
-            grad /= n
-            square = self.squares[k][which] + grad * grad
-            self.squares[k][which] = square
-            self.params[k][which] -= rate * grad / np.sqrt(square)
-        e[-1] = 0
-        return float(loss) / n
-
-    def tables(self) -> np.ndarray:
-        """Embeddings times the first layer, for each place."""
-        return np.einsum("vd,pdh->pvh", self.params[0], self.params[1]).astype(np.float32)
-
-    def log_probabilities(self, tables: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of each word given its window, in float64."""
-        _, _, b, wc, bc, wm, bm, ww, bw = self.params
-        parts = wm.shape[2]
-        out = np.empty(len(target))
-        for i in range(0, len(target), BLOCK):
-            c, t = context[i : i + BLOCK], target[i : i + BLOCK]
-            h = tables[0][c[:, 0]]
-            for p in range(1, len(_PLACES)):
-                h += tables[p][c[:, p]]
-            h += b
-            np.maximum(h, 0, out=h)
-            leaf = t // IN_CLASS
-            order = np.argsort(leaf, kind="stable")
-            h, leaf, own = h[order], leaf[order], t[order] % IN_CLASS
-            group = leaf // parts
-            result = _picked(h @ wc + bc, group)
-            for k, a, e in _runs(group) if parts > 1 else ():
-                result[a:e] += _picked(h[a:e] @ wm[k] + bm[k], leaf[a:e] % parts)
-            for k, a, e in _runs(leaf):
-                result[a:e] += _picked(h[a:e] @ ww[k] + bw[k], own[a:e])
-            out[i + order] = result
+            logs = self._weights(h, self.params[2], self.head[ids])[2]
+            for w, (low, high) in zip(self.params[3:], self.clusters, strict=True):
+                i, j = np.searchsorted(ids, (low, high))
+                if i < j:
+                    logs[i:j] += self._weights(h[i:j], w, ids[i:j] - low)[2]
+            out[a + order] = logs
         return out
 
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def _choice(w: np.ndarray, b: np.ndarray, node: np.ndarray, own: np.ndarray, h: np.ndarray):
-    """Softmax of each row in its node's layer: the loss, its gradients for ``h`` and, of the nodes met, for w and b."""
-    rows = np.arange(len(h))
-    own_w = w[node]
-    p = _softmax(np.matmul(h[:, None, :], own_w)[:, 0] + b[node])
-    loss = -np.log(np.maximum(p[rows, own], 1e-30)).sum()
-    p[rows, own] -= 1
-    back = np.matmul(own_w, p[:, :, None])[:, :, 0]
-    order = np.argsort(node, kind="stable")
-    which, start = np.unique(node[order], return_index=True)
-    columns, ordered = np.ascontiguousarray(h[order].T), p[order]
-    g_w = np.empty((len(which), *w.shape[1:]), np.float32)
-    for k, (a, e) in enumerate(zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True)):
-        np.dot(columns[:, a:e], ordered[a:e], out=g_w[k])
-    return loss, back, which, g_w, _added(p, node)[1]
-
-
-def _added(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of ``at`` and the sums of their rows."""
-    which, own = np.unique(at, return_inverse=True)
-    width = values.shape[1]
-    sums = np.bincount((own[:, None] * width + np.arange(width)).ravel(), values.ravel(), len(which) * width)
-    return which, sums.reshape(-1, width).astype(np.float32)
-
-
-def _picked(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row at ``own``, in float64."""
-    top = z.max(1)
-    return z[np.arange(len(z)), own].astype(np.float64) - top - np.log(np.exp(z - top[:, None]).sum(1, dtype=np.float64))
-
-
-def _runs(ordered: np.ndarray):
-    """Runs of equal values: value, first row, row after the last."""
-    which, start = np.unique(ordered, return_index=True)
-    return zip(which.tolist(), start.tolist(), [*start[1:].tolist(), len(ordered)], strict=True)
-
-
-def word_counts(docs: DataFrame, split: Split = chunk_hashes) -> DataFrame:
+    def _layer(self, k: int, h: np.ndarray, own: np.ndarray, sums: np.ndarray, met: np.ndarray, back: np.ndarray) -> float:
+        """One step of an output layer on rows ``h`` with outputs ``own``; adds the gradient for h to ``back``, returns the loss.
+
+        ``sums`` are the sums of h over the rows of each of the outputs ``met``.
+        """
+        w = self.params[k]
+        weights, total, logs = self._weights(h, w, own)
+        inverse = (1 / total)[:, None]
+        grad = (h * inverse).T @ weights
+        grad[:, met] -= sums.T
+        pull = weights @ w[:HIDDEN].T
+        pull *= inverse
+        pull -= np.ascontiguousarray(w[:HIDDEN].T).take(own, axis=0)
+        back += pull
+        self._change(k, slice(None), grad)
+        return -float(logs.sum())
+
+    def _change(self, k: int, at, grad: np.ndarray) -> None:
+        grad *= self.share
+        square = self.squares[k][at] + grad * grad
+        self.squares[k][at] = square
+        np.sqrt(square, out=square)
+        grad /= square
+        grad *= RATE
+        self.params[k][at] -= grad
+
+    def step(self, line: np.ndarray, a: int, e: int) -> tuple[float, int]:
+        """One step of Adagrad on the mean loss of the tokens line[a:e]; the loss and their number."""
+        if not self.squares:
+            self.squares = [np.full_like(p, 1e-6) for p in self.params]
+        order, ids, h = self._hidden(line, a, e)
+        m = len(ids)
+        if not m:
+            return 0.0, 0
+        self.share = np.float32(1 / m)
+        cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        which = ids[cut]
+        sums = _group_sums(h, cut)
+        heads = self.head[which]
+        first = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
+        back = self._room("back", m, HIDDEN)
+        back[:] = 0
+        loss = self._layer(2, h, self.head[ids], _group_sums(sums, first), heads[first], back)
+        for k, (low, high) in enumerate(self.clusters):
+            (i, j), (p, q) = np.searchsorted(ids, (low, high)), np.searchsorted(which, (low, high))
+            if i < j:
+                loss += self._layer(3 + k, h[i:j], ids[i:j] - low, sums[p:q], which[p:q] - low, back[i:j])
+        back *= h[:, :HIDDEN] > 0
+        self._change(1, slice(None), back.sum(0))
+        spread = self._room("spread", e - a + 2 * REACH, HIDDEN)
+        spread[:] = 0
+        spread[order + REACH] = back
+        for p, o in enumerate(_PLACES):
+            # a token at place j is the neighbour o of the token at j - o
+            rows = np.take(spread, order + (REACH - o), axis=0, out=self._room("more", m, HIDDEN), mode="clip")
+            self._change(0, (p, which), _group_sums(rows, cut))
+        return loss, m
+
+
+def _group_sums(rows: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``cut``."""
+    return np.add.reduceat(rows, cut, axis=0)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
     """``docs`` (text) -> (word: 64-bit hash, n) over all documents, added up in each task before the shuffle."""
 
     def each(batches):
@@ -275,7 +298,7 @@ def word_counts(docs: DataFrame, split: Split = chunk_hashes) -> DataFrame:
 
         for batch in batches:
             for _, buf, offs in shared.text_chunks(batch.column(0)):
-                words, counts = np.unique(split(buf, offs)[0], return_counts=True)
+                words, counts = np.unique(everything(buf, offs)[0], return_counts=True)
                 held.append((words, counts))
                 size += len(words)
                 if size >= 1 << 20:
@@ -290,59 +313,43 @@ def word_counts(docs: DataFrame, split: Split = chunk_hashes) -> DataFrame:
     return shared.map_arrow(docs.select("text"), each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def targets(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """The words that a round trains on: of each document those at places turn, turn + rounds, and so on."""
-    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
-    return np.flatnonzero(place % rounds == turn)
-
-
-def _round(docs: DataFrame, vocabulary, flat, turn: int, rounds: int, split: Split) -> tuple[np.ndarray | None, int]:
-    """The weighted mean of what each task's documents make of the common parameters, and the number of windows."""
+def _round(docs: DataFrame, outputs: int, vocabulary, flat, turn: int, rounds: int) -> tuple[np.ndarray | None, int]:
+    """The weighted mean of what each task's documents of this round make of the common parameters, and the number of windows."""
 
     def local(batches):
-        net = Network.unflat(flat.value, vocabulary.value.parts)
-        seen = 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
-        draw = np.random.default_rng(1000 * turn + TaskContext.get().partitionId())
-
-        def learn():
-            nonlocal held, waiting, seen
-            context, target = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            order = draw.permutation(len(target))
-            for i in range(0, len(order), BATCH):
-                at = order[i : i + BATCH]
-                net.step(context[at], target[at], RATE)
-            seen += len(target)
-            held, waiting = [], 0
-
+        net = Network.unflat(flat.value, outputs)
+        seen = chunk = 0
         for batch in batches:
             for _, buf, offs in shared.text_chunks(batch.column(0)):
-                hashes, first = split(buf, offs)
-                if not len(hashes):
+                chunk += 1
+                if (chunk - 1) % rounds != turn:  # another round's documents
                     continue
-                ids = vocabulary.value(hashes)
-                at = targets(first, turn, rounds)
-                held.append((windows(ids, first, vocabulary.value.pad)[at], ids[at]))
-                waiting += len(at)
-                if waiting >= 64 * BATCH:
-                    learn()
-        if held:
-            learn()
+                hashes, first = everything(buf, offs)
+                if len(hashes):
+                    line, _ = line_of(vocabulary.value(hashes)[0], first, net.pad)
+                    for a in range(REACH, len(line) - REACH, STRETCH):
+                        seen += net.step(line, a, min(a + STRETCH, len(line) - REACH))[1]
         if seen:
-            own = net.flat()
             me = TaskContext.get().partitionId() % PARTIALS
-            pieces = [p.tobytes() for p in np.array_split(own, PIECES)]
+            pieces = [p.tobytes() for p in np.array_split(net.flat(), PIECES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([me] * PIECES, pa.int32()), pa.array([float(seen)] * PIECES), pa.array(pieces, pa.binary())], names=["piece", "part", "weight", "vals"])
 
-    def mean(rows: pa.Table) -> pa.Table:
-        weights = rows["weight"].to_numpy()
-        total = sum(w * np.frombuffer(v, np.float32).astype(np.float64) for w, v in zip(weights, rows["vals"].to_pylist(), strict=True))
-        return pa.table({"piece": rows["piece"][:1], "part": rows["part"][:1], "weight": pa.array([weights.sum()]), "vals": pa.array([(total / weights.sum()).astype(np.float32).tobytes()], pa.binary())})
+    def mean(batches):
+        total, weight = None, 0.0
+        for batch in batches:
+            for w, v in zip(batch.column("weight").to_pylist(), batch.column("vals").to_pylist(), strict=True):
+                value = w * np.frombuffer(v, np.float32).astype(np.float64)
+                total = value if total is None else total + value
+                weight += w
+            key = batch.select(["piece", "part"]).slice(0, 1)
+        yield pa.RecordBatch.from_arrays([*key.columns, pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["piece", "part", "weight", "vals"])
+
+    def merged(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(mean(rows.to_batches())))
 
     schema = "piece int, part int, weight double, vals binary"
-    parts = shared.map_arrow(docs.select("text"), local, schema).groupBy("piece", "part").applyInArrow(mean, schema)
-    rows = parts.groupBy("piece").applyInArrow(mean, schema).orderBy("piece").collect()
+    parts = shared.map_arrow(docs.select("text"), local, schema).groupBy("piece", "part").applyInArrow(merged, schema)
+    rows = parts.groupBy("piece").applyInArrow(merged, schema).orderBy("piece").collect()
     return (np.concatenate([np.frombuffer(r["vals"], np.float32) for r in rows]), int(rows[0]["weight"])) if rows else (None, 0)
 
 
@@ -350,37 +357,34 @@ def _round(docs: DataFrame, vocabulary, flat, turn: int, rounds: int, split: Spl
 class Model:
     vocabulary: Vocabulary
     network: Network
-    counts: DataFrame  # word, n: of the whole corpus
-    rare: np.ndarray  # occurrences of each bucket's words
+    counts: DataFrame  # word, n: of the words beyond the vocabulary's table
     trained: int  # windows that the network was trained on
-    split: Split
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, split: Split = chunk_hashes) -> Model:
-    """Vocabulary and network of ``docs`` (text); without any word an untrained network over buckets only."""
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Vocabulary and network of ``docs`` (text); without any word an untrained network."""
     context = docs.sparkSession.sparkContext
-    counts = shared.cut(word_counts(docs, split))
-    bucket = F.shiftrightunsigned("word", 40) % BUCKETS
-    sums = counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= LEAST).alias("often")).collect()
-    parts = min(max(-(-(sum(r["often"] for r in sums) + BUCKETS) // _OUT), 1), MOST_PARTS)
-    top = counts.orderBy(F.desc("n"), "word").limit(_OUT * parts - BUCKETS).collect()
-    vocabulary = Vocabulary([r["word"] for r in top], parts)
+    counts = shared.cut(word_counts(docs))
+    # how many words have how many occurrences, rare ones exactly: the least count that the driver's table takes
+    steps = counts.groupBy(F.least("n", F.lit(TABLE)).alias("n")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("total")).orderBy(F.desc("n")).collect()
+    floor, taken, beyond = 1, 0, 0
+    for i, r in enumerate(steps):
+        taken += r["words"]
+        if taken > TABLE:
+            floor, beyond = r["n"] + 1, sum(s["total"] for s in steps[i:])
+            break
+    table = counts.where(F.col("n") >= floor).toArrow()
+    vocabulary = Vocabulary(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), beyond)
+    del table
     shipped = context.broadcast(vocabulary)
-    rare = np.zeros(BUCKETS, np.int64)
-    for r in sums:
-        rare[r["bucket"]] = r["n"]
-    np.subtract.at(rare, (np.array([r["word"] for r in top], np.int64).view(np.uint64) >> np.uint64(40)).astype(np.int64) % BUCKETS, np.array([r["n"] for r in top], np.int64))
-    often = np.ones(_OUT * parts)
-    often[: len(top)] += [r["n"] for r in top]
-    often[-BUCKETS:] += rare
-    network = Network.fresh(np.log(often / often.sum()))
+    network = Network.fresh(vocabulary.mass)
     trained = 0
-    for turn in range(rounds if top else 0):
-        flat, seen = _round(docs, shipped, context.broadcast(network.flat()), turn, rounds, split)
+    for turn in range(rounds if steps else 0):
+        flat, seen = _round(docs, vocabulary.outputs, shipped, context.broadcast(network.flat()), turn, rounds)
         trained += seen
         if flat is not None:
-            network = Network.unflat(flat, parts)
-    return Model(vocabulary, network, counts, rare, trained, split)
+            network = Network.unflat(flat, vocabulary.outputs)
+    return Model(vocabulary, network, counts.where(F.col("n") < floor), trained)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -390,26 +394,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     null or empty text, or one without a token, has no tokens, log_prob 0, and null mean and
     perplexity.  Whole texts; other columns are ignored, repeated rows kept.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network, np.log(model.rare + UNSEEN)))
-    split = model.split
+    shipped = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network.flat()))
 
     def run(batches):
-        vocabulary, network, whole = shipped.value
-        tables = network.tables()
+        vocabulary, flat = shipped.value
+        network = Network.unflat(flat, vocabulary.outputs)
+        last, unknown = vocabulary.pad - 1, np.log(vocabulary.mass[-1])
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             n = batch.num_rows
             tokens, logs, others = np.zeros(n, np.int64), np.zeros(n), np.zeros(n + 1, np.int64)
             words = [np.zeros(0, np.uint64)]
             for row, buf, offs in shared.text_chunks(batch.column(1)):
-                hashes, first = split(buf, offs)
+                hashes, first = everything(buf, offs)
                 counts = np.diff(first)
                 tokens[row : row + len(counts)] = counts
                 if len(hashes):
-                    ids = vocabulary(hashes)
-                    each = network.log_probabilities(tables, windows(ids, first, vocabulary.pad), ids)
-                    at = np.flatnonzero(ids >= vocabulary.pad - BUCKETS)
-                    each[at] -= whole[ids[at] - (vocabulary.pad - BUCKETS)]
+                    ids, rare, shares = vocabulary(hashes)
+                    line, place = line_of(ids, first, vocabulary.pad)
+                    each = network.log_probabilities(line)[place].astype(np.float64)
+                    each[rare] += shares
+                    at = np.flatnonzero(ids == last)
+                    each[at] -= unknown
                     words.append(hashes[at])
                     others[row + 1 : row + 1 + len(counts)] = np.diff(np.searchsorted(at, first))
                     some = np.flatnonzero(counts)
@@ -420,7 +426,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_net", T.DoubleType()), T.StructField("words", T.ArrayType(T.LongType()))])
     scored = shared.map_arrow(docs.select("doc_id", "text"), run, schema)
-    # rows without a rare word take their number as key, so that they spread
+    # rows without a word beyond the table take their number as key, so that they spread
     each = scored.select("row", "doc_id", "n_tokens", "log_net", F.explode_outer("words").alias("rare")).withColumn("word", F.coalesce("rare", "row"))
     share = F.when(F.col("rare").isNotNull(), F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).otherwise(0.0)
     sums = each.join(model.counts, "word", "left").groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_tokens", "log_net")], F.sum(share).alias("log_words"))

@@ -499,14 +499,18 @@ def test_neighbour_edges(spark):
 # ------------------------------------------------------------------ op10
 
 
+def lm_hash(word):
+    return int(lm_score.everything(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0][0])
+
+
 def test_lm_scores(spark):
     rng = np.random.default_rng(10)
     cycle = ["red", "blue", "green", "grey"]
     texts = [" ".join(cycle[(s + i) % 4] for i in range(int(n))) for s, n in zip(rng.integers(0, 4, 300), rng.integers(5, 400, 300), strict=True)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts * 8)), "doc_id long, text string")
     model = lm_score.fit(docs)
     shuffled = " ".join(rng.permutation(texts[0].split() * 3))
-    trial = spark.createDataFrame([(0, " ".join(cycle * 20)), (1, shuffled), (2, "quick zebra jumps " * 20), (3, None), (4, " 12 "), (5, " ".join(cycle * 20)), (None, "red")], "doc_id long, text string")
+    trial = spark.createDataFrame([(0, " ".join(cycle * 20)), (1, shuffled), (2, "quick zebra jumps " * 20), (3, None), (4, " \t "), (5, " ".join(cycle * 20)), (None, "red")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in lm_score.score(trial, model).collect()}
     assert got[0]["mean_log_prob"] > got[1]["mean_log_prob"] + 0.5 > got[2]["mean_log_prob"]
     assert got[0]["log_prob"] == pytest.approx(got[5]["log_prob"]) and got[0]["n_tokens"] == 80
@@ -514,11 +518,54 @@ def test_lm_scores(spark):
     assert got[0]["perplexity"] == pytest.approx(np.exp(-got[0]["mean_log_prob"]))
 
 
-def test_lm_probabilities_add_up():
-    net = lm_score.Network.fresh(np.log(np.full(lm_score._OUT, 1 / lm_score._OUT)))
-    context = np.tile(np.array([[3, 9, lm_score._PAD, 700]], np.int32), (lm_score._OUT, 1))
-    p = np.exp(net.log_probabilities(net.tables(), context, np.arange(lm_score._OUT, dtype=np.int32)))
-    assert p.sum() == pytest.approx(1.0, abs=1e-4)
+def lm_network(outputs, seed=2):
+    rng = np.random.default_rng(seed)
+    net = lm_score.Network.fresh(rng.integers(1, 1000, outputs + lm_score.RARE).astype(float))
+    for p in net.params:
+        p += rng.normal(0, 0.2, p.shape).astype(np.float32)
+    net.params[0][:, net.pad] = 0
+    return net
+
+
+@pytest.mark.parametrize("outputs", [0, 5, 60, 700])
+def test_lm_probabilities_add_up(outputs):
+    net = lm_network(outputs)
+    total = 0.0
+    for word in range(net.pad):  # every output between the same neighbours
+        line = np.array([net.pad, net.pad, 0, word, min(3, net.pad - 1), net.pad, net.pad], np.uint16)
+        total += np.exp(float(net.log_probabilities(line)[3]))
+    assert total == pytest.approx(1.0, abs=1e-4)
+
+
+def test_lm_network_against_plain_formula():
+    """A step's gradient and the log probabilities against loops over single windows."""
+    net = lm_network(200)
+    rng = np.random.default_rng(4)
+    line, place = lm_score.line_of(rng.integers(0, net.pad, 60).astype(np.uint16), np.array([0, 25, 25, 60]), net.pad)
+
+    def exponential(x):
+        return np.array([np.float32(x * lm_score._UNIT + lm_score._ZERO)], np.float32).astype(np.int32).view(np.float32)[0]
+
+    def log_probability(i):
+        h = net.params[1].astype(np.float64)
+        for p, o in enumerate((-2, -1, 1, 2)):
+            h = h + net.params[0][p, line[i + o]]
+        h = np.append(np.maximum(h, 0), 1)
+        logs = 0.0
+        head = int(net.head[line[i]])
+        for w, own in [(net.params[2], head)] + [(w, int(line[i]) - a) for w, (a, b) in zip(net.params[3:], net.clusters, strict=True) if a <= line[i] < b]:
+            weights = np.array([exponential(x) for x in h @ w])
+            logs += np.log(weights[own] / weights.sum())
+        return logs
+
+    got = net.log_probabilities(line)
+    assert len(place) == 60 and [line[i] == net.pad for i in range(len(line)) if i not in set(place)] == [True] * (len(line) - 60)
+    for i in place:
+        assert got[i] == pytest.approx(log_probability(int(i)), abs=1e-3)
+    losses = [net.step(line, 2, len(line) - 2)[0] for _ in range(40)]
+    assert losses[-1] < losses[0] / 2
+    again = lm_score.Network.unflat(net.flat(), 200)
+    assert np.array_equal(again.log_probabilities(line), net.log_probabilities(line))
 
 
 def test_lm_edges(spark, odd):
@@ -528,44 +575,39 @@ def test_lm_edges(spark, odd):
     assert lm_score.score(odd, lm_score.fit(odd)).count() == 9
     empty = odd.limit(0)
     assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
+    assert lm_score.score(odd, lm_score.fit(empty)).where("log_prob IS NULL").count() == 0
 
 
-def test_lm_vocabulary_follows_the_corpus(spark):
+@pytest.mark.parametrize("table", [1 << 20, 4000])
+def test_lm_vocabulary_follows_the_corpus(spark, monkeypatch, table):
+    monkeypatch.setattr(lm_score, "TABLE", table)
     frequent, some, once = ([a + "".join(chr(97 + int(c)) for c in f"{i:04d}") for i in range(n)] for a, n in (("f", 2000), ("s", 3000), ("o", 3000)))
     docs = spark.createDataFrame(list(enumerate([" ".join(frequent)] * lm_score.LEAST + [" ".join(some)] * 9 + [" ".join(once)])), "doc_id long, text string")
     model = lm_score.fit(docs, rounds=1)
-    known = set(model.vocabulary.hashes.tolist())
-    hashed = {w: int(toxicity._hashes([w])[0][0]) for w in frequent + some + once}
-    assert all(hashed[w] in known for w in frequent)
-    # words of one bucket part its probability by their counts; one that the corpus does not have gets the least
-    buckets = {}
-    for w in some + once + [f"u{c}" for c in once]:
-        h = hashed.get(w) or int(toxicity._hashes([w])[0][0])
-        if h not in known:
-            buckets.setdefault((h >> 40) % lm_score.BUCKETS, {}).setdefault(w[0], w)
-    three = next(b for b in buckets.values() if len(b) == 3)
-    trial = spark.createDataFrame([(w,) * 2 for w in three.values()], "doc_id string, text string")
+    vocabulary = model.vocabulary
+    hashes = np.array([lm_hash(w) for w in frequent + some + once], np.uint64)
+    ids, rare, shares = vocabulary(hashes)
+    assert vocabulary.outputs == 2000 and sorted(ids[:2000]) == list(range(2000)) and (ids[2000:] >= 2000).all()
+    # words of one class part its probability by their counts; a word that the corpus does not have gets the least
+    trial = spark.createDataFrame([(w,) * 2 for w in (some[0], once[0], "u" + once[0])], "doc_id string, text string")
     got = {r["doc_id"][0]: r["log_prob"] for r in lm_score.score(trial, model).collect()}
-    assert got["s"] - got["o"] == pytest.approx(np.log(9)) and got["o"] - got["u"] == pytest.approx(np.log(1 / lm_score.UNSEEN))
-
-
-def test_lm_probabilities_of_parts_add_up():
-    n = 3 * lm_score._OUT
-    net = lm_score.Network.fresh(np.log(np.arange(1, n + 1) / (n * (n + 1) / 2)))
-    rng = np.random.default_rng(2)
-    context, target = rng.integers(0, n + 1, (512, 4)).astype(np.int32), rng.integers(0, n, 512).astype(np.int32)
-    before = net.step(context, target, 0.1)
-    assert [net.step(context, target, 0.1) for _ in range(20)][-1] < before - 1
-    p = np.exp(net.log_probabilities(net.tables(), np.repeat(context[:1], n, 0), np.arange(n, dtype=np.int32)))
-    assert p.sum() == pytest.approx(1.0, abs=1e-4)
+    assert got["s"] > got["o"] > got["u"] or table == 1 << 20
+    if table == 4000:  # neither fits the driver's table: both are joined
+        assert len(vocabulary.words) == 2000
+        assert got["s"] - got["o"] == pytest.approx(np.log(9)) and got["o"] - got["u"] == pytest.approx(np.log(1 / lm_score.UNSEEN))
+    else:
+        assert shares[0] == pytest.approx(np.log(1 / 3000)) and shares[-1] == pytest.approx(np.log(1 / 3000))
+        assert vocabulary.mass.sum() == pytest.approx(2000 * lm_score.LEAST + 9 * 3000 + 3000 + lm_score.UNSEEN)
 
 
-def test_lm_trains_on_every_position(spark):
-    first = np.array([0, 1, 1, 4, 40])
-    assert sorted(np.concatenate([lm_score.targets(first, turn, 3) for turn in range(3)])) == list(range(40))
+def test_lm_trains_on_every_position(spark, monkeypatch):
     texts = ["one", "two words", None, "", " ".join(["many", "more", "words"] * 100)] * 7
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
     assert lm_score.fit(docs).trained == 7 * 303
+    monkeypatch.setattr(shared, "CHUNK_BYTES", 1000)  # many chunks, dealt over the rounds
+    net, line = lm_network(20), np.full(50, 20 + lm_score.RARE, np.uint16)
+    line[3:40] = 7
+    assert sum(net.step(line, a, min(a + 10, 48))[1] for a in range(2, 48, 10)) == 37
 
 
 def test_lm_query_drops_no_token(spark, odd, tmp_path):
