@@ -13,8 +13,13 @@ followed by the later deltas.  Messages keep the place of their first event.  Th
 template then renders each turn as ``<|im_start|>role\ntext<|im_end|>\n``.
 
 Control strings inside roles and texts are escaped by a backslash (a backslash by
-another one), which ``unescape`` takes back, so the formatted text parses into
-exactly the turns that went in and no text can open or close a turn.
+another one), which ``unescape`` takes back, and a line feed inside a role, where the
+role's line ends, is written as a backslash and an ``l``.  So the formatted text parses
+into exactly the turns that went in and nothing in a role or text can open or close a
+turn or move text under another role.
+
+A conversation is one row of the result, so the turns of one meet in one task; what
+is folded before that is a message, however many events it has.
 """
 
 from __future__ import annotations
@@ -40,6 +45,17 @@ def unescape(column):
     return F.regexp_replace(column, r"(?s)\\(.)", "$1")
 
 
+def escape_role(column):
+    """As ``escape``, without line feeds."""
+    return F.replace(escape(column), F.lit("\n"), F.lit("\\l"))
+
+
+def unescape_role(column):
+    # between escaped backslashes, every backslash left begins an escape
+    parts = F.split(column, r"\\\\")
+    return F.array_join(F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("\\l"), F.lit("\n")), F.lit("\\"), F.lit(""))), "\\")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Events (conv_id, seq, msg, kind, role, text) -> conv_id, turns: array of (seq, role, text) by sequence.
 
@@ -52,7 +68,10 @@ def fold(events: DataFrame) -> DataFrame:
     known = F.when(kind.isin("message", "regenerate", "delta", "edit"), kind).otherwise(F.raise_error(F.concat(F.lit("unknown event: "), kind)))
     rows = events.select("conv_id", "msg", F.struct("seq", known.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")).alias("e"))
     messages = rows.groupBy("conv_id", "msg").agg(F.sort_array(F.collect_list("e")).alias("log"))
-    text = F.aggregate("log", F.lit(""), lambda have, e: F.when(e["kind"] == "delta", F.concat(have, e["text"])).otherwise(e["text"]))
+    # what the last resetting event holds and all later deltas, joined once
+    resets = F.filter(F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i + 1)), lambda i: i.isNotNull())
+    begin = F.greatest(F.coalesce(F.array_max(resets), F.lit(1)), F.lit(1))
+    text = F.array_join(F.transform(F.slice("log", begin, F.size("log")), lambda e: e["text"]), "")
     role = F.coalesce(F.get(F.filter("log", lambda e: e["role"].isNotNull()), F.lit(0))["role"], F.lit(""))
     whole = messages.select("conv_id", F.struct(F.col("log")[0]["seq"].alias("seq"), role.alias("role"), text.alias("text"), "msg").alias("turn"))
     return whole.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
@@ -70,27 +89,18 @@ def events(rows: DataFrame) -> DataFrame:
     return same.select(*own, number.alias("number")).select("conv_id", F.col("turn").alias("seq"), F.struct("turn", "role", "text", "number").alias("msg"), F.lit("message").alias("kind"), "role", "text")
 
 
-def turns(rows: DataFrame) -> DataFrame:
-    """Finished rows (conv_id, turn, role, text) as ``fold`` gives them: each row is one message of one event.
-
-    Rows of equal turn are taken in order of role and text; null turns first, null roles and texts are empty.
-    """
-    turn = F.struct(F.col("turn").alias("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-
-
 def render(folded: DataFrame) -> DataFrame:
     """conv_id, turns -> conv_id, formatted."""
-    turn = F.transform("turns", lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END + "\n")))
+    turn = F.transform("turns", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END + "\n")))
     return folded.select("conv_id", F.array_join(turn, "").alias("formatted"))
 
 
 def parse(formatted: DataFrame, learnt: str = LEARNT) -> DataFrame:
     """conv_id, formatted -> conv_id, formatted, turns: array of (role, text, loss), read back from the output.
 
-    The opening control string occurs only where a turn begins, since texts are
-    escaped; roles hold no line feed (one in a role is rendered and read back as
-    part of the text).  loss marks the turns under the loss mask.
+    The opening control string occurs only where a turn begins, since roles and
+    texts are escaped, and a role ends with the first line feed.  loss marks the
+    turns under the loss mask.
     """
     # a bare control string has no escaping backslash before its "<|"
     parts = F.filter(F.split("formatted", r"(?<=^|\n)(?<!\\)<\|im_start\|>"), lambda p: p != "")
@@ -98,7 +108,7 @@ def parse(formatted: DataFrame, learnt: str = LEARNT) -> DataFrame:
 
     def turn(b):
         line = F.locate("\n", b)
-        role = unescape(F.substring(b, F.lit(1), line - 1))
+        role = unescape_role(F.substring(b, F.lit(1), line - 1))
         return F.struct(role.alias("role"), unescape(F.substring(b, line + 1, F.char_length(b))).alias("text"), (role == learnt).alias("loss"))
 
     return formatted.select("conv_id", "formatted", F.transform(body, turn).alias("turns"))
@@ -135,6 +145,6 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = '{LEARNT}'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = '{LEARNT}'), '')) AS loss_sha256,
-  sum({len(START) + len(END) + 2} + length({_sql_escape("role")}) + length({_sql_escape("text")}))::BIGINT AS formatted_chars
+  sum({len(START) + len(END) + 2} + length({_sql_escape("role")}) + length(role) - length(replace(role, chr(10), '')) + length({_sql_escape("text")}))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
