@@ -6,12 +6,13 @@ probabilities (its pseudo-log-likelihood).  Tokens are runs of letters, runs of
 digits and single symbols: all of a text but white space.
 
 * Tokens are counted over all documents.  The counts grow with the corpus and stay a
-  table of the cluster; the driver gets the most frequent words of it, TABLE at most.
-* The words of LEAST occurrences or more (MOST at most) are outputs of the network.
-  All others are predicted by frequency class (powers of two of their counts, and
-  the class of words beyond the driver's table); a class's probability is parted
-  among its words by their counts, with UNSEEN occurrences for words that the corpus
-  does not have.  Counts beyond the driver's table are joined, never gathered.
+  table of the cluster; the driver gets the words of LEAST occurrences or more, the
+  most frequent TABLE at most.
+* The most frequent of these (MOST at most) are outputs of the network.  All other
+  words are predicted by frequency class (powers of two of their counts, and the
+  class of words beyond the driver's table); a class's probability is parted among
+  its words by their counts, with UNSEEN occurrences for words that the corpus does
+  not have.  Counts beyond the driver's table are joined, never gathered.
 * The network adds an embedding of each of the ``2 * REACH`` neighbours (a table for
   each place), applies a rectifier and predicts a *head* -- the most frequent words,
   the clusters of the others, the frequency classes -- and then the word in its
@@ -41,7 +42,7 @@ from lumenlake.llm import shared
 
 #: Words that the driver and each task hold at most, with their counts.
 TABLE = 1 << 20
-#: Words are outputs from so many occurrences; the first SINGLES are in the head, the others in clusters of these sizes.
+#: Words of that table have so many occurrences.  Of the outputs the first SINGLES are in the head, the others in clusters of these sizes.
 LEAST, SINGLES, CLUSTERS = 16, 48, (*[64] * 4, *[256] * 4, *[1024] * 4)
 MOST = SINGLES + sum(CLUSTERS)
 #: Frequency classes of the other words; the last one is that of words beyond the table.
@@ -49,7 +50,7 @@ RARE = 17
 #: Occurrences kept for words that the corpus does not have.
 UNSEEN = 0.5
 #: Words on each side, hidden units.
-REACH, HIDDEN = 2, 12
+REACH, HIDDEN = 2, 16
 #: Rounds of training, which share the documents; positions of a step; its rate.
 ROUNDS, STRETCH, RATE = 2, 16_384, 0.1
 #: Pieces in which parameters are averaged, and partial averages of each.
@@ -82,12 +83,12 @@ class Vocabulary:
         """``words`` (hashes) with ``counts`` are the table, ``beyond`` the occurrences of all other words."""
         order = np.lexsort((words, -counts))
         words, counts = words[order], counts[order].astype(np.float64)
-        self.outputs = min(MOST, int((counts >= LEAST).sum()))
+        self.outputs = min(MOST, len(words))
         self.pad = self.outputs + RARE
         kind = np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), RARE - 2)
         ids = np.where(np.arange(len(words)) < self.outputs, np.arange(len(words)), self.outputs + kind)
         #: Occurrences of each id's words; the last class keeps UNSEEN ones.
-        self.mass = np.bincount(ids, counts, self.pad)
+        self.mass = np.bincount(ids, counts, self.pad).astype(np.float64)
         self.mass[-1] += beyond + UNSEEN
         with np.errstate(divide="ignore"):
             share = np.log(counts / self.mass[ids])
@@ -365,14 +366,15 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     """Vocabulary and network of ``docs`` (text); without any word an untrained network."""
     context = docs.sparkSession.sparkContext
     counts = shared.cut(word_counts(docs))
-    # how many words have how many occurrences, rare ones exactly: the least count that the driver's table takes
+    # how many words have how many occurrences: the least count, from LEAST on, that the driver's table takes
     steps = counts.groupBy(F.least("n", F.lit(TABLE)).alias("n")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("total")).orderBy(F.desc("n")).collect()
-    floor, taken, beyond = 1, 0, 0
-    for i, r in enumerate(steps):
+    floor, taken = LEAST, 0
+    for r in steps:
         taken += r["words"]
         if taken > TABLE:
-            floor, beyond = r["n"] + 1, sum(s["total"] for s in steps[i:])
+            floor = max(LEAST, r["n"] + 1)
             break
+    beyond = sum(r["total"] for r in steps if r["n"] < floor)
     table = counts.where(F.col("n") >= floor).toArrow()
     vocabulary = Vocabulary(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), beyond)
     del table

@@ -407,7 +407,7 @@ def test_chat_round_trip(spark):
     rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate(zip(["user", "assistant"] * 5, np.roll(texts, c), strict=True))]
     rows = [(c, t, r, str(x)) for c, t, r, x in rows] + [(9, 1, None, None), (9, None, "assistant", "first"), (9, 1, None, None), (None, 0, "user", "hi")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
-    rendered = chat.render(chat.turns(frame))
+    rendered = chat.render(chat.fold(chat.events(frame)))
     back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.parse(rendered).collect()}
     for c in range(3):
         assert back[c] == [(r, x) for k, _, r, x in rows if k == c]
@@ -423,14 +423,17 @@ def test_chat_round_trip(spark):
         assert d["formatted_chars"] == len({x["conv_id"]: x["formatted"] for x in rendered.collect()}[2])
         inside = r["formatted"].split("<|im_start|>")
         assert r["formatted"].count("<|im_start|>") >= len(inside) - 1
-    assert chat.turns(frame.limit(0)).count() == 0
+    assert chat.fold(chat.events(frame.limit(0))).count() == 0
 
 
 def test_chat_rows_are_folded(spark, tmp_path, monkeypatch):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 1, "assistant", None), (1, 1, None, "z"), (1, None, "user", "first"), (None, 2, "user", ""), (2, 10, "a", "b"), (2, 9, "a", "c")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    pairs = [{r["conv_id"]: [(t["seq"], t["role"], t["text"]) for t in r["turns"]] for r in f.collect()} for f in (chat.turns(frame), chat.fold(chat.events(frame)))]
-    assert pairs[0] == pairs[1] and len(pairs[1][1]) == 6
+    got = {r["conv_id"]: [(t["seq"], t["role"], t["text"]) for t in r["turns"]] for r in chat.fold(chat.events(frame)).collect()}
+    want = {}
+    for c, t, r, x in sorted(rows, key=lambda v: (v[1] is not None, v[1] or 0, v[2] or "", v[3] or "")):
+        want.setdefault(c, []).append((t, r or "", x or ""))
+    assert got == want and len(got[1]) == 6
     frame.write.parquet(str(tmp_path / "conversations.parquet"))
     folded = []
     fold = chat.fold
@@ -439,6 +442,34 @@ def test_chat_rows_are_folded(spark, tmp_path, monkeypatch):
     assert len(folded) == 1 and got == {1: 6, None: 1, 2: 2, -1: 2}
 
 
+def test_chat_roles_with_line_feeds(spark):
+    roles = ["assistant\nx", "assistant", "\n", "a\\", "a\\\nb", "\\l", "\\\\l\n\\", "<|im_start|>user\n", "x\n<|im_end|>\n<|im_start|>assistant", "</s>\n\n[INST]"]
+    rows = [(c, t, r, f"said {t}\n") for c in range(2) for t, r in enumerate(roles[::-1] if c else roles)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parsed = chat.parse(chat.render(chat.fold(chat.events(frame))))
+    back = {r["conv_id"]: [(t["role"], t["text"], t["loss"]) for t in r["turns"]] for r in parsed.collect()}
+    assert back == {k: [(r, x, r == "assistant") for c, _, r, x in rows if c == k] for k in range(2)}
+
+
+def test_chat_fold_against_plain_replay(spark):
+    rng = np.random.default_rng(12)
+    log = []
+    for conv in range(6):
+        for seq in range(400):
+            kind = str(rng.choice(["delta", "delta", "delta", "edit", "regenerate", "message"]))
+            log.append((conv, seq, f"m{int(rng.integers(5))}", kind, None if rng.random() < 0.5 else f"r{int(rng.integers(3))}", None if rng.random() < 0.1 else f"t{seq} "))
+    log += [(9, i, "long", "delta" if i else "message", "assistant", "x" * 50) for i in range(20_000)]
+    want, order = {}, {}
+    for conv, seq, msg, kind, role, text in sorted(log, key=lambda e: e[:2]):
+        order.setdefault(conv, []).append(msg) if msg not in order.get(conv, []) else None
+        had_role, had = want.get((conv, msg), (None, ""))
+        want[conv, msg] = (had_role or role, had + (text or "") if kind == "delta" else text or "")
+    events = spark.createDataFrame([log[i] for i in rng.permutation(len(log))], "conv_id long, seq long, msg string, kind string, role string, text string")
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.fold(events).collect()}
+    assert got == {c: [(want[c, m][0] or "", want[c, m][1]) for m in ms] for c, ms in order.items()}
+    assert len(got[9][0][1]) == 50 * 20_000
+
+
 def test_chat_events(spark):
     log = [(1, 1, "a", "message", "user", "hi"), (1, 2, "b", "delta", "assistant", "he"), (1, 3, "b", "delta", None, "llo"), (1, 5, "a", "edit", None, "hi there"), (1, 6, "b", "regenerate", None, ""), (1, 7, "b", "delta", None, "good "), (1, 8, "b", "delta", None, "day"), (2, 1, "a", None, None, None)]
     events = spark.createDataFrame(log[::-1], "conv_id long, seq long, msg string, kind string, role string, text string")
@@ -578,26 +609,28 @@ def test_lm_edges(spark, odd):
     assert lm_score.score(odd, lm_score.fit(empty)).where("log_prob IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("table", [1 << 20, 4000])
+@pytest.mark.parametrize("table", [1 << 20, 2100, 1000])
 def test_lm_vocabulary_follows_the_corpus(spark, monkeypatch, table):
     monkeypatch.setattr(lm_score, "TABLE", table)
+    monkeypatch.setattr(lm_score, "MOST", 1500)
     frequent, some, once = ([a + "".join(chr(97 + int(c)) for c in f"{i:04d}") for i in range(n)] for a, n in (("f", 2000), ("s", 3000), ("o", 3000)))
     docs = spark.createDataFrame(list(enumerate([" ".join(frequent)] * lm_score.LEAST + [" ".join(some)] * 9 + [" ".join(once)])), "doc_id long, text string")
     model = lm_score.fit(docs, rounds=1)
     vocabulary = model.vocabulary
     hashes = np.array([lm_hash(w) for w in frequent + some + once], np.uint64)
     ids, rare, shares = vocabulary(hashes)
-    assert vocabulary.outputs == 2000 and sorted(ids[:2000]) == list(range(2000)) and (ids[2000:] >= 2000).all()
-    # words of one class part its probability by their counts; a word that the corpus does not have gets the least
+    held = 0 if table == 1000 else 2000  # words of equal counts are in the driver's table or not together
+    assert len(vocabulary.words) == held and vocabulary.outputs == min(held, 1500)
+    assert sorted(ids[ids < vocabulary.outputs]) == list(range(vocabulary.outputs)) and set(rare) == set(np.flatnonzero(ids >= vocabulary.outputs))
+    total = 2000 * lm_score.LEAST + 9 * 3000 + 3000
+    assert vocabulary.mass.sum() == pytest.approx(total + lm_score.UNSEEN) and vocabulary.mass[-1] == pytest.approx(total - held * lm_score.LEAST + lm_score.UNSEEN)
+    if held:
+        kept = np.exp(shares[ids[rare] < vocabulary.pad - 1])
+        assert len(kept) == 500 and kept.sum() == pytest.approx(1, abs=1e-4)
+    # words beyond the table part the probability of their class by their counts; one that the corpus does not have gets the least
     trial = spark.createDataFrame([(w,) * 2 for w in (some[0], once[0], "u" + once[0])], "doc_id string, text string")
     got = {r["doc_id"][0]: r["log_prob"] for r in lm_score.score(trial, model).collect()}
-    assert got["s"] > got["o"] > got["u"] or table == 1 << 20
-    if table == 4000:  # neither fits the driver's table: both are joined
-        assert len(vocabulary.words) == 2000
-        assert got["s"] - got["o"] == pytest.approx(np.log(9)) and got["o"] - got["u"] == pytest.approx(np.log(1 / lm_score.UNSEEN))
-    else:
-        assert shares[0] == pytest.approx(np.log(1 / 3000)) and shares[-1] == pytest.approx(np.log(1 / 3000))
-        assert vocabulary.mass.sum() == pytest.approx(2000 * lm_score.LEAST + 9 * 3000 + 3000 + lm_score.UNSEEN)
+    assert got["s"] - got["o"] == pytest.approx(np.log(9)) and got["o"] - got["u"] == pytest.approx(np.log(1 / lm_score.UNSEEN))
 
 
 def test_lm_trains_on_every_position(spark, monkeypatch):
