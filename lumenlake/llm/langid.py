@@ -6,8 +6,9 @@ logistic loss by how reliable its classifier is and chooses the codeword of
 least loss; the text is flagged as ambiguous if the runner-up is nearly as near.
 
 The model is fitted in numpy on a bounded sample of labelled rows, the same rows
-at each run (least hashes of doc_id); prediction reads whole texts in Arrow
-batches, with one histogram of n-grams a document.
+at each run (least hashes), of every language that is there; what the driver gets of
+a row are its histograms of n-grams, whatever the length of its text.  Prediction
+reads whole texts in Arrow batches, with one histogram a document.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from lumenlake.llm import shared
 
 #: Hash buckets of two- and of three-byte grams.
 BUCKETS = 1024
-#: Labelled documents of a language that the model is fitted on, at most; documents longer than FIT_BYTES are not used for it.
-FIT_DOCS, FIT_BYTES = 250, 100_000
-#: Languages of the model, at most (the most frequent ones).
-FIT_LANGS = 200
+#: Labelled documents that the model is fitted on: FIT_DOCS of a language, or FIT_ROWS of all if that is less, but never under FIT_LEAST of a language.
+FIT_DOCS, FIT_ROWS, FIT_LEAST = 250, 8000, 8
+#: Lengths of the pieces of a text that the model is fitted on beside the whole.
+PIECES = (40, 160)
 #: Documents in a histogram block.
 BLOCK = 256
 #: A text is ambiguous if the runner-up's probability is above this share of the winner's.
@@ -79,10 +80,12 @@ def codewords(n: int) -> np.ndarray:
     best, gap = None, -1
     draw = np.random.default_rng(7)
     length = int(10 * np.ceil(np.log2(n)))
-    for _ in range(200):
+    for _ in range(max(1, 20_000 // (n * n))):
         code = draw.choice(np.array([-1, 1], np.float32), (n, length))
         code = code[:, np.abs(code.sum(0)) < n]
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        alike = code @ code.T
+        np.fill_diagonal(alike, -length)
+        apart = (code.shape[1] - alike.max()) / 2
         if apart > gap:
             best, gap = code, apart
     return best
@@ -100,8 +103,8 @@ class Model:
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Loss-weighted distance of each row to each codeword."""
         margins = x @ self.weights + self.bias
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None, :, :])
-        return (loss * self.trust).sum(2)
+        right, wrong = np.logaddexp(0, -margins) * self.trust, np.logaddexp(0, margins) * self.trust
+        return right @ (self.code.T > 0).astype(np.float32) + wrong @ (self.code.T < 0).astype(np.float32)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, its probability, ambiguity."""
@@ -116,25 +119,11 @@ class Model:
         return order[:, 0], first, second > AMBIGUOUS * first
 
 
-def train(texts: list[str], langs: list[str], steps: int = 150) -> Model:
-    """Fit on texts with their languages, each text also by two short pieces of it."""
-    names = sorted(set(langs))
+def train(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 150) -> Model:
+    """Fit on histograms and the indices of their languages in ``names``."""
     model = Model(names, codewords(len(names)))
     if len(names) < 2:
         return model
-    draw = np.random.default_rng(11)
-    pieces, labels = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        pieces.append(text)
-        for length in (40, 160):
-            at = int(draw.integers(0, max(1, len(text) - length)))
-            pieces.append(text[at : at + length])
-        labels += [names.index(lang)] * 3
-    x, y = np.empty((len(pieces), 2 * BUCKETS), np.float32), np.array(labels)
-    for i in range(0, len(pieces), BLOCK):
-        for row, buf, offs in shared.text_chunks(pa.array(pieces[i : i + BLOCK])):
-            x[i + row : i + row + len(offs) - 1] = features(buf, offs)
-    del pieces
     target = model.code[y]
     balance = (len(y) / (len(names) * np.bincount(y, minlength=len(names))))[y].astype(np.float32)[:, None]
     w, b = np.zeros((x.shape[1], target.shape[1]), np.float32), np.zeros(target.shape[1], np.float32)
@@ -153,26 +142,61 @@ def train(texts: list[str], langs: list[str], steps: int = 150) -> Model:
     return model
 
 
+def sampled(rows: DataFrame, key: str, wanted: dict, name: str = "draw") -> DataFrame:
+    """Of ``rows`` (key, draw: a 64-bit hash, ...) those of the least draws, ``wanted[value] = (limit, rows there are)`` of each value of ``key``.
+
+    A first cut by a fixed share of the hash range leaves some three times the limit
+    of each value, so no task ranks more than that, however many rows a value has.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(v, int(limit), min(1.0, (3 * limit + 100) / max(n, 1))) for v, (limit, n) in wanted.items()], T.StructType([T.StructField("of", rows.schema[key].dataType), T.StructField("most", T.LongType()), T.StructField("share", T.DoubleType())]))
+    part = F.shiftrightunsigned(F.col(name), 11) / F.lit(float(1 << 53))
+    near = rows.join(F.broadcast(table), rows[key] == F.col("of")).where(part < F.col("share"))
+    others = [c for c in rows.columns if c not in (key, name)]
+    near = near.distinct().withColumn("place", F.row_number().over(Window.partitionBy("of").orderBy(F.shiftrightunsigned(F.col(name), 11), name, *others)))
+    return near.where("place <= most").select(*rows.columns)
+
+
+def _examples(column: pa.Array, draws: np.ndarray) -> list[bytes]:
+    """Of each text the histograms (16-bit floats) of the whole and of a piece of each length, at a place that its draw tells."""
+    out = []
+    for text, draw in zip(column.to_pylist(), draws.view(np.uint64).tolist(), strict=True):
+        pieces = [text]
+        for k, length in enumerate(PIECES):
+            at = (draw >> (24 * k)) % max(1, len(text) - length)
+            pieces.append(text[at : at + length])
+        x = np.concatenate([features(buf, offs) for _, buf, offs in shared.text_chunks(pa.array(pieces, pa.large_string()))])
+        out.append(x.astype(np.float16).tobytes())
+    return out
+
+
 def fit(docs: DataFrame) -> Model:
-    """Fit on ``docs`` (doc_id, text, lang): FIT_DOCS documents of each language, those of the least hash of doc_id.
+    """Fit on ``docs`` (doc_id, text, lang): FIT_DOCS documents of each language (less with many languages), those of the least hash of doc_id and text.
 
-    Rows whose lang or text is null or whose text is blank or over FIT_BYTES are not used.  Without labelled rows the model
-    knows no language.  Only doc_ids are ranked (with a limit inside each task);
-    texts are fetched for the chosen ones.
+    Every language takes part.  Rows whose lang or text is null or whose text is empty
+    are not used; repeated rows count once.  Without labelled rows the model knows no
+    language.  Texts stay in the cluster; the driver gets histograms.
     """
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text").between(1, FIT_BYTES))
-    often = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()]
-    if not often:
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return Model([], codewords(0))
-    draw = F.xxhash64(F.col("doc_id"))
-    ranked = rows.where(F.col("lang").isin(often)).select("doc_id", "lang", draw.alias("draw"))
-    chosen = ranked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("place") <= FIT_DOCS)
-    chosen = chosen.select("doc_id", "lang").distinct()
-    picked = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
-    texts, langs = picked["text"].to_pylist(), picked["lang"].to_pylist()
-    del picked
-    model = train(texts, langs)
-    del texts
+    limit = max(FIT_LEAST, min(FIT_DOCS, FIT_ROWS // len(counts)))
+    chosen = sampled(rows.select("lang", "draw"), "lang", {v: (limit, n) for v, n in counts.items()})
+    # (lang, draw) names a text, repeats of it meet in the aggregate
+    picked = rows.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_examples(batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)), pa.binary())], names=["lang", "draw", "x"])
+
+    table = shared.map_arrow(picked.select("lang", "draw", "text"), run, "lang string, draw long, x binary").toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
+    names = sorted(counts)
+    y = np.repeat(np.searchsorted(np.array(names, dtype=object), np.array(table["lang"].to_pylist(), dtype=object)), 1 + len(PIECES))
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float16).reshape(len(y), 2 * BUCKETS).astype(np.float32)
+    del table
+    model = train(x, y, names)
+    del x
     shared.settle(docs.sparkSession)
     return model
 
