@@ -310,6 +310,61 @@ def test_language_edges(spark, odd):
     assert langid.recognised(odd, langid.fit(odd)).columns == odd.columns
 
 
+def test_language_of_many(spark):
+    """Every language is learnt, however many there are, and whatever the length of its texts."""
+    rng = np.random.default_rng(13)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    alphabets = [rng.choice(letters, 9, replace=False) for _ in range(230)]
+    rows = []
+    for i in range(230 * 14):
+        own = alphabets[i % 230]
+        text = " ".join("".join(rng.choice(own, int(rng.integers(3, 8)))) for _ in range(40))
+        rows.append((i, text * (300 if i % 230 == 7 else 1), f"lang{i % 230}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identified(docs).toPandas().set_index("doc_id")
+    held = got[got["held_out"]]
+    truth = pd.Series({r[0]: r[2] for r in rows})[held.index]
+    assert len(set(got["lang_pred"])) == 230 and (held["lang_pred"] == truth).mean() > 0.9
+
+
+def test_language_losses_against_plain_formula():
+    rng = np.random.default_rng(14)
+    model = langid.Model([str(i) for i in range(9)], langid.codewords(9))
+    bits = model.code.shape[1]
+    model.weights, model.bias, model.trust = rng.normal(size=(2 * langid.BUCKETS, bits)), rng.normal(size=bits), rng.random(bits)
+    x = rng.random((5, 2 * langid.BUCKETS)) / 30
+    want = [[sum(model.trust[b] * np.log1p(np.exp(-model.code[k, b] * (x[i] @ model.weights[:, b] + model.bias[b]))) for b in range(bits)) for k in range(9)] for i in range(5)]
+    assert np.allclose(model.losses(x), want, rtol=1e-4)
+    best, score, _ = model.predict(x)
+    assert best.tolist() == np.argmin(want, axis=1).tolist() and ((score > 0) & (score <= 1)).all()
+
+
+def test_language_features_against_plain_counts():
+    texts = ["The  cat, 9 éa", "", "x", "aab aab"]
+    (_, buf, offs), = shared.text_chunks(pa.array(texts))
+    got = langid.features(buf, offs)
+    for text, row in zip(texts, got, strict=True):
+        data = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode())
+        data = re.sub(rb" +", b" ", b" " + data + b" ")
+        for k, size in ((0, 2), (1, 3)):
+            want = np.zeros(langid.BUCKETS)
+            for i in range(len(data) - size + 1):
+                want[((int.from_bytes(data[i : i + size], "big") * 2654435761) % (1 << 32)) >> 22] += 1
+            want = np.sqrt(want / max(1, want.sum()))
+            assert np.allclose(row[k * langid.BUCKETS : (k + 1) * langid.BUCKETS], want, atol=1e-6)
+
+
+def test_sample_is_bounded_and_least(spark):
+    frame = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("key"), F.xxhash64("id").alias("draw"))
+    frame = frame.unionByName(frame.limit(500))
+    counts = {r["key"]: (20, r["count"]) for r in frame.groupBy("key").count().collect()}
+    got = langid.sampled(frame, "key", counts).toPandas()
+    rows = frame.distinct().toPandas()
+    rows["order"] = rows["draw"].to_numpy().astype(np.int64).view(np.uint64)
+    want = rows.sort_values("order").groupby("key").head(20)
+    assert set(zip(got["key"], got["draw"], strict=True)) == set(zip(want["key"], want["draw"], strict=True))
+
+
 def toxic_rows(rng, n):
     rows = languages(rng, n)
     bad = ["moron", "idiota", "Dummkopf"]
@@ -336,6 +391,39 @@ def test_toxicity(spark):
     assert toxicity.clean(docs, model).columns == docs.columns
 
 
+def test_toxicity_scores_against_plain_formula(spark):
+    rows, labels = toxic_rows(np.random.default_rng(6), 300)
+    model = toxicity.fit(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    table = model.table()
+    texts = ["the moron and", "", "moron", "and " * 50 + "Dummkopf", "unseen words here", "12 !!"]
+
+    def logit(text):
+        words = re.findall(r"[a-z\x80-\U0010ffff]+", lower(text))
+        vectors = [table[int(toxicity.rows_of(np.array([lm_hash(w)], np.uint64))[0])] for w in words]
+        total, tap = model.intercept, 0
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                own = [max(0.0, model.bias[k * toxicity.FILTERS + f] + sum(float(vectors[i + j] @ model.filters[:, (tap + j) * toxicity.FILTERS + f]) for j in range(width) if i + j < len(vectors))) for i in range(len(vectors))]
+                total += max(own, default=0.0) * model.out[k * toxicity.FILTERS + f]
+            tap += width
+        return total
+
+    for _, buf, offs in shared.text_chunks(pa.array(texts)):
+        hashes, first = toxicity.chunk_hashes(buf, offs)
+        got = model.logits(table, *toxicity.padded(toxicity.rows_of(hashes), first))
+    assert np.allclose(got, [logit(t) for t in texts], atol=1e-3)
+    assert 0 < len(model.rows) < 200
+
+
+def test_toxicity_of_long_texts(spark):
+    """A class whose texts are all long is learnt."""
+    rng = np.random.default_rng(15)
+    rows = [(i, " ".join(rng.choice(["some", "plain", "words"], 15_000 if i % 2 else 20)) + (" moron " if i % 2 else " fine "), "aa", "s", 0) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(spark.createDataFrame(rows, DOC), labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (4, None, None), (None, 1, 1), (5, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.scored(odd, labels).count() == 9
