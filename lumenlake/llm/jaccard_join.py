@@ -26,10 +26,13 @@ every link without comparing all pairs:
    (which no other set has) rule a link out are not verified.  All decisions are
    exact; nothing is capped.
 
-Scale: texts never shuffle.  The documents are scanned by vectorised Python
-(Arrow batches); what shuffles are class-1 tokens of the low hash range (5/16 of
-all tokens) and, for candidates only, whole sets.  Broadcast are the frequent
-tokens (at most 65,536 longs) and a 1 MB bit set of candidates.
+Scale: texts never shuffle.  The documents are scanned four times by vectorised
+Python (Arrow batches): for their sets' ids and frequent tokens, for the low range,
+for the other signatures, and for the whole sets of candidates, which are written as
+a table once and read from there.  What shuffles are class-1 tokens of the low hash
+range (5/16 of all tokens) and, for candidates only, whole sets.  Broadcast are the
+frequent tokens (at most 65,536 longs) and a bit set of candidates, FILTER_BITS long
+at most.
 """
 
 from __future__ import annotations
@@ -57,8 +60,8 @@ LOW = np.uint64((5 << 60) - 1)
 STAR_ROUNDS = 2
 #: Tokens of a block when groups are compared whole.
 BLOCK_TOKENS = 200_000
-#: Bits of the candidate filter (1 MB).
-FILTER_BITS = 1 << 23
+#: Bits of the candidate filter: sixteen for each candidate within these limits (128 kB, 32 MB).
+FILTER_BITS = (1 << 20, 1 << 28)
 
 
 def _set_id(tokens: np.ndarray) -> int:
@@ -104,42 +107,37 @@ def document_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = T.StructType([T.StructField("doc_id", key), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("token", T.LongType()), T.StructField("hits", T.LongType())])
 
     def each(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            sizes = np.zeros(len(ids), np.int64)
-            sets = np.zeros(len(ids), np.int64)
-            held: list[np.ndarray] = []
-            tokens, hits = [], []
+        held: list[np.ndarray] = []
+        weight = 0
+
+        def settle(ids_type):
+            """Lossy counting: what falls short of the share in this run of documents cannot matter."""
+            nonlocal weight
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            keep = counts >= max(2, weight * HOT_SHARE)
+            held.clear()
             weight = 0
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(none), ids_type), none, none, pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], schema=out_schema)
 
-            def settle():
-                """Lossy counting: what falls short of the share in this run of documents cannot matter."""
-                nonlocal weight
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                keep = counts >= max(2, weight * HOT_SHARE)
-                tokens.append(values[keep].view(np.int64))
-                hits.append(counts[keep])
-                held.clear()
-                weight = 0
-
+        for batch in batches:
+            ids = batch.column(0)
+            out_schema = pa.schema([("doc_id", ids.type), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("token", pa.int64()), ("hits", pa.int64())])
+            n = len(ids)
+            sizes = np.zeros(n, np.int64)
+            sets = np.zeros(n, np.int64)
             for row, part in shared.shingle_sets(batch.column(1)):
                 sizes[row] = len(part)
                 if len(part):
                     sets[row] = _set_id(part)
-                    held.append(part)
+                    held.append(part.copy())
                     weight += len(part)
                     if weight >= 1 << 20:
-                        settle()
-            if held:
-                settle()
-            out_schema = pa.schema([("doc_id", ids.type), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("token", pa.int64()), ("hits", pa.int64())])
-            n = len(ids)
+                        yield settle(ids.type)
             nulls = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sets, mask=sizes == 0), nulls, nulls], schema=out_schema)
-            if tokens:
-                found = np.concatenate(tokens)
-                none = pa.nulls(len(found), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(found), ids.type), none, none, pa.array(found), pa.array(np.concatenate(hits).astype(np.int64))], schema=out_schema)
+        if held:
+            yield settle(ids.type)
 
     both = shared.cut(_scan(docs.select("doc_id", "text"), schema, each))
     return both.where("hits IS NULL").select("doc_id", "n_shingles", "set_id"), both.where("hits IS NOT NULL").select("token", "hits")
@@ -213,8 +211,9 @@ def _index(docs: DataFrame, hot, num: int, den: int) -> DataFrame:
     own = shared.cut(own.withColumns({"place": place, "lone": lone}).select("sig", "set_id", "n", "lone", F.expr("place = 1").alias("first"), (F.col("place") <= need - F.col("lone")).alias("inside")))
     known = own.where("first").select("set_id", "lone")
     direct = _prefixes(docs, hot, num, den, False).join(known, "set_id", "left").select("sig", "set_id", "n", F.coalesce("lone", "n_low").alias("lone"))
+    # dealt by both columns: a list may hold a large part of all sets
     rows = own.where("inside").select("sig", "set_id", "n", "lone").unionByName(direct)
-    rows = shared.cut(rows.repartition("sig").dropDuplicates(["sig", "set_id"]))
+    rows = shared.cut(rows.dropDuplicates(["sig", "set_id"]))
     # Lists of the same sets say the same: one of them stays.  Lists of one set say nothing.
     mark = F.xxhash64(F.col("set_id"), F.lit(1)).cast("decimal(38,0)")
     lists = rows.groupBy("sig").agg(F.sum(mark).alias("mark"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -233,23 +232,25 @@ def _possible(a: str, b: str, num: int, den: int):
     return near & (common * (den + num) >= (n + m) * num)
 
 
-def _candidate_filter(spark: SparkSession, pairs: DataFrame):
-    """A bit set of fixed size of the sets in ``pairs`` (a, b or set_id); it only saves work, joins decide."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct() if "a" in pairs.columns else pairs.select(F.col("set_id").alias("id")).distinct()
-    slot = F.pmod("id", F.lit(FILTER_BITS))
+def _candidate_filter(spark: SparkSession, ids: DataFrame):
+    """A bit set of the ``ids`` (set_id); it only saves work, joins decide."""
+    n = ids.count()
+    size = min(max(1 << (16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    slot = F.pmod("set_id", F.lit(size))
     rows = ids.groupBy(F.floor(slot / F.lit(32768)).alias("k")).agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(32768))).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in rows:
         bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return spark.sparkContext.broadcast(bits)
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, tokens: packed sorted hashes) of the sets in ``wanted`` (and of few others), read from the texts again."""
+def _whole_sets(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """(set_id, tokens: packed sorted hashes) of the sets in ``wanted`` (and of few others) as a table, and its path."""
     bits = _candidate_filter(docs.sparkSession, wanted)
 
     def each(batches):
         chosen = bits.value
+        mask = len(chosen) * 8 - 1
         seen: set[int] = set()
         ids, sets, size = [], [], 0
 
@@ -261,7 +262,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if not len(part):
                     continue
                 me = _set_id(part)
-                slot = me % FILTER_BITS
+                slot = me & mask
                 if chosen[slot >> 3] >> (slot & 7) & 1 and me not in seen:
                     seen.add(me)
                     ids.append(me)
@@ -273,10 +274,10 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    return _scan(docs.select("text"), "set_id long, tokens binary", each).dropDuplicates(["set_id"])
+    return shared.write_table(_scan(docs.select("text"), "set_id long, tokens binary", each).dropDuplicates(["set_id"]))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
 
     def similar(batches):
@@ -290,13 +291,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
                 keep[i] = den * common >= num * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    sets = _whole_sets(docs, pairs)
     with_a = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
     return shared.map_arrow(with_b.select("a", "b", "x", "y"), similar, "a long, b long")
 
 
-def _verified_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+def _verified_blocks(sets: DataFrame, queries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between ``queries`` and ``members`` (hub, set_id, n, root) of one hub and of different components (root).
 
     Groups may be large, so no pairs are listed: members and queries are cut into
@@ -304,7 +304,6 @@ def _verified_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, nu
     of members, whose tokens are one sorted array.  Of a query's links in a block
     one to each component is enough, as components are connected.
     """
-    sets = shared.cut(_whole_sets(docs, members.select("set_id").distinct()))
     sizes = members.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("m_blocks"))
     sizes = sizes.join(queries.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("q_blocks")), "hub")
     placed = {}
@@ -341,7 +340,7 @@ def _verified_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, nu
     return placed["m"].cogroup(placed["q"]).applyInArrow(meet, "a long, b long")
 
 
-def _apart(docs: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
+def _apart(sets: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
     """Links between members of ``named`` lists (sig, set_id, n, lone, root) that are in different components.
 
     Lists with one leader make one group (its hub), so two sets that any list
@@ -356,49 +355,37 @@ def _apart(docs: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
     queries = shared.cut(members.join(largest, "hub").where("root <> largest").select("hub", "set_id", "n", "root"))
     if queries.isEmpty():
         return queries.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
-    return shared.cut(_verified_blocks(docs, queries, members, num, den))
+    return shared.cut(_verified_blocks(sets, queries, members, num, den))
 
 
-def _all_lone(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``sets`` (set_id) -> (set_id, lone): how many of all tokens of a set none of the others has (at least)."""
-    bits = _candidate_filter(docs.sparkSession, sets)
+def _all_lone(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, all_lone) of the sets ``wanted`` (set_id): how many of all tokens of a set none of the others has."""
 
     def each(batches):
-        wanted = bits.value
-        seen: set[int] = set()
         for batch in batches:
-            rows, held = [], 0
-            for _, part in shared.shingle_sets(batch.column(0)):
-                if len(part):
-                    me = _set_id(part)
-                    slot = me % FILTER_BITS
-                    if wanted[slot >> 3] >> (slot & 7) & 1 and me not in seen:
-                        seen.add(me)
-                        rows.append((part.copy(), me))
-                        held += len(part)
-                if held >= 200_000:
-                    yield pairs_of(rows)
-                    rows, held = [], 0
-            if rows:
-                yield pairs_of(rows)
-
-    def pairs_of(rows):
-        tokens = np.concatenate([r[0] for r in rows]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), [len(r[0]) for r in rows]))], names=["token", "set_id"])
-
-    owners = _scan(docs.select("text"), "token long, set_id long", each).groupBy("token").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("last"))
+            for i in range(0, batch.num_rows, 100):
+                ids, blobs = batch.column(0)[i : i + 100], batch.column(1)[i : i + 100].to_pylist()
+                tokens = np.frombuffer(b"".join(blobs), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(ids.to_numpy(), [len(x) // 8 for x in blobs]))], names=["token", "set_id"])
+
+    owners = shared.map_arrow(sets.join(wanted, "set_id", "left_semi").select("set_id", "tokens"), each, "token long, set_id long").groupBy("token").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("last"))
     return owners.where("set_id = last").groupBy("set_id").agg(F.count(F.lit(1)).cast("int").alias("all_lone"))
 
 
-def set_links(docs: DataFrame, heavy: DataFrame, total: int, num: int, den: int) -> DataFrame:
-    """(node, root) over set ids: the components of all links between different sets."""
-    spark = docs.sparkSession
+def _hot(heavy: DataFrame, total: int, num: int, den: int):
+    """The frequent tokens, sorted, as a broadcast."""
     hot: list[int] = []
     if 4 * num >= 3 * den:  # below 0.75 neighbouring frequent tokens prove nothing: all tokens are class 1
         least = max(HOT_LEAST, total * HOT_SHARE)
         hot = [r[0] for r in heavy.groupBy("token").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= least).select("token").collect()]
-    frequent = spark.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64).view(np.uint64)))
-    index = _index(docs, frequent, num, den)
+    return heavy.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64).view(np.uint64)))
+
+
+def set_links(docs: DataFrame, heavy: DataFrame, total: int, num: int, den: int) -> DataFrame:
+    """(node, root) over set ids: the components of all links between different sets."""
+    spark = docs.sparkSession
+    index = _index(docs, _hot(heavy, total, num, den), num, den)
+    sets, path = _whole_sets(docs, index.select("set_id").distinct())
 
     edges = spark.createDataFrame([], "a long, b long")
     tried = edges
@@ -411,11 +398,11 @@ def set_links(docs: DataFrame, heavy: DataFrame, total: int, num: int, den: int)
         named = shared.cut(named.join(apart, "sig"))
         if turn == 1:
             # For what is left, count lonely tokens in the whole sets: better leaders, and fewer pairs that may link.
-            lone = _all_lone(docs, named.select("set_id").distinct())
+            lone = _all_lone(sets, named.select("set_id").distinct())
             index = shared.cut(named.join(lone, "set_id", "left").select("sig", "set_id", "n", F.greatest("lone", F.coalesce("all_lone", F.lit(0))).alias("lone")))
             named = index.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         if turn == STAR_ROUNDS:
-            found = _apart(docs, named, num, den)
+            found = _apart(sets, named, num, den)
         else:
             # Each list's members against its leader, the set with the fewest tokens of its own.
             leaders = named.groupBy("sig").agg(F.min(F.struct("lone", "set_id", "n", "root")).alias("x"))
@@ -426,13 +413,42 @@ def set_links(docs: DataFrame, heavy: DataFrame, total: int, num: int, den: int)
             if pairs.isEmpty():
                 continue
             tried = tried.unionByName(pairs)
-            found = shared.cut(_verified(docs, pairs, num, den))
+            found = shared.cut(_verified(sets, pairs, num, den))
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = shared.cut(components(edges))
+    shared.drop_table(spark, path)
     return labels
 
 
+def links(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text) -> classes (doc_id, n_shingles, set_id, copies, links) and pairs (a, b: set_id) of all links.
+
+    A class are the documents of one set; copies says how many they are, links with
+    how many other documents one links: its copies, and the copies of the sets that
+    its set links with.  pairs (a < b) are all links between different sets.  Null,
+    empty and blank texts have set_id null, one copy and no links.  Every two sets
+    that an index list holds are compared, in blocks (see ``_apart``).
+    """
+    num, den = similarity
+    rows, heavy = document_sets(docs)
+    total = rows.agg(F.sum("n_shingles")).first()[0]
+    spark = docs.sparkSession
+    pairs = spark.createDataFrame([], "a long, b long")
+    if total:
+        index = _index(docs, _hot(heavy, total, num, den), num, den)
+        sets, path = _whole_sets(docs, index.select("set_id").distinct())
+        # each set is a component of its own, so no comparison is left out
+        found = _apart(sets, index.withColumn("root", F.col("set_id")), num, den)
+        pairs = shared.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        shared.drop_table(spark, path)
+    copies = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(copies.select(F.col("set_id").alias("b"), F.col("copies").alias("theirs")), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("theirs").alias("near"))
+    counted = copies.join(near, "set_id", "left").select("set_id", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return rows.join(counted, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links")), pairs
+
+
 def jaccard_components(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text; more columns are ignored) -> doc_id, n_shingles, component_id, one row per input row.
 

@@ -238,6 +238,39 @@ def test_large_group_of_near_copies(spark, monkeypatch, hot_least):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("seed,hot_least", [(3, 64), (4, 3)])
+def test_links_are_complete(spark, monkeypatch, seed, hot_least):
+    """All links between different sets, and each document's number of links, against all pairs."""
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", hot_least)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 300)
+    rng = np.random.default_rng(seed)
+    base = " ".join(f"b{i}" for i in range(90))
+    rows = near_corpus(seed) + [(1000 + i, edit(rng, base, int(rng.integers(0, 5)))) for i in range(40)] + [(2000, None), (2001, " "), (2002, base), (2002, base)]
+    classes, pairs = jaccard_join.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    sets = [shingles(t) for _, t in rows]
+    linked = [[bool(x and y) and 100 * len(x & y) >= 75 * len(x | y) for y in sets] for x in sets]
+    want = sorted((key, len(x), sum(own) - bool(x)) for (key, _), x, own in zip(rows, sets, linked, strict=True))
+    got = classes.collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["links"]) for r in got) == want
+    names = {r["doc_id"]: r["set_id"] for r in got}
+    distinct = {tuple(sorted((names[rows[i][0]], names[rows[j][0]]))) for i in range(len(rows)) for j in range(i) if linked[i][j] and sets[i] != sets[j]}
+    found = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == distinct
+    empty, none = jaccard_join.links(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.count() == none.count() == 0
+
+
+def test_frequent_tokens_are_counted_over_batches(spark, monkeypatch):
+    """A token that each batch holds once is counted."""
+    monkeypatch.setattr(shared, "BATCH_ROWS", 10)
+    rng = np.random.default_rng(9)
+    rows = [(i, "one very common passage here " + prose(rng, 12, 10**6)) for i in range(1, 200)]
+    every_tenth = [(i, t if i % 10 == 0 else prose(rng, 17, 10**6)) for i, t in rows]
+    frame = spark.createDataFrame(every_tenth, "doc_id long, text string").coalesce(1)
+    _, heavy = jaccard_join.document_sets(frame)
+    assert heavy.groupBy("token").sum("hits").agg(F.max("sum(hits)")).first()[0] == 19
+
+
 def test_frequent_prefix_proves_links():
     """Any two linked sets of frequent tokens share a combination of their prefixes."""
     rng = np.random.default_rng(0)
