@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -520,6 +521,59 @@ def test_html_extraction(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+ARTICLE = ("This is a long article of prose, with many words and marks. " * 7)[:395].strip()
+
+
+@pytest.mark.parametrize("around", ["<div>%s</div>", "<div class='sidebar-layout'>%s</div>", "<div id='legal'>%s</div>", "<div class='status page'>%s</div>", "<form id='aspnet'><div>%s</div></form>", "<article aria-label='Social media and search'>%s</article>", "<div data-id='comment 7'>%s</div>", "<div title='a hidden gem'>%s</div>"])
+def test_html_names_do_not_veto(around):
+    assert html_extract.main_text(around % f"<p>{ARTICLE}</p>") == ARTICLE
+    parts = ["A title", ARTICLE[:200].strip(), ARTICLE[200:].strip(), "short item", "And."]
+    inner = f"<h1>{parts[0]}</h1><p>{parts[1]}</p><p>{parts[2]}<ul><li>{parts[3]}</ul><p>{parts[4]}"
+    page = f"<body><nav><a href=x>Home</a> <a href=y>News</a></nav><p hidden>{ARTICLE[:80]}</p>{around % inner}<div class=comments><p>{ARTICLE[:150]}</p></div><div class='ad'>Buy. Now. Cheap.</div><footer>Copyright, us.</footer></body>"
+    assert html_extract.main_text(page) == " ".join(parts)
+
+
+def test_html_reading_is_linear():
+    began = time.process_time()
+    for page in ('<a "' * 250_000, '<a b="' * 200_000 + ">", "<a b='x c=\"" * 90_000 + ">", "<div>x y" * 50_000, "<b>" * 50_000 + "<div>t</div>" * 20_000, "<i>" * 30_000 + "</u></b>" * 30_000, "<ul><li>x" * 20_000, "< " * 300_000, "<script>" * 50_000, "<!-- " * 90_000):
+        html_extract.main_text(page)
+    assert time.process_time() - began < 30
+
+
+def test_html_scores_against_plain_ratios():
+    rng = np.random.default_rng(17)
+    tags = ["div", "p", "section", "h2", "li"]
+    for _ in range(20):
+        html, open_tags = "", []
+        for _ in range(60):
+            if open_tags and rng.random() < 0.5:
+                html += f"</{open_tags.pop()}>"
+            else:
+                open_tags.append(str(rng.choice(tags[::2])))
+                html += f"<{open_tags[-1]}>"
+            words = " ".join("word" + "." * int(rng.integers(0, 2)) for _ in range(int(rng.integers(0, 30))))
+            html += words if rng.random() < 0.7 else f"<a href=x>{words}</a> tail"
+        page = html_extract.read(html)
+        names, free = [], []
+        for e in page.element:
+            path = []
+            while e:
+                path.append(page.tag[e])
+                e = page.parent[e]
+            names.append("/".join(reversed(path)))
+        ratio = {}
+        for name in set(names):
+            own = [i for i, x in enumerate(names) if x == name]
+            chars = sum(len(page.texts[i]) for i in own)
+            prose = 1 - sum(page.linked[i] for i in own) / chars
+            ratio[name] = (chars / len(own) * prose, (1 + sum(page.texts[i].count(".") for i in own) / len(own)) * prose, prose)
+        kernel = [np.exp(-0.5 * (d / html_extract.SIGMA) ** 2) for d in range(-3, 4)]
+        smooth = [[sum(k * ratio[names[min(max(i + d, 0), len(names) - 1)]][s] for d, k in zip(range(-3, 4), kernel, strict=True)) / sum(kernel) for i in range(len(names))] for s in (0, 1)]
+        fused = [np.sqrt(smooth[0][i] * smooth[1][i] * ratio[x][2]) for i, x in enumerate(names)]
+        want = [np.mean([fused[j] for j, y in enumerate(names) if y == x]) for x in names]
+        assert np.allclose(html_extract.path_scores(page), want)
+
+
 # ------------------------------------------------------------------ op8
 
 
