@@ -7,7 +7,6 @@ for ``select`` instead of a search in a frame's columns.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import combinations
 
 SCALES = (0, 1, 2, 4)
 ZONES = ("lesion", "inner", "outer")
@@ -62,48 +61,65 @@ ALL = tuple(c for names in FAMILIES.values() for c in names)
 FROZEN = (*BASIC, *FRACTAL, *MULTIZONE)
 
 
-def _groups() -> dict[str, tuple[str, ...]]:
-    single = {"basic": BASIC, "fractal": FRACTAL, "extrema": EXTREMA}
-    groups = single | {"extrema_full": EXTREMA, "extrema_compact": EXTREMA_COMPACT, "multizone_extrema": MULTIZONE}
-    # two families beside each other, with all extrema or the compact ones
-    for first, second in combinations(single, 2):
-        groups[f"{first}_{second}"] = (*single[first], *single[second])
-        if second == "extrema":
-            groups[f"{first}_{second}_compact"] = (*single[first], *EXTREMA_COMPACT)
-    groups |= {
-        "fused": (*BASIC, *FRACTAL, *EXTREMA),
-        "fused_full": (*BASIC, *FRACTAL, *EXTREMA),
-        "fused_compact": (*BASIC, *FRACTAL, *EXTREMA_COMPACT),
-        "basic_margin_extrema": (*BASIC, *MARGIN),
-        "basic_multizone_extrema": (*BASIC, *MULTIZONE),
-        "fractal_multizone_extrema": (*FRACTAL, *MULTIZONE),
-        "fused_multizone": FROZEN,
-    }
+_LESION, _INNER, _OUTER = ((*_multifractal(z), *_wavelet(z)) for z in ZONES)
+
+#: Named groups of columns (fixed values: the names that studies use, and what they hold).
+GROUPS: dict[str, tuple[str, ...]] = {
+    # single families
+    "basic": BASIC,
+    "fractal": FRACTAL,
+    "extrema": EXTREMA,
+    "extrema_full": EXTREMA,
+    "extrema_compact": EXTREMA_COMPACT,
+    "multizone_extrema": MULTIZONE,
+    # families beside each other
+    "basic_fractal": (*BASIC, *FRACTAL),
+    "basic_extrema": (*BASIC, *EXTREMA),
+    "basic_extrema_compact": (*BASIC, *EXTREMA_COMPACT),
+    "fractal_extrema": (*FRACTAL, *EXTREMA),
+    "fractal_extrema_compact": (*FRACTAL, *EXTREMA_COMPACT),
+    "fused": (*BASIC, *FRACTAL, *EXTREMA),
+    "fused_full": (*BASIC, *FRACTAL, *EXTREMA),
+    "fused_compact": (*BASIC, *FRACTAL, *EXTREMA_COMPACT),
+    "basic_margin_extrema": (*BASIC, *MARGIN),
+    "basic_multizone_extrema": (*BASIC, *MULTIZONE),
+    "fractal_multizone_extrema": (*FRACTAL, *MULTIZONE),
+    "fused_multizone": FROZEN,
     # screens of the wide table
-    parts = {"multifractal": MULTIFRACTAL, "wavelet": WAVELET, "shape": SHAPE}
-    groups |= {f"{n}{len(c)}": c for n, c in parts.items()}
-    groups |= {"frozen98": FROZEN, "advanced76": ADVANCED, "frozen98_advanced": (*FROZEN, *ADVANCED), "frozen98_component_tree": (*FROZEN, *COMPONENT_TREE)}
-    groups |= {f"frozen98_{n}": (*FROZEN, *c) for n, c in parts.items()}
-    groups["frozen98_multifractal_shape"] = (*FROZEN, *MULTIFRACTAL, *SHAPE)
+    "multifractal30": MULTIFRACTAL,
+    "wavelet36": WAVELET,
+    "shape10": SHAPE,
+    "frozen98": FROZEN,
+    "advanced76": ADVANCED,
+    "frozen98_advanced": (*FROZEN, *ADVANCED),
+    "frozen98_component_tree": (*FROZEN, *COMPONENT_TREE),
+    "frozen98_multifractal": (*FROZEN, *MULTIFRACTAL),
+    "frozen98_wavelet": (*FROZEN, *WAVELET),
+    "frozen98_shape": (*FROZEN, *SHAPE),
+    "frozen98_multifractal_shape": (*FROZEN, *MULTIFRACTAL, *SHAPE),
     # comparators with connected morphology
-    base = {"conventional": BASIC, "conv_fractal": (*BASIC, *FRACTAL), "fused_extrema": FROZEN}
-    groups |= base | {"component_tree": COMPONENT_TREE} | {f"{'conv' if n == 'conventional' else n}_component_tree": (*c, *COMPONENT_TREE) for n, c in base.items()}
-    # factorial of three blocks: each choice of them, named by their letters and its size
-    blocks = {"gf": MULTIFRACTAL, "w": WAVELET, "s": SHAPE}
-    for n in (1, 2, 3):
-        for chosen in combinations(blocks, n):
-            columns = tuple(c for k in chosen for c in blocks[k])
-            groups[f"{''.join(chosen) if n < 3 else 'gfwb'}{len(columns)}"] = columns
+    "conventional": BASIC,
+    "conv_fractal": (*BASIC, *FRACTAL),
+    "fused_extrema": FROZEN,
+    "component_tree": COMPONENT_TREE,
+    "conv_component_tree": (*BASIC, *COMPONENT_TREE),
+    "conv_fractal_component_tree": (*BASIC, *FRACTAL, *COMPONENT_TREE),
+    "fused_extrema_component_tree": (*FROZEN, *COMPONENT_TREE),
+    # factorial of three blocks
+    "gf30": MULTIFRACTAL,
+    "w36": WAVELET,
+    "s10": SHAPE,
+    "gfw66": (*MULTIFRACTAL, *WAVELET),
+    "gfs40": (*MULTIFRACTAL, *SHAPE),
+    "ws46": (*WAVELET, *SHAPE),
+    "gfwb76": (*MULTIFRACTAL, *WAVELET, *SHAPE),
     # one zone of the advanced block, and all its texture
-    for zone in ZONES:
-        columns = (*_multifractal(zone), *_wavelet(zone))
-        groups[f"{zone}{len(columns)}"] = columns
-    groups["texture66"] = (*MULTIFRACTAL, *WAVELET)
-    groups |= {"all": ALL}
-    return groups
-
-
-GROUPS = _groups()
+    "lesion22": _LESION,
+    "inner22": _INNER,
+    "outer22": _OUTER,
+    "texture66": (*MULTIFRACTAL, *WAVELET),
+    "all": ALL,
+}
 #: Sizes that the formats fix; checked when the module is read.
 SIZES = {"basic": 24, "fractal": 11, "extrema": 59, "extrema_compact": 19, "multizone_extrema": 63, "fused": 94, "frozen98": 98, "advanced76": 76, "component_tree": 54, "texture66": 66} | {n: int("".join(filter(str.isdigit, n))) for n in GROUPS if n[-1].isdigit()}
 for _name, _size in SIZES.items():

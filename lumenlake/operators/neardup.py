@@ -9,16 +9,34 @@ hash are joined as one, and a pair is listed by the first band it agrees in.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(frame: DataFrame) -> DataFrame:
-    spark: SparkSession = frame.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def _shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a folder of this machine only where that is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenlake-"))
-    return frame.checkpoint(eager=True)
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def _stored(frame: DataFrame) -> tuple[DataFrame, str]:
+    """``frame`` as a Parquet table in the shared folder, and its path."""
+    spark = frame.sparkSession
+    path = f"{_shared_dir(spark)}/components-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bands(distance: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -50,28 +68,39 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits:
     return both.select(F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"), F.col("hamming").cast("int").alias("hamming"))
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame:
-    """``nodes`` (node), ``edges`` (first, second) -> node, root: the smallest node reachable, by label minima with shortcuts.
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's greater neighbours are tied to the least of its neighbours and itself."""
+    both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
+    least = both.groupBy("high").agg(F.min("low").alias("root")).select("high", F.least("high", "root").alias("root"))
+    return both.join(least, "high").where("low > high").select(F.col("low").alias("high"), F.col("root").alias("low")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node's smaller neighbours and itself are tied to the least of them."""
+    least = edges.groupBy("high").agg(F.min("low").alias("root"))
+    moved = edges.join(least, "high").where("low <> root").select(F.col("low").alias("high"), F.col("root").alias("low"))
+    return moved.unionByName(least.select("high", F.col("root").alias("low"))).distinct()
+
+
+def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` (node), ``edges`` (first, second) -> node, root: the smallest node reachable.
 
-    A step lowers each label to the least of its neighbours' and then to its
-    label's label, so a chain of length n settles in about log n steps.  State is
-    checkpointed; RuntimeError beyond ``limit`` steps.
+    Star steps until nothing changes: some log of the longest chain's length.  A hub
+    with a large part of all edges is a grouped minimum, added up in each task first.
     """
-    both = _cut(edges.select(F.col("first").alias("a"), F.col("second").alias("b")).unionByName(edges.select(F.col("second").alias("a"), F.col("first").alias("b"))).where("a <> b").distinct())
-    labels = _cut(nodes.select("node").distinct().withColumn("root", F.col("node")))
-    for _ in range(limit):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
-        lower = labels.join(near, labels["node"] == near["a"], "left").select("node", "root", F.least("root", F.coalesce("theirs", "root")).alias("low"))
-        jump = lower.select(F.col("node").alias("up"), F.col("low").alias("upper"))
-        # a root that found a lower label takes its members along
-        step = lower.join(jump.withColumnRenamed("up", "of").withColumnRenamed("upper", "of_root"), F.col("root") == F.col("of"), "left")
-        step = step.select("node", "root", F.least("low", F.coalesce("of_root", "low")).alias("new"))
-        step = step.join(jump, F.col("new") == F.col("up"), "left").select("node", "root", F.least("new", F.coalesce("upper", "new")).alias("new"))
-        step = _cut(step)
-        labels = step.select("node", F.col("new").alias("root"))
-        if step.where("root <> new").isEmpty():
-            return labels
-    raise RuntimeError(f"labels did not settle in {limit} steps")
+    spark = nodes.sparkSession
+    now, path = _stored(edges.where("first <> second").select(F.greatest("first", "second").alias("high"), F.least("first", "second").alias("low")).distinct())
+    state = None
+    while True:
+        new, new_path = _stored(_small_star(_large_star(now)))
+        _dropped(spark, path)
+        now, path = new, new_path
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
+        if seen == state:
+            break
+        state = seen
+    roots = now.select(F.col("high").alias("node"), F.col("low").alias("root"))
+    return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def visual_groups(labels: DataFrame, attributes: DataFrame, label: str) -> DataFrame:

@@ -171,6 +171,17 @@ def test_hamming_pairs_are_complete(spark):
         assert got == want
 
 
+def test_component_labels_of_a_long_chain(spark):
+    """The planner's estimate stays with the table, and a chain settles in few steps."""
+    n = 100_000
+    spread = lambda c: (c * 7919) % n
+    edges = spark.range(n - 1).select(spread(F.col("id")).alias("first"), spread(F.col("id") + 1).alias("second"))
+    got = neardup.component_labels(spark.range(n + 5).select(F.col("id").alias("node")), edges)
+    assert int(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 50
+    counts = {r["root"]: r["count"] for r in got.groupBy("root").count().collect()}
+    assert counts == {0: n} | {n + i: 1 for i in range(5)}
+
+
 def test_component_labels(spark):
     nodes = spark.range(60).withColumnRenamed("id", "node")
     edges = spark.createDataFrame([(i, i + 1) for i in range(29)] + [(40, 50), (50, 45), (45, 45)], "first long, second long")
