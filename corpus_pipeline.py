@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm import bpe, jaccard_join, langid, mixing, toxicity
-from lumenlake.llm.shared import table, write_table
+from lumenlake.llm.shared import drop_table, table, write_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table goes when the next one's is written (the last is read by the result)."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = write_table(stage(spark, docs, sf_dir))
+        docs, written = write_table(stage(spark, docs, sf_dir))
+        if path:
+            drop_table(spark, path)
+        path = written
     return STAGES[-1][1](spark, docs, sf_dir)
