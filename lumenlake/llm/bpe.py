@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlake.llm.shared import map_arrow
+from lumenlake.llm.shared import kept, map_arrow
 
 #: How the byte-level tokenizer splits text into words (fixed value of that format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -148,7 +147,6 @@ class Automaton:
         return all(self.arc(a, b) for a, b in zip(tokens, tokens[1:], strict=False))
 
 
-@lru_cache(maxsize=2)
 def compiled(text: bytes) -> Automaton:
     """The automaton of a byte-level BPE tokenizer file's contents (its merges, vocabulary and added tokens)."""
     spec = json.loads(text)
@@ -175,7 +173,7 @@ class Codec:
     """Encodes whole texts to packed little-endian unsigned 32-bit ids and back."""
 
     def __init__(self, text: bytes):
-        self.automaton = compiled(text)
+        self.automaton = kept(("bpe", len(text), hash(text)), lambda: compiled(text))
         self.words = _Words(self.automaton)
         self.find = regex.compile(PATTERN).findall
         special = sorted(self.automaton.special, key=len, reverse=True)

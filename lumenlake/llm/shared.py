@@ -69,12 +69,30 @@ def write_table(frame: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(frame.schema).parquet(path), path
 
 
+#: What a worker keeps from task to task, and the module whose tasks it ran last.
+_KEPT: dict = {}
+_OWNER: list[str] = [""]
+
+
+def kept(key, make):
+    """``make()``, made once a worker as long as it runs tasks of one operator."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def map_arrow(frame: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(frame.sparkSession)
     frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    owner = function.__module__
 
     def run(batches):
+        if _OWNER[0] != owner:  # another operator's stores are not needed beside this one's
+            _KEPT.clear()
+            _OWNER[0] = owner
+            release()
         yield from function(batches)
         release()
 

@@ -429,11 +429,12 @@ def test_toxicity_scores_against_plain_formula(spark):
     rows, labels = toxic_rows(np.random.default_rng(6), 300)
     model = toxicity.fit(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     table = model.table()
+    assert len(table[0]) == (1 << toxicity.ROW_BITS) + 1 and not table[1][0].any()
     texts = ["the moron and", "", "moron", "and " * 50 + "Dummkopf", "unseen words here", "12 !!"]
 
     def logit(text):
         words = re.findall(r"[a-z\x80-\U0010ffff]+", lower(text))
-        vectors = [table[int(toxicity.rows_of(np.array([lm_hash(w)], np.uint64))[0])] for w in words]
+        vectors = [table[1][table[0][int(toxicity.rows_of(np.array([lm_hash(w)], np.uint64))[0])]] for w in words]
         total, tap = model.intercept, 0
         for k, width in enumerate(toxicity.WIDTHS):
             for f in range(toxicity.FILTERS):
@@ -446,6 +447,9 @@ def test_toxicity_scores_against_plain_formula(spark):
         hashes, first = toxicity.chunk_hashes(buf, offs)
         got = model.logits(table, *toxicity.padded(toxicity.rows_of(hashes), first))
     assert np.allclose(got, [logit(t) for t in texts], atol=1e-3)
+    toxicity.STRETCH, whole = 8, toxicity.STRETCH
+    assert np.array_equal(got, model.logits(table, *toxicity.padded(toxicity.rows_of(hashes), first)))
+    toxicity.STRETCH = whole
     assert 0 < len(model.rows) < 200
 
 
