@@ -8,28 +8,18 @@ hash are joined as one, and a pair is listed by the first band it agrees in.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of this machine only where that is unset and the master is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenlake-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+from lumenlake.session import shared_dir
 
 
 def _stored(frame: DataFrame) -> tuple[DataFrame, str]:
     """``frame`` as a Parquet table in the shared folder, and its path."""
     spark = frame.sparkSession
-    path = f"{_shared_dir(spark)}/components-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path), path
 

@@ -1,4 +1,4 @@
-"""Queries of fitting, tuning, transfer and stability.  SQL expresses none of them; tests hold them against numpy and analytic cases."""
+"""Queries of fitting, tuning, transfer and stability.  SQL expresses few of them; tests hold the others against numpy and analytic cases."""
 
 from __future__ import annotations
 
@@ -34,6 +34,13 @@ def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The same rows in SQL.
+STUDY = """lines AS (SELECT l_orderkey, count(*)::DOUBLE AS x_lines, avg(l_quantity) AS x_quantity, avg(l_discount) AS x_discount FROM lineitem GROUP BY 1),
+study AS (SELECT o_orderkey AS image, o_custkey AS patient_id, n_name AS dataset, n_regionkey AS region, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target,
+    o_totalprice AS x_price, month(o_orderdate)::DOUBLE AS x_month, dayofyear(o_orderdate)::DOUBLE AS x_day, x_lines, x_quantity, x_discount
+  FROM orders JOIN lines ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``study`` with one row a patient: mean features, and whether most images are positive."""
     rows = study(spark, sf_dir).groupBy("patient_id", "dataset")
@@ -53,15 +60,25 @@ def stratified_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.stratified_folds(study(spark, sf_dir), "patient_id", "target", 4, 20260717)
 
 
-@query("group_shuffle_split")
+#: The first of a hundred seeds whose both parts hold every pair of region and target.
+_SPLIT = f"""WITH {STUDY}, base AS (SELECT DISTINCT patient_id, region, target FROM study),
+parts AS (SELECT seed, patient_id, region, target,
+    ('0x' || substr(md5(seed || '|' || patient_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.2 AS held FROM base, range(20260717, 20260817) s(seed)),
+used AS (SELECT min(seed) AS seed FROM (SELECT seed FROM parts GROUP BY seed HAVING
+    count(DISTINCT (region, target)) FILTER (WHERE held) = (SELECT count(DISTINCT (region, target)) FROM base)
+    AND count(DISTINCT (region, target)) FILTER (WHERE NOT held) = (SELECT count(DISTINCT (region, target)) FROM base)))
+SELECT DISTINCT patient_id, CASE WHEN held THEN 'validation' ELSE 'train' END AS part FROM parts JOIN used USING (seed)"""
+
+
+@query("group_shuffle_split", _SPLIT)
 def group_shuffle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.group_split(study(spark, sf_dir), "patient_id", ["region", "target"], 0.2, 20260717)
 
 
-@query("scaling")
+@query("scaling", f"WITH {STUDY} " + " UNION ALL ".join(f"SELECT '{c}' AS column, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS deviation FROM study" for c in COLUMNS))
 def scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = learn.scaling(study(spark, sf_dir), COLUMNS)
-    return spark.createDataFrame([(c, float(m), float(s)) for c, (m, s) in rows.items()], "column string, mean double, deviation double")
+    return spark.createDataFrame([(c, round(float(m), 6), round(float(s), 6)) for c, (m, s) in rows.items()], "column string, mean double, deviation double")
 
 
 @query("logistic_fit")

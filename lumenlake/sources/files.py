@@ -42,6 +42,12 @@ def part_gaps(parts: DataFrame) -> DataFrame:
     return sums.withColumn("expected_start", expected).where((F.col("expected_start") != F.col("part_start")) | (F.col("rows") != F.col("part_rows")))
 
 
+def row_range(frame: DataFrame, order: str, start: int, limit: int | None = None) -> DataFrame:
+    """Rows start, start + 1, ... by their stored number, ``limit`` of them (None: to the end); the filter reaches the scan."""
+    rows = frame.where(F.col(order) >= start)
+    return rows if limit is None else rows.where(F.col(order) < start + limit)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """JSON documents of many lines each."""
     reader = spark.read.option("multiLine", True)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(frame: DataFrame, path: str, one_file: bool = False) -> None:
+def write_csv(frame: DataFrame, path: str, one_file: bool = False, separator: str = ",") -> None:
     """CSV with a header; ``one_file`` only for results known to be small."""
-    (frame.coalesce(1) if one_file else frame).write.mode("overwrite").option("header", True).csv(path)
+    (frame.coalesce(1) if one_file else frame).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
 
 
 def write_summary(frame: DataFrame, path: str) -> None:
