@@ -1,8 +1,9 @@
 """Running sums over an order without one task that holds it.
 
 Rows are dealt into stretches of the order by a monotone function of the value
-(eight stretches to a doubling); sums of stretches are added up over a few
-hundred rows a key, and only within a stretch is a window sorted.
+(256 stretches to a doubling, so 2560 for a score of 0 to 1, of which none holds
+more than 0.3 % of evenly spread scores); sums of stretches are added up over
+those few thousand rows a key, and only within a stretch is a window sorted.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 def stretch(value: Column) -> Column:
     """A whole number that never falls as the value rises."""
-    return (F.signum(value) * F.floor(F.lit(8.0) * F.log2(F.lit(1.0) + F.abs(value) * 1024.0))).cast("int")
+    return (F.signum(value) * F.floor(F.lit(256.0) * F.log2(F.lit(1.0) + F.abs(value) * 1024.0))).cast("int")
 
 
 def sums_before(frame: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], descending: bool = False) -> DataFrame:

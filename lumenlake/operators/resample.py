@@ -19,24 +19,52 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlake.operators.metrics import THRESHOLDS, auc
+from lumenlake.operators.ordered import stretch
 
 #: Units whose draws the driver may make.
 MOST_UNITS = 100_000
 
 
 def numbered(frame: DataFrame, unit: str) -> DataFrame:
-    """unit, n: the distinct units numbered from 0 in their order.
+    """unit, n: the distinct units numbered from 0 in the order of their text.
 
-    Units are counted in ranges of a hash-free order first, so no task orders all
-    of them: ranges come from ``ntile``-like cut points of the distinct values.
+    No task orders all of them: the characters that all units begin with are cut
+    off (those that the least and the greatest share), units are counted by the
+    next three, and numbered within those ranges only.
     """
     units = frame.select(unit).where(F.col(unit).isNotNull()).distinct()
-    ranges = units.select(unit, F.substring(F.col(unit).cast("string"), 1, 2).alias("_r"))
+    text = F.col(unit).cast("string")
+    ends = units.agg(F.min(text).alias("_low"), F.max(text).alias("_high"))
+    shared = F.size(F.filter(F.sequence(F.lit(0), F.least(F.length("_low"), F.length("_high"))), lambda i: F.substring("_low", F.lit(1), i) == F.substring("_high", F.lit(1), i)))
+    ranges = units.crossJoin(F.broadcast(ends.select(shared.alias("_from")))).select(unit, F.substring(text, F.col("_from"), F.lit(3)).alias("_r"))
     sizes = ranges.groupBy("_r").agg(F.count(F.lit(1)).alias("_c"))
     ahead = F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_r", ahead.alias("_ahead"))
-    place = F.row_number().over(Window.partitionBy("_r").orderBy(F.col(unit).cast("string")))
-    return ranges.join(F.broadcast(sizes), "_r").select(unit, (F.col("_ahead") + place - 1).alias("n"))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy(text))
+    return ranges.join(sizes, "_r").select(unit, (F.col("_ahead") + place - 1).alias("n"))
+
+
+def weighted_draws(frame: DataFrame, key: str, weight: str, n: int, seed: str) -> DataFrame:
+    """draw, key: n draws with replacement by weight, by md5 of (seed, draw), over keys (numbers, unique) in their order.
+
+    A draw first meets a stretch of keys by the stretches' sums, then, joined by
+    the stretch, the key whose interval of running weights holds it.  Rows of null
+    key or without a weight above 0 are never drawn.
+    """
+    rows = frame.select(F.col(key), F.col(weight).cast("double").alias("_w")).where(F.col(key).isNotNull() & (F.col("_w") > 0)).withColumn("_stretch", stretch(F.col(key).cast("double")))
+    sums = rows.groupBy("_stretch").agg(F.sum("_w").alias("_s"))
+    ahead = F.coalesce(F.sum("_s").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.select("_stretch", ahead.alias("_ahead"), F.sum("_s").over(Window.partitionBy(F.lit(1))).alias("_total"))
+    sums = sums.withColumn("_end", F.coalesce(F.lead("_ahead").over(Window.orderBy("_stretch")), F.col("_total")))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+    draws = frame.sparkSession.range(n).select(F.col("id").alias("draw"), u.alias("_u"))
+    at = F.col("_u") * F.col("_total")
+    met = sums.join(F.broadcast(draws), (at >= F.col("_ahead")) & (at < F.col("_end"))).select("_stretch", "draw", at.alias("_at"))
+    own = Window.partitionBy("_stretch").orderBy(key)
+    low = F.col("_ahead") + F.coalesce(F.sum("_w").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    lows = rows.join(sums, "_stretch").withColumn("_low", low)
+    bounds = lows.withColumn("_high", F.coalesce(F.lead("_low").over(own), F.col("_end"))).select("_stretch", key, "_low", "_high")
+    return bounds.join(met, "_stretch").where((F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high"))).select("draw", key)
 
 
 def hash_draws(units: DataFrame, unit: str, iterations: int, seed: str) -> DataFrame:

@@ -348,9 +348,4 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """200 draws with replacement by weight: each draw's uniform number meets the interval of running weights that holds it."""
     rows = read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") + 1000).alias("w"))
-    # suppliers are a small dimension; the running sum is over its rows
-    run = rows.withColumn("hi", F.sum("w").over(Window.orderBy("s_suppkey"))).crossJoin(F.broadcast(rows.agg(F.sum("w").alias("total"))))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit("draw|"), F.col("draw").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
-    draws = spark.range(200).withColumnRenamed("id", "draw").withColumn("u", u)
-    at = F.col("u") * F.col("total")
-    return run.join(F.broadcast(draws), (at < F.col("hi")) & (at >= F.col("hi") - F.col("w"))).select("draw", "s_suppkey")
+    return resample.weighted_draws(rows, "s_suppkey", "w", 200, "draw")

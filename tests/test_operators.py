@@ -259,3 +259,24 @@ def test_gates(spark):
     scores_table = spark.createDataFrame([("full", 0.8), ("ws46", 0.78)], "model string, auc double")
     row = gates.block_claim(deltas, scores_table, "full", "ws46").first()
     assert (row["external"], row["mean_gain"], row["no_loss"], row["retained"]) == (False, True, True, True)
+
+
+def test_units_of_one_beginning_are_numbered_in_ranges(spark):
+    from lumenlake.operators import resample
+
+    for names in ([f"patient_{i:05d}" for i in range(3000)], ["a"], ["a", "ab", "abc", "abd", "b"], ["x", "xy"], [None, "q"]):
+        frame = spark.createDataFrame([(n,) for n in names * 2], "unit string")
+        found = {r["unit"]: r["n"] for r in resample.numbered(frame, "unit").collect()}
+        assert found == {n: i for i, n in enumerate(sorted(x for x in names if x is not None))}
+    assert resample.numbered(spark.createDataFrame([], "unit string"), "unit").collect() == []
+
+
+def test_weighted_draws_follow_the_weights(spark):
+    from lumenlake.operators import resample
+
+    frame = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, 3.0), (4, None), (None, 9.0), (5000, 4.0), (6, -1.0)], "k long, w double")
+    drawn = resample.weighted_draws(frame, "k", "w", 4000, "s").collect()
+    assert sorted(r["draw"] for r in drawn) == list(range(4000))
+    share = {k: sum(r["k"] == k for r in drawn) / 4000 for k in (1, 3, 5000)}
+    assert abs(share[1] - 0.125) < 0.03 and abs(share[3] - 0.375) < 0.03 and abs(share[5000] - 0.5) < 0.03
+    assert resample.weighted_draws(frame.limit(0), "k", "w", 5, "s").collect() == []
