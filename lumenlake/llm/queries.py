@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenlake.llm import ann, bpe, chat, fingerprint, html_extract, jaccard_join, langid, lm_score, mixing, toxicity
+from lumenlake.llm import ann, bpe, chat, exact_dedup, fingerprint, html_extract, jaccard_join, langid, lm_score, mixing, schema_inference, toxicity, whitening
 from lumenlake.llm.shared import table
 
 
@@ -56,6 +57,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.fit(docs))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op12_schema_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_inference.infer(schema_inference.click_places(table(spark, sf_dir, "clicks")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_fingerprints": op2_fingerprints,
@@ -67,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_lm_scoring": op10_lm_scoring,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_schema_inference": op12_schema_inference,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -74,4 +91,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": chat.ORACLE_SQL,
     "op9_nearest_neighbours": ann.ORACLE_SQL,
     "op3_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_exact_dedup": exact_dedup.ORACLE_SQL,
 }
