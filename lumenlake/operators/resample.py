@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlake.operators.metrics import THRESHOLDS, auc
-from lumenlake.operators.ordered import stretch
+from lumenlake.operators.ordered import cut_points, stretch_of, text_cut_points
 
 #: Units whose draws the driver may make.
 MOST_UNITS = 100_000
@@ -28,15 +28,13 @@ MOST_UNITS = 100_000
 def numbered(frame: DataFrame, unit: str) -> DataFrame:
     """unit, n: the distinct units numbered from 0 in the order of their text.
 
-    No task orders all of them: the characters that all units begin with are cut
-    off (those that the least and the greatest share), units are counted by the
-    next three, and numbered within those ranges only.
+    No task orders all of them: they are cut into ranges at quantiles that a sketch
+    of their texts finds, counted by range, and numbered within a range only.  What
+    the texts begin with does not matter, nor does a stray one.
     """
     units = frame.select(unit).where(F.col(unit).isNotNull()).distinct()
     text = F.col(unit).cast("string")
-    ends = units.agg(F.min(text).alias("_low"), F.max(text).alias("_high"))
-    shared = F.size(F.filter(F.sequence(F.lit(0), F.least(F.length("_low"), F.length("_high"))), lambda i: F.substring("_low", F.lit(1), i) == F.substring("_high", F.lit(1), i)))
-    ranges = units.crossJoin(F.broadcast(ends.select(shared.alias("_from")))).select(unit, F.substring(text, F.col("_from"), F.lit(3)).alias("_r"))
+    ranges = units.withColumn("_r", stretch_of(text, text_cut_points(units, unit))[0])
     sizes = ranges.groupBy("_r").agg(F.count(F.lit(1)).alias("_c"))
     ahead = F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_r", ahead.alias("_ahead"))
@@ -51,7 +49,8 @@ def weighted_draws(frame: DataFrame, key: str, weight: str, n: int, seed: str) -
     the stretch, the key whose interval of running weights holds it.  Rows of null
     key or without a weight above 0 are never drawn.
     """
-    rows = frame.select(F.col(key), F.col(weight).cast("double").alias("_w")).where(F.col(key).isNotNull() & (F.col("_w") > 0)).withColumn("_stretch", stretch(F.col(key).cast("double")))
+    rows = frame.select(F.col(key), F.col(weight).cast("double").alias("_w")).where(F.col(key).isNotNull() & (F.col("_w") > 0))
+    rows = rows.withColumn("_stretch", stretch_of(F.col(key), cut_points(rows, key))[0])
     sums = rows.groupBy("_stretch").agg(F.sum("_w").alias("_s"))
     ahead = F.coalesce(F.sum("_s").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     sums = sums.select("_stretch", ahead.alias("_ahead"), F.sum("_s").over(Window.partitionBy(F.lit(1))).alias("_total"))
@@ -141,8 +140,8 @@ def unit_table(frame: DataFrame, unit: str, target: str, score: str, thresholds:
     return frame.groupBy(unit).agg(F.avg((p - y) ** 2).alias("brier"), F.array(*[rate(t, 1) for t in thresholds]).alias("tp"), F.array(*[rate(t, 0) for t in thresholds]).alias("fp"))
 
 
-def utility_replicates(first: DataFrame, second: DataFrame, draws: DataFrame, unit: str, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """iteration, brier_delta, net_benefit_delta of two ``unit_table``s: unit means over each replicate's draws."""
+def unit_deltas(first: DataFrame, second: DataFrame, unit: str, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """unit, brier_delta, net_benefit_delta of two ``unit_table``s; the net benefit is the mean over the thresholds."""
     odds = F.array(*[F.lit(t / (1 - t)) for t in thresholds])
 
     def summed(table: DataFrame) -> DataFrame:
@@ -150,6 +149,11 @@ def utility_replicates(first: DataFrame, second: DataFrame, draws: DataFrame, un
         return table.select(unit, "brier", net.alias("net"))
 
     both = summed(first).join(summed(second).select(unit, F.col("brier").alias("brier2"), F.col("net").alias("net2")), unit)
-    drawn = both.join(draws, unit)
-    mean = lambda c: F.sum(F.col("m") * c) / F.sum("m")
-    return drawn.groupBy("iteration").agg(mean(F.col("brier") - F.col("brier2")).alias("brier_delta"), mean(F.col("net") - F.col("net2")).alias("net_benefit_delta"))
+    return both.select(unit, (F.col("brier") - F.col("brier2")).alias("brier_delta"), (F.col("net") - F.col("net2")).alias("net_benefit_delta"))
+
+
+def utility_replicates(first: DataFrame, second: DataFrame, draws: DataFrame, unit: str, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """iteration, brier_delta, net_benefit_delta of two ``unit_table``s: unit means over each replicate of a table of draws."""
+    drawn = unit_deltas(first, second, unit, thresholds).join(draws, unit)
+    mean = lambda c: F.sum(F.col("m") * F.col(c)) / F.sum("m")
+    return drawn.groupBy("iteration").agg(*[mean(c).alias(c) for c in ("brier_delta", "net_benefit_delta")])

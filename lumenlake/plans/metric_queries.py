@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.operators import metrics, neardup, relational, resample
+from lumenlake.operators import bootstrap, metrics, neardup, relational, resample
 from lumenlake.plans.registry import query, read
 from lumenlake.plans.views import COHORT, VISITS, cohort, visits
 
@@ -174,67 +175,141 @@ def condition_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ bootstrap
 
-#: Replicates of the bootstrap queries; studies take thousands by parameter.
-ITERATIONS = 20
+#: Replicates of the queries whose draws are a table, and of those that multiply matrices.
+ITERATIONS, REPLICATES = 20, 2000
+#: Seeds of the draws by patient and by patient and class.
+SEED, UNIT_SEED = 20260717, 20260718
 
-_DRAWS = f"""WITH {VISITS}, v AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY patient_id) AS w FROM visits),
+_DRAWS = f"""WITH {VISITS},
 u AS (SELECT patient_id, row_number() OVER (ORDER BY patient_id::VARCHAR) - 1 AS n FROM (SELECT DISTINCT patient_id FROM visits)), k AS (SELECT count(*) AS total FROM u),
-m AS (SELECT i AS iteration, ('0x' || substr(md5('boot|' || i || '|' || n), 1, 15))::BIGINT % total AS n, count(*) AS m FROM u, k, range({ITERATIONS}) t(i) GROUP BY 1, 2),
+m AS (SELECT i AS iteration, ('0x' || substr(md5('boot|' || i || '|' || n), 1, 15))::BIGINT % total AS n, count(*) AS m FROM u, k, range({ITERATIONS}) t(i) GROUP BY 1, 2)"""
+
+
+@query("bootstrap_draws", _DRAWS + " SELECT iteration, patient_id, m FROM m JOIN u USING (n)")
+def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.hash_draws(resample.numbered(visits(spark, sf_dir), "patient_id"), "patient_id", ITERATIONS, "boot")
+
+
+def _mix_sql(source: str, name: str) -> str:
+    """The 32-bit finaliser as columns that build on each other."""
+    a, b, c, d = (f"{name}_{x}" for x in "abcd")
+    return f"xor({source}, {source} >> 16) AS {a}, ({a} * 2246822507::UBIGINT) % 4294967296::UBIGINT AS {b}, xor({b}, {b} >> 13) AS {c}, ({c} * 3266489909::UBIGINT) % 4294967296::UBIGINT AS {d}, xor({d}, {d} >> 16) AS {name}"
+
+
+def _key_sql(value: str, factor: int, seed: int | str, name: str) -> str:
+    """The hash of a number below 2**32 under a seed (a number, or a column that holds the finalised one)."""
+    start = f"{int(bootstrap.finalise(np.array([seed], np.uint32))[0])}::UBIGINT" if isinstance(seed, int) else seed
+    return f"(({value})::UBIGINT * {factor}::UBIGINT % 4294967296::UBIGINT + {start}) % 4294967296::UBIGINT AS {name}_s, " + _mix_sql(f"{name}_s", name)
+
+
+def _multiplicities_sql(unit: str, source: str, seed: int, iterations: int = REPLICATES) -> str:
+    """Tables u (unit, n) and m (iteration, n, m) of the matrix bootstrap over the units of a relation."""
+    return f"""u AS (SELECT {unit}, row_number() OVER (ORDER BY {unit}::VARCHAR) - 1 AS n FROM (SELECT DISTINCT {unit} FROM {source})),
+z AS (SELECT count(*) AS total, 1 - pow(2, -greatest(0, floor(log2(greatest(sqrt(count(*)) / 6, 1))))) AS mean FROM u),
+cut AS (SELECT list_filter(list_transform(range(20), lambda j: floor(4294967296.0 * list_sum(list_transform(range(j + 1), lambda i: exp(-mean) * pow(mean, i) / factorial(i::INTEGER))))::UBIGINT), lambda c: c < 4294967296) AS cuts FROM z),
+turn AS (SELECT i AS iteration, {_key_sql('i', bootstrap.OF_ITERATION, seed, 'ti')}, {_key_sql('i', bootstrap.OF_ITERATION, seed + 2, 'own')}, {_mix_sql('own', 'start')} FROM range({iterations}) t(i)),
+named AS (SELECT n, {_key_sql('n', bootstrap.OF_UNIT, seed + 1, 'un')} FROM u),
+hashed AS (SELECT iteration, n, (ti + un) % 4294967296::UBIGINT AS tu, {_mix_sql('tu', 'h')} FROM named, turn),
+poisson AS (SELECT iteration, n, len(list_filter(cuts, lambda c: c <= h)) AS m FROM hashed, cut),
+missing AS (SELECT turn.iteration, start, total - coalesce(have, 0) AS more FROM turn CROSS JOIN z LEFT JOIN (SELECT iteration, sum(m) AS have FROM poisson GROUP BY 1) USING (iteration)),
+dealt AS (SELECT iteration, {_key_sql('j', bootstrap.OF_DRAW, 'start', 'one')}, (one + {bootstrap.OF_DRAW}::UBIGINT) % 4294967296::UBIGINT AS next, {_mix_sql('next', 'two')} FROM (SELECT iteration, start, unnest(range(more::BIGINT)) AS j FROM missing)),
+m AS (SELECT iteration, n, sum(m) AS m FROM (SELECT iteration, n, m FROM poisson WHERE m > 0 UNION ALL SELECT iteration, floor((one * 2097152::UBIGINT + (two >> 11))::DOUBLE / 9007199254740992.0 * total)::BIGINT, 1 FROM dealt, z) GROUP BY 1, 2)"""
+
+
+_MATRIX = f"""WITH {VISITS}, v AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY patient_id) AS w FROM visits), {_multiplicities_sql('patient_id', 'visits', SEED)},
 d AS (SELECT m.iteration, v.target, v.p_a, v.p_b, v.w * m.m AS w, v.dataset FROM m JOIN u USING (n) JOIN v USING (patient_id)),
 a AS ({_auc_sql('d', 'iteration', 'p_a', 'w')}), b AS ({_auc_sql('d', 'iteration', 'p_b', 'w')})"""
 
 
-def _draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = visits(spark, sf_dir)
-    return rows, resample.hash_draws(resample.numbered(rows, "patient_id"), "patient_id", ITERATIONS, "boot")
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bootstrap.Draws]:
+    return bootstrap.drawn(visits(spark, sf_dir), "patient_id", REPLICATES, SEED)
 
 
-@query("bootstrap_draws", _DRAWS + " SELECT iteration, patient_id, m FROM m JOIN u USING (n)")
-def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _draws(spark, sf_dir)[1]
+def _rounded(frame: DataFrame, columns: str, *first: str) -> DataFrame:
+    return frame.select(*first, *[F.round(c, 6).alias(c) for c in columns.split()])
+
+
+@query("bootstrap_multiplicities", f"WITH {VISITS}, {_multiplicities_sql('patient_id', 'visits', SEED)} SELECT iteration::INTEGER AS iteration, sum(m)::DOUBLE AS draws, sum(m * (n % 1000))::DOUBLE AS checked FROM m GROUP BY 1")
+def bootstrap_multiplicities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every replicate draws as many patients as there are."""
+    rows, draws = bootstrap.drawn(visits(spark, sf_dir).select("patient_id").distinct(), "patient_id", REPLICATES, SEED)
+    return bootstrap.summed(rows.withColumns({"draws": F.lit(1.0), "checked": F.col("_number") % 1000}), draws, ["draws", "checked"])
 
 
-@query("bootstrap_auc_ci", _DRAWS + " SELECT round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS ci_low, round(quantile_cont(auc, 0.975), 6) AS ci_high, count(*) AS replicates FROM a")
+@query("bootstrap_auc_ci", _MATRIX + " SELECT round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS ci_low, round(quantile_cont(auc, 0.975), 6) AS ci_high, count(*) AS replicates FROM a")
 def bootstrap_auc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, draws = _draws(spark, sf_dir)
-    out = resample.interval(resample.replicate_auc(rows, draws, "patient_id", "target", ["p_a"]), [], "p_a")
+    rows, draws = _drawn(spark, sf_dir)
+    out = resample.interval(bootstrap.replicate_auc(rows, draws, "patient_id", "target", ["p_a"]), [], "p_a")
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")], "replicates")
 
 
-@query("paired_delta_ci", _DRAWS + " SELECT 'p_b' AS score, round(avg(b.auc - a.auc), 6) AS mean, round(quantile_cont(b.auc - a.auc, 0.025), 6) AS ci_low, round(quantile_cont(b.auc - a.auc, 0.975), 6) AS ci_high, round(avg((b.auc > a.auc)::INTEGER), 6) AS p_positive, round(least(1, 2 * least(avg((b.auc >= a.auc)::INTEGER), avg((b.auc <= a.auc)::INTEGER))), 6) AS p_value FROM a JOIN b USING (iteration)")
+@query("paired_delta_ci", _MATRIX + " SELECT 'p_b' AS score, round(avg(b.auc - a.auc), 6) AS mean, round(quantile_cont(b.auc - a.auc, 0.025), 6) AS ci_low, round(quantile_cont(b.auc - a.auc, 0.975), 6) AS ci_high, round(avg((b.auc > a.auc)::INTEGER), 6) AS p_positive, round(least(1, 2 * least(avg((b.auc >= a.auc)::INTEGER), avg((b.auc <= a.auc)::INTEGER))), 6) AS p_value FROM a JOIN b USING (iteration)")
 def paired_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, draws = _draws(spark, sf_dir)
-    out = resample.paired_intervals(resample.replicate_auc(rows, draws, "patient_id", "target", ["p_a", "p_b"]), ["p_a", "p_b"], "p_a")
-    return out.select("score", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high", "p_positive", "p_value")])
+    rows, draws = _drawn(spark, sf_dir)
+    out = resample.paired_intervals(bootstrap.replicate_auc(rows, draws, "patient_id", "target", ["p_a", "p_b"]), ["p_a", "p_b"], "p_a")
+    return _rounded(out, "mean ci_low ci_high p_positive p_value", "score")
 
 
-@query("shared_draw_degradation", _DRAWS + f", x AS ({_auc_sql('d', 'dataset, iteration', 'p_a', 'w')}), r AS (SELECT iteration, auc FROM x WHERE dataset = '1-URGENT') SELECT x.dataset, round(avg(x.auc - r.auc), 6) AS mean, round(quantile_cont(x.auc - r.auc, 0.025), 6) AS ci_low, round(quantile_cont(x.auc - r.auc, 0.975), 6) AS ci_high FROM x JOIN r USING (iteration) WHERE x.dataset <> '1-URGENT' GROUP BY 1")
+@query("shared_draw_degradation", _MATRIX + f", x AS ({_auc_sql('d', 'dataset, iteration', 'p_a', 'w')}), r AS (SELECT iteration, auc FROM x WHERE dataset = '1-URGENT') SELECT x.dataset, round(avg(x.auc - r.auc), 6) AS mean, round(quantile_cont(x.auc - r.auc, 0.025), 6) AS ci_low, round(quantile_cont(x.auc - r.auc, 0.975), 6) AS ci_high FROM x JOIN r USING (iteration) WHERE x.dataset <> '1-URGENT' GROUP BY 1")
 def shared_draw_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of the AUC between conditions when all see the same draws."""
-    rows, draws = _draws(spark, sf_dir)
-    weighted = relational.share_weight(rows, ["patient_id"], "w").join(draws, "patient_id").withColumn("w", F.col("w") * F.col("m"))
-    x = metrics.auc(weighted, ["dataset", "iteration"], "target", "p_a", "w").where("auc IS NOT NULL")
-    d = x.join(x.where("dataset = '1-URGENT'").select("iteration", F.col("auc").alias("reference")), "iteration").where("dataset <> '1-URGENT'").withColumn("delta", F.col("auc") - F.col("reference"))
-    out = resample.interval(d, ["dataset"], "delta")
-    return out.select("dataset", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])
+    rows, draws = _drawn(spark, sf_dir)
+    sizes = rows.groupBy("patient_id").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
+    x = bootstrap.replicate_auc(rows.join(sizes, "patient_id"), draws, "patient_id", "target", ["p_a"], ["dataset"], weight="w")
+    d = x.join(x.where("dataset = '1-URGENT'").select("iteration", F.col("p_a").alias("reference")), "iteration").where("dataset <> '1-URGENT'").withColumn("delta", F.col("p_a") - F.col("reference"))
+    return _rounded(resample.interval(d, ["dataset"], "delta"), "mean ci_low ci_high", "dataset")
 
 
-@query("unit_class_bootstrap", f"WITH {VISITS}, c AS (SELECT *, patient_id || '|' || target AS unit, 1.0::DOUBLE / count(*) OVER (PARTITION BY patient_id, target) AS w FROM visits), u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS n FROM (SELECT DISTINCT unit FROM c)), k AS (SELECT count(*) AS total FROM u), m AS (SELECT i AS iteration, ('0x' || substr(md5('unit|' || i || '|' || n), 1, 15))::BIGINT % total AS n, count(*) AS m FROM u, k, range({ITERATIONS}) t(i) GROUP BY 1, 2), d AS (SELECT iteration, target, p_a, w * m AS w FROM m JOIN u USING (n) JOIN c USING (unit)), a AS ({_auc_sql('d', 'iteration', 'p_a', 'w')}) SELECT round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS ci_low, round(quantile_cont(auc, 0.975), 6) AS ci_high FROM a")
+_UNITS = "c AS (SELECT *, patient_id || '|' || target AS unit, 1.0::DOUBLE / count(*) OVER (PARTITION BY patient_id, target) AS w FROM visits)"
+
+
+@query("unit_class_bootstrap", f"WITH {VISITS}, {_UNITS}, {_multiplicities_sql('unit', 'c', UNIT_SEED)}, d AS (SELECT iteration, target, p_a, w * m AS w FROM m JOIN u USING (n) JOIN c USING (unit)), a AS ({_auc_sql('d', 'iteration', 'p_a', 'w')}) SELECT round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS ci_low, round(quantile_cont(auc, 0.975), 6) AS ci_high FROM a")
 def unit_class_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unit that is drawn is a patient's rows of one class."""
     rows = visits(spark, sf_dir).withColumn("unit", F.concat_ws("|", F.col("patient_id").cast("string"), F.col("target").cast("string")))
-    draws = resample.hash_draws(resample.numbered(rows, "unit"), "unit", ITERATIONS, "unit")
-    out = resample.interval(resample.replicate_auc(rows, draws, "unit", "target", ["p_a"]), [], "p_a")
-    return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])
+    drawn, draws = bootstrap.drawn(rows, "unit", REPLICATES, UNIT_SEED)
+    return _rounded(resample.interval(bootstrap.replicate_auc(drawn, draws, "unit", "target", ["p_a"]), [], "p_a"), "mean ci_low ci_high")
+
+
+_PEOPLE = f"""WITH {VISITS}, p AS (SELECT patient_id, max(target) AS target, round(avg(p_a), 6) AS s FROM visits GROUP BY 1), {_multiplicities_sql('patient_id', 'p', SEED)},
+d AS (SELECT iteration, target, s, m::DOUBLE AS w FROM m JOIN u USING (n) JOIN p USING (patient_id)), a AS ({_auc_sql('d', 'iteration', 's', 'w')}),
+t AS (SELECT iteration, s, sum(CASE WHEN target = 1 THEN w ELSE 0 END) AS wp, sum(w) AS w FROM d GROUP BY 1, 2),
+r AS (SELECT *, sum(wp) OVER o AS tp, sum(w) OVER o AS taken FROM t WINDOW o AS (PARTITION BY iteration ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT iteration, sum(wp * tp / taken) / sum(wp) AS ap FROM r GROUP BY 1)"""
+
+
+@query("patient_bootstrap", _PEOPLE + " SELECT round(avg(auc), 6) AS auc, round(quantile_cont(auc, 0.025), 6) AS auc_low, round(quantile_cont(auc, 0.975), 6) AS auc_high, round(avg(ap), 6) AS ap, round(quantile_cont(ap, 0.025), 6) AS ap_low, round(quantile_cont(ap, 0.975), 6) AS ap_high, count(*) AS replicates FROM a JOIN b USING (iteration)")
+def patient_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC and average precision where a row is a patient."""
+    people = visits(spark, sf_dir).groupBy("patient_id").agg(F.max("target").alias("target"), F.round(F.avg("p_a"), 6).alias("s")).withColumn("one", F.lit(1.0))
+    rows, draws = bootstrap.drawn(people, "patient_id", REPLICATES, SEED)
+    both = bootstrap.replicate_auc(rows, draws, "patient_id", "target", ["s"], weight="one").join(bootstrap.replicate_average_precision(rows, draws, "target", "s", "one"), "iteration")
+    q = lambda c, at, name: F.round(F.percentile(c, F.lit(at)), 6).alias(name)
+    return both.agg(F.round(F.avg("s"), 6).alias("auc"), q("s", 0.025, "auc_low"), q("s", 0.975, "auc_high"), F.round(F.avg("average_precision"), 6).alias("ap"), q("average_precision", 0.025, "ap_low"), q("average_precision", 0.975, "ap_high"), F.count(F.lit(1)).alias("replicates"))
+
+
+@query("factorial_bootstrap", f"""{_MATRIX}, f AS (SELECT iteration, dataset, target, w, p_a, p_b, (p_a + p_b) / 2 AS p_full FROM d), l AS (SELECT dataset, iteration, 'p_full' AS model, p_full AS p, target, w FROM f UNION ALL SELECT dataset, iteration, 'p_a', p_a, target, w FROM f UNION ALL SELECT dataset, iteration, 'p_b', p_b, target, w FROM f),
+x AS ({_auc_sql('l', 'dataset, model, iteration', 'p', 'w')}) SELECT y.dataset, y.model, round(avg(x.auc - y.auc), 6) AS mean, round(quantile_cont(x.auc - y.auc, 0.025), 6) AS ci_low, round(quantile_cont(x.auc - y.auc, 0.975), 6) AS ci_high, round(avg((x.auc > y.auc)::INTEGER), 6) AS p_positive, count(*) AS replicates, false AS failed FROM x JOIN x y ON x.dataset = y.dataset AND x.iteration = y.iteration AND x.model = 'p_full' AND y.model <> 'p_full' GROUP BY 1, 2""")
+def factorial_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full model less each ablated one on every dataset under shared draws, with the audit of valid replicates."""
+    rows, draws = _drawn(spark, sf_dir)
+    sizes = rows.groupBy("patient_id").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
+    rows = rows.withColumn("p_full", (F.col("p_a") + F.col("p_b")) / 2).join(sizes, "patient_id")
+    replicates = bootstrap.replicate_auc(rows, draws, "patient_id", "target", ["p_full", "p_a", "p_b"], ["dataset"], weight="w").checkpoint()
+    table, audit = bootstrap.factorial_deltas(replicates, "p_full", ["p_a", "p_b"], ["dataset"])
+    return _rounded(table, "mean ci_low ci_high p_positive", "dataset", "model").join(audit, ["dataset", "model"])
 
 
 _NET = "list_sum(list_transform(range(71), lambda i: (CASE WHEN {p} >= round(0.10 + 0.01 * i, 2)::DOUBLE THEN 1 ELSE 0 END) * (CASE WHEN target = 1 THEN 1 ELSE -round(0.10 + 0.01 * i, 2)::DOUBLE / (1 - round(0.10 + 0.01 * i, 2)::DOUBLE) END))) / 71"
 
 
-@query("utility_bootstrap", _DRAWS + f", g AS (SELECT patient_id, avg(pow(p_a - target, 2)) - avg(pow(p_b - target, 2)) AS brier, avg({_NET.format(p='p_a')}) - avg({_NET.format(p='p_b')}) AS net FROM visits GROUP BY 1), x AS (SELECT iteration, sum(m * brier) / sum(m) AS brier, sum(m * net) / sum(m) AS net FROM m JOIN u USING (n) JOIN g USING (patient_id) GROUP BY 1) SELECT round(avg(brier), 6) AS brier_delta, round(quantile_cont(brier, 0.025), 6) AS brier_low, round(quantile_cont(brier, 0.975), 6) AS brier_high, round(avg(net), 6) AS net_delta, round(quantile_cont(net, 0.025), 6) AS net_low, round(quantile_cont(net, 0.975), 6) AS net_high FROM x")
+@query("utility_bootstrap", _MATRIX + f", g AS (SELECT patient_id, avg(pow(p_a - target, 2)) - avg(pow(p_b - target, 2)) AS brier, avg({_NET.format(p='p_a')}) - avg({_NET.format(p='p_b')}) AS net FROM visits GROUP BY 1), x AS (SELECT iteration, sum(m * brier) / sum(m) AS brier, sum(m * net) / sum(m) AS net FROM m JOIN u USING (n) JOIN g USING (patient_id) GROUP BY 1) SELECT round(avg(brier), 6) AS brier_delta, round(quantile_cont(brier, 0.025), 6) AS brier_low, round(quantile_cont(brier, 0.975), 6) AS brier_high, round(avg(net), 6) AS net_delta, round(quantile_cont(net, 0.025), 6) AS net_low, round(quantile_cont(net, 0.975), 6) AS net_high FROM x")
 def utility_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, draws = _draws(spark, sf_dir)
-    x = resample.utility_replicates(resample.unit_table(rows, "patient_id", "target", "p_a"), resample.unit_table(rows, "patient_id", "target", "p_b"), draws, "patient_id")
+    rows = visits(spark, sf_dir)
+    both = resample.unit_deltas(resample.unit_table(rows, "patient_id", "target", "p_a"), resample.unit_table(rows, "patient_id", "target", "p_b"), "patient_id")
+    drawn, draws = bootstrap.drawn(both, "patient_id", REPLICATES, SEED)
+    x = bootstrap.summed(drawn, draws, ["brier_delta", "net_benefit_delta"])
+    x = x.select("iteration", *[(F.col(c) / draws.units).alias(c) for c in ("brier_delta", "net_benefit_delta")])
     q = lambda c, at: F.round(F.percentile(c, F.lit(at)), 6)
     return x.agg(F.round(F.avg("brier_delta"), 6).alias("brier_delta"), q("brier_delta", 0.025).alias("brier_low"), q("brier_delta", 0.975).alias("brier_high"), F.round(F.avg("net_benefit_delta"), 6).alias("net_delta"), q("net_benefit_delta", 0.025).alias("net_low"), q("net_benefit_delta", 0.975).alias("net_high"))
 
