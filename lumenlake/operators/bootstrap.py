@@ -22,6 +22,7 @@ iteration, and what leaves it are three sums an iteration.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -34,13 +35,15 @@ from pyspark.sql import types as T
 
 from lumenlake.operators.ordered import cut_points, stretch_of
 from lumenlake.operators.resample import numbered
-from lumenlake.session import ship
+from lumenlake.session import ship, spread
 
 M32 = (1 << 32) - 1
 #: Odd factors of iterations, units and draws (fixed values; the SQL of the queries has them too).
 OF_ITERATION, OF_UNIT, OF_DRAW = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
-#: Numbers and iterations that a task multiplies at once.
-BLOCK = 2_000_000
+#: Multiplicities that a task holds at once; they fit a core's cache.
+BLOCK = 250_000
+#: Thresholds that are compared with all hashes; the rest with those beyond them.
+DENSE = 4
 #: Iterations whose running sums one group of the last step holds.
 ITERATIONS_AT_ONCE = 500
 
@@ -55,7 +58,7 @@ def finalise(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _keys(values: np.ndarray, factor: int, seed: int) -> np.ndarray:
+def hashed(values: np.ndarray, factor: int, seed: int) -> np.ndarray:
     """Hashes of whole numbers below 2**64 under a seed."""
     v = np.asarray(values, np.uint64)
     low, high = (v & np.uint64(M32)).astype(np.uint32), (v >> np.uint64(32)).astype(np.uint32)
@@ -96,19 +99,21 @@ class Draws:
         cuts = thresholds(self.units)
         if not cuts:
             return np.zeros((len(numbers), self.iterations), np.uint8)
-        turn = _keys(np.arange(self.iterations), OF_ITERATION, self.seed)
+        turn = hashed(np.arange(self.iterations), OF_ITERATION, self.seed)
         with np.errstate(over="ignore"):
-            h = finalise(_keys(numbers, OF_UNIT, self.seed + 1)[:, None] + turn[None, :])
-        out = (h >= np.uint32(cuts[0])).astype(np.uint8)
-        if len(cuts) > 1:
-            at = np.nonzero(h >= np.uint32(cuts[1]))
-            out[at] = np.searchsorted(np.array(cuts, np.uint64), h[at].astype(np.uint64), "right")
+            h = finalise(hashed(numbers, OF_UNIT, self.seed + 1)[:, None] + turn[None, :])
+        out = (h >= np.uint32(cuts[0])).view(np.uint8)
+        for cut in cuts[1:DENSE]:
+            out += (h >= np.uint32(cut)).view(np.uint8)
+        if len(cuts) > DENSE:  # few are drawn so often
+            flat, at = out.reshape(-1), np.flatnonzero(h >= np.uint32(cuts[DENSE]))
+            flat[at] = np.searchsorted(np.array(cuts, np.uint64), h.reshape(-1)[at].astype(np.uint64), "right")
         return out
 
     def topped(self, iteration: int, missing: int) -> np.ndarray:
         """Units of the missing draws of an iteration."""
-        own = _keys(np.array([iteration]), OF_ITERATION, self.seed + 2)[0]
-        first = _keys(np.arange(missing), OF_DRAW, int(own))
+        own = hashed(np.array([iteration]), OF_ITERATION, self.seed + 2)[0]
+        first = hashed(np.arange(missing), OF_DRAW, int(own))
         with np.errstate(over="ignore"):
             second = finalise(first + np.uint32(OF_DRAW))
         u = (first.astype(np.uint64) << np.uint64(21)) + (second >> np.uint32(11)).astype(np.uint64)
@@ -122,8 +127,17 @@ class Draws:
         if len(extra):
             lists = extra.take(pa.array(first))
             at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            np.add.at(m, (at, lists.flatten().to_numpy(zero_copy_only=False)), 1)
-        return m.astype(np.float64)[code]
+            np.add.at(m.reshape(-1), at * self.iterations + lists.flatten().to_numpy(zero_copy_only=False), 1)
+        return m[code].astype(np.float64)
+
+
+class Once:
+    """The one replicate that has every row once."""
+
+    iterations = 1
+
+    def matrix(self, numbers: np.ndarray, extra: pa.ListArray) -> np.ndarray:
+        return np.ones((len(numbers), 1))
 
 
 def drawn(frame: DataFrame, unit: str, iterations: int, seed: int) -> tuple[DataFrame, Draws]:
@@ -134,8 +148,7 @@ def drawn(frame: DataFrame, unit: str, iterations: int, seed: int) -> tuple[Data
     """
     ship(frame.sparkSession)
     units = numbered(frame, unit).withColumnRenamed("n", "_number")
-    # spread so that each task has its share of the matrix; the table has units, not rows
-    units = units.select(F.col(unit), "_number").checkpoint()
+    units = spread(units.select(F.col(unit), "_number").checkpoint())  # each row costs a task a row of the matrix
     total = units.count()
     draws = Draws(iterations, seed, total)
 
@@ -213,15 +226,16 @@ def _vector(x: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes()], pa.binary())
 
 
-def _stretches(frame: DataFrame, keys: Sequence[str], target: str, score: str, weight: str) -> tuple[DataFrame, list[float]]:
-    """Rows that take part, with _s (score), _stretch (a number that rises with the score) and _salt (for a score of its own)."""
+def _stretches(frame: DataFrame, keys: Sequence[str], target: str, score: str, weight: str) -> DataFrame:
+    """Rows that take part, with _s (score), _stretch (a number that rises with the score), and _salt: the rows of a score of its own are dealt into as many parts as it has shares."""
     rows = frame.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     rows = rows.select(*keys, F.col(score).cast("double").alias("_s"), (F.col(target) == 1).alias("_y"), F.col(weight).cast("double").alias("_w"), "_number", "_extra")
     cuts = cut_points(rows, "_s")
-    alone = sorted({c for c, d in zip(cuts, cuts[1:], strict=False) if c == d})
     at, single = stretch_of(F.col("_s"), cuts)
-    salt = F.when(single, F.pmod(F.xxhash64("_number"), F.lit(max(8, 2 * len(cuts))))).otherwise(F.lit(0))
-    return rows.withColumns({"_stretch": at, "_single": single, "_salt": salt.cast("int")}), alone
+    shares = {c: n for c, n in Counter(cuts).items() if n > 1}
+    salts = F.element_at(F.array(*map(F.lit, shares.values())), F.array_position(F.array(*map(F.lit, shares)), F.col("_s")).cast("int")) if shares else F.lit(1)
+    salt = F.when(single, F.pmod(F.xxhash64("_number"), salts)).otherwise(F.lit(0))
+    return rows.withColumns({"_stretch": at, "_single": single, "_salt": salt.cast("int")})
 
 
 def _blocks(batches, n_keys: int, draws: Draws):
@@ -242,11 +256,21 @@ def _blocks(batches, n_keys: int, draws: Draws):
                 m = draws.matrix(number[low:high], extra.slice(low, high - low))
                 part = s[low:high]
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                wp = np.add.reduceat(m * (w[low:high] * y[low:high])[:, None], starts, axis=0)
-                wn = np.add.reduceat(m * (w[low:high] * ~y[low:high])[:, None], starts, axis=0)
+                wp, wn = (_by_score(m, w[low:high] * of, starts) for of in (y[low:high], ~y[low:high]))
                 yield names[a], single[a], part[starts], wp, wn
 
 
+def _by_score(m: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Weighted sums of the rows of each score, scores by iterations."""
+    if len(starts) <= 8:
+        one = np.zeros((len(starts), len(w)))
+        one[np.searchsorted(starts, np.arange(len(w)), "right") - 1, np.arange(len(w))] = w
+        return one @ m
+    if len(starts) == len(w):
+        return m * w[:, None]
+    return np.add.reduceat(m * w[:, None], starts, axis=0)
+
+
 def replicate_auc(frame: DataFrame, draws: Draws, unit: str, target: str, scores: Sequence[str], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """keys, iteration, <score>...: the AUC of each score in each replicate that has both classes, over ``drawn`` rows.
 
@@ -263,15 +287,23 @@ def replicate_auc(frame: DataFrame, draws: Draws, unit: str, target: str, scores
     return out
 
 
+def plain_auc(frame: DataFrame, keys: Sequence[str], target: str, score: str, weight: str) -> DataFrame:
+    """keys, auc, as ``metrics.auc`` but for cohorts of one class: one shuffle of the rows, for many keys of many distinct scores."""
+    rows = frame.withColumns({"_number": F.lit(0).cast("long"), "_extra": F.array().cast("array<int>")})
+    return _auc(rows, Once(), keys, target, score, weight).drop("iteration")
+
+
 def _sorted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     by = [*keys, "_stretch", "_salt"]
-    return rows.repartition(*by).sortWithinPartitions(*by, "_s").select(*by, "_single", "_s", "_y", "_w", "_number", "_extra")
+    spark = rows.sparkSession  # rows are few and heavy, so adaptive execution would put them together
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *by).sortWithinPartitions(*by, "_s").select(*by, "_single", "_s", "_y", "_w", "_number", "_extra")
 
 
 def _auc(frame: DataFrame, draws: Draws, keys: Sequence[str], target: str, score: str, weight: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows, _ = _stretches(frame, keys, target, score, weight)
+    rows = _stretches(frame, keys, target, score, weight)
     kinds = [rows.schema[c] for c in keys]
     arrow = [to_arrow_type(f.dataType) for f in kinds]
     n = len(keys) + 2
@@ -343,7 +375,7 @@ def replicate_average_precision(frame: DataFrame, draws: Draws, target: str, sco
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows, _ = _stretches(frame, keys, target, score, weight)
+    rows = _stretches(frame, keys, target, score, weight)
     rows = rows.withColumns({"_s": -F.col("_s"), "_stretch": -F.col("_stretch"), "_salt": F.lit(0)})
     kinds = [rows.schema[c] for c in keys]
     arrow = [to_arrow_type(f.dataType) for f in kinds]

@@ -1,9 +1,10 @@
 """Fitting and tuning over tables.
 
-Two paths.  ``fit_logistic`` and the MLlib estimators train one model on a table of
-any size.  ``cross_validate``, ``tune`` and ``transfer`` run the many small fits of
-a study: the grid of (repeat, fold, parameters) is a table, each cell's fit is one
-task, and what comes back are predictions or scores, never models.
+``fit_logistic`` and the MLlib estimators train one model on a table of any size;
+``batched`` and ``selection`` train thousands of logistic ones.  ``grid_scores`` and
+``transfer_scores`` run the models of ``functions.models`` on small tables: the grid of
+(repeat, fold, parameters) is a table, each cell's fit is one task, and what comes back
+are predictions, never models.
 """
 
 from __future__ import annotations
@@ -20,9 +21,6 @@ from pyspark.sql import functions as F
 from lumenlake.functions import models
 from lumenlake.session import ship
 
-#: Rows of a table that is shipped to each task as a whole.
-MOST_ROWS = 1_000_000
-
 # ------------------------------------------------------------------ large tables
 
 
@@ -183,49 +181,6 @@ def tune(scores: DataFrame, group: str, target: str) -> DataFrame:
     return each.groupBy("param_id", "params").agg(F.avg("auc").alias("auc")).orderBy(F.desc(F.round("auc", 12)), "param_id")
 
 
-def nested_scores(frame: DataFrame, outer: DataFrame, inner_folds: int, keys: Sequence[str], columns: Sequence[str], target: str, group: str, model: str, grid: Sequence[dict], seed: int) -> DataFrame:
-    """Out-of-fold predictions of a grid search inside each outer training part: repeat, fold, params, keys, target, probability.
-
-    One task does a cell's whole inner search, on the training groups only.
-    """
-    from pyspark.sql import types as T
-
-    from lumenlake.operators.folds import deal
-
-    ship(frame.sparkSession)
-    out = [f for f in frame.schema.fields if f.name in keys]
-    names = [f.name for f in out]
-    schema = T.StructType([T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType()), T.StructField("params", T.StringType()), T.StructField("inner_auc", T.DoubleType()), *out, T.StructField(target, T.IntegerType()), T.StructField("probability", T.DoubleType())])
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(names, kind="stable")
-        test = pdf["fold"] == pdf["held"]
-        train, got = pdf[~test], pdf[test]
-        x, y = _frame(train, columns), train[target].to_numpy(int)
-        own, code = np.unique(train[group].astype(str).to_numpy(), return_inverse=True)
-        counts = np.column_stack([np.bincount(code, y == v, len(own)) for v in (0, 1)])
-        weight = (1.0 / np.bincount(code))[code]
-        for turn in range(200):
-            inner = deal(counts, inner_folds, seed + turn)[code]
-            if all(len(set(y[inner == f])) == 2 and len(set(y[inner != f])) == 2 for f in range(inner_folds)):
-                break
-        best = None
-        for params in grid:
-            z = np.empty(len(y))
-            for f in range(inner_folds):
-                z[inner == f] = models.make(model, params).fit(x[inner != f], y[inner != f]).score(x[inner == f])
-            value = float(np.mean([models.weighted_auc(y[inner == f], z[inner == f], weight[inner == f]) for f in range(inner_folds)]))
-            if best is None or value > best[0] + 1e-12:
-                best = (value, params)
-        fitted = models.make(model, best[1]).fit(x, y)
-        return pd.DataFrame({"repeat": got["repeat"], "fold": got["held"], "params": json.dumps(best[1], sort_keys=True), "inner_auc": best[0], **{n: got[n] for n in names}, target: got[target].astype(int), "probability": fitted.score(_frame(got, columns))})
-
-    needed = list(dict.fromkeys([*names, group, target, *columns]))
-    held = outer.select("repeat", F.col("fold").alias("held")).distinct()
-    cells = frame.select(*needed).join(outer, group).join(held, "repeat")
-    return cells.groupBy("repeat", "held").applyInPandas(cell, schema)
-
-
 def transfer_scores(frame: DataFrame, pairs: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, dataset: str, model: str, params: dict, weight: str | None = None) -> DataFrame:
     """Predictions on a target dataset of a model fitted on others: run, target_dataset, keys, target, probability.
 
@@ -250,55 +205,3 @@ def transfer_scores(frame: DataFrame, pairs: DataFrame, keys: Sequence[str], col
 
     needed = list(dict.fromkeys([*names, dataset, target, *columns, *([weight] if weight else [])]))
     return frame.select(*needed).join(F.broadcast(pairs), dataset).groupBy("run").applyInPandas(cell, schema)
-
-
-def coefficient_stability(frame: DataFrame, draws: DataFrame, columns: Sequence[str], target: str, group: str, c: float) -> DataFrame:
-    """column, median, share_positive, sign_consistency over refits on each replicate's draws (iteration, group, m)."""
-    ship(frame.sparkSession)
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.loc[pdf.index.repeat(pdf["m"])]
-        y = pdf[target].to_numpy(int)
-        if len(set(y)) < 2:
-            return pd.DataFrame({"iteration": pd.Series(dtype="int64"), "column": pd.Series(dtype="object"), "coefficient": pd.Series(dtype="float64")})
-        coef = models.Logistic(c).fit(_frame(pdf, columns), y).coef
-        return pd.DataFrame({"iteration": int(pdf["iteration"].iloc[0]), "column": list(columns), "coefficient": coef})
-
-    rows = frame.select(group, target, *columns).join(draws, group)
-    each = rows.groupBy("iteration").applyInPandas(cell, "iteration long, column string, coefficient double")
-    positive = F.avg((F.col("coefficient") > 0).cast("double"))
-    return each.groupBy("column").agg(F.percentile("coefficient", F.lit(0.5)).alias("median"), positive.alias("share_positive"), F.greatest(positive, 1 - positive).alias("sign_consistency"), F.percentile(F.abs("coefficient"), F.lit(0.025)).alias("ci_low"), F.percentile(F.abs("coefficient"), F.lit(0.975)).alias("ci_high"))
-
-
-def permutation_importance(frame: DataFrame, columns: Sequence[str], families: dict[str, Sequence[str]], target: str, group: str, c: float, permutations: int, seed: int) -> DataFrame:
-    """family, permutation, drop: the fall of the group-balanced AUC when the rows of a whole family of columns are permuted.
-
-    The model is fitted once and shipped with the table; each permutation is a
-    task.  ValueError beyond MOST_ROWS rows.
-    """
-    spark = frame.sparkSession
-    ship(spark)
-    if frame.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        raise ValueError(f"permutation importance takes tables of up to {MOST_ROWS} rows")
-    pdf = frame.select(group, target, *columns).orderBy(group, target, *columns).toPandas()
-    x, y = _frame(pdf, columns), pdf[target].to_numpy(int)
-    code = np.unique(pdf[group].astype(str), return_inverse=True)[1]
-    w = (1.0 / np.bincount(code))[code]
-    fitted = models.Logistic(c).fit(x, y)
-    base = models.weighted_auc(y, fitted.score(x), w)
-    held = spark.sparkContext.broadcast((x, y, w, fitted, base, {f: [list(columns).index(c) for c in cs] for f, cs in families.items()}))
-
-    def run(batches):
-        x, y, w, fitted, base, where = held.value
-        for batch in batches:
-            drops = []
-            for family, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                order = np.random.default_rng([seed, p, sorted(where).index(family)]).permutation(len(y))
-                moved = x.copy()
-                moved[:, where[family]] = x[order][:, where[family]]
-                drops.append(base - models.weighted_auc(y, fitted.score(moved), w))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drops)], names=["family", "permutation", "drop"])
-
-    turns = spark.range(permutations).withColumnRenamed("id", "permutation")
-    table = spark.createDataFrame([(f,) for f in families], "family string").crossJoin(turns).repartition(16)
-    return table.select("family", "permutation").mapInArrow(run, "family string, permutation long, drop double")

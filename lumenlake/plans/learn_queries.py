@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.functions.models import GRIDS
-from lumenlake.operators import folds, learn, resample
+from lumenlake.operators import folds, learn, selection
 from lumenlake.plans.registry import query, read
 
 COLUMNS = ["x_price", "x_month", "x_day", "x_lines", "x_quantity", "x_discount"]
 FAMILIES = {"order": COLUMNS[:3], "lines": COLUMNS[3:]}
+#: Permutations of each family.
+PERMUTATIONS = 1000
 
 
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +56,25 @@ def outer_folds(frame: DataFrame, repeats: int = 2, n: int = 4) -> DataFrame:
     return out
 
 
+#: Seed, folds and repeats of the studies (fixed values of the protocol).
+SEED, FOLDS, REPEATS = 20260717, 4, 5
+
+
 @query("stratified_group_folds")
 def stratified_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.stratified_folds(study(spark, sf_dir), "patient_id", "target", 4, 20260717)
+    return folds.stratified_folds(study(spark, sf_dir), "patient_id", "target", FOLDS, SEED)
+
+
+@query("fold_signatures", f"WITH {STUDY}, g AS (SELECT patient_id, count(*) FILTER (WHERE target = 0) AS negatives, count(*) FILTER (WHERE target = 1) AS positives FROM study GROUP BY 1) SELECT negatives, positives, count(*) AS patients, count(*) // {FOLDS} AS least, (count(*) + {FOLDS - 1}) // {FOLDS} AS most, 0 AS leaks FROM g GROUP BY 1, 2")
+def fold_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the dealt folds: patients of equal class counts, the fewest and the most of them in a fold, and patients in several folds."""
+    rows = study(spark, sf_dir)
+    dealt = folds.stratified_folds(rows, "patient_id", "target", FOLDS, SEED)
+    own = dealt.groupBy("patient_id").agg(F.count_distinct("fold").alias("_f"), F.min("fold").alias("fold"))
+    each = folds.class_counts(rows, "patient_id", "target").join(own, "patient_id")
+    cells = each.groupBy("negatives", "positives", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_f") > 1).alias("l"))
+    least = F.when(F.count(F.lit(1)) < FOLDS, 0).otherwise(F.min("n"))
+    return cells.groupBy("negatives", "positives").agg(F.sum("n").alias("patients"), least.alias("least"), F.max("n").alias("most"), F.sum("l").alias("leaks"))
 
 
 #: The first of a hundred seeds whose both parts hold every pair of region and target.
@@ -93,14 +110,48 @@ def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tune_logistic")
 def tune_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = study(spark, sf_dir)
-    scores = learn.grid_scores(rows, outer_folds(rows), ["image", "patient_id"], COLUMNS, "target", "patient_id", "logistic", GRIDS["logistic"])
-    return learn.tune(scores, "patient_id", "target").withColumn("auc", F.round("auc", 6))
+    slots = folds.repeated_folds(rows, "patient_id", "target", FOLDS, REPEATS, SEED)
+    scores = selection.out_of_fold(rows, slots, REPEATS, FOLDS, ["image"], COLUMNS, "target", "patient_id")
+    return selection.tuned(scores, "patient_id", "target").select("c", F.round("auc", 6).alias("auc"))
+
+
+@query("weighted_tuning")
+def weighted_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets and classes weigh alike, and patients within them, in every training and every held part on its own."""
+    rows = study(spark, sf_dir)
+    slots = folds.repeated_folds(rows, "patient_id", "target", FOLDS, REPEATS, SEED)
+    scores = selection.out_of_fold(rows, slots, REPEATS, FOLDS, ["image"], COLUMNS, "target", "patient_id", strata=["region", "target"], equal_groups=True)
+    return selection.tuned_by_part(scores, "target").select("c", F.round("auc", 6).alias("auc"), "best")
 
 
 @query("nested_cross_validation")
 def nested_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.nested(study(spark, sf_dir), "patient_id", ["image"], COLUMNS, "target", REPEATS, FOLDS, 3, SEED)
+
+
+#: Blocks of columns that the ablation leaves out, one at a time and in pairs of families.
+BLOCKS = {"full": COLUMNS, **{f"without_{n}": [c for c in COLUMNS if c not in own] for n, own in FAMILIES.items()}, **{f"without_{c[2:]}": [x for x in COLUMNS if x != c] for c in COLUMNS}}
+
+
+@query("domain_ablation")
+def domain_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region scored by models of the others, with blocks of columns left out; strata of region and class weigh alike in training."""
     rows = study(spark, sf_dir)
-    return learn.nested_scores(rows, outer_folds(rows), 3, ["image", "patient_id"], COLUMNS, "target", "patient_id", "logistic", GRIDS["logistic"], 20260717)
+    regions = [str(r) for r in range(5)]
+    runs = {f"others>{r}": ([x for x in regions if x != r], [r]) for r in regions}
+    scores, _ = selection.by_dataset(rows, "region", ["image", "patient_id"], COLUMNS, "target", runs, subsets=BLOCKS, strata=["region", "target"], group="patient_id")
+    return selection.ablation(scores, "patient_id", "target", "full").select("run", F.col("subset").alias("block"), F.round("auc", 6).alias("auc"), F.round("delta", 6).alias("delta"))
+
+
+#: Configurations that a confirmation compares: columns and C.
+CONFIGURATIONS = {f"{n}_{c:g}": (columns, c) for n, columns in {"all": COLUMNS, "order": FAMILIES["order"], "lines": FAMILIES["lines"], "price": COLUMNS[:1]}.items() for c in (0.1, 10.0)}
+
+
+@query("confirmation")
+def confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight configurations over ten repeats of the same folds."""
+    out = selection.configurations(study(spark, sf_dir), "patient_id", ["image"], COLUMNS, "target", CONFIGURATIONS, 10, FOLDS, SEED)
+    return out.select("configuration", "repeats", F.round("auc", 6).alias("auc"), F.round("auc_sd", 6).alias("auc_sd"))
 
 
 def _screen(model: str, params: dict, kernel: bool):
@@ -128,24 +179,20 @@ for _model, (_params, _kernel) in _SCREENS.items():
 
 @query("transfer_pairs")
 def transfer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ordered pair of datasets, and every dataset from all others."""
+    """Every ordered pair of datasets, and every dataset from all others: one fit for each set of training datasets."""
     rows = study(spark, sf_dir)
-    names = rows.select("dataset").distinct()
-    pairs = names.select(F.col("dataset").alias("a")).crossJoin(names.select(F.col("dataset").alias("b"))).where("a <> b")
-    run = F.concat_ws(">", "a", "b")
-    single = pairs.select(run.alias("run"), F.lit("train").alias("part"), F.col("a").alias("dataset")).unionByName(pairs.select(run.alias("run"), F.lit("test").alias("part"), F.col("b").alias("dataset")))
-    out = F.concat(F.lit("others>"), F.col("b"))
-    others = pairs.select(out.alias("run"), F.lit("train").alias("part"), F.col("a").alias("dataset")).unionByName(pairs.select(out.alias("run"), F.lit("test").alias("part"), F.col("b").alias("dataset")).distinct())
-    return learn.transfer_scores(rows, single.unionByName(others), ["image", "patient_id"], COLUMNS, "target", "dataset", "logistic", {"c": 1.0})
+    names = sorted(r[0] for r in rows.select("dataset").distinct().collect())
+    runs = {f"{a}>": ([a], [b for b in names if b != a]) for a in names} | {f"others>{b}": ([a for a in names if a != b], [b]) for b in names}
+    scores, _ = selection.by_dataset(rows, "dataset", ["image", "patient_id"], COLUMNS, "target", runs)
+    run = F.when(F.col("run").startswith("others"), F.lit("others")).otherwise(F.rtrim(F.col("run"), F.lit(">")))
+    return scores.select(F.concat(run, F.lit(">"), "dataset").alias("run"), "image", "patient_id", "dataset", "target", "probability")
 
 
 @query("coefficient_stability")
 def coefficient_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = study(spark, sf_dir)
-    draws = resample.hash_draws(resample.numbered(rows, "patient_id"), "patient_id", 20, "stability")
-    return learn.coefficient_stability(rows, draws, COLUMNS, "target", "patient_id", 1.0)
+    return selection.stability(study(spark, sf_dir), "patient_id", COLUMNS, "target", 300, SEED)
 
 
 @query("permutation_importance")
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learn.permutation_importance(study(spark, sf_dir), COLUMNS, FAMILIES, "target", "patient_id", 1.0, 20, 20260717)
+    return selection.permutation_importance(study(spark, sf_dir), "image", COLUMNS, FAMILIES, "target", "patient_id", 1.0, PERMUTATIONS, SEED)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators import extract, folds, learn, metrics, neardup, relational, resample
+from lumenlake.operators import bootstrap, extract, folds, learn, metrics, neardup, relational, resample, selection
 
 # ------------------------------------------------------------------ manifests
 
@@ -84,21 +84,17 @@ def near_duplicate_manifest(images: DataFrame, key: str, label: str, distance: i
 # ------------------------------------------------------------------ cross-validation
 
 
-def grouped_cv(frame: DataFrame, groups: Mapping[str, Sequence[str]], outer: int, inner: int, repeats: int, grid: Sequence[dict], seed: int = 20260717, model: str = "logistic") -> DataFrame:
-    """Out-of-fold predictions of every feature group under the same outer folds: group and the columns of ``nested_scores``.
+def grouped_cv(frame: DataFrame, groups: Mapping[str, Sequence[str]], outer: int, inner: int, repeats: int, cs: Sequence[float], seed: int = 20260717) -> DataFrame:
+    """Out-of-fold predictions of every feature group under the same outer and inner folds: group and the columns of ``selection.nested``.
 
     ``frame`` has image, patient_id, target and the features.
     """
     rows = frame.where(F.col("patient_id").isNotNull())
-    plan = None
-    for r in range(repeats):
-        one = folds.stratified_folds(rows, "patient_id", "target", outer, seed + 1000 * r).select("patient_id", "fold", F.lit(r).alias("repeat"))
-        plan = one if plan is None else plan.unionByName(one)
-    runs = [learn.nested_scores(rows, plan, inner, ["image", "patient_id"], columns, "target", "patient_id", model, grid, seed).withColumn("group", F.lit(name)) for name, columns in groups.items()]
+    runs = [selection.nested(rows, "patient_id", ["image"], columns, "target", repeats, outer, inner, seed, cs).withColumn("group", F.lit(name)) for name, columns in groups.items()]
     return reduce(DataFrame.unionByName, runs)
 
 
-def cv_summary(predictions: DataFrame, groups: Sequence[str], reference: str, iterations: int, seed: str = "cv") -> tuple[DataFrame, DataFrame, DataFrame]:
+def cv_summary(predictions: DataFrame, groups: Sequence[str], reference: str, iterations: int, seed: int = 20260717) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of ``grouped_cv``: wide mean predictions, metrics of each group over repeats, and paired intervals against a reference."""
     repeat = relational.share_weight(predictions, ["group", "repeat", "patient_id"], "w")
     each = metrics.auc(repeat, ["group", "repeat"], "target", "probability", "w")
@@ -106,8 +102,8 @@ def cv_summary(predictions: DataFrame, groups: Sequence[str], reference: str, it
     table = each.join(rates, ["group", "repeat"]).groupBy("group").agg(F.avg("auc").alias("auc"), F.stddev_samp("auc").alias("auc_sd"), *[F.avg(c).alias(c) for c in ("balanced_accuracy", "sensitivity", "specificity", "f1", "mcc")])
     wide = relational.wide(predictions, ["image", "patient_id", "target"], "group", groups, "probability")
     names = [f"probability_{g}" for g in groups]
-    draws = resample.hash_draws(resample.numbered(wide, "patient_id"), "patient_id", iterations, seed)
-    replicates = resample.replicate_auc(wide, draws, "patient_id", "target", names)
+    rows, draws = bootstrap.drawn(wide, "patient_id", iterations, seed)
+    replicates = bootstrap.replicate_auc(rows, draws, "patient_id", "target", names)
     return wide, table, resample.paired_intervals(replicates, names, f"probability_{reference}")
 
 
@@ -135,10 +131,12 @@ def external_metrics(frame: DataFrame, score: str, threshold: float) -> dict[str
 
 def locked_predictions(frame: DataFrame, sources: Sequence[str], targets: Sequence[str], columns: Sequence[str], params: dict, model: str = "logistic", weight: str | None = None) -> DataFrame:
     """Predictions on each target of a model of each source and of their mean: dataset, image, patient_id, target, probability_<source>..., probability_ensemble."""
-    spark = frame.sparkSession
-    plan = [(s, "train", s) for s in sources] + [(s, "test", t) for s in sources for t in targets]
-    pairs = spark.createDataFrame(plan, "run string, part string, dataset string")
-    scores = learn.transfer_scores(frame, pairs, ["image", "patient_id"], columns, "target", "dataset", model, params, weight)
+    if model == "logistic" and weight is None:
+        scores, _ = selection.by_dataset(frame, "dataset", ["image", "patient_id"], columns, "target", {s: ([s], list(targets)) for s in sources}, params["c"])
+    else:  # models of small tables
+        plan = [(s, "train", s) for s in sources] + [(s, "test", t) for s in sources for t in targets]
+        pairs = frame.sparkSession.createDataFrame(plan, "run string, part string, dataset string")
+        scores = learn.transfer_scores(frame, pairs, ["image", "patient_id"], columns, "target", "dataset", model, params, weight)
     wide = relational.wide(scores, ["dataset", "image", "patient_id", "target"], "run", sources, "probability")
     mean = sum((F.col(f"probability_{s}") for s in sources), F.lit(0.0)) / len(sources)
     return wide.withColumn("probability_ensemble", mean)
@@ -152,10 +150,10 @@ def source_threshold(frame: DataFrame, source: str, columns: Sequence[str], n_fo
     return metrics.youden(relational.share_weight(scores, ["patient_id"], "w"), [], "target", "probability", "w").first()["threshold"]
 
 
-def compared_methods(wide: DataFrame, methods: Sequence[str], reference: str, iterations: int, seed: str = "locked") -> DataFrame:
+def compared_methods(wide: DataFrame, methods: Sequence[str], reference: str, iterations: int, seed: int = 20260717) -> DataFrame:
     """Paired differences of each method to the reference with adjusted p-values: score, mean, ci_low, ci_high, p_value, q."""
-    draws = resample.hash_draws(resample.numbered(wide, "patient_id"), "patient_id", iterations, seed)
-    table = resample.paired_intervals(resample.replicate_auc(wide, draws, "patient_id", "target", list(methods)), list(methods), reference)
+    rows, draws = bootstrap.drawn(wide, "patient_id", iterations, seed)
+    table = resample.paired_intervals(bootstrap.replicate_auc(rows, draws, "patient_id", "target", list(methods)), list(methods), reference)
     return metrics.benjamini_hochberg(table.withColumn("family", F.lit("methods")), ["family"], "p_value", ["score"]).drop("family")
 
 

@@ -21,7 +21,7 @@ def cohort(spark):
 
 
 def test_grouped_cv(cohort):
-    out = studies.grouped_cv(cohort, {"good": ["good"], "noise": ["noise"]}, 3, 2, 2, [{"c": 0.1}, {"c": 1.0}]).cache()
+    out = studies.grouped_cv(cohort, {"good": ["good"], "noise": ["noise"]}, 3, 2, 2, [0.1, 1.0]).cache()
     assert out.count() == 2 * 2 * 240
     wide, table, deltas = studies.cv_summary(out, ["good", "noise"], "good", 15)
     auc = {r["group"]: r["auc"] for r in table.collect()}
