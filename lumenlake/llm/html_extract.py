@@ -11,11 +11,12 @@ named as advert, notice, comment section and the like, hidden ones), and BESIDE,
 page has an article or main element and the block is outside it.
 
 A path's score is the mean of its blocks.  Paths of at least STRONG of the best score
-are content; those of at least WEAK are, where they lie inside the element that holds
-nearly all of the strong ones (headings, list items, captions of the article).  All
-decisions are shares of the page's best path, so where names would reject everything
-they change nothing, and an element that holds most of the page's text is not judged by
-its name at all.
+are strong, and the element that holds nearly all of their text is the article.  Inside
+it a block stays unless one of the signals rejects its path: by a name, or because all
+but a LINKED share of the path's text is in links (menus, related articles).  Length
+does not count there, so headings and short paragraphs stay beside long ones.  Where
+names would reject everything they change nothing, and an element that holds most of the
+page's text is not judged by its name at all.
 
 Reading is linear in the page: a tag's end is searched once, an end tag finds its start
 by the open elements of its kind, and paths are nodes of a tree, not lists.
@@ -35,8 +36,10 @@ from pyspark.sql import types as T
 
 from lumenlake.llm import shared
 
-#: Paths of these shares of the best path's score are content: anywhere, and inside the article.
-STRONG, WEAK = 0.35, 0.05
+#: Paths of this share of the best path's score say where the article is.
+STRONG = 0.35
+#: Inside the article a path needs this share of its text outside links.
+LINKED = 0.05
 #: What the signal of names leaves of a score.
 NAMED, BESIDE = 0.01, 0.1
 #: An element with these shares of the page's text (in no link) is not judged by its name; the second one is for reader comments.
@@ -300,8 +303,8 @@ def _within(page: Page, start: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def path_scores(page: Page) -> np.ndarray:
-    """Of each block the score of its path: smoothed and fused ratios."""
+def path_scores(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """Of each block the score of its path (smoothed and fused ratios), and whether no signal rejects it inside an article."""
     at = np.array(page.element)
     chars = np.array([len(t) for t in page.texts], float)
     marks = np.array([len(_MARKS.findall(t)) for t in page.texts], float)
@@ -323,14 +326,14 @@ def path_scores(page: Page) -> np.ndarray:
     main = _within(page, np.array([t in _MAIN for t in page.tag])) & ~out
     names = np.where(out, NAMED, 1.0) * np.where(main | ~main[at].any(), 1.0, BESIDE)
     fused = np.sqrt(smooth[0] * smooth[1]) * np.sqrt(prose) * names[at]
-    return (np.bincount(path, fused) / blocks)[path]
+    return (np.bincount(path, fused) / blocks)[path], ~out[at] & (prose > LINKED)
 
 
 def content(page: Page) -> list[str]:
-    """The blocks of the article: those of strong paths, and of weak ones inside the article's element."""
+    """The blocks of the article: those inside the element of the strong paths that nothing rejects, and the strong ones there."""
     if not page.texts:
         return []
-    score = path_scores(page)
+    score, clear = path_scores(page)
     best = score.max()
     if best <= 0:
         return []
@@ -348,7 +351,7 @@ def content(page: Page) -> list[str]:
     start = np.zeros(len(page.parent), bool)
     start[holder] = True
     inside = _within(page, start)[at]
-    return [t for t, ok in zip(page.texts, inside & (score >= WEAK * best), strict=True) if ok]
+    return [t for t, ok in zip(page.texts, inside & (strong | clear), strict=True) if ok]
 
 
 def main_text(html: str | None) -> str:

@@ -575,12 +575,27 @@ def test_html_scores_against_plain_ratios():
         smooth = [[sum(k * ratio[names[min(max(i + d, 0), len(names) - 1)]][s] for d, k in zip(range(-3, 4), kernel, strict=True)) / sum(kernel) for i in range(len(names))] for s in (0, 1)]
         fused = [np.sqrt(smooth[0][i] * smooth[1][i] * ratio[x][2]) for i, x in enumerate(names)]
         want = [np.mean([fused[j] for j, y in enumerate(names) if y == x]) for x in names]
-        assert np.allclose(html_extract.path_scores(page), want)
+        assert np.allclose(html_extract.path_scores(page)[0], want)
 
 
 # ------------------------------------------------------------------ op8
 
 
+def test_short_text_beside_long_paragraphs_stays():
+    """Inside the article the length of a block decides nothing: only names and links take something out."""
+    lead = "This sentence is one of very many, and it says little. " * 80
+    short = "".join(f"<p>Short paragraph number {i}.</p>" for i in range(20))
+    page = f"<body><nav><a href=/>home</a></nav><div><p>{lead}</p>{short}</div><footer>imprint</footer></body>"
+    got = html_extract.main_text(page)
+    assert all(f"number {i}." in got for i in range(20)) and "home" not in got and "imprint" not in got
+    got = html_extract.main_text(f"<body><article><h2>Head</h2><p>{lead * 2}</p><div class=share-buttons>Share this</div></article></body>")
+    assert got.startswith("Head This sentence") and "Share" not in got
+    menu = "<ul><li><a href=1>first linked</a></li><li><a href=2>second linked</a></li></ul>"
+    got = html_extract.main_text(f"<body><article><p>{lead}</p><ul><li>a plain item</li><li>one with <a href=3>a link</a></li></ul></article>{menu}</body>")
+    assert got.endswith("a plain item one with a link")
+
+
+
 def test_chat_round_trip(spark):
     texts = ["", "plain", r"back\slash \\ \<| x", "<|im_start|>user\nno<|im_end|>\n", "</s>[INST] ok [/INST]<s>", "line\nline\n", "\\", "<<SYS>> a <</SYS>>", "<|im_end|>", "ends with \\"]
     rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate(zip(["user", "assistant"] * 5, np.roll(texts, c), strict=True))]
