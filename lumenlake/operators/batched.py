@@ -57,11 +57,13 @@ class Replicate:
 
 @dataclass(frozen=True)
 class Fit:
-    """A model: part (position in the study's parts), C, columns (positions)."""
+    """A model: part (position in the study's parts), C, columns (positions), and columns that enter as ``k`` whitened components."""
 
     part: int
     c: float
     columns: tuple[int, ...]
+    embedded: tuple[int, ...] = ()
+    k: int = 0
 
 
 @dataclass
@@ -222,6 +224,57 @@ def moments(study: Study) -> Moments:
     return Moments(n, mean, np.where(spread_ > 1e-9, spread_, 1.0), factor, got[:, 1:3])
 
 
+def crosses(study: Study, columns: Sequence[int]) -> dict[tuple[int, int], tuple[float, np.ndarray, np.ndarray]]:
+    """Rows, sums and cross products of ``columns`` for every (slot, value) that a ``Held`` part asks for, in one scan.
+
+    A row adds to one value of each slot, so parts that leave one fold out cost no more
+    than the folds themselves; a part's sums are those of its values.
+    """
+    cells = sorted({(p.slot, v) for p in study.parts if isinstance(p, Held) for v in p.values})
+    own, d = list(columns), len(study.columns)
+    upper = np.triu_indices(len(own))
+    width = 1 + len(own) + len(upper[0])
+    step = max(16, BLOCK // max(1, width))
+
+    def add(batch):
+        out = np.zeros((len(cells), width))
+        for piece in _pieces([batch], step):
+            r = _Rows(piece, d, [], None)
+            x = r.x[:, own]
+            for i, (slot, value) in enumerate(cells):
+                held = x[r.slots[:, slot] == value]
+                out[i, 0] += len(held)
+                out[i, 1 : 1 + len(own)] += held.sum(0)
+                out[i, 1 + len(own) :] += (held.T @ held)[upper]
+        return out.ravel()
+
+    got = _added(study, _NEEDED, len(cells) * width, add).reshape(len(cells), width)
+    out = {}
+    for cell, row in zip(cells, got, strict=True):
+        full = np.zeros((len(own), len(own)))
+        full[upper] = row[1 + len(own) :]
+        out[cell] = (row[0], row[1 : 1 + len(own)], full + np.triu(full, 1).T)
+    return out
+
+
+def _components(part: Held, found: dict, order: list[int], f: Fit, m: Moments) -> np.ndarray:
+    """From whitened components of a part to ``_x`` and the constant: columns are scaled, centred, turned to the axes of their correlation and divided by the axes' deviations."""
+    at = [order.index(c) for c in f.embedded]
+    n = sum(found[part.slot, v][0] for v in part.values)
+    k = min(f.k, int(n) - 2, len(at))
+    if k < 2:
+        raise ValueError("too few rows or columns for components")
+    mean = sum(found[part.slot, v][1] for v in part.values)[at] / n
+    cross = sum(found[part.slot, v][2] for v in part.values)[np.ix_(at, at)] / n - np.outer(mean, mean)
+    deviation = m.deviation[f.part, list(f.embedded)]
+    values, axes = np.linalg.eigh(cross / np.outer(deviation, deviation))
+    values, axes = values[::-1][:k], axes[:, ::-1][:, :k]
+    turn = np.zeros((m.mean.shape[1] + 1, k))
+    turn[list(f.embedded)] = axes / deviation[:, None] / np.sqrt(np.maximum(values, 1e-24))
+    turn[-1] = -mean @ turn[list(f.embedded)]
+    return turn
+
+
 @dataclass
 class Fitted:
     """Models of a study: coefficients and constant for columns scaled within the part, and ``flat`` for ``_x`` (nought for columns left out)."""
@@ -244,6 +297,9 @@ def fit(study: Study, fits: Sequence[Fit], steps: int = 60) -> Fitted:
     fits, d = list(fits), len(study.columns)
     m = moments(study)
     k = len(fits)
+    order = sorted({c for f in fits for c in f.embedded})
+    found = crosses(study, order) if order else {}
+    turned: dict[tuple, np.ndarray] = {}
     turns = []  # from a fit's own coefficients to those of _x and its constant
     for f in fits:
         t = np.zeros((d + 1, len(f.columns) + 1))
@@ -251,9 +307,14 @@ def fit(study: Study, fits: Sequence[Fit], steps: int = 60) -> Fitted:
             t[c, j] = 1 / m.deviation[f.part, c]
             t[d, j] = -m.mean[f.part, c] / m.deviation[f.part, c]
         t[d, -1] = 1.0
+        if f.embedded and m.classes[f.part].min() > 0:
+            key = (f.part, f.embedded, f.k)
+            if key not in turned:
+                turned[key] = _components(study.parts[f.part], found, order, f, m)
+            t = np.column_stack([t[:, :-1], turned[key], t[:, -1:]])
         turns.append(t)
     ok = (m.classes[[f.part for f in fits]] > 0).all(1) if fits else np.zeros(0, bool)
-    b = [np.zeros(len(f.columns) + 1) for f in fits]
+    b = [np.zeros(t.shape[1]) for t in turns]
     now = [np.inf] * k
     gradient: list = [None] * k
     move: list = [None] * k

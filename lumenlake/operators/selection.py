@@ -9,6 +9,7 @@ grid.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,28 @@ from lumenlake.session import spread
 C_GRID = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
-def _positions(columns: Sequence[str], subset: Sequence[str]) -> tuple[int, ...]:
-    return tuple(list(columns).index(c) for c in subset)
+@dataclass(frozen=True)
+class Design:
+    """How a model sees its columns: some scaled, some as ``k`` whitened components -- an embedding alone, or fused early with features."""
+
+    columns: Sequence[str] = ()
+    embedded: Sequence[str] = ()
+    k: int = 32
+
+    def fit(self, part: int, c: float, order: Sequence[str]) -> Fit:
+        at = {n: i for i, n in enumerate(order)}
+        return Fit(part, float(c), tuple(at[n] for n in self.columns), tuple(at[n] for n in self.embedded), self.k if self.embedded else 0)
+
+
+def _design(given: Design | Sequence[str]) -> Design:
+    return given if isinstance(given, Design) else Design(tuple(given))
 
 
 def _others(n: int, *left_out: int) -> tuple[int, ...]:
     return tuple(v for v in range(n) if v not in left_out)
 
 
-def out_of_fold(frame: DataFrame, slots: DataFrame, repeats: int, n_folds: int, keys: Sequence[str], columns: Sequence[str], target: str, group: str, cs: Sequence[float] = C_GRID, subsets: Mapping[str, Sequence[str]] | None = None, strata: Sequence[str] | None = None, equal_groups: bool = False) -> DataFrame:
+def out_of_fold(frame: DataFrame, slots: DataFrame, repeats: int, n_folds: int, keys: Sequence[str], columns: Sequence[str], target: str, group: str, cs: Sequence[float] = C_GRID, subsets: Mapping[str, Sequence[str] | Design] | None = None, strata: Sequence[str] | None = None, equal_groups: bool = False) -> DataFrame:
     """repeat, held, subset, c, keys, target, probability, weight of every held-out row under every subset of columns and C.
 
     ``slots`` is of ``folds.repeated_folds``.  With ``strata`` (and ``equal_groups``)
@@ -44,7 +58,7 @@ def out_of_fold(frame: DataFrame, slots: DataFrame, repeats: int, n_folds: int,
     study = prepare(rows, [*keys, *([] if group in keys else [group])], columns, target, F.col("slots"), strata, group if equal_groups else None)
     study.parts = [Held(r, _others(n_folds, h)) for r in range(repeats) for h in range(n_folds)] + [Held(r, (h,)) for r in range(repeats) for h in range(n_folds)]
     cells = [(r, h, s, float(c)) for r in range(repeats) for h in range(n_folds) for s in subsets for c in cs]
-    fits = [Fit(r * n_folds + h, c, _positions(columns, subsets[s])) for r, h, s, c in cells]
+    fits = [_design(subsets[s]).fit(r * n_folds + h, c, columns) for r, h, s, c in cells]
     fitted = fit(study, fits)
     tests = [(i, repeats * n_folds + r * n_folds + h) for i, (r, h, _, _) in enumerate(cells)]
     names = dict(zip(("repeat", "held", "subset", "c"), map(list, zip(*cells, strict=True)), strict=True))
@@ -98,13 +112,13 @@ def nested(frame: DataFrame, group: str, keys: Sequence[str], columns: Sequence[
     return whole.join(best, ["repeat", "held", "c"]).select("repeat", "held", "c", "inner_auc", *[k for k in own if k != "share"], target, "probability")
 
 
-def configurations(frame: DataFrame, group: str, keys: Sequence[str], columns: Sequence[str], target: str, chosen: Mapping[str, tuple[Sequence[str], float]], repeats: int, n_folds: int, seed: int) -> DataFrame:
+def configurations(frame: DataFrame, group: str, keys: Sequence[str], columns: Sequence[str], target: str, chosen: Mapping[str, tuple[Sequence[str] | Design, float]], repeats: int, n_folds: int, seed: int) -> DataFrame:
     """configuration, repeats, auc, auc_sd: the group-balanced AUC over repeated folds of each (columns, C), all under the same folds."""
     slots = folds.repeated_folds(frame, group, target, n_folds, repeats, seed)
     study = prepare(frame.join(slots, group), [*keys, *([] if group in keys else [group])], columns, target, F.col("slots"))
     study.parts = [Held(r, _others(n_folds, h)) for r in range(repeats) for h in range(n_folds)] + [Held(r, (h,)) for r in range(repeats) for h in range(n_folds)]
     cells = [(r, h, n) for r in range(repeats) for h in range(n_folds) for n in chosen]
-    fits = [Fit(r * n_folds + h, float(chosen[n][1]), _positions(columns, chosen[n][0])) for r, h, n in cells]
+    fits = [_design(chosen[n][0]).fit(r * n_folds + h, chosen[n][1], columns) for r, h, n in cells]
     tests = [(i, repeats * n_folds + r * n_folds + h) for i, (r, h, _) in enumerate(cells)]
     scores = labelled(predict(study, fit(study, fits), tests), fits, repeat=[c[0] for c in cells], configuration=[c[2] for c in cells])
     weighted = share_weight(scores.drop("weight"), ["configuration", "repeat", group])
@@ -112,7 +126,24 @@ def configurations(frame: DataFrame, group: str, keys: Sequence[str], columns: S
     return each.groupBy("configuration").agg(F.count("auc").alias("repeats"), F.avg("auc").alias("auc"), F.stddev_samp("auc").alias("auc_sd"))
 
 
-def by_dataset(frame: DataFrame, dataset: str, keys: Sequence[str], columns: Sequence[str], target: str, runs: Mapping[str, tuple[Sequence[str], Sequence[str]]], c: float = 1.0, subsets: Mapping[str, Sequence[str]] | None = None, strata: Sequence[str] | None = None, group: str | None = None) -> tuple[DataFrame, Fitted]:
+def fused(scores: DataFrame, repeats: int, n_folds: int, group: str, keys: Sequence[str], target: str, names: Sequence[str], c: float = 1.0) -> DataFrame:
+    """repeat, keys, target, <name>..., mean, stacked: late fusion of models' out-of-fold probabilities, by their mean and by a logistic model of them.
+
+    ``scores`` (of ``out_of_fold``, one C) has the models by ``subset``.  The stacked
+    model of a held part is fitted on the other parts' out-of-fold probabilities.
+    """
+    wide = scores.groupBy("repeat", "held", *keys, group, target).pivot("subset", list(names)).agg(F.first("probability"))
+    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
+    code = F.col("repeat") * n_folds + F.col("held")
+    study = prepare(wide, ["repeat", "held", *keys, group, *names], names, target, F.array(code.cast("int")))
+    value = lambda r, h: r * n_folds + h
+    study.parts = [Held(0, tuple(value(r, x) for x in _others(n_folds, h))) for r in range(repeats) for h in range(n_folds)] + [Held(0, (value(r, h),)) for r in range(repeats) for h in range(n_folds)]
+    fits = [Fit(i, c, tuple(range(len(names)))) for i in range(repeats * n_folds)]
+    out = predict(study, fit(study, fits), [(i, repeats * n_folds + i) for i in range(len(fits))])
+    return out.select("repeat", "held", *keys, group, target, *names, mean.alias("mean"), F.col("probability").alias("stacked"))
+
+
+def by_dataset(frame: DataFrame, dataset: str, keys: Sequence[str], columns: Sequence[str], target: str, runs: Mapping[str, tuple[Sequence[str], Sequence[str]]], c: float = 1.0, subsets: Mapping[str, Sequence[str] | Design] | None = None, strata: Sequence[str] | None = None, group: str | None = None) -> tuple[DataFrame, Fitted]:
     """run, subset, dataset, keys, target, probability, weight: models of each run's training datasets on its test datasets.
 
     ``runs`` has (training datasets, test datasets) by name; a training part of one
@@ -132,7 +163,7 @@ def by_dataset(frame: DataFrame, dataset: str, keys: Sequence[str], columns: Seq
             key = (part(train), s)
             if key not in place:
                 place[key] = len(fits)
-                fits.append(Fit(key[0], float(c), _positions(columns, subsets[s])))
+                fits.append(_design(subsets[s]).fit(key[0], c, columns))
             tests.append((place[key], part(test)))
             labels["run"].append(run)
             labels["subset"].append(s)

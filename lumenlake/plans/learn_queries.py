@@ -143,6 +143,65 @@ def domain_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.ablation(scores, "patient_id", "target", "full").select("run", F.col("subset").alias("block"), F.round("auc", 6).alias("auc"), F.round("delta", 6).alias("delta"))
 
 
+# ------------------------------------------------------------------ embeddings, alone and fused
+
+#: Entries of an embedding, and hand-made features of the same pictures.
+EMBEDDED, HAND = [f"e{i}" for i in range(64)], ["h_mean", "h_spread", "h_low", "h_high", "h_edge"]
+DESIGNS = {"hand": HAND, "embedding": selection.Design(embedded=EMBEDDED), "fusion": selection.Design(HAND, EMBEDDED)}
+
+
+def pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as pictures, four a patient; a target that both the features and single entries tell something of, a dataset by label."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
+    spread = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v) / F.size("x"))
+    edge = F.aggregate(F.slice("x", 1, 8), F.lit(0.0), lambda a, v: a + F.abs(v))
+    signal = F.col("x")[0] + F.col("x")[1] + F.col("x")[9] + (F.col("vec_id") * 7919 % 101) / 404.0 - 0.125
+    return rows.select(
+        F.col("vec_id").alias("image"),
+        F.expr("vec_id div 4").alias("patient_id"),
+        (F.col("label") % 3).cast("string").alias("dataset"),
+        (signal > 0).cast("int").alias("target"),
+        mean.alias("h_mean"),
+        spread.alias("h_spread"),
+        F.array_min("x").alias("h_low"),
+        F.array_max("x").alias("h_high"),
+        edge.alias("h_edge"),
+        *[F.col("x")[i].alias(f"e{i}") for i in range(64)],
+    )
+
+
+def _fold_scores(spark: SparkSession, sf_dir: str, cs: tuple[float, ...], subsets: dict) -> DataFrame:
+    rows = pictured(spark, sf_dir)
+    slots = folds.repeated_folds(rows, "patient_id", "target", FOLDS, REPEATS, SEED)
+    return selection.out_of_fold(rows, slots, REPEATS, FOLDS, ["image"], HAND + EMBEDDED, "target", "patient_id", cs, subsets)
+
+
+@query("embedding_tuning")
+def embedding_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand-made features, 32 whitened components of the embedding, and both fused early: C of each by repeated folds, components learnt in each training part."""
+    out = selection.tuned(_fold_scores(spark, sf_dir, selection.C_GRID, DESIGNS), "patient_id", "target")
+    return out.select(F.col("subset").alias("design"), "c", F.round("auc", 6).alias("auc"))
+
+
+@query("embedding_transfer")
+def embedding_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three designs between datasets, each from each other and from all others."""
+    names = ["0", "1", "2"]
+    runs = {f"{a}>{b}": ([a], [b]) for a in names for b in names if a != b} | {f"others>{b}": ([a for a in names if a != b], [b]) for b in names}
+    scores, _ = selection.by_dataset(pictured(spark, sf_dir), "dataset", ["image", "patient_id"], HAND + EMBEDDED, "target", runs, 0.1, DESIGNS)
+    return selection.ablation(scores, "patient_id", "target", "fusion").select("run", F.col("subset").alias("design"), F.round("auc", 6).alias("auc"), F.round("delta", 6).alias("delta"))
+
+
+@query("stacked_fusion")
+def stacked_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late fusion of the features' and the embedding's out-of-fold probabilities, by mean and by a stacked model."""
+    names = ["hand", "embedding"]
+    scores = _fold_scores(spark, sf_dir, (0.1,), {n: DESIGNS[n] for n in names})
+    out = selection.fused(scores, REPEATS, FOLDS, "patient_id", ["image"], "target", names)
+    return out.select("repeat", "held", "image", "patient_id", "target", *[F.round(n, 6).alias(n) for n in (*names, "mean", "stacked")])
+
+
 #: Configurations that a confirmation compares: columns and C.
 CONFIGURATIONS = {f"{n}_{c:g}": (columns, c) for n, columns in {"all": COLUMNS, "order": FAMILIES["order"], "lines": FAMILIES["lines"], "price": COLUMNS[:1]}.items() for c in (0.1, 10.0)}
 

@@ -265,3 +265,62 @@ def test_nothing_runs_a_whole_table_in_one_task(spark, sf_dir):
     for name in ("tune_logistic", "weighted_tuning", "domain_ablation", "transfer_pairs"):
         plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("FlatMapGroupsInPandas|CartesianProduct", plan), name
+
+
+# ------------------------------------------------------------------ components and fusion
+
+
+@pytest.fixture(scope="module")
+def pictures(spark):
+    rng = np.random.default_rng(21)
+    turn = rng.normal(size=(9, 9))
+    rows = []
+    for i in range(260):
+        y = int(rng.random() < 0.5)
+        rows.append((i, f"p{i // 3}", "xy"[i % 2], y, float(y + rng.normal()), *map(float, (rng.normal(size=9) + 0.8 * y * np.eye(9)[0]) @ turn)))
+    names = ["image", "patient", "dataset", "target", "h", *[f"e{j}" for j in range(9)]]
+    data = pd.DataFrame(rows, columns=names)
+    frame = spark.createDataFrame(rows, "image long, patient string, dataset string, target int, h double, " + ", ".join(f"e{j} double" for j in range(9)))
+    return data, frame.repartition(5).cache()
+
+
+def test_components_are_those_of_the_training_part(pictures):
+    data, frame = pictures
+    entries = [f"e{j}" for j in range(9)]
+    slots = folds.repeated_folds(frame, "patient", "target", 3, 2, 5).cache()
+    own = {r["patient"]: r["slots"] for r in slots.collect()}
+    designs = {"embedding": selection.Design(embedded=entries, k=4), "fusion": selection.Design(["h"], entries, 4), "hand": ["h"]}
+    scores = selection.out_of_fold(frame, slots, 2, 3, ["image"], ["h", *entries], "target", "patient", [0.5], designs).cache()
+    got = scores.toPandas()
+    for r in range(2):
+        fold = data["patient"].map(lambda p, r=r: own[p][r])
+        for h in range(3):
+            train, test = data[fold != h], data[fold == h]
+            y = train["target"].to_numpy()
+            embedded = models.Embedded(0.5, 4).fit(train[entries].to_numpy(), y).score(test[entries].to_numpy())
+            both = models.Embedded(0.5, 4, 1).fit(train[["h", *entries]].to_numpy(), y).score(test[["h", *entries]].to_numpy())
+            cell = got[(got.repeat == r) & (got.held == h)].set_index(["subset", "image"])["probability"]
+            assert cell.loc["embedding"][test["image"]].to_numpy() == pytest.approx(embedded, abs=1e-7)
+            assert cell.loc["fusion"][test["image"]].to_numpy() == pytest.approx(both, abs=1e-7)
+    fused = selection.fused(scores, 2, 3, "patient", ["image"], "target", ["hand", "embedding"]).toPandas()
+    wide = got[got.subset != "fusion"].pivot(index=["repeat", "held", "image", "target"], columns="subset", values="probability").reset_index()
+    assert len(fused) == 2 * len(data)
+    for r in range(2):
+        for h in range(3):
+            train, test = wide[(wide.repeat == r) & (wide.held != h)], wide[(wide.repeat == r) & (wide.held == h)]
+            model = models.Logistic(1.0).fit(train[["hand", "embedding"]].to_numpy(), train["target"].to_numpy())
+            cell = fused[(fused.repeat == r) & (fused.held == h)].set_index("image")
+            assert cell["stacked"][test["image"]].to_numpy() == pytest.approx(model.score(test[["hand", "embedding"]].to_numpy()), abs=1e-7)
+            assert cell["mean"][test["image"]].to_numpy() == pytest.approx(test[["hand", "embedding"]].mean(axis=1).to_numpy())
+    with pytest.raises(ValueError, match="components"):
+        selection.out_of_fold(frame, slots, 1, 3, ["image"], ["h", *entries], "target", "patient", [0.5], {"one": selection.Design(embedded=["e1"])})
+
+
+def test_transfer_of_fused_designs(pictures):
+    data, frame = pictures
+    entries = [f"e{j}" for j in range(9)]
+    scores, _ = selection.by_dataset(frame, "dataset", ["image", "patient"], ["h", *entries], "target", {"x>y": (["x"], ["y"])}, 1.0, {"fusion": selection.Design(["h"], entries, 5)})
+    got = scores.toPandas().set_index("image")["probability"]
+    train, test = data[data.dataset == "x"], data[data.dataset == "y"]
+    model = models.Embedded(1.0, 5, 1).fit(train[["h", *entries]].to_numpy(), train["target"].to_numpy())
+    assert got[test["image"]].to_numpy() == pytest.approx(model.score(test[["h", *entries]].to_numpy()), abs=1e-7)
