@@ -38,6 +38,8 @@ MOST_STRATA = 10_000
 BLOCK, DIRECT_BYTES = 1_000_000, 32 << 20
 #: Sums that one task of the tree adds up.
 FAN = 16
+#: Widths of the smoothed corner of the hinge loss: each minimum is where the next, sharper one starts.
+SMOOTH = (1.0, 0.3, 0.1, 0.03, 0.01)
 
 
 @dataclass(frozen=True)
@@ -64,6 +66,8 @@ class Fit:
     columns: tuple[int, ...]
     embedded: tuple[int, ...] = ()
     k: int = 0
+    #: logistic, or hinge: the hinge loss with a quadratic corner, of the last width of SMOOTH
+    loss: str = "logistic"
 
 
 @dataclass
@@ -314,52 +318,80 @@ def fit(study: Study, fits: Sequence[Fit], steps: int = 60) -> Fitted:
             t = np.column_stack([t[:, :-1], turned[key], t[:, -1:]])
         turns.append(t)
     ok = (m.classes[[f.part for f in fits]] > 0).all(1) if fits else np.zeros(0, bool)
-    b = [np.zeros(t.shape[1]) for t in turns]
-    now = [np.inf] * k
-    gradient: list = [None] * k
-    move: list = [None] * k
-    slope, length = np.zeros(k), np.ones(k)
-    trial = [x.copy() for x in b]
-    active = np.flatnonzero(ok)
-    scans = 0
     upper = np.triu_indices(d + 1)
-    while len(active) and scans < steps:
-        got = _scan(study, m, [fits[i] for i in active], np.array([turns[i] @ trial[i] for i in active]))
-        scans += 1
-        left = []
-        for i, row in zip(active, got, strict=True):
-            loss, g = row[0], row[1 : d + 2]
+
+    def evaluate(active, trials, smooth):
+        at = np.array([turns[i] @ x for i, x in zip(active, trials, strict=True)])
+        for i, row, x in zip(active, _scan(study, m, [fits[i] for i in active], at, smooth), trials, strict=True):
             full = np.zeros((d + 1, d + 1))
             full[upper] = row[d + 2 :]
             full = full + np.triu(full, 1).T
-            value = fits[i].c * loss + 0.5 * trial[i] @ trial[i]
+            t, c = turns[i], fits[i].c
+            yield c * row[0] + 0.5 * x @ x, c * t.T @ row[1 : d + 2] + x, c * t.T @ full @ t + np.eye(len(x))
+
+    hinge = np.array([f.loss == "hinge" for f in fits], bool)
+    b, scans = newton([np.zeros(t.shape[1]) for t in turns], np.flatnonzero(ok & ~hinge), lambda a, x: evaluate(a, x, 1.0), steps)
+    for smooth in SMOOTH if hinge.any() else ():
+        b, more = newton(b, np.flatnonzero(ok & hinge), lambda a, x, smooth=smooth: evaluate(a, x, smooth), steps)
+        scans += more
+    flat = np.array([t @ x for t, x in zip(turns, b, strict=True)]).reshape(k, d + 1)
+    return Fitted(fits, [x[:-1] for x in b], [float(x[-1]) for x in b], flat, m, scans)
+
+
+def newton(start: Sequence[np.ndarray], active: np.ndarray, evaluate, steps: int) -> tuple[list[np.ndarray], int]:
+    """Minima of many functions from where they start, and the evaluations taken: ``evaluate(active, trials)`` gives value, gradient and curvature of each active one.
+
+    A function that did not fall enough tries half its step with the others' next one,
+    so all of them share every evaluation.
+    """
+    b = list(start)
+    trial = [x.copy() for x in b]
+    now, slope, length = np.full(len(b), np.inf), np.zeros(len(b)), np.ones(len(b))
+    move: list = [None] * len(b)
+    taken = 0
+    while len(active) and taken < steps:
+        taken += 1
+        left = []
+        for i, (value, gradient, curvature) in zip(active, list(evaluate(active, [trial[i] for i in active])), strict=True):
             if value > now[i] - 1e-4 * length[i] * slope[i] and length[i] > 1e-8:
-                length[i] /= 2  # too far: half the step
+                length[i] /= 2
                 trial[i] = b[i] - length[i] * move[i]
                 left.append(i)
                 continue
             done = now[i] - value <= 1e-11 * (1 + abs(value))
             b[i], now[i] = trial[i], value
-            if done:
-                continue
-            gradient[i] = fits[i].c * turns[i].T @ g + b[i]
-            curvature = fits[i].c * turns[i].T @ full @ turns[i] + np.eye(len(b[i]))
-            move[i] = np.linalg.solve(curvature, gradient[i])
-            slope[i], length[i] = gradient[i] @ move[i], 1.0
-            trial[i] = b[i] - move[i]
-            left.append(i)
+            if not done:
+                move[i] = np.linalg.solve(curvature, gradient)
+                slope[i], length[i] = gradient @ move[i], 1.0
+                trial[i] = b[i] - move[i]
+                left.append(i)
         active = np.array(left, int)
-    flat = np.array([t @ x for t, x in zip(turns, b, strict=True)]).reshape(k, d + 1)
-    return Fitted(fits, [x[:-1] for x in b], [float(x[-1]) for x in b], flat, m, scans)
-
-
-def _scan(study: Study, m: Moments, fits: list[Fit], at: np.ndarray) -> np.ndarray:
+    return b, taken
+
+
+def losses(z: np.ndarray, y: np.ndarray, hinge: np.ndarray, smooth: float = SMOOTH[-1]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, slope and bend at margins (rows x models) of targets 0/1; ``hinge`` says which models take the smoothed hinge."""
+    sign = (2 * y - 1)[:, None]
+    if hinge.all():
+        short = 1 - sign * z
+        bent = (short > 0) & (short < smooth)
+        loss = np.where(bent, short * short / (2 * smooth), np.where(short > 0, short - smooth / 2, 0.0))
+        return loss, -sign * np.clip(short / smooth, 0, 1), bent / smooth
+    p = sigmoid(z)
+    out = [np.logaddexp(0, -sign * z), p - y[:, None], p * (1 - p)]
+    if hinge.any():
+        for x, h in zip(out, losses(z[:, hinge], y, np.ones(hinge.sum(), bool), smooth), strict=True):
+            x[:, hinge] = h
+    return tuple(out)
+
+
+def _scan(study: Study, m: Moments, fits: list[Fit], at: np.ndarray, smooth: float) -> np.ndarray:
     """fits x (loss, gradient, upper half of the curvature) at coefficients of _x."""
     d, parts, draws = len(study.columns), study.parts, study.draws
     own = np.array([f.part for f in fits])
     used = np.unique(own)
     used_parts, place = [parts[i] for i in used], np.searchsorted(used, own)
-    factor = m.factor[own]
+    factor, hinge = m.factor[own], np.array([f.loss == "hinge" for f in fits])
     upper = np.triu_indices(d + 1)
     q = len(upper[0])
     step = max(16, BLOCK // max(len(fits), q, draws.iterations if draws else 1))
@@ -370,11 +402,10 @@ def _scan(study: Study, m: Moments, fits: list[Fit], at: np.ndarray) -> np.ndarr
             r = _Rows(piece, d, used_parts, draws)
             w = r.members[:, place] * factor.T[r.stratum] * r.w[:, None]
             z = r.x @ at.T
-            sign = (2 * r.y - 1)[:, None]
-            p = sigmoid(z)
-            out[:, 0] += (w * np.logaddexp(0, -sign * z)).sum(0)
-            out[:, 1 : d + 2] += (w * (p - r.y[:, None])).T @ r.x
-            out[:, d + 2 :] += (w * p * (1 - p)).T @ (r.x[:, upper[0]] * r.x[:, upper[1]])
+            loss, slope, bend = losses(z, r.y, hinge, smooth)
+            out[:, 0] += (w * loss).sum(0)
+            out[:, 1 : d + 2] += (w * slope).T @ r.x
+            out[:, d + 2 :] += (w * bend).T @ (r.x[:, upper[0]] * r.x[:, upper[1]])
         return out.ravel()
 
     return _added(study, _columns(study), len(fits) * (1 + d + 1 + q), add).reshape(len(fits), -1)
@@ -383,7 +414,7 @@ def _scan(study: Study, m: Moments, fits: list[Fit], at: np.ndarray) -> np.ndarr
 def predict(study: Study, fitted: Fitted, tests: Sequence[tuple[int, int]]) -> DataFrame:
     """fit, the study's keys, target, probability, weight: of each (fit, part) the rows of the part; fits without both classes give none.
 
-    The weight is the row's in that part (strata alike, as in training).  One scan; a
+    A hinge model's ``probability`` is its margin.  The weight is the row's in that part (strata alike, as in training).  One scan; a
     row comes out once for each test that it takes part in.
     """
     valid = fitted.valid()
@@ -393,6 +424,7 @@ def predict(study: Study, fitted: Fitted, tests: Sequence[tuple[int, int]]) -> D
     which, parts = np.array([i for i, _ in tests], np.int32), [study.parts[p] for _, p in tests]
     flat = fitted.flat[which] if tests else np.zeros((0, d + 1))
     factor = fitted.moments.factor[[p for _, p in tests]] if tests else np.zeros((0, 1))
+    margins = np.array([fitted.fits[i].loss == "hinge" for i, _ in tests], bool)
     step = max(16, BLOCK // max(len(tests), 1))
     n = len(keys)
 
@@ -402,7 +434,8 @@ def predict(study: Study, fitted: Fitted, tests: Sequence[tuple[int, int]]) -> D
                 return
             r = _Rows(piece.select(_NEEDED), d, parts, None)
             row, test = np.nonzero(r.members)
-            p = sigmoid(np.einsum("ij,ij->i", r.x[row], flat[test]))
+            p = np.einsum("ij,ij->i", r.x[row], flat[test])
+            p = np.where(margins[test], p, sigmoid(p))
             w = r.members[row, test] * factor[test, r.stratum[row]] * r.w[row]
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(which[test]), *[piece.column(i).take(at) for i in range(n + 1)], pa.array(p), pa.array(w)], names=schema.names)

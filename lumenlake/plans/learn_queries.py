@@ -213,27 +213,43 @@ def confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("configuration", "repeats", F.round("auc", 6).alias("auc"), F.round("auc_sd", 6).alias("auc_sd"))
 
 
-def _screen(model: str, params: dict, kernel: bool):
+def _screen(model: str, params: dict):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = patients(spark, sf_dir) if kernel else study(spark, sf_dir)
-        return learn.grid_scores(rows, outer_folds(rows, 1, 4), ["image", "patient_id", "dataset"], COLUMNS, "target", "patient_id", model, [params], by="dataset" if kernel else None)
+        rows = study(spark, sf_dir)
+        return learn.grid_scores(rows, outer_folds(rows, 1, 4), ["image", "patient_id", "dataset"], COLUMNS, "target", "patient_id", model, [params])
 
-    run.__doc__ = f"Out-of-fold scores of the model {model}" + (", one row a patient and one study a dataset, as kernels are square in the rows." if kernel else ".")
+    run.__doc__ = f"Out-of-fold scores of the model {model}."
     return run
 
 
 _SCREENS = {
-    "linear_svm": ({"c": 0.1, "epochs": 3}, True),
-    "rbf_svm": ({"c": 1.0}, True),
-    "random_forest": ({"trees": 20, "leaf": 3, "depth": 8}, False),
-    "extra_trees": ({"trees": 20, "leaf": 3, "depth": 8}, False),
-    "boosted": ({"rounds": 30}, False),
-    "histogram_boosted": ({"rounds": 30, "depth": 4, "ridge": 1.0}, False),
-    "adaptive": ({"rounds": 30}, False),
-    "embedded": ({"c": 1.0, "k": 4}, False),
+    "random_forest": {"trees": 20, "leaf": 3, "depth": 8},
+    "extra_trees": {"trees": 20, "leaf": 3, "depth": 8},
+    "boosted": {"rounds": 30},
+    "histogram_boosted": {"rounds": 30, "depth": 4, "ridge": 1.0},
+    "adaptive": {"rounds": 30},
+    "embedded": {"c": 1.0, "k": 4},
 }
-for _model, (_params, _kernel) in _SCREENS.items():
-    query(f"screen_{_model}")(_screen(_model, _params, _kernel))
+for _model, _params in _SCREENS.items():
+    query(f"screen_{_model}")(_screen(_model, _params))
+
+
+def _machines(spark: SparkSession, sf_dir: str, cs: tuple[float, ...], gammas: tuple) -> DataFrame:
+    rows = study(spark, sf_dir)
+    slots = folds.repeated_folds(rows, "patient_id", "target", FOLDS, 1, SEED)
+    return selection.machine_scores(rows, slots, FOLDS, ["image"], COLUMNS, "target", "patient_id", cs, gammas)
+
+
+@query("screen_linear_svm")
+def screen_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold margins of linear hinge machines on all images, for the grid of C."""
+    return _machines(spark, sf_dir, selection.C_GRID, (None,))
+
+
+@query("screen_rbf_svm")
+def screen_rbf_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold margins of Gaussian hinge machines on all images, by landmarks."""
+    return _machines(spark, sf_dir, (1.0,), ("scale",))
 
 
 @query("transfer_pairs")
