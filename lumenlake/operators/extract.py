@@ -68,6 +68,21 @@ def extract(images: DataFrame, keys: Sequence[str], families: Sequence[str] = tu
     return _map(images.select(*keys, "height", "width", "pixels", "mask"), run, schema)
 
 
+def measured(images: DataFrame, keys: Sequence[str], names: Sequence[str], kernel) -> DataFrame:
+    """keys and a column for each name of what ``kernel(plane, mask)`` gives for a picture as it is: neither cut nor sized, pixels in 0 .. 255 scaled to 0 .. 1."""
+    schema = T.StructType([*[images.schema[k] for k in keys], *[T.StructField(n, T.DoubleType()) for n in names]])
+    n = len(keys)
+
+    def run(batches):
+        for batch in batches:
+            shapes = zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)
+            planes = zip(shapes, _planes(batch, n + 2, np.float64), _planes(batch, n + 3, np.float64), strict=True)
+            found = [kernel(pixels.reshape(shape) / 255.0, mask.reshape(shape) > 0) for shape, pixels, mask in planes]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array([float(f[c]) for f in found]) for c in names]], names=[*keys, *names])
+
+    return _map(images.select(*keys, "height", "width", "pixels", "mask"), run, schema)
+
+
 def require_extracted(features: DataFrame, sink) -> DataFrame:
     """Write failures through ``sink`` and raise if there are any; else the rows without the failure column."""
     failed = features.where("failure IS NOT NULL")
