@@ -2,13 +2,15 @@
 
 ``hamming_pairs`` finds all pairs of 64-bit hashes within a distance without
 comparing all pairs: hashes that differ in at most k bits agree in one of k + 1
-bands of bits, so an equi-join on (band, bits) has every such pair.  Rows of one
-hash are joined as one, and a pair is listed by the first band it agrees in.
+bands of bits, so an equi-join on (band, bits) has every such pair.  Bands are made
+of bits in the order of their entropy, buckets that are still large are split by
+further bits, and rows of one hash are joined as one.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,29 +31,84 @@ def _dropped(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bands(distance: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(shift, mask) of distance + 1 bands that cover all bits."""
+#: Distinct hashes that a bucket may hold before it is split by further bits.
+MOST_IN_BUCKET = 256
+
+
+def bands(order: Sequence[int], distance: int) -> list[tuple[int, ...]]:
+    """distance + 1 bands of bit positions: bits are dealt in turn, so each band has telling ones where ``order`` has them first."""
     n = distance + 1
-    edges = [bits * i // n for i in range(n + 1)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [tuple(order[i::n]) for i in range(n)]
+
+
+def bit_order(hashes: DataFrame, value: str, bits: int) -> list[int]:
+    """Positions of the bits, the most even ones first: one aggregate of a sum for each bit."""
+    ones = hashes.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned(value, i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(bits)]).first()
+    n = ones["n"] or 1
+    return sorted(range(bits), key=lambda i: (round(abs((ones[f"b{i}"] or 0) / n - 0.5), 9), i))
+
+
+def _mask(positions: Sequence[int]) -> int:
+    m = sum(1 << p for p in positions)
+    return m - (1 << 64) if m >= 1 << 63 else m
+
+
+def _along(path: tuple[int, ...], order: Sequence[int], distance: int) -> list[tuple[int, list[tuple[int, ...]]]]:
+    """(band taken, bands to choose from) of each step of a path."""
+    left, out = list(order), []
+    for step in path:
+        own = bands(left, distance)
+        out.append((step, own))
+        left = [b for b in left if b not in own[step]]
+    return out
+
+
+def _splits(path: tuple[int, ...], order: Sequence[int], distance: int) -> list[tuple[int, ...]] | None:
+    """The bands of what a bucket's path leaves over; None if too few bits are left to split it."""
+    used = {b for step, own in _along(path, order, distance) for b in own[step]}
+    left = [b for b in order if b not in used]
+    return bands(left, distance) if len(left) > distance + 1 else None
 
 
-def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits: int = 64) -> DataFrame:
+def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits: int = 64, most: int = MOST_IN_BUCKET) -> DataFrame:
     """first, second, hamming: pairs of keys (first < second) whose hashes differ in at most ``distance`` bits.
 
-    Equal hashes are distance 0.  Null hashes pair with nothing.
+    Equal hashes are distance 0.  Null hashes pair with nothing.  Hashes are compared
+    in buckets of one band's bits.  A bucket of more than ``most`` distinct hashes (a
+    band of constant bits has all of them) is split by bands of the other bits: those
+    of its pairs differ in none of the bucket's bits, so they agree in one of the
+    further bands.  In a bucket a pair is listed only if it agrees in none of the bands
+    before; what split buckets list twice is made distinct.
     """
     rows = hashes.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("long").alias("h"))
-    distinct = rows.select("h").distinct()
-    cut = bands(distance, bits)
-    part = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), (F.shiftrightunsigned("h", a).bitwiseAND(F.lit(m if m < 1 << 63 else -1))).alias("part")) for i, (a, m) in enumerate(cut)]))
-    banded = distinct.select("h", part.alias("b")).select("h", "b.band", "b.part")
-    other = banded.select(F.col("h").alias("g"), "band", "part")
-    apart = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
-    agree = [F.shiftrightunsigned(F.col("h").bitwiseXOR(F.col("g")), a).bitwiseAND(F.lit(m if m < 1 << 63 else -1)) == 0 for a, m in cut]
-    first_band = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(agree)])
-    met = banded.join(other, ["band", "part"]).where((F.col("h") < F.col("g")) & (apart <= distance) & (first_band == F.col("band"))).select("h", "g", apart.alias("hamming"))
-    met = met.unionByName(distinct.select("h", F.col("h").alias("g"), F.lit(0).alias("hamming")))
+    distinct = rows.select("h").distinct().checkpoint()
+    order = bit_order(distinct, "h", bits)
+    # a bucket: the path of bands to it (as text), the bits of the hash in them
+    level = [((), bands(order, distance))]
+    waiting, met = distinct.select("h", F.lit("").alias("at")), None
+    while level:
+        choice = F.lit(None).cast("array<struct<at:string,part:long,before:array<long>>>")
+        for path, own in level:
+            text = "".join(f"{p}." for p in path)
+            fixed = _mask([b for q, s in _along(path, order, distance) for b in s[q]])
+            made = F.array(*[F.struct(F.lit(f"{text}{i}.").alias("at"), F.col("h").bitwiseAND(F.lit(fixed | _mask(band))).alias("part"), F.array(*[F.lit(_mask(x)) for x in own[:i]]).cast("array<long>").alias("before")) for i, band in enumerate(own)])
+            choice = F.when(F.col("at") == text, made).otherwise(choice)
+        placed = waiting.select("h", F.explode(choice).alias("b")).select("h", "b.at", "b.part", "b.before").checkpoint()
+        sizes = placed.groupBy("at", "part").agg(F.count(F.lit(1)).alias("n"))
+        large = sizes.where(F.col("n") > most)
+        paths = [tuple(map(int, r["at"].split(".")[:-1])) for r in large.select("at").distinct().collect()]
+        level = [(p, s) for p in paths if (s := _splits(p, order, distance)) is not None]
+        going_on = ["".join(f"{x}." for x in p) for p, _ in level]
+        split = large.where(F.col("at").isin(going_on)).select("at", "part")
+        here = placed.join(split, ["at", "part"], "left_anti") if level else placed
+        other = here.select(F.col("h").alias("g"), "at", "part")
+        differ = F.col("h").bitwiseXOR(F.col("g"))
+        first = F.forall("before", lambda m: differ.bitwiseAND(m) != 0)  # they agree in none of the bands before
+        found = here.join(other, ["at", "part"]).where((F.col("h") < F.col("g")) & (F.bit_count(differ) <= distance) & first).select("h", "g", F.bit_count(differ).alias("hamming"))
+        met = found if met is None else met.unionByName(found)
+        if level:
+            waiting = placed.join(split, ["at", "part"]).select("h", "at").distinct()
+    met = met.distinct().unionByName(distinct.select("h", F.col("h").alias("g"), F.lit(0).alias("hamming")))
     left, right = rows.select(F.col("k").alias("x"), "h"), rows.select(F.col("k").alias("y"), F.col("h").alias("g"))
     pairs = met.join(left, "h").join(right, "g")
     both = pairs.where((F.col("h") != F.col("g")) | (F.col("x") < F.col("y"))).where(F.col("x") != F.col("y"))

@@ -347,6 +347,31 @@ def cross_dataset_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.where("dataset_first <> dataset_second").select("first", "second", "dataset_first", "dataset_second", "hamming", (F.col("hamming") == 0).alias("exact"))
 
 
+#: Customers with a hash of three copies of their number and their nation; the other bits are constant.
+_CODED = "h AS (SELECT c_custkey, c_mktsegment, c_custkey % 2048 | ((c_custkey % 2048) << 11) | ((c_custkey % 2048) << 22) | ((c_nationkey::BIGINT) << 33) AS h FROM customer)"
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey").cast("long") % 2048
+    h = k.bitwiseOR(F.shiftleft(k, 11)).bitwiseOR(F.shiftleft(k, 22)).bitwiseOR(F.shiftleft(F.col("c_nationkey").cast("long"), 33))
+    return read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", h.alias("h"))
+
+
+@query("hash_neighbours", f"WITH {_CODED} SELECT a.c_custkey AS first, b.c_custkey AS second, bit_count(xor(a.h, b.h))::INTEGER AS hamming FROM h a JOIN h b ON a.c_custkey < b.c_custkey AND bit_count(xor(a.h, b.h)) <= 5")
+def hash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs at the distance of the image audits, of hashes with constant bits."""
+    return neardup.hamming_pairs(_coded(spark, sf_dir), "c_custkey", "h", 5)
+
+
+@query("hash_candidates_across", f"WITH {_CODED} SELECT a.c_custkey AS first, b.c_custkey AS second, a.c_mktsegment AS dataset_first, b.c_mktsegment AS dataset_second, bit_count(xor(a.h, b.h))::INTEGER AS hamming FROM h a JOIN h b ON a.c_custkey < b.c_custkey AND a.c_mktsegment <> b.c_mktsegment AND bit_count(xor(a.h, b.h)) <= 4")
+def hash_candidates_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different datasets at the distance of their audit."""
+    rows = _coded(spark, sf_dir)
+    pairs = neardup.hamming_pairs(rows, "c_custkey", "h", 4)
+    side = lambda n: rows.select(F.col("c_custkey").alias(n), F.col("c_mktsegment").alias(f"dataset_{n}"))
+    return pairs.join(side("first"), "first").join(side("second"), "second").where("dataset_first <> dataset_second").select("first", "second", "dataset_first", "dataset_second", "hamming")
+
+
 _GROUPS = f"""WITH RECURSIVE h AS (SELECT vec_id, label, {_BITS} AS h FROM embeddings), e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM h a JOIN h b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= {HAMMING}),
 reach AS (SELECT vec_id AS root, vec_id AS node FROM h UNION SELECT reach.root, e.y FROM reach JOIN e ON e.x = reach.node), l AS (SELECT node, min(root) AS root FROM reach GROUP BY 1)"""
 

@@ -171,6 +171,21 @@ def test_hamming_pairs_are_complete(spark):
         assert got == want
 
 
+def test_constant_bits_make_no_large_bucket(spark):
+    """Half of the bits are constant: their bands would hold every hash, so they are split by the others."""
+    rng = np.random.default_rng(4)
+    hashes = sorted({int(x) << 20 for x in rng.integers(0, 1 << 14, 1200)})
+    frame = spark.createDataFrame(list(enumerate(hashes)), "k long, h long")
+    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (a ^ b).bit_count() <= 3}
+    got = neardup.hamming_pairs(frame, "k", "h", 3, 64, most=50)
+    rows = got.collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    order = neardup.bit_order(frame, "h", 64)
+    assert set(order[:14]) == set(range(20, 34)) and sorted(order) == list(range(64))
+    assert sorted(b for band in neardup.bands(order, 3) for b in band) == list(range(64))
+    assert all(any(b in order[:14] for b in band) for band in neardup.bands(order, 3))
+
+
 def test_component_labels_of_a_long_chain(spark):
     """The planner's estimate stays with the table, and a chain settles in few steps."""
     n = 100_000
