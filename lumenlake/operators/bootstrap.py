@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlake.operators.ordered import cut_points, stretch_of
+from lumenlake.operators.ordered import STRETCHES, cut_points, stretch_of
 from lumenlake.operators.resample import numbered
 from lumenlake.session import ship, spread
 
@@ -58,12 +58,12 @@ def finalise(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def hashed(values: np.ndarray, factor: int, seed: int) -> np.ndarray:
-    """Hashes of whole numbers below 2**64 under a seed."""
+def hashed(values: np.ndarray, factor: int, seed: int | np.ndarray) -> np.ndarray:
+    """Hashes of whole numbers below 2**64 under a seed, or each under its own."""
     v = np.asarray(values, np.uint64)
     low, high = (v & np.uint64(M32)).astype(np.uint32), (v >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        return finalise(low * np.uint32(factor) + finalise(high + np.uint32(seed & M32)))
+        return finalise(low * np.uint32(factor) + finalise(high + np.uint32(np.asarray(seed, np.int64) & M32)))
 
 
 def closeness(units: int) -> int:
@@ -226,11 +226,11 @@ def _vector(x: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes()], pa.binary())
 
 
-def _stretches(frame: DataFrame, keys: Sequence[str], target: str, score: str, weight: str) -> DataFrame:
+def _stretches(frame: DataFrame, keys: Sequence[str], target: str, score: str, weight: str, stretches: int = STRETCHES) -> DataFrame:
     """Rows that take part, with _s (score), _stretch (a number that rises with the score), and _salt: the rows of a score of its own are dealt into as many parts as it has shares."""
     rows = frame.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     rows = rows.select(*keys, F.col(score).cast("double").alias("_s"), (F.col(target) == 1).alias("_y"), F.col(weight).cast("double").alias("_w"), "_number", "_extra")
-    cuts = cut_points(rows, "_s")
+    cuts = cut_points(rows, "_s", stretches)
     at, single = stretch_of(F.col("_s"), cuts)
     shares = {c: n for c, n in Counter(cuts).items() if n > 1}
     salts = F.element_at(F.array(*map(F.lit, shares.values())), F.array_position(F.array(*map(F.lit, shares)), F.col("_s")).cast("int")) if shares else F.lit(1)
@@ -287,10 +287,13 @@ def replicate_auc(frame: DataFrame, draws: Draws, unit: str, target: str, scores
     return out
 
 
-def plain_auc(frame: DataFrame, keys: Sequence[str], target: str, score: str, weight: str) -> DataFrame:
-    """keys, auc, as ``metrics.auc`` but for cohorts of one class: one shuffle of the rows, for many keys of many distinct scores."""
+def plain_auc(frame: DataFrame, keys: Sequence[str], target: str, score: str, weight: str, stretches: int) -> DataFrame:
+    """keys, auc, as ``metrics.auc`` but for cohorts of one class: one shuffle of the rows, for many keys of many distinct scores.
+
+    A key is cut into ``stretches``; one that fits a task needs no more than one.
+    """
     rows = frame.withColumns({"_number": F.lit(0).cast("long"), "_extra": F.array().cast("array<int>")})
-    return _auc(rows, Once(), keys, target, score, weight).drop("iteration")
+    return _auc(rows, Once(), keys, target, score, weight, stretches).drop("iteration")
 
 
 def _sorted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -300,26 +303,34 @@ def _sorted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.repartition(n, *by).sortWithinPartitions(*by, "_s").select(*by, "_single", "_s", "_y", "_w", "_number", "_extra")
 
 
-def _auc(frame: DataFrame, draws: Draws, keys: Sequence[str], target: str, score: str, weight: str) -> DataFrame:
+def _auc(frame: DataFrame, draws: Draws | Once, keys: Sequence[str], target: str, score: str, weight: str, stretches: int = STRETCHES) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = _stretches(frame, keys, target, score, weight)
+    rows = _stretches(frame, keys, target, score, weight, stretches)
     kinds = [rows.schema[c] for c in keys]
     arrow = [to_arrow_type(f.dataType) for f in kinds]
     n = len(keys) + 2
     parts = T.StructType([*kinds, T.StructField("_stretch", T.IntegerType()), T.StructField("_single", T.BooleanType()), T.StructField("_part", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("wp", "wn", "won")]])
     width = min(ITERATIONS_AT_ONCE, draws.iterations)
+    kinds_out = [*arrow, pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches):
         now = None  # key, single, positives, negatives, won, last score with its weights (a score may go on in the next batch)
 
+        closed: list[tuple] = []
+
         def close(pending):
             key, single, tp, tn, won, _, lp, ln = pending
             won = won + lp * (tn + ln / 2)
             for p, at in enumerate(range(0, draws.iterations, width)):
-                own = slice(at, at + width)
-                fixed = [pa.array([x], t) for x, t in zip(key[:-2], arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array([key[-2]], pa.int32()), pa.array([single]), pa.array([p], pa.int32()), *[_vector(x[own]) for x in (tp + lp, tn + ln, won)]], names=parts.names)
+                closed.append((*key[:-1], single, p, *[x[at : at + width].tobytes() for x in (tp + lp, tn + ln, won)]))
+            if len(closed) * width > BLOCK:
+                yield packed()
+
+        def packed():
+            columns = list(zip(*closed, strict=True))
+            closed.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_out, strict=True)], names=parts.names)
 
         for key, single, s, wp, wn in _blocks(batches, n, draws):
             if now is None or now[0] != key:
@@ -340,6 +351,8 @@ def _auc(frame: DataFrame, draws: Draws, keys: Sequence[str], target: str, score
             now = (key, single, tp, tn, won, s[-1], wp[-1], wn[-1])
         if now is not None:
             yield from close(now)
+        if closed:
+            yield packed()
 
     schema = T.StructType([*kinds, T.StructField("iteration", T.IntegerType()), T.StructField("auc", T.DoubleType())])
 

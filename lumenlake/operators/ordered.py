@@ -26,6 +26,8 @@ def cut_points(frame: DataFrame, value: str, stretches: int = STRETCHES) -> list
     One pass; a task's sketch and what the driver gets have a bounded size.
     """
     shares = [i / stretches for i in range(1, stretches)]
+    if not shares:
+        return []
     return frame.agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(ACCURACY)).alias("c")).first()["c"] or []
 
 

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from lumenlake.operators import bootstrap, folds, kernels, metrics, resample
 from lumenlake.operators.batched import Fit, Fitted, Held, Replicate, Study, fit, labelled, predict, prepare
+from lumenlake.operators.ordered import STRETCHES
 from lumenlake.operators.relational import share_weight
 from lumenlake.session import spread
 
+#: Rows that a task orders at once when a permutation is measured.
+ROWS_IN_ORDER = 1_000_000
 #: Values of C (fixed values of the study protocol).
 C_GRID = (0.01, 0.1, 1.0, 10.0, 100.0)
 
@@ -226,8 +229,8 @@ def machine_scores(frame: DataFrame, slots: DataFrame, n_folds: int, keys: Seque
 # ------------------------------------------------------------------ permutation importance
 
 
-def bijection(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
-    """A permutation of 0 .. size - 1 under a key, at ``numbers``: nothing is sorted and none is stored.
+def bijection(numbers: np.ndarray, size: int, key: int | np.ndarray, rounds: int = 6) -> np.ndarray:
+    """A permutation of 0 .. size - 1 under a key (or each number's own), at ``numbers``: nothing is sorted and none is stored.
 
     Feistel rounds permute the numbers below a power of four, under four times the
     size: halves swap, one mixed with a hash of the other.  A number that lands beyond
@@ -236,11 +239,12 @@ def bijection(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.n
     bits = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << bits) - 1)
     out = np.asarray(numbers).astype(np.uint64)
+    keys = np.broadcast_to(np.asarray(key, np.int64), out.shape)
     beyond = np.arange(len(out))
     while len(beyond):
-        left, right = out[beyond] >> np.uint64(bits), out[beyond] & mask
+        left, right, own = out[beyond] >> np.uint64(bits), out[beyond] & mask, keys[beyond]
         for r in range(rounds):
-            left, right = right, left ^ (bootstrap.hashed(right, bootstrap.OF_UNIT, key + r).astype(np.uint64) & mask)
+            left, right = right, left ^ (bootstrap.hashed(right, bootstrap.OF_UNIT, own + r).astype(np.uint64) & mask)
         out[beyond] = (left << np.uint64(bits)) | right
         beyond = beyond[out[beyond] >= size]
     return out.astype(np.int64)
@@ -271,14 +275,17 @@ def permutation_importance(frame: DataFrame, row: str, columns: Sequence[str], f
         for batch in batches:
             number = batch.column(0).to_numpy()
             shares = batch.column(1).flatten().to_numpy().reshape(len(number), -1)
+            step = max(1, 250_000 // max(1, len(number)))
             for j in range(len(names)):
-                for p in range(permutations):
-                    to = bijection(number, total, seed + 1_000_003 * j + 101 * p)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), j, np.int32)), pa.array(np.full(len(to), p, np.int32)), pa.array(to), pa.array(shares[:, j])], names=["_family", "permutation", "_n", "_moved"])
+                for first in range(0, permutations, step):
+                    turn = np.repeat(np.arange(first, min(first + step, permutations)), len(number))
+                    times = len(turn) // max(1, len(number))
+                    to = bijection(np.tile(number, times), total, seed + 1_000_003 * j + 101 * turn)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), j, np.int32)), pa.array(turn.astype(np.int32)), pa.array(to), pa.array(np.tile(shares[:, j], times))], names=["_family", "permutation", "_n", "_moved"])
 
     sent = rows.select("_n", "_f").mapInArrow(send, "_family int, permutation int, _n long, _moved double")
     met = sent.join(rows, "_n").withColumn("_s", F.col("_z") - F.get("_f", F.col("_family")) + F.col("_moved"))
     base = metrics.auc(rows, [], target, "_z", "share").first()["auc"]
-    aucs = bootstrap.plain_auc(met, ["_family", "permutation"], target, "_s", "share")
+    aucs = bootstrap.plain_auc(met, ["_family", "permutation"], target, "_s", "share", min(STRETCHES, -(-total // ROWS_IN_ORDER)))
     family = F.element_at(F.array(*map(F.lit, names)), F.col("_family") + 1)
     return aucs.select(family.alias("family"), F.col("permutation").cast("long").alias("permutation"), (F.lit(base) - F.col("auc")).alias("drop"))

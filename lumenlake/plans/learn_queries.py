@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.operators import folds, learn, selection
+from lumenlake.plans import locked
 from lumenlake.plans.registry import query, read
+from lumenlake.plans.runner import Runner
+from lumenlake.session import shared_dir
 
 COLUMNS = ["x_price", "x_month", "x_day", "x_lines", "x_quantity", "x_discount"]
 FAMILIES = {"order": COLUMNS[:3], "lines": COLUMNS[3:]}
@@ -202,6 +207,14 @@ def stacked_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("repeat", "held", "image", "patient_id", "target", *[F.round(n, 6).alias(n) for n in (*names, "mean", "stacked")])
 
 
+@query("locked_evaluation")
+def locked_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six methods tuned and fitted on dataset 0 and scored on the others, in stages that a rerun finds committed."""
+    protocol = locked.Protocol(HAND, EMBEDDED, cs=(0.1, 10.0), repeats=2)
+    runner = Runner(spark, f"{shared_dir(spark)}/locked-{uuid.uuid4().hex}")
+    return locked.evaluate(runner, pictured(spark, sf_dir), "0", ["1", "2"], protocol)
+
+
 #: Configurations that a confirmation compares: columns and C.
 CONFIGURATIONS = {f"{n}_{c:g}": (columns, c) for n, columns in {"all": COLUMNS, "order": FAMILIES["order"], "lines": FAMILIES["lines"], "price": COLUMNS[:1]}.items() for c in (0.1, 10.0)}
 

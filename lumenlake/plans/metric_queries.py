@@ -314,6 +314,23 @@ def utility_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.agg(F.round(F.avg("brier_delta"), 6).alias("brier_delta"), q("brier_delta", 0.025).alias("brier_low"), q("brier_delta", 0.975).alias("brier_high"), F.round(F.avg("net_benefit_delta"), 6).alias("net_delta"), q("net_benefit_delta", 0.025).alias("net_low"), q("net_benefit_delta", 0.975).alias("net_high"))
 
 
+#: The metrics of a locked evaluation that SQL has (the calibration line has a query of its own).
+_LOCKED = ["group_balanced_roc_auc", "image_roc_auc", "average_precision", "balanced_accuracy", "sensitivity", "specificity", "f1", "mcc", "brier", "ece_10"]
+
+
+@query("external_metrics", f"""WITH {VISITS}, v AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY patient_id) AS w, 0 AS one FROM visits), a AS ({_auc_sql('v', 'one', 'p_a', 'w')}), i AS ({_auc_sql('v', 'one', 'p_a', '1.0')}),
+t AS (SELECT p_a AS s, sum(CASE WHEN target = 1 THEN w ELSE 0 END) AS wp, sum(w) AS w FROM v GROUP BY 1), r AS (SELECT *, sum(wp) OVER o AS tp, sum(w) OVER o AS taken FROM t WINDOW o AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), p AS (SELECT sum(wp * tp / taken) / sum(wp) AS ap FROM r),
+c AS (SELECT sum(w) FILTER (WHERE target = 1 AND p_a >= 0.4) AS tp, sum(w) FILTER (WHERE target = 0 AND p_a >= 0.4) AS fp, sum(w) FILTER (WHERE target = 1 AND p_a < 0.4) AS fn, sum(w) FILTER (WHERE target = 0 AND p_a < 0.4) AS tn, sum(w * pow(p_a - target, 2)) / sum(w) AS brier FROM v),
+b AS (SELECT least(9, floor(p_a * 10)) AS bin, sum(w) AS w, sum(w * target) / sum(w) AS o, sum(w * p_a) / sum(w) AS e FROM v GROUP BY 1), e AS (SELECT sum(w * abs(o - e)) / sum(w) AS ece FROM b)
+SELECT round(a.auc, 6) AS group_balanced_roc_auc, round(i.auc, 6) AS image_roc_auc, round(ap, 6) AS average_precision, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(brier, 6) AS brier, round(ece, 6) AS ece_10 FROM a, i, p, c, e""")
+def external_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of a locked evaluation at a threshold that was set elsewhere."""
+    from lumenlake.plans.studies import external_metrics as measure
+
+    got = measure(visits(spark, sf_dir), "p_a", 0.4)
+    return spark.createDataFrame([tuple(round(float(got[c]), 6) for c in _LOCKED)], ", ".join(f"{c} double" for c in _LOCKED))
+
+
 @query("calibration_line")
 def calibration_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intercept and slope by Newton steps; tests hold them against a numpy solution."""
