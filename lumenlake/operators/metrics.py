@@ -125,30 +125,57 @@ def decision_curve(frame: DataFrame, keys: Sequence[str], target: str, score: st
     return rows.select(*keys, F.explode(curve).alias("c")).select(*keys, "c.threshold", "c.net_benefit", "c.treat_all")
 
 
-def calibration(frame: DataFrame, target: str, score: str, weight: Column, ridge: float = 1e-6, clip: float = 1e-6, steps: int = 25) -> tuple[float, float]:
-    """Intercept and slope of the target on the score's logit by Newton steps; each step is one aggregate of five sums."""
+def calibrations(frame: DataFrame, keys: Sequence[str], target: str, score: str, weight: Column, ridge: float = 1e-6, clip: float = 1e-6, steps: int = 25) -> dict[tuple, tuple[float, float]]:
+    """Intercept and slope of the target on the score's logit for each key (a study's methods and datasets), by Newton steps; a step is one aggregate of five sums a key."""
     import math
 
     p = F.least(F.greatest(F.col(score), F.lit(clip)), F.lit(1 - clip))
-    rows = frame.select(F.col(target).cast("double").alias("y"), F.log(p / (1 - p)).alias("x"), weight.cast("double").alias("w"))
-    a, b = 0.0, 1.0
+    rows = frame.select(*keys, F.col(target).cast("double").alias("_y"), F.log(p / (1 - p)).alias("_x"), weight.cast("double").alias("_w"))
+    found: dict[tuple, tuple[float, float]] = {}
+    open_: set[tuple] | None = None
     for _ in range(steps):
-        fitted = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
-        r, h = F.col("w") * (F.col("y") - fitted), F.col("w") * fitted * (1 - fitted)
-        s = rows.agg(F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"), F.sum(h).alias("h0"), F.sum(h * F.col("x")).alias("h1"), F.sum(h * F.col("x") ** 2).alias("h2")).first()
-        if s["g0"] is None:
-            return 0.0, 1.0
-        g1, h2 = s["g1"] - ridge * b, s["h2"] + ridge
-        det = s["h0"] * h2 - s["h1"] ** 2
-        if not det > 0:
-            break
-        da, db = (h2 * s["g0"] - s["h1"] * g1) / det, (s["h0"] * g1 - s["h1"] * s["g0"]) / det
-        size = max(abs(da), abs(db), 1e-300)
-        scale = min(1.0, 5.0 / size)
-        a, b = a + scale * da, b + scale * db
-        if size < 1e-10 * (1 + math.hypot(a, b)):
+        a, b = F.lit(0.0), F.lit(1.0)
+        if keys:
+            for key, (x, y) in found.items():
+                own = F.lit(True)
+                for k, v in zip(keys, key, strict=True):
+                    own = own & F.col(k).eqNullSafe(F.lit(v))
+                a, b = F.when(own, F.lit(x)).otherwise(a), F.when(own, F.lit(y)).otherwise(b)
+        elif found:
+            a, b = map(F.lit, found[()])
+        fitted = 1 / (1 + F.exp(-(a + b * F.col("_x"))))
+        r, h = F.col("_w") * (F.col("_y") - fitted), F.col("_w") * fitted * (1 - fitted)
+        sums = rows.groupBy(*keys).agg(F.sum(r).alias("g0"), F.sum(r * F.col("_x")).alias("g1"), F.sum(h).alias("h0"), F.sum(h * F.col("_x")).alias("h1"), F.sum(h * F.col("_x") ** 2).alias("h2")).collect()
+        if open_ is None:
+            open_ = {tuple(s[k] for k in keys) for s in sums}
+            found = {key: (0.0, 1.0) for key in open_}
+        for s in sums:
+            key = tuple(s[k] for k in keys)
+            if key not in open_:
+                continue
+            if s["g0"] is None:
+                open_.discard(key)
+                continue
+            one, two = found[key]
+            g1, h2 = s["g1"] - ridge * two, s["h2"] + ridge
+            det = s["h0"] * h2 - s["h1"] ** 2
+            if not det > 0:
+                open_.discard(key)
+                continue
+            da, db = (h2 * s["g0"] - s["h1"] * g1) / det, (s["h0"] * g1 - s["h1"] * s["g0"]) / det
+            size = max(abs(da), abs(db), 1e-300)
+            scale = min(1.0, 5.0 / size)
+            found[key] = (one + scale * da, two + scale * db)
+            if size < 1e-10 * (1 + math.hypot(*found[key])):
+                open_.discard(key)
+        if not open_:
             break
-    return a, b
+    return found
+
+
+def calibration(frame: DataFrame, target: str, score: str, weight: Column, ridge: float = 1e-6, clip: float = 1e-6, steps: int = 25) -> tuple[float, float]:
+    """``calibrations`` of one cohort; (0, 1) without rows."""
+    return calibrations(frame, [], target, score, weight, ridge, clip, steps).get((), (0.0, 1.0))
 
 
 def benjamini_hochberg(frame: DataFrame, keys: Sequence[str], p: str, order: Sequence[str]) -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from lumenlake.operators import batched, folds, kernels, metrics, relational, selection
 from lumenlake.operators.batched import Fit, Held
 from lumenlake.plans.runner import Runner
-from lumenlake.plans.studies import external_metrics
 
+RATES = ("balanced_accuracy", "sensitivity", "specificity", "f1", "mcc")
 METHODS = ("hand", "embedding", "fusion", "linear_machine", "kernel_machine", "mean_fusion")
 
 
@@ -106,15 +106,26 @@ def scored(frame: DataFrame, choice: DataFrame, scale: DataFrame, source: str, t
     return single.unionByName(fused.select(F.lit("mean_fusion").alias("method"), "dataset", *keys, "target", "probability"))
 
 
-def measured(scores: DataFrame, scale: DataFrame, targets: Sequence[str]) -> DataFrame:
+def measured(scores: DataFrame, scale: DataFrame) -> DataFrame:
     """method, dataset, metric, value: the thirteen metrics of every method on every target at the source's threshold."""
-    threshold = {r["method"]: r["threshold"] for r in scale.collect()}
-    rows = []
-    for method in METHODS:
-        for dataset in targets:
-            mine = scores.where((F.col("method") == method) & (F.col("dataset") == dataset))
-            rows += [(method, dataset, k, None if v is None else float(v)) for k, v in external_metrics(mine, "probability", threshold[method]).items()]
-    return scores.sparkSession.createDataFrame(rows, "method string, dataset string, metric string, value double")
+    keys = ["method", "dataset"]
+    rows = relational.share_weight(scores, [*keys, "patient_id"], "w").join(F.broadcast(scale.select("method", "threshold")), "method").checkpoint()
+    w = F.col("w")
+    lines = metrics.calibrations(rows, keys, "target", "probability", w)
+    table = scores.sparkSession.createDataFrame([(*k, float(a), float(b)) for k, (a, b) in lines.items()], "method string, dataset string, calibration_intercept double, calibration_slope double")
+    rates = metrics.rates(metrics.confusion(rows, keys, "target", F.col("probability") >= F.col("threshold"), "w")).select(*keys, *RATES)
+    parts = [
+        metrics.auc(rows, keys, "target", "probability", "w").withColumnRenamed("auc", "group_balanced_roc_auc"),
+        metrics.auc(rows, keys, "target", "probability").withColumnRenamed("auc", "image_roc_auc"),
+        metrics.average_precision(rows, keys, "target", "probability", "w"),
+        rates,
+        rows.groupBy(*keys).agg(metrics.brier("target", "probability", w).alias("brier"), F.max("threshold").alias("threshold")),
+        table,
+        metrics.ece(metrics.width_bins(rows, keys, "target", "probability", w), keys).withColumnRenamed("ece", "ece_10"),
+    ]
+    wide = reduce(lambda a, b: a.join(b, keys), parts)
+    names = [c for c in wide.columns if c not in keys]
+    return wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select(*keys, "m.metric", "m.value")
 
 
 def evaluate(runner: Runner, frame: DataFrame, source: str, targets: Sequence[str], protocol: Protocol) -> DataFrame:
@@ -126,4 +137,4 @@ def evaluate(runner: Runner, frame: DataFrame, source: str, targets: Sequence[st
     choice = runner.run("chosen", lambda scores: chosen(scores), {"scores": own})
     scale = runner.run("scaled", lambda scores, choice: scaled(scores, choice, protocol), {"scores": own, "choice": choice})
     scores = runner.run("scored", lambda rows, choice, scale, **_: scored(rows, choice, scale, source, targets, protocol), {"rows": cohort, "choice": choice, "scale": scale}, source=source, **fixed)
-    return runner.run("measured", lambda scores, scale, **_: measured(scores, scale, targets), {"scores": scores, "scale": scale}, targets=list(targets)).table
+    return runner.run("measured", lambda scores, scale: measured(scores, scale), {"scores": scores, "scale": scale}).table

@@ -114,9 +114,9 @@ def test_average_precision_equals_numpy(spark, cohort):
             gained += p * tp / taken if taken else 0
         return gained / total
 
-    for size in ("10000", "4"):
+    for size in ("10000", "4"):  # batches that hold whole stretches, and parts of one
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        for score in ("score", "fine"):
+        for score in ("score", "fine") if size == "4" else ("fine",):
             got = {r["iteration"]: r["average_precision"] for r in bootstrap.replicate_average_precision(rows, draws, "target", score, "one").collect()}
             assert [got[i] for i in range(12)] == pytest.approx([plain(score, i, lambda r: True) for i in range(12)])
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

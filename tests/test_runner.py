@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.plans import locked
 from lumenlake.plans.runner import Runner, content_digest
+from lumenlake.plans.studies import external_metrics
 
 
 def stages(runner, rows, factor, fail=False):
@@ -69,7 +70,7 @@ def test_locked_evaluation_resumes(spark, tmp_path, monkeypatch):
     rows = [(i, f"p{i // 2}", "abc"[i % 3], int(rng.random() < 0.5)) for i in range(240)]
     rows = [(*r, float(r[3] + rng.normal()), float(rng.normal()), *map(float, rng.normal(size=4) + r[3] * 0.7)) for r in rows]
     frame = spark.createDataFrame(rows, "image long, patient_id string, dataset string, target int, h0 double, h1 double, e0 double, e1 double, e2 double, e3 double")
-    protocol = locked.Protocol(["h0", "h1"], ["e0", "e1", "e2", "e3"], k=3, cs=(0.1, 1.0), repeats=1, n_folds=3)
+    protocol = locked.Protocol(["h0", "h1"], ["e0", "e1", "e2", "e3"], k=3, cs=(1.0,), repeats=1, n_folds=2, machines={"linear_machine": None})
     folder = str(tmp_path / "study")
     monkeypatch.setattr(locked, "measured", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
     with pytest.raises(RuntimeError, match="killed"):
@@ -78,11 +79,17 @@ def test_locked_evaluation_resumes(spark, tmp_path, monkeypatch):
     runner = Runner(spark, folder)
     got = locked.evaluate(runner, frame, "a", ["b", "c"], protocol).toPandas()
     assert runner.computed == ["measured"] and runner.found == ["cohort", "out_of_fold", "chosen", "scaled", "scored"]
-    assert len(got) == 6 * 2 * 13 and set(got.method) == set(locked.METHODS)
+    assert len(got) == 5 * 2 * 13 and set(got.method) == set(locked.METHODS) - {"kernel_machine"}
     auc = got[got.metric == "group_balanced_roc_auc"].set_index(["method", "dataset"])["value"]
     assert (auc > 0.6).all() and auc.loc[("fusion", "b")] > 0.7
     sides = got[got.metric.isin(["sensitivity", "specificity"])]["value"]
     assert sides.between(0.2, 1).all()
+    stored = Runner(spark, folder)
+    mine = spark.read.parquet(stored._read("scored")["path"]).where("method = 'fusion' AND dataset = 'c'")
+    threshold = spark.read.parquet(stored._read("scaled")["path"]).where("method = 'fusion'").first()["threshold"]
+    alone = external_metrics(mine, "probability", threshold)
+    own = got[(got.method == "fusion") & (got.dataset == "c")].set_index("metric")["value"]
+    assert own.to_dict() == pytest.approx(alone, abs=1e-8)
     scores = spark.read.parquet(Runner(spark, folder)._read("scored")["path"]).toPandas()
     wide = scores.pivot(index=["dataset", "image"], columns="method", values="probability")
     assert np.allclose(wide["mean_fusion"], (wide["hand"] + wide["embedding"]) / 2) and wide.min().min() >= 0 and wide.max().max() <= 1
