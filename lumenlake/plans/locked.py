@@ -33,6 +33,7 @@ class Protocol:
     repeats: int = 5
     n_folds: int = 4
     seed: int = 20260717
+    landmarks: int = kernels.LANDMARKS
     machines: Mapping[str, float | str | None] = field(default_factory=lambda: {"linear_machine": None, "kernel_machine": "scale"})
 
     def designs(self) -> dict[str, selection.Design]:
@@ -46,7 +47,7 @@ def out_of_fold(source: DataFrame, protocol: Protocol) -> DataFrame:
     scores = selection.out_of_fold(source, slots, protocol.repeats, protocol.n_folds, ["image"], columns, "target", "patient_id", protocol.cs, protocol.designs())
     out = scores.select(F.col("subset").alias("method"), "c", "repeat", "image", "patient_id", "target", F.col("probability").alias("score"))
     for method, gamma in protocol.machines.items():
-        one = selection.machine_scores(source, slots, protocol.n_folds, ["image"], protocol.hand, "target", "patient_id", protocol.cs, (gamma,))
+        one = selection.machine_scores(source, slots, protocol.n_folds, ["image"], protocol.hand, "target", "patient_id", protocol.cs, (gamma,), protocol.landmarks)
         out = out.unionByName(one.select(F.lit(method).alias("method"), "c", F.lit(0).alias("repeat"), "image", "patient_id", "target", F.col("probability").alias("score")))
     return out
 
@@ -97,7 +98,7 @@ def scored(frame: DataFrame, choice: DataFrame, scale: DataFrame, source: str, t
         if gamma is None:
             one = batched.predict(study, batched.fit(study, [Fit(0, c[name], tuple(range(len(protocol.hand))), loss="hinge")]), [(0, 1)])
         else:
-            one = kernels.predict(study, kernels.fit(study, [kernels.Machine(0, c[name], gamma)]), [(0, 1)])
+            one = kernels.predict(study, kernels.fit(study, [kernels.Machine(0, c[name], gamma)], protocol.landmarks), [(0, 1)])
         parts.append(one.select(F.lit(name).alias("method"), "dataset", *keys, "target", F.col("probability").alias("score")))
     every = reduce(DataFrame.unionByName, parts).join(F.broadcast(scale.drop("threshold")), "method")
     margin = F.col("method").isin(list(protocol.machines))
@@ -130,7 +131,7 @@ def measured(scores: DataFrame, scale: DataFrame) -> DataFrame:
 
 def evaluate(runner: Runner, frame: DataFrame, source: str, targets: Sequence[str], protocol: Protocol) -> DataFrame:
     """``measured`` of ``frame`` (image, patient_id, dataset, target, columns), stage by stage: what the runner has committed is not run again."""
-    fixed = {"hand": list(protocol.hand), "embedded": list(protocol.embedded), "k": protocol.k, "cs": list(protocol.cs), "repeats": protocol.repeats, "folds": protocol.n_folds, "seed": protocol.seed}
+    fixed = {"hand": list(protocol.hand), "embedded": list(protocol.embedded), "k": protocol.k, "cs": list(protocol.cs), "repeats": protocol.repeats, "folds": protocol.n_folds, "seed": protocol.seed, "landmarks": protocol.landmarks}
     names = [source, *targets]
     cohort = runner.run("cohort", lambda datasets: frame.where(F.col("dataset").isin(datasets)), datasets=names)
     own = runner.run("out_of_fold", lambda rows, **_: out_of_fold(rows.where(F.col("dataset") == source), protocol), {"rows": cohort}, source=source, **fixed)
