@@ -13,7 +13,7 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op2_fingerprints", "op8_chat_formatting"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_fingerprints", "op8_chat_formatting", "op11_exact_dedup"])
 def test_no_python_in_native_operators(spark, sf_dir, name):
     assert not re.search("Python|Pandas|Arrow", plan(queries.QUERIES[name](spark, sf_dir)))
 
