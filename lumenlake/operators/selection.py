@@ -9,14 +9,14 @@ grid.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators import bootstrap, folds, kernels, metrics, resample
+from lumenlake.operators import bootstrap, folds, kernels, metrics, resample, trees
 from lumenlake.operators.batched import Fit, Fitted, Held, Replicate, Study, fit, labelled, predict, prepare
 from lumenlake.operators.ordered import STRETCHES
 from lumenlake.operators.relational import share_weight
@@ -226,6 +226,16 @@ def machine_scores(frame: DataFrame, slots: DataFrame, n_folds: int, keys: Seque
     return out
 
 
+def tree_scores(frame: DataFrame, slots: DataFrame, n_folds: int, keys: Sequence[str], columns: Sequence[str], target: str, group: str, configurations: dict[str, trees.Ensemble]) -> DataFrame:
+    """held, configuration, keys, target, probability: out-of-fold scores of ensembles of trees over all rows, all folds and configurations grown together."""
+    study = prepare(frame.join(slots, group), [*keys, *([] if group in keys else [group])], columns, target, F.col("slots"))
+    study.parts = [Held(0, _others(n_folds, h)) for h in range(n_folds)] + [Held(0, (h,)) for h in range(n_folds)]
+    cells = [(h, n) for h in range(n_folds) for n in configurations]
+    fits = [replace(configurations[n], part=h) for h, n in cells]
+    scores = trees.predict(study, trees.fit(study, fits), [(i, n_folds + h) for i, (h, _) in enumerate(cells)])
+    return labelled(scores, fits, held=[h for h, _ in cells], configuration=[n for _, n in cells])
+
+
 # ------------------------------------------------------------------ permutation importance
 
 

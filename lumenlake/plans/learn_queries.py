@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.operators import folds, learn, selection
+from lumenlake.operators import folds, learn, selection, trees
 from lumenlake.plans import locked
 from lumenlake.plans.registry import query, read
 from lumenlake.plans.runner import Runner
@@ -226,25 +226,35 @@ def confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("configuration", "repeats", F.round("auc", 6).alias("auc"), F.round("auc_sd", 6).alias("auc_sd"))
 
 
-def _screen(model: str, params: dict):
+@query("screen_embedded")
+def screen_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of a logistic model on whitened components."""
+    rows = study(spark, sf_dir)
+    return learn.grid_scores(rows, outer_folds(rows, 1, 4), ["image", "patient_id", "dataset"], COLUMNS, "target", "patient_id", "embedded", [{"c": 1.0, "k": 4}])
+
+
+#: Tree ensembles of the screen: usual numbers of trees and rounds, one configuration each.
+ENSEMBLES = {
+    "random_forest": trees.Ensemble(0, "forest", 500, share="sqrt", leaf=3, depth=8),
+    "extra_trees": trees.Ensemble(0, "extra", 500, share="sqrt", leaf=3, depth=8),
+    "boosted": trees.Ensemble(0, "boosted", 300, leaf=1, depth=2, rate=0.1),
+    "histogram_boosted": trees.Ensemble(0, "boosted", 300, leaf=20, leaves=15, rate=0.1, ridge=1.0),
+    "adaptive": trees.Ensemble(0, "adaptive", 200, depth=1, rate=0.5),
+}
+
+
+def _ensemble(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = study(spark, sf_dir)
-        return learn.grid_scores(rows, outer_folds(rows, 1, 4), ["image", "patient_id", "dataset"], COLUMNS, "target", "patient_id", model, [params])
+        slots = folds.repeated_folds(rows, "patient_id", "target", FOLDS, 1, SEED)
+        return selection.tree_scores(rows, slots, FOLDS, ["image"], COLUMNS, "target", "patient_id", {name: ENSEMBLES[name]})
 
-    run.__doc__ = f"Out-of-fold scores of the model {model}."
+    run.__doc__ = f"Out-of-fold scores of the ensemble {name} on all images."
     return run
 
 
-_SCREENS = {
-    "random_forest": {"trees": 20, "leaf": 3, "depth": 8},
-    "extra_trees": {"trees": 20, "leaf": 3, "depth": 8},
-    "boosted": {"rounds": 30},
-    "histogram_boosted": {"rounds": 30, "depth": 4, "ridge": 1.0},
-    "adaptive": {"rounds": 30},
-    "embedded": {"c": 1.0, "k": 4},
-}
-for _model, _params in _SCREENS.items():
-    query(f"screen_{_model}")(_screen(_model, _params))
+for _name in ENSEMBLES:
+    query(f"screen_{_name}")(_ensemble(_name))
 
 
 def _machines(spark: SparkSession, sf_dir: str, cs: tuple[float, ...], gammas: tuple) -> DataFrame:
