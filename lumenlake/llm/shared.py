@@ -10,16 +10,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from lumenlake.session import ship
+from lumenlake.session import shared_dir, ship
 
 #: Bytes of text that a kernel handles at once (a longer document alone).
 CHUNK_BYTES = 1 << 20
@@ -32,20 +31,6 @@ SHINGLE_WORDS = 5
 M64 = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (local tests) a temporary folder is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenlake-"))
-            found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 def cut(frame: DataFrame) -> DataFrame:
     """``frame`` computed once and kept as reliable checkpoint files (survives lost executors).
 

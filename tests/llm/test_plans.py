@@ -44,3 +44,17 @@ def test_results_have_the_contracts_columns(spark, sf_dir):
     }
     for name, columns in wanted.items():
         assert columns.items() <= dict(queries.QUERIES[name](spark, sf_dir).dtypes).items(), name
+
+
+def test_no_local_folder_on_a_cluster():
+    """Without a shared folder named, a cluster's session is refused instead of given a folder of the driver."""
+    from types import SimpleNamespace
+
+    from lumenlake.llm import shared
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    lost = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=context)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_dir(lost)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: "/shared"), sparkContext=context)
+    assert shared.shared_dir(named) == "/shared"
