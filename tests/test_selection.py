@@ -267,6 +267,21 @@ def test_nothing_runs_a_whole_table_in_one_task(spark, sf_dir):
         assert not re.search("FlatMapGroupsInPandas|CartesianProduct", plan), name
 
 
+def test_embedded_screen_equals_a_fit_a_cell_and_gathers_no_cell(spark, sf_dir):
+    from lumenlake.operators import learn
+    from lumenlake.plans import learn_queries as q
+
+    got = q.screen_embedded(spark, sf_dir)
+    assert not re.search("FlatMapGroupsInPandas|CartesianProduct", got._jdf.queryExecution().executedPlan().toString())
+    rows = q.study(spark, sf_dir)
+    want = learn.grid_scores(rows, q.outer_folds(rows, 1, 4), ["image", "patient_id", "dataset"], q.COLUMNS, "target", "patient_id", "embedded", [{"c": 1.0, "k": 4}])
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    a, b = (x.toPandas().sort_values("image").reset_index(drop=True) for x in (got, want))
+    own = [c for c in a if c != "probability"]
+    assert len(a) and a[own].equals(b[own])
+    assert a["probability"].to_numpy() == pytest.approx(b["probability"].to_numpy(), abs=1e-7)
+
+
 # ------------------------------------------------------------------ components and fusion
 
 
