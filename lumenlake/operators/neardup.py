@@ -4,7 +4,9 @@
 comparing all pairs: hashes that differ in at most k bits agree in one of k + 1
 bands of bits, so an equi-join on (band, bits) has every such pair.  Bands are made
 of bits in the order of their entropy, buckets that are still large are split by
-further bits, and rows of one hash are joined as one.
+further bits, and rows of one hash are joined as one.  Where the distance leaves so
+few bits to a band that bands hardly part the hashes, blocks of hashes are compared
+with blocks, each pair of blocks in a task.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.session import shared_dir
+from lumenlake.session import shared_dir, ship
 
 
 def _stored(frame: DataFrame) -> tuple[DataFrame, str]:
@@ -33,6 +37,10 @@ def _dropped(spark: SparkSession, path: str) -> None:
 
 #: Distinct hashes that a bucket may hold before it is split by further bits.
 MOST_IN_BUCKET = 256
+#: Bands are used if all of them are expected to list at most this part of all pairs, and their splits have at most so many bands at a level (each is part of a plan).
+BAND_SHARE, MOST_BANDS = 0.5, 512
+#: Hashes of a block on average, hashes of one that are compared at once, and pairs of blocks of a task at most.
+IN_BLOCK, AT_ONCE, BLOCKS_IN_TASK = 16_384, 128, 64
 
 
 def bands(order: Sequence[int], distance: int) -> list[tuple[int, ...]]:
@@ -41,11 +49,24 @@ def bands(order: Sequence[int], distance: int) -> list[tuple[int, ...]]:
     return [tuple(order[i::n]) for i in range(n)]
 
 
-def bit_order(hashes: DataFrame, value: str, bits: int) -> list[int]:
-    """Positions of the bits, the most even ones first: one aggregate of a sum for each bit."""
+def bit_shares(hashes: DataFrame, value: str, bits: int) -> tuple[int, list[float]]:
+    """The number of hashes, and of each bit the share that has it: one aggregate of a sum for each bit."""
     ones = hashes.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned(value, i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(bits)]).first()
-    n = ones["n"] or 1
-    return sorted(range(bits), key=lambda i: (round(abs((ones[f"b{i}"] or 0) / n - 0.5), 9), i))
+    return ones["n"], [(ones[f"b{i}"] or 0) / (ones["n"] or 1) for i in range(bits)]
+
+
+def _even_first(shares: Sequence[float]) -> list[int]:
+    return sorted(range(len(shares)), key=lambda i: (round(abs(shares[i] - 0.5), 9), i))
+
+
+def bit_order(hashes: DataFrame, value: str, bits: int) -> list[int]:
+    """Positions of the bits, the most even ones first."""
+    return _even_first(bit_shares(hashes, value, bits)[1])
+
+
+def listed_share(shares: Sequence[float], order: Sequence[int], distance: int) -> float:
+    """The part of all pairs that the bands list together, if bits were independent: two hashes agree in a bit of share p with p^2 + (1 - p)^2."""
+    return sum(float(np.prod([shares[b] ** 2 + (1 - shares[b]) ** 2 for b in band])) for band in bands(order, distance))
 
 
 def _mask(positions: Sequence[int]) -> int:
@@ -70,19 +91,44 @@ def _splits(path: tuple[int, ...], order: Sequence[int], distance: int) -> list[
     return bands(left, distance) if len(left) > distance + 1 else None
 
 
-def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits: int = 64, most: int = MOST_IN_BUCKET) -> DataFrame:
-    """first, second, hamming: pairs of keys (first < second) whose hashes differ in at most ``distance`` bits.
+def _near_in_blocks(distinct: DataFrame, n: int, distance: int, in_block: int = IN_BLOCK) -> DataFrame:
+    """h, g, hamming: each pair of different hashes of ``distinct`` within ``distance``, once, by comparing all pairs.
 
-    Equal hashes are distance 0.  Null hashes pair with nothing.  Hashes are compared
-    in buckets of one band's bits.  A bucket of more than ``most`` distinct hashes (a
-    band of constant bits has all of them) is split by bands of the other bits: those
-    of its pairs differ in none of the bucket's bits, so they agree in one of the
-    further bands.  In a bucket a pair is listed only if it agrees in none of the bands
-    before; what split buckets list twice is made distinct.
+    Hashes are dealt into blocks by a hash of their own; a block meets itself and each
+    other one in a join on their numbers, and a task compares AT_ONCE hashes with a
+    block at a time.  The work is the square of the hashes' number, memory that of a block.
     """
-    rows = hashes.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("long").alias("h"))
-    distinct = rows.select("h").distinct().checkpoint()
-    order = bit_order(distinct, "h", bits)
+    spark = distinct.sparkSession
+    ship(spark)
+    blocks = max(1, -(-n // in_block))
+    pairs = blocks * (blocks + 1) // 2
+    places = max(min(pairs, 4 * spark.sparkContext.defaultParallelism), -(-pairs // BLOCKS_IN_TASK))
+    dealt = distinct.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("h").alias("own"))
+    number = F.col("a") * blocks - F.expr("a * (a - 1) div 2") + F.col("b") - F.col("a")  # of the pair of blocks a <= b
+    side = lambda a, b, name: dealt.select(a.alias("a"), b.alias("b"), F.col("own").alias(name)).select(number.cast("long").alias("pair"), "a", "b", name).repartition(places, "pair")
+    others = lambda first, last: F.explode(F.sequence(F.lit(first) if isinstance(first, int) else first, F.lit(last) if isinstance(last, int) else last))
+    met = side(F.col("block"), others(F.col("block"), blocks - 1), "x").join(side(others(0, F.col("block")), F.col("block"), "y").select("pair", "y"), "pair")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
+                x, y = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
+                y = x if same else y  # a list that is made twice may have two orders
+                for at in range(0, len(x), AT_ONCE):
+                    part = x[at : at + AT_ONCE]
+                    other = y[at:] if same else y
+                    apart = np.bitwise_count((part[:, None] ^ other[None, :]).view(np.uint64))
+                    first, second = np.nonzero(apart <= distance)
+                    if same:
+                        first, second = first[first < second], second[first < second]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(other[second]), pa.array(apart[first, second].astype(np.int32))], names=["h", "g", "hamming"])
+
+    return met.select("a", "b", "x", "y").mapInArrow(run, "h long, g long, hamming int")
+
+
+def _near_in_bands(distinct: DataFrame, order: Sequence[int], distance: int, most: int) -> DataFrame | None:
+    """h, g, hamming: the pairs by bands of bits in ``order``; None if splits need more than MOST_BANDS bands at a level."""
     # a bucket: the path of bands to it (as text), the bits of the hash in them
     level = [((), bands(order, distance))]
     waiting, met = distinct.select("h", F.lit("").alias("at")), None
@@ -98,6 +144,8 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits:
         large = sizes.where(F.col("n") > most)
         paths = [tuple(map(int, r["at"].split(".")[:-1])) for r in large.select("at").distinct().collect()]
         level = [(p, s) for p in paths if (s := _splits(p, order, distance)) is not None]
+        if sum(len(s) for _, s in level) > MOST_BANDS:
+            return None
         going_on = ["".join(f"{x}." for x in p) for p, _ in level]
         split = large.where(F.col("at").isin(going_on)).select("at", "part")
         here = placed.join(split, ["at", "part"], "left_anti") if level else placed
@@ -108,7 +156,31 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits:
         met = found if met is None else met.unionByName(found)
         if level:
             waiting = placed.join(split, ["at", "part"]).select("h", "at").distinct()
-    met = met.distinct().unionByName(distinct.select("h", F.col("h").alias("g"), F.lit(0).alias("hamming")))
+    return met.distinct()
+
+
+def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits: int = 64, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """first, second, hamming: pairs of keys (first < second) whose hashes differ in at most ``distance`` bits.
+
+    Equal hashes are distance 0.  Null hashes pair with nothing.  Hashes are compared
+    in buckets of one band's bits.  A bucket of more than ``most`` distinct hashes (a
+    band of constant bits has all of them) is split by bands of the other bits: those
+    of its pairs differ in none of the bucket's bits, so they agree in one of the
+    further bands.  In a bucket a pair is listed only if it agrees in none of the bands
+    before; what split buckets list twice is made distinct.
+
+    If bands list more than BAND_SHARE of all pairs (a few bits each, as the distance is
+    a large part of the bits), or if splits have more than MOST_BANDS bands, all
+    pairs are compared in blocks instead: the same pairs, with a plan of fixed size.
+    """
+    rows = hashes.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("long").alias("h"))
+    distinct = rows.select("h").distinct().checkpoint()
+    n, shares = bit_shares(distinct, "h", bits)
+    order = _even_first(shares)
+    met = _near_in_bands(distinct, order, distance, most) if listed_share(shares, order, distance) <= BAND_SHARE else None
+    if met is None:
+        met = _near_in_blocks(distinct, n, distance)
+    met = met.unionByName(distinct.select("h", F.col("h").alias("g"), F.lit(0).alias("hamming")))
     left, right = rows.select(F.col("k").alias("x"), "h"), rows.select(F.col("k").alias("y"), F.col("h").alias("g"))
     pairs = met.join(left, "h").join(right, "g")
     both = pairs.where((F.col("h") != F.col("g")) | (F.col("x") < F.col("y"))).where(F.col("x") != F.col("y"))

@@ -186,6 +186,28 @@ def test_constant_bits_make_no_large_bucket(spark):
     assert all(any(b in order[:14] for b in band) for band in neardup.bands(order, 3))
 
 
+@pytest.mark.parametrize("in_block", [40, 16_384])
+def test_a_large_distance_compares_blocks_in_a_plan_of_fixed_size(spark, monkeypatch, in_block):
+    """Bands of three bits would split again and again, until their names alone fill the driver."""
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 1 << 63, 600).tolist() + [int(x) - (1 << 63) for x in rng.integers(0, 1 << 63, 20)]
+    hashes += [h ^ sum(1 << int(b) for b in rng.choice(63, 18 + i % 2, replace=False)) for i, h in enumerate(hashes[:60])] + hashes[:5]
+    frame = spark.createDataFrame(list(enumerate(hashes)) + [(9999, None)], "k long, h long")
+    want = sorted((i, j, ((a ^ b) % (1 << 64)).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and ((a ^ b) % (1 << 64)).bit_count() <= 18)
+    monkeypatch.setattr(neardup._near_in_blocks, "__defaults__", (in_block,))
+    got = neardup.hamming_pairs(frame, "k", "h", 18, 64, most=20)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert len(got._jdf.queryExecution().executedPlan().toString()) < 50_000
+
+
+def test_too_many_splits_go_to_blocks(spark, monkeypatch):
+    hashes = sorted({int(x) << 20 for x in np.random.default_rng(4).integers(0, 1 << 14, 900)})
+    frame = spark.createDataFrame(list(enumerate(hashes)), "k long, h long")
+    want = sorted(map(tuple, neardup.hamming_pairs(frame, "k", "h", 3, 64, most=50).collect()))
+    monkeypatch.setattr(neardup, "MOST_BANDS", 3)
+    assert sorted(map(tuple, neardup.hamming_pairs(frame, "k", "h", 3, 64, most=50).collect())) == want and want
+
+
 def test_component_labels_of_a_long_chain(spark):
     """The planner's estimate stays with the table, and a chain settles in few steps."""
     n = 100_000
