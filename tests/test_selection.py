@@ -267,6 +267,33 @@ def test_nothing_runs_a_whole_table_in_one_task(spark, sf_dir):
         assert not re.search("FlatMapGroupsInPandas|CartesianProduct", plan), name
 
 
+@pytest.mark.parametrize("room", [40, 1_000_000])
+def test_aucs_of_arrays_are_those_of_the_scores(frame, room, monkeypatch):
+    """Tuning hands on sorted arrays in stretches: no row a score, the same figures."""
+    monkeypatch.setattr(batched, "ROWS_IN_STRETCH", room)
+    slots, _ = slots_of(frame)
+    two = {"all": COLUMNS, "two": ["c", "b"]}
+    want = selection.tuned(selection.out_of_fold(frame, slots, 2, 3, ["image"], COLUMNS, "target", "patient", [0.1, 10.0], two), "patient", "target").toPandas()
+    tuned = selection.tuned_folds(frame, slots, 2, 3, COLUMNS, "target", "patient", [0.1, 10.0], two)
+    got = tuned.toPandas()
+    assert got[["subset", "c"]].equals(want[["subset", "c"]]) and got["auc"].to_numpy() == pytest.approx(want["auc"].to_numpy(), abs=1e-12)
+    assert "MapInArrow" in tuned._jdf.queryExecution().executedPlan().toString()
+    scores = selection.out_of_fold(frame, slots, 2, 3, ["image"], COLUMNS, "target", "patient", [0.1, 10.0], strata=["dataset", "target"], equal_groups=True)
+    want = selection.tuned_by_part(scores, "target").toPandas().sort_values("c").reset_index(drop=True)
+    got = selection.tuned_parts(frame, slots, 2, 3, COLUMNS, "target", "patient", ["dataset", "target"], [0.1, 10.0]).toPandas().sort_values("c").reset_index(drop=True)
+    assert got[["subset", "c", "best"]].equals(want[["subset", "c", "best"]]) and got["auc"].to_numpy() == pytest.approx(want["auc"].to_numpy(), abs=1e-12)
+
+
+def test_ablation_of_arrays_is_that_of_the_scores(frame, monkeypatch):
+    monkeypatch.setattr(batched, "ROWS_IN_STRETCH", 60)
+    runs, subsets = {"to_z": (["x", "y"], ["z"]), "to_x": (["y"], ["x"])}, {"full": COLUMNS, "two": COLUMNS[:2]}
+    scores, _ = selection.by_dataset(frame, "dataset", ["image", "patient"], COLUMNS, "target", runs, subsets=subsets, strata=["dataset", "target"], group="patient")
+    want = selection.ablation(scores, "patient", "target", "full").toPandas().sort_values(["run", "subset"])
+    got = selection.ablated(frame, "dataset", COLUMNS, "target", "patient", runs, subsets, "full", strata=["dataset", "target"], equal_groups=True).toPandas().sort_values(["run", "subset"])
+    assert len(got) == 4 and got[["run", "subset"]].to_numpy().tolist() == want[["run", "subset"]].to_numpy().tolist()
+    assert got[["auc", "delta"]].to_numpy() == pytest.approx(want[["auc", "delta"]].to_numpy(), abs=1e-12)
+
+
 def test_embedded_screen_equals_a_fit_a_cell_and_gathers_no_cell(spark, sf_dir):
     from lumenlake.operators import learn
     from lumenlake.plans import learn_queries as q
