@@ -366,3 +366,17 @@ def test_transfer_of_fused_designs(pictures):
     train, test = data[data.dataset == "x"], data[data.dataset == "y"]
     model = models.Embedded(1.0, 5, 1).fit(train[["h", *entries]].to_numpy(), train["target"].to_numpy())
     assert got[test["image"]].to_numpy() == pytest.approx(model.score(test[["h", *entries]].to_numpy()), abs=1e-7)
+
+
+def test_permutations_of_a_bounded_table_move_no_row(frame, monkeypatch):
+    """They are ranked where the shares are, and as those of a larger table, which moves them."""
+    good = frame.where("target IS NOT NULL AND a IS NOT NULL")
+    ask = lambda: selection.permutation_importance(good, "image", COLUMNS, {"first": ["a"], "rest": ["b", "c"]}, "target", "patient", 1.0, 3, 5)
+    near = ask()
+    assert not re.search("Exchange hashpartitioning|SortMergeJoin", near._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(selection, "PERMUTED_AT_ONCE", 0)
+    far = {(r["family"], r["permutation"]): r["drop"] for r in ask().collect()}
+    got = {(r["family"], r["permutation"]): r["drop"] for r in near.collect()}
+    assert len(got) == 6 and got == pytest.approx(far, abs=1e-12)
+    key = np.full(5000, 77)
+    assert (selection.bijection(np.arange(5000), 5000, 77) == selection.bijection(np.arange(5000), 5000, key)).all()
