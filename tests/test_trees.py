@@ -195,3 +195,29 @@ def test_parts_of_one_class_and_constant_columns(spark):
     assert {r["fit"] for r in trees.predict(study, made, [(0, 1), (1, 0), (2, 0)]).collect()} == {0}
     with pytest.raises(ValueError):
         trees.fit(study, [trees.Ensemble(0, "other")])
+
+
+def test_poisson_numbers_are_those_of_the_thresholds():
+    one, rows = trees.Ensemble(0, "forest"), np.arange(200_000)
+    h = trees.hashed(rows.astype(np.uint64), trees.OF_UNIT, one.seed + 7919 * 3).astype(np.float64)
+    assert (trees.times(rows, one, 3) == np.searchsorted(trees._POISSON, h, "right")).all()
+
+
+def test_rows_go_down_by_few_steps_whatever_the_tree():
+    """A step moves every row a level: as often as the tree is deep, the same leaves as one row at a time; rows are packed bytes, not lists."""
+    rng = np.random.default_rng(4)
+    column, cut = np.array([1, -1, 0, 2, -1, -1, -1]), np.array([20, 0, 40, 9, 0, 0, 0])
+    left, right = np.array([1, -1, 3, 5, -1, -1, -1]), np.array([2, -1, 4, 6, -1, -1, -1])
+    tree = trees.Grown(column, cut, left, right, np.arange(7.0))
+    bins = rng.integers(0, 64, (500, 3)).astype(np.uint8)
+
+    def walk(row):
+        node = 0
+        while column[node] >= 0:
+            node = left[node] if row[column[node]] <= cut[node] else right[node]
+        return node
+
+    assert tree.depth() == 3 and tree.leaf(bins).tolist() == [walk(r) for r in bins]
+    packed = trees._packed(bins.astype(np.float64))
+    assert (trees._unpacked(packed.slice(7, 90), np.float64) == bins[7:97]).all()
+    assert trees._unpacked(packed.slice(0, 0), np.float64).shape[0] == 0
