@@ -48,9 +48,24 @@ class Map:
         square = (x * x).sum(1)[:, None] + (self.points * self.points).sum(1)[None, :] - 2 * x @ self.points.T
         return np.exp(-self.gamma * np.maximum(square, 0))
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """The kernel with each landmark, before it is turned."""
+        return self.kernel((x - self.mean) / self.deviation)
+
+    @property
+    def size(self) -> int:
+        """Landmarks, and one for the constant."""
+        return len(self.points) + 1
+
+    def turns(self) -> np.ndarray:
+        """From ``raw`` with a column of ones to features: the constant is one of the kernel's."""
+        out = np.zeros((self.size, self.turn.shape[1] + 1))
+        out[:-1, :-1], out[-1, -1] = self.turn, 1.0
+        return out
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """One column more, of ones: the constant is a feature of the kernel."""
-        return np.column_stack([self.kernel((x - self.mean) / self.deviation) @ self.turn, np.ones(len(x))])
+        return np.column_stack([self.raw(x) @ self.turn, np.ones(len(x))])
 
 
 def landmark_map(points: np.ndarray, mean: np.ndarray, deviation: np.ndarray, gamma: float | str) -> Map:
@@ -96,11 +111,11 @@ def fit(study: Study, machines: Sequence[Machine], landmarks: int = LANDMARKS, c
     sizes = [p.turn.shape[1] + 1 if p else 0 for p in maps]
 
     def evaluate(active, trials, smooth):
-        widths = [1 + sizes[i] + sizes[i] ** 2 for i in active]
+        widths = [1 + maps[i].size + maps[i].size ** 2 for i in active]
         own = [(machines[i], maps[i], t) for i, t in zip(active, trials, strict=True)]
         used = sorted({o.part for o, _, _ in own})
         parts, factor, d = [study.parts[p] for p in used], m.factor, len(study.columns)
-        step = max(16, batched.BLOCK // max(sizes))
+        step = max(16, batched.BLOCK // max(p.size for _, p, _ in own))
 
         def add(batch):
             out = np.zeros(sum(widths))
@@ -111,21 +126,24 @@ def fit(study: Study, machines: Sequence[Machine], landmarks: int = LANDMARKS, c
                 for (one, p, t), width in zip(own, widths, strict=True):
                     taking = r.members[:, used.index(one.part)] > 0
                     if last is not p or features is None:
-                        last, features = p, p(r.x[taking][:, :-1])
+                        last, features = p, p.raw(r.x[taking][:, :-1])
                     w = r.w[taking] * factor[one.part][r.stratum[taking]]
-                    loss, slope, bend = (v[:, 0] for v in losses((features @ t)[:, None], r.y[taking], np.ones(1, bool), smooth))
+                    # the kernel is not turned row by row: what is added up is turned by the driver
+                    loss, slope, bend = (v[:, 0] for v in losses((features @ (p.turn @ t[:-1]) + t[-1])[:, None], r.y[taking], np.ones(1, bool), smooth))
+                    pull = w * slope
                     out[at] += (w * loss).sum()
-                    out[at + 1 : at + 1 + len(t)] += features.T @ (w * slope)
-                    curved = bend > 0
-                    out[at + 1 + len(t) : at + width] += ((features[curved] * (w * bend)[curved][:, None]).T @ features[curved]).ravel()
+                    out[at + 1 : at + 1 + p.size] += np.append(pull @ features, pull.sum())
+                    curved = np.flatnonzero(bend)
+                    near, curve = np.column_stack([features[curved], np.ones(len(curved))]), (w * bend)[curved]
+                    out[at + 1 + p.size : at + width] += ((near * curve[:, None]).T @ near).ravel()
                     at += width
             return out
 
         got, at = _added(study, _columns(study), sum(widths), add), 0
-        for (one, _, t), width in zip(own, widths, strict=True):
-            n, row = len(t), got[at : at + width]
+        for (one, p, t), width in zip(own, widths, strict=True):
+            n, row, turn = p.size, got[at : at + width], p.turns()
             at += width
-            yield one.c * row[0] + 0.5 * t @ t, one.c * row[1 : 1 + n] + t, one.c * row[1 + n :].reshape(n, n) + np.eye(n)
+            yield one.c * row[0] + 0.5 * t @ t, one.c * turn.T @ row[1 : 1 + n] + t, one.c * turn.T @ row[1 + n :].reshape(n, n) @ turn + np.eye(len(t))
 
     weights, scans = [np.zeros(n) for n in sizes], 0
     for smooth in batched.SMOOTH:
@@ -148,7 +166,7 @@ def predict(study: Study, fitted: Machines, tests: Sequence[tuple[int, int]]) ->
             for j, (i, p, w) in enumerate(own):
                 at = np.flatnonzero(r.members[:, j])
                 if len(at):
-                    z = p(r.x[at][:, :-1]) @ w
+                    z = p.raw(r.x[at][:, :-1]) @ (p.turn @ w[:-1]) + w[-1]
                     rows = pa.array(at)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), *[piece.column(c).take(rows) for c in range(n + 1)], pa.array(z)], names=schema.names)
 

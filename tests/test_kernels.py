@@ -84,3 +84,13 @@ def test_out_of_fold_machines(rings):
     assert all(own[p] == h for p, h in zip(scores.patient, scores.held, strict=True))
     auc = {g: models.weighted_auc(s.target.to_numpy(), s.probability.to_numpy()) for g, s in scores[scores.c == 2.0].groupby("gamma")}
     assert auc["scale"] > 0.85 > auc["linear"]
+
+
+def test_kernel_is_turned_by_the_driver_alone():
+    """Sums over untouched kernel columns, turned once, are those over the rows' features."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    one = kernels.landmark_map(x[:15], x.mean(0), x.std(0), "scale")
+    raw = np.column_stack([one.raw(x), np.ones(len(x))])
+    assert one.size == 16 and one(x) == pytest.approx(raw @ one.turns(), abs=1e-12)
+    assert one(x).T @ one(x) == pytest.approx(one.turns().T @ (raw.T @ raw) @ one.turns(), abs=1e-8)
