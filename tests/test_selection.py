@@ -380,3 +380,13 @@ def test_permutations_of_a_bounded_table_move_no_row(frame, monkeypatch):
     assert len(got) == 6 and got == pytest.approx(far, abs=1e-12)
     key = np.full(5000, 77)
     assert (selection.bijection(np.arange(5000), 5000, 77) == selection.bijection(np.arange(5000), 5000, key)).all()
+
+
+def test_logistic_fit_joins_its_table_once(spark, sf_dir):
+    """Newton steps and the scores read the written rows; none joins the tables again."""
+    from lumenlake.plans import catalog
+
+    out = catalog.QUERIES["logistic_fit"](spark, sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin|Exchange hashpartitioning", plan)
+    assert out.where("probability IS NULL OR probability < 0 OR probability > 1").isEmpty()
