@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from lumenlake.functions import lesion, raster
 from lumenlake.operators import extract
 from lumenlake.plans.registry import query, read
-from lumenlake.session import ship, spread
 
 SIDE = 64
 EPS = 2.220446049250313e-16
@@ -162,6 +161,5 @@ def kernel_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
             pearson = [float(np.corrcoef(a.ravel(), b.ravel())[0, 1]) for a, b in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ssim), pa.array(pearson)], names=["image", "ssim", "pearson"])
 
-    ship(spark)
-    found = spread(pairs.select("image", "pixels", "mask")).mapInArrow(both, "image long, ssim double, pearson double")
+    found = extract.batches(pairs.select("image", "pixels", "mask"), both, "image long, ssim double, pearson double")
     return _round(found, ["ssim", "pearson"])

@@ -94,3 +94,13 @@ def test_kernel_is_turned_by_the_driver_alone():
     raw = np.column_stack([one.raw(x), np.ones(len(x))])
     assert one.size == 16 and one(x) == pytest.approx(raw @ one.turns(), abs=1e-12)
     assert one(x).T @ one(x) == pytest.approx(one.turns().T @ (raw.T @ raw) @ one.turns(), abs=1e-8)
+
+
+def test_similarity_takes_pictures_in_small_batches(spark, sf_dir):
+    """Ten thousand pairs of 64 x 64 pictures, Spark's own batch, are 655 MB of a worker."""
+    from lumenlake.operators import extract
+    from lumenlake.plans import catalog
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    out = catalog.QUERIES["kernel_similarity"](spark, sf_dir)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(extract.BATCH_ROWS) and out.count() > 0
