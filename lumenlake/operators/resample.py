@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlake.operators.metrics import THRESHOLDS, auc
@@ -152,6 +152,24 @@ def unit_deltas(first: DataFrame, second: DataFrame, unit: str, thresholds: Sequ
     return both.select(unit, (F.col("brier") - F.col("brier2")).alias("brier_delta"), (F.col("net") - F.col("net2")).alias("net_benefit_delta"))
 
 
+def utility_deltas(frame: DataFrame, unit: str, target: str, first: str, second: str, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """``unit_deltas`` of two scores in one grouping of four means: a row's net benefit is worked out before, since means are linear.
+
+    A null score reaches no threshold.
+    """
+    y = F.col(target)
+    lost = [0.0]
+    for t in sorted(thresholds):
+        lost.append(lost[-1] + t / (1 - t))
+
+    def net(score: str) -> Column:
+        reached = sum((F.when(F.col(score) >= t, 1).otherwise(0) for t in thresholds), F.lit(0))
+        return F.when(y == 1, reached.cast("double")).when(y == 0, -F.element_at(F.array(*map(F.lit, lost)), reached + 1)).otherwise(0.0) / len(thresholds)
+
+    rows = frame.select(unit, *[((F.col(c) - y) ** 2).alias(f"_b{i}") for i, c in enumerate((first, second))], *[net(c).alias(f"_n{i}") for i, c in enumerate((first, second))])
+    return rows.groupBy(unit).agg((F.avg("_b0") - F.avg("_b1")).alias("brier_delta"), (F.avg("_n0") - F.avg("_n1")).alias("net_benefit_delta"))
+
+
 def utility_replicates(first: DataFrame, second: DataFrame, draws: DataFrame, unit: str, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """iteration, brier_delta, net_benefit_delta of two ``unit_table``s: unit means over each replicate of a table of draws."""
     drawn = unit_deltas(first, second, unit, thresholds).join(draws, unit)

@@ -306,7 +306,7 @@ _NET = "list_sum(list_transform(range(71), lambda i: (CASE WHEN {p} >= round(0.1
 @query("utility_bootstrap", _MATRIX + f", g AS (SELECT patient_id, avg(pow(p_a - target, 2)) - avg(pow(p_b - target, 2)) AS brier, avg({_NET.format(p='p_a')}) - avg({_NET.format(p='p_b')}) AS net FROM visits GROUP BY 1), x AS (SELECT iteration, sum(m * brier) / sum(m) AS brier, sum(m * net) / sum(m) AS net FROM m JOIN u USING (n) JOIN g USING (patient_id) GROUP BY 1) SELECT round(avg(brier), 6) AS brier_delta, round(quantile_cont(brier, 0.025), 6) AS brier_low, round(quantile_cont(brier, 0.975), 6) AS brier_high, round(avg(net), 6) AS net_delta, round(quantile_cont(net, 0.025), 6) AS net_low, round(quantile_cont(net, 0.975), 6) AS net_high FROM x")
 def utility_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = visits(spark, sf_dir)
-    both = resample.unit_deltas(resample.unit_table(rows, "patient_id", "target", "p_a"), resample.unit_table(rows, "patient_id", "target", "p_b"), "patient_id")
+    both = resample.utility_deltas(rows, "patient_id", "target", "p_a", "p_b")
     drawn, draws = bootstrap.drawn(both, "patient_id", REPLICATES, SEED)
     x = bootstrap.summed(drawn, draws, ["brier_delta", "net_benefit_delta"])
     x = x.select("iteration", *[(F.col(c) / draws.units).alias(c) for c in ("brier_delta", "net_benefit_delta")])

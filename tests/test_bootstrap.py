@@ -190,3 +190,16 @@ def test_running_sums_over_crowded_values(spark):
     assert all(down["b", float(x)] == run[-1] - run[i] for i, x in enumerate(v))
     assert ordered.sums_before(frame.limit(0), ["k"], "v", ["n"]).count() == 0
     assert metrics.auc(frame.withColumn("y", (F.col("n") > 2).cast("int")), ["k"], "y", "v").count() == 2
+
+
+def test_utility_deltas_take_four_means_a_unit(spark):
+    from lumenlake.operators import resample
+
+    draw = np.random.default_rng(12)
+    rows = [(int(u), int(y), float(a), float(b)) for u, y, a, b in zip(draw.integers(0, 40, 500), draw.integers(0, 2, 500), draw.choice([0.0, 0.1, 0.35, 0.8, 0.9], 500), draw.random(500), strict=True)]
+    frame = spark.createDataFrame(rows, "unit long, target int, a double, b double")
+    want = resample.unit_deltas(resample.unit_table(frame, "unit", "target", "a"), resample.unit_table(frame, "unit", "target", "b"), "unit")
+    got = resample.utility_deltas(frame, "unit", "target", "a", "b")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("avg(") == 4
+    want, got = ({r["unit"]: (r["brier_delta"], r["net_benefit_delta"]) for r in f.collect()} for f in (want, got))
+    assert set(want) == set(got) and all(got[u] == pytest.approx(want[u], abs=1e-12) for u in want)
