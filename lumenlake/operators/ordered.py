@@ -51,11 +51,11 @@ def stretch_of(value: Column, cuts: Sequence) -> tuple[Column, Column]:
     often = [c for c in once if list(cuts).count(c) > 1]
     if not once:
         return F.lit(0), F.lit(False)
-    parts = [once[i : i + CHUNK] for i in range(0, len(once), CHUNK)]  # first the chunk, then the place in it
-    more = lambda cuts: sum((F.when(c < value, 1).otherwise(0) for c in cuts), F.lit(0))
-    whole = more([F.lit(p[-1]) for p in parts])
-    own = [F.get(F.array(*[F.lit(p[j] if j < len(p) else p[-1]) for p in parts]), whole) for j in range(CHUNK)]
-    below = F.least(whole * CHUNK + more(own), F.lit(len(once)))
+    parts = [once[i : i + CHUNK] for i in range(0, len(once), CHUNK)]  # first the chunk, then the place in it; each is worked out once a row
+    more = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
+    whole = more(F.array(*[F.lit(p[-1]) for p in parts]))
+    place = F.transform(F.array(whole), lambda at: at * CHUNK + F.greatest(F.coalesce(more(F.get(F.array(*[F.array(*map(F.lit, p)) for p in parts]), at)), F.lit(0)), F.lit(0)))
+    below = F.least(F.get(place, F.lit(0)), F.lit(len(once)))
     single = F.array_contains(F.array(*map(F.lit, often)), value) if often else F.lit(False)
     return F.coalesce((2 * below + F.when(single, 1).otherwise(0)).cast("int"), F.lit(0)), single
 

@@ -163,7 +163,7 @@ def utility_deltas(frame: DataFrame, unit: str, target: str, first: str, second:
         lost.append(lost[-1] + t / (1 - t))
 
     def net(score: str) -> Column:
-        reached = sum((F.when(F.col(score) >= t, 1).otherwise(0) for t in thresholds), F.lit(0))
+        reached = F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col(score) >= t))
         return F.when(y == 1, reached.cast("double")).when(y == 0, -F.element_at(F.array(*map(F.lit, lost)), reached + 1)).otherwise(0.0) / len(thresholds)
 
     rows = frame.select(unit, *[((F.col(c) - y) ** 2).alias(f"_b{i}") for i, c in enumerate((first, second))], *[net(c).alias(f"_n{i}") for i, c in enumerate((first, second))])

@@ -312,3 +312,20 @@ def test_weighted_draws_follow_the_weights(spark):
     share = {k: sum(r["k"] == k for r in drawn) / 4000 for k in (1, 3, 5000)}
     assert abs(share[1] - 0.125) < 0.03 and abs(share[3] - 0.375) < 0.03 and abs(share[5000] - 0.5) < 0.03
     assert resample.weighted_draws(frame.limit(0), "k", "w", 5, "s").collect() == []
+
+
+def test_stretch_lookup_is_one_short_expression(spark):
+    from lumenlake.operators.ordered import stretch_of
+
+    cuts = sorted([float(3 * i) for i in range(190)] + [15.0, 15.0])
+    rows = spark.createDataFrame([(v,) for v in (None, -1.0, 0.0, 1.0, 15.0, 15.5, 300.0, 567.0, 1e9)], "v double")
+    at, single = stretch_of(F.col("v"), cuts)
+    plan = rows.select(at.alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 5  # a comparison for each place of a chunk, repeated in each other, was too long to be compiled
+    got = rows.select("v", at.alias("a"), single.alias("s")).collect()
+    once = sorted(set(cuts))
+    for r in got:
+        if r["v"] is None:
+            assert r["a"] == 0
+        else:
+            assert r["a"] == 2 * sum(c < r["v"] for c in once) + (r["v"] == 15.0) and r["s"] == (r["v"] == 15.0)
