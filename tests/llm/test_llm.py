@@ -462,6 +462,28 @@ def test_toxicity_of_long_texts(spark):
     assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Many shards: all documents with a label train or calibrate, and the averaged model tells them apart."""
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 300)
+    rows, labels = toxic_rows(np.random.default_rng(4), 1500)
+    docs, table = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels[:1400], "doc_id long, quality int, toxic int")
+    seen = []
+    cut = toxicity._shards
+    monkeypatch.setattr(toxicity, "_shards", lambda *given: seen.append(cut(*given)) or seen[0])
+    model = toxicity.fit(docs, table)
+    got = seen[0].toPandas()
+    assert len(got) == 5 and got["toxic"].map(len).sum() == 1400 and got["toxic"].map(sum).sum() == sum(t for _, _, t in labels[:1400])
+    assert sum(toxicity._measured(seen[0], model, a)["n"].to_numpy().sum() for a in (False, True)) == 1400
+    found = toxicity.predict(docs, model).toPandas().set_index("doc_id")["predicted"]
+    assert (found[[k for k, _, _ in labels]].to_numpy() == [t for _, _, t in labels]).mean() > 0.97
+
+
+def test_toxicity_cut_of_counts_is_that_of_rows():
+    rng = np.random.default_rng(2)
+    z, y, n = np.round(rng.normal(0, 1, 300), 1), rng.integers(0, 2, 300), rng.integers(1, 5, 300)
+    assert toxicity._best_cut(z, y, n) == toxicity._best_cut(np.repeat(z, n), np.repeat(y, n))
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (4, None, None), (None, 1, 1), (5, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.scored(odd, labels).count() == 9
