@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,3 +391,32 @@ def test_logistic_fit_joins_its_table_once(spark, sf_dir):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin|Exchange hashpartitioning", plan)
     assert out.where("probability IS NULL OR probability < 0 OR probability > 1").isEmpty()
+
+
+def test_newton_takes_a_last_small_step_without_an_evaluation():
+    """Of a function that bends alike everywhere, the step to the minimum is the last evaluation."""
+    turn = np.array([[3.0, 1.0], [1.0, 2.0]])
+    value = lambda x: (0.5 * (x - 1) @ turn @ (x - 1), turn @ (x - 1), turn)
+    found, taken = batched.newton([np.zeros(2)], np.array([0]), lambda active, trials: [value(x) for x in trials], 60, True)
+    assert taken == 2 and np.allclose(found[0], 1, atol=1e-12)
+
+
+def test_scan_shares_margins_of_equal_coefficients(monkeypatch):
+    """A scan of fits at one point equals that of each alone, and the losses their formulas."""
+    rng = np.random.default_rng(8)
+    z, y = np.concatenate([rng.normal(0, 3, (50, 2)), [[-800.0, 800.0]]]), rng.integers(0, 2, 51).astype(float)
+    loss, slope, bend = batched.losses(z, y, np.zeros(2, bool))
+    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+    assert np.allclose(loss, np.logaddexp(0, -(2 * y - 1)[:, None] * z), atol=1e-14) and np.allclose(slope, p - y[:, None], atol=1e-14) and np.allclose(bend, p * (1 - p), atol=1e-14)
+    n, d = 500, 3
+    lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.array(x.ravel()).type))
+    block = pa.RecordBatch.from_arrays([lists(rng.normal(size=(n, d))), pa.array(rng.integers(0, 2, n).astype(float)), pa.array(rng.random(n)), pa.array(rng.integers(0, 2, n).astype(np.int32)), lists(rng.integers(0, 3, (n, 1)).astype(np.int32))], names=batched._NEEDED)
+    monkeypatch.setattr(batched, "_added", lambda study, columns, width, add: add(block))
+    study = batched.Study(None, [], list("abc"), "target", 2, parts=[batched.Held(0, (0, 1)), batched.Held(0, (1, 2))])
+    m = batched.moments(study)
+    at = np.tile(rng.normal(size=d + 1), (2, 1))
+    for kind in ("logistic", "hinge"):
+        fits = [batched.Fit(p, 1.0, (0, 1, 2), loss=kind) for p in (0, 1)]
+        alone = np.concatenate([batched._scan(study, m, [f], at[:1], 0.3) for f in fits])
+        assert np.allclose(batched._scan(study, m, fits, at, 0.3), alone, rtol=1e-12)
+        monkeypatch.setattr(batched, "IN_CACHE", 1000)
