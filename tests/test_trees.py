@@ -221,3 +221,34 @@ def test_rows_go_down_by_few_steps_whatever_the_tree():
     packed = trees._packed(bins.astype(np.float64))
     assert (trees._unpacked(packed.slice(7, 90), np.float64) == bins[7:97]).all()
     assert trees._unpacked(packed.slice(0, 0), np.float64).shape[0] == 0
+
+
+def test_scans_read_blocks_and_not_rows(study):
+    """A task gets few records however many rows there are, whatever batch size a session was left with; columns of bytes go down a tree as single rows do."""
+    spark = study.rows.sparkSession
+    part = study.parts[0]
+    table = trees._Table(study, {0: trees.cut_points(study, part)}, 1)
+    try:
+        records = table.rows.rows.count()
+        assert records <= study.rows.rdd.getNumPartitions() < study.rows.count()
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        got = table.sums(2, lambda r, out: np.add.at(out, r["_y"][r["_m"][0] > 0], 1.0), 100)
+        assert got.sum() == study.rows.where("_slots[0] = 0").count() and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    finally:
+        table.close()
+    rng = np.random.default_rng(2)
+    column, cut = [-1], [0]
+    left, right = [-1], [-1]
+    for v in range(60):  # deep and wide: rows go down by levels; of the first splits, by columns
+        column[v], cut[v], left[v], right[v] = int(rng.integers(3)), int(rng.integers(64)), len(column), len(column) + 1
+        for x, value in ((column, -1), (cut, 0), (left, -1), (right, -1)):
+            x += [value, value]
+    codes = rng.integers(0, 64, (3, 700)).astype(np.uint8)
+    for inner in (1, 5, 60):
+        own = np.where(np.arange(121) < inner, column, -1)
+        tree = trees.Grown(own, np.array(cut), np.array(left), np.array(right), np.arange(121.0))
+        down = np.zeros(700, int)
+        for i in range(700):
+            while own[down[i]] >= 0:
+                down[i] = left[down[i]] if codes[own[down[i]], i] <= cut[down[i]] else right[down[i]]
+        assert (tree.reached(codes) == down).all() and (tree.reached(codes, np.arange(3, 90)) == down[3:90]).all()
