@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlake.operators import batched
-from lumenlake.operators.batched import Study, _added, _columns, _pieces, _Rows, losses, moments, newton
+from lumenlake.operators.batched import Study, _added, _columns, _pieces, _Rows, losses, moments
 
 #: Landmarks of a machine, and rows that they are chosen from (those of the least hash).
 LANDMARKS, CANDIDATES = 200, 4000
+#: Kernel values that a task works on at once; they fit a core's cache.
+IN_CACHE = 160_000
 
 
 @dataclass(frozen=True)
@@ -45,8 +47,11 @@ class Map:
     turn: np.ndarray
 
     def kernel(self, x: np.ndarray) -> np.ndarray:
-        square = (x * x).sum(1)[:, None] + (self.points * self.points).sum(1)[None, :] - 2 * x @ self.points.T
-        return np.exp(-self.gamma * np.maximum(square, 0))
+        """The exponents are one product of matrices."""
+        own = np.vstack([2 * self.points.T, np.full(len(self.points), -1.0), -(self.points * self.points).sum(1)]) * self.gamma
+        out = np.column_stack([x, (x * x).sum(1), np.ones(len(x))]) @ own
+        np.minimum(out, 0, out=out)
+        return np.exp(out, out=out)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """The kernel with each landmark, before it is turned."""
@@ -110,45 +115,64 @@ def fit(study: Study, machines: Sequence[Machine], landmarks: int = LANDMARKS, c
         maps.append(made[key])
     sizes = [p.turn.shape[1] + 1 if p else 0 for p in maps]
 
-    def evaluate(active, trials, smooth):
-        widths = [1 + maps[i].size + maps[i].size ** 2 for i in active]
-        own = [(machines[i], maps[i], t) for i, t in zip(active, trials, strict=True)]
-        used = sorted({o.part for o, _, _ in own})
+    def scan(rows, active, sizes, function):
+        """Sums of ``function(features, target, weight, k, out)`` over all rows, ``sizes`` numbers for each active machine; machines of a part and width share the features."""
+        ends, used = np.cumsum([0, *sizes]), sorted({machines[i].part for i in active})
         parts, factor, d = [study.parts[p] for p in used], m.factor, len(study.columns)
-        step = max(16, batched.BLOCK // max(p.size for _, p, _ in own))
+        step, fine = (max(16, n // max(maps[i].size for i in active)) for n in (batched.BLOCK, IN_CACHE))
+        together: dict[tuple, list[int]] = {}
+        for k, i in enumerate(active):
+            together.setdefault((machines[i].part, machines[i].gamma), []).append(k)
+        shared = [(used.index(part), factor[part], maps[active[own[0]]], own) for (part, _), own in together.items()]
 
         def add(batch):
-            out = np.zeros(sum(widths))
+            out = np.zeros(ends[-1])
             for piece in _pieces([batch], step):
                 r = _Rows(piece, d, parts, None)
-                last, features = None, None
-                at = 0
-                for (one, p, t), width in zip(own, widths, strict=True):
-                    taking = r.members[:, used.index(one.part)] > 0
-                    if last is not p or features is None:
-                        last, features = p, p.raw(r.x[taking][:, :-1])
-                    w = r.w[taking] * factor[one.part][r.stratum[taking]]
-                    # the kernel is not turned row by row: what is added up is turned by the driver
-                    loss, slope, bend = (v[:, 0] for v in losses((features @ (p.turn @ t[:-1]) + t[-1])[:, None], r.y[taking], np.ones(1, bool), smooth))
-                    pull = w * slope
-                    out[at] += (w * loss).sum()
-                    out[at + 1 : at + 1 + p.size] += np.append(pull @ features, pull.sum())
-                    curved = np.flatnonzero(bend)
-                    near, curve = np.column_stack([features[curved], np.ones(len(curved))]), (w * bend)[curved]
-                    out[at + 1 + p.size : at + width] += ((near * curve[:, None]).T @ near).ravel()
-                    at += width
+                for place, weigh, p, own in shared:
+                    taking = np.flatnonzero(r.members[:, place])
+                    x, y, w = r.x[taking, :-1], r.y[taking], r.w[taking] * weigh[r.stratum[taking]]
+                    for begin in range(0, len(taking), fine):
+                        few = slice(begin, begin + fine)
+                        features = p.raw(x[few])
+                        for k in own:
+                            function(features, y[few], w[few], k, out[ends[k] : ends[k + 1]])
             return out
 
-        got, at = _added(study, _columns(study), sum(widths), add), 0
-        for (one, p, t), width in zip(own, widths, strict=True):
-            n, row, turn = p.size, got[at : at + width], p.turns()
-            at += width
-            yield one.c * row[0] + 0.5 * t @ t, one.c * turn.T @ row[1 : 1 + n] + t, one.c * turn.T @ row[1 + n :].reshape(n, n) @ turn + np.eye(len(t))
+        got = _added(rows, _columns(rows), ends[-1], add)
+        return [got[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    weights, scans = [np.zeros(n) for n in sizes], 0
-    for smooth in batched.SMOOTH:
-        weights, more = newton(weights, np.array([i for i, p in enumerate(maps) if p], int), lambda a, x, smooth=smooth: evaluate(a, x, smooth), steps)
-        scans += more
+    def evaluate(rows, times, active, trials, wide):
+        at = [(maps[i].turn @ t[:-1], t[-1]) for i, t in zip(active, trials, strict=True)]
+
+        def add(features, y, w, k, out):
+            # the kernel is not turned row by row: what is added up is turned by the driver
+            (turned, constant), n = at[k], features.shape[1] + 1
+            loss, slope, bend = (v[:, 0] for v in losses((features @ turned + constant)[:, None], y, np.ones(1, bool), wide))
+            pull = w * slope
+            out[0] += (w * loss).sum()
+            out[1 : 1 + n] += np.append(pull @ features, pull.sum())
+            curved = np.flatnonzero(bend)
+            near, curve = np.column_stack([features[curved], np.ones(len(curved))]), (w * bend)[curved]
+            out[1 + n :] += ((near * curve[:, None]).T @ near).ravel()
+
+        for i, t, row in zip(active, trials, scan(rows, active, [1 + maps[i].size + maps[i].size ** 2 for i in active], add), strict=True):
+            n, c, turn = maps[i].size, machines[i].c * times, maps[i].turns()
+            yield c * row[0] + 0.5 * t @ t, c * turn.T @ row[1 : 1 + n] + t, c * turn.T @ row[1 + n :].reshape(n, n) @ turn + np.eye(len(t))
+
+    def along(rows, times, active, at, moves):
+        pairs = [(maps[i].turn @ np.column_stack([t[:-1], x[:-1]]), t[-1], x[-1]) for i, t, x in zip(active, at, moves, strict=True)]
+
+        def add(features, y, w, k, out):
+            turned, constant, more = pairs[k]
+            sign, margins = 2 * y - 1, features @ turned
+            short, gained = 1 - sign * (margins[:, 0] + constant), sign * (margins[:, 1] + more)
+            out += [w @ batched.hinges(short + a * gained) for a in batched.LENGTHS]
+
+        return np.array([machines[i].c * times * row for i, row in zip(active, scan(rows, active, [len(batched.LENGTHS)] * len(active), add), strict=True)])
+
+    found = np.array([i for i, p in enumerate(maps) if p], int)
+    weights, scans = batched.sharpened(study, m, [np.zeros(n) for n in sizes], found, [one.part for one in machines], evaluate, along, steps)
     return Machines(machines, maps, weights, m, scans)
 
 
@@ -156,7 +180,7 @@ def predict(study: Study, fitted: Machines, tests: Sequence[tuple[int, int]]) ->
     """fit, the study's keys, target, probability (the margin) of each (machine, part): the part's rows; machines without both classes give none."""
     tests = [(i, p) for i, p in tests if fitted.maps[i]]
     parts, d, keys = [study.parts[p] for _, p in tests], len(study.columns), study.keys
-    n, step = len(keys), max(16, batched.BLOCK // LANDMARKS)
+    n, step = len(keys), max(16, IN_CACHE // LANDMARKS)
     own = [(i, fitted.maps[i], fitted.weights[i]) for i, _ in tests]
     schema = T.StructType([T.StructField("fit", T.IntegerType()), *[study.rows.schema[c] for c in keys], T.StructField(study.target, T.IntegerType()), T.StructField("probability", T.DoubleType())])
 

@@ -104,3 +104,33 @@ def test_similarity_takes_pictures_in_small_batches(spark, sf_dir):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     out = catalog.QUERIES["kernel_similarity"](spark, sf_dir)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(extract.BATCH_ROWS) and out.count() > 0
+
+
+def test_machines_of_a_large_table_start_near_their_minimum(spark, monkeypatch):
+    """Starts on few rows and on ten times as many: the minimum over all rows is the same, and few scans of all rows are left."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 2))
+    y = (x[:, 0] * x[:, 1] + 0.5 * rng.normal(size=6000) > 0).astype(int)
+    frame = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(6000)], "image long, target int, a double, b double")
+    study = batched.prepare(frame, ["image"], ["a", "b"], "target", F.array((F.col("image") % 3 > 0).cast("int")))
+    study.parts = [batched.Held(0, (0,)), batched.Held(0, (1,))]
+    sizes, added = [], batched._added
+
+    def counted(rows, *rest):
+        sizes.append(rows is study)
+        return added(rows, *rest)
+
+    monkeypatch.setattr(batched, "_added", counted)
+    monkeypatch.setattr(kernels, "_added", counted)
+    fits = [batched.Fit(0, 0.5, (0, 1), loss="hinge"), batched.Fit(1, 5.0, (0, 1), loss="hinge")]
+
+    def run():
+        sizes.clear()
+        plain, machines = batched.fit(study, fits), kernels.fit(study, [kernels.Machine(0, 1.0), kernels.Machine(1, 1.0)], 30)
+        return plain.flat, np.concatenate(machines.weights), sum(sizes)
+
+    flat, weights, scans = run()
+    monkeypatch.setattr(batched, "START_ROWS", 90)
+    near, same, fewer = run()
+    assert near == pytest.approx(flat, abs=1e-5) and same == pytest.approx(weights, abs=1e-4) and max(fewer, scans) < 120
+    assert len(sizes) > fewer
