@@ -420,3 +420,26 @@ def test_scan_shares_margins_of_equal_coefficients(monkeypatch):
         alone = np.concatenate([batched._scan(study, m, [f], at[:1], 0.3) for f in fits])
         assert np.allclose(batched._scan(study, m, fits, at, 0.3), alone, rtol=1e-12)
         monkeypatch.setattr(batched, "IN_CACHE", 1000)
+
+
+@pytest.mark.parametrize("kind", ["plain", "equal", "near", "many weights"])
+def test_ranks_by_sorted_keys_are_exact(kind, monkeypatch):
+    """As scores ranked one by one, also where scores are equal or agree but for the bits that carry target and weight."""
+    rng = np.random.default_rng(6)
+    score = rng.normal(size=5000)
+    if kind == "equal":
+        score = np.round(score, 1)
+    if kind == "near":
+        score = np.round(score, 1) * (1 + rng.integers(-6, 6, 5000) * 2.3e-16)
+    if kind == "many weights":
+        monkeypatch.setattr(selection._Ranks, "MOST", 4)
+    monkeypatch.setattr(selection, "SENT_AT_ONCE", 700)
+    y, w = (rng.random(5000) < 0.4).astype(np.int8), 1 / rng.integers(1, 30, 5000)
+    got = selection._Ranks(y, w).auc(score.copy(), np.empty(5000, np.int64))
+    assert got == pytest.approx(models.weighted_auc(y, score, w), abs=1e-12)
+    assert selection._Ranks(np.zeros(9, np.int8), np.ones(9)).auc(np.arange(9.0), np.empty(9, np.int64)) is None
+
+
+def test_permutations_of_nine_million_rows_move_none():
+    """The driver's 1 GB: no share is joined or shuffled for a permutation."""
+    assert selection.PERMUTED_AT_ONCE >= 9_000_000
