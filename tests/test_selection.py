@@ -443,3 +443,19 @@ def test_ranks_by_sorted_keys_are_exact(kind, monkeypatch):
 def test_permutations_of_nine_million_rows_move_none():
     """The driver's 1 GB: no share is joined or shuffled for a permutation."""
     assert selection.PERMUTED_AT_ONCE >= 9_000_000
+
+
+def test_nested_search_scores_with_chosen_models_alone(frame, monkeypatch):
+    """Held rows are scored by the model of the best C, not by all of them and a join; a score goes through the shuffle with a byte or two of weight."""
+    good = frame.where("target IS NOT NULL AND a IS NOT NULL")
+    asked, predict = [], selection.predict
+    monkeypatch.setattr(selection, "predict", lambda study, fitted, tests: asked.append(len(tests)) or predict(study, fitted, tests))
+    out = selection.nested(good, "patient", ["image"], COLUMNS, "target", 2, 3, 2, 5, (0.01, 1.0, 100.0))
+    assert asked == [6] and out.groupBy("image", "repeat").count().where("count > 1").isEmpty()
+    w = 1 / np.random.default_rng(1).integers(1, 200, 999)
+    w[::3] = 0
+    packed = batched.packed_weights(w)
+    assert len(packed) < 1000 and (batched.unpacked_weights(packed, 999) == w).all()
+    odd = w * 0.3
+    assert (batched.unpacked_weights(batched.packed_weights(odd), 999) == odd).all()
+    assert batched.unpacked_weights(batched.packed_weights(np.zeros(5)), 5).tolist() == [0.0] * 5 and (batched.unpacked_weights(batched.packed_weights(np.ones(1)), 1) == 1).all()
