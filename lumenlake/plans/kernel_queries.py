@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions import lesion, raster
@@ -20,15 +20,25 @@ SIDE = 64
 EPS = 2.220446049250313e-16
 
 
-def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image, height, width, pixels (0 .. 255), mask."""
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 100)).alias("a"))
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, a: an embedding's entries in hundredths."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 100)).alias("a"))
+
+
+def _picture(image: Column, a: str) -> tuple[Column, Column]:
+    """Pixels and mask of a picture."""
     every = F.sequence(F.lit(0), F.lit(SIDE - 1))
-    cy, cx = 24 + F.col("image") % 16, 24 + F.expr("image div 16") % 16
-    ry, rx = 8 + F.col("image") % 11, 8 + F.col("image") % 7
-    plane = F.flatten(F.transform(every, lambda r: F.transform(every, lambda c: F.when((r == cy) & (c == cx), 0).when((r == cy) & (c == cx + 1), 255).otherwise(F.pmod(F.get("a", r) * F.get("a", c), F.lit(256))))))
+    cy, cx = 24 + image % 16, 24 + F.shiftright(image, 4) % 16
+    ry, rx = 8 + image % 11, 8 + image % 7
+    plane = F.flatten(F.transform(every, lambda r: F.transform(every, lambda c: F.when((r == cy) & (c == cx), 0).when((r == cy) & (c == cx + 1), 255).otherwise(F.pmod(F.get(a, r) * F.get(a, c), F.lit(256))))))
     inside = F.flatten(F.transform(every, lambda r: F.transform(every, lambda c: ((r - cy) * (r - cy) * rx * rx + (c - cx) * (c - cx) * ry * ry <= rx * rx * ry * ry).cast("int"))))
-    return rows.select("image", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), plane.cast("array<double>").alias("pixels"), inside.alias("mask"))
+    return plane.cast("array<double>"), inside
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, height, width, pixels (0 .. 255), mask."""
+    plane, inside = _picture(F.col("image"), "a")
+    return _entries(spark, sf_dir).select("image", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), plane.alias("pixels"), inside.alias("mask"))
 
 
 #: The same pictures in SQL, a row a pixel: k is the gray level, v = k / 255.
@@ -140,7 +150,7 @@ _WINDOW = 7
 
 @query(
     "kernel_similarity",
-    f"""WITH {GRIDS}, xy AS (SELECT a.image, a.r, a.c, a.v AS x, b.v AS y FROM px a JOIN px b ON a.image % 2 = 0 AND b.image = a.image + 1 AND b.r = a.r AND b.c = a.c),
+    f"""WITH {GRIDS}, xy AS (SELECT a.image, a.r, a.c, a.v AS x, b.v AS y FROM px a JOIN px b ON b.image = a.image + 1 AND b.r = a.r AND b.c = a.c),
 row_sums AS (SELECT image, r, c, sum(x) OVER w AS x, sum(y) OVER w AS y, sum(x * x) OVER w AS xx, sum(y * y) OVER w AS yy, sum(x * y) OVER w AS xy, count(*) OVER w AS n FROM xy WINDOW w AS (PARTITION BY image, r ORDER BY c ROWS BETWEEN {_WINDOW - 1} PRECEDING AND CURRENT ROW)),
 win AS (SELECT image, sum(x) OVER w / 49 AS x, sum(y) OVER w / 49 AS y, sum(xx) OVER w / 49 AS xx, sum(yy) OVER w / 49 AS yy, sum(xy) OVER w / 49 AS xy, sum(n) OVER w AS n FROM row_sums WINDOW w AS (PARTITION BY image, c ORDER BY r ROWS BETWEEN {_WINDOW - 1} PRECEDING AND CURRENT ROW)),
 v AS (SELECT image, x, y, 49 / 48.0::DOUBLE * (xx - x * x) AS vx, 49 / 48.0::DOUBLE * (yy - y * y) AS vy, 49 / 48.0::DOUBLE * (xy - x * y) AS vxy FROM win WHERE n = 49),
@@ -149,10 +159,10 @@ k AS (SELECT image, corr(x, y) AS pearson FROM xy GROUP BY 1)
 SELECT image, round(ssim, 6) AS ssim, round(pearson, 6) AS pearson FROM s JOIN k USING (image)""",
 )
 def kernel_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structural similarity and correlation of each picture with the next one."""
-    rows = grids(spark, sf_dir)
-    other = rows.select((F.col("image") - 1).alias("image"), F.col("pixels").alias("mask"))
-    pairs = rows.where("image % 2 = 0").drop("mask").join(other, "image")
+    """Structural similarity and correlation of each picture with the next one; entries are joined and dealt, not pixels."""
+    rows = _entries(spark, sf_dir)
+    pairs = rows.join(rows.select((F.col("image") - 1).alias("image"), F.col("a").alias("b")), "image").repartition(8 * spark.sparkContext.defaultParallelism)
+    pairs = pairs.select("image", _picture(F.col("image"), "a")[0].alias("pixels"), _picture(F.col("image") + 1, "b")[0].alias("mask"))
 
     def both(batches):
         for batch in batches:
@@ -161,5 +171,5 @@ def kernel_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
             pearson = [float(np.corrcoef(a.ravel(), b.ravel())[0, 1]) for a, b in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ssim), pa.array(pearson)], names=["image", "ssim", "pearson"])
 
-    found = extract.batches(pairs.select("image", "pixels", "mask"), both, "image long, ssim double, pearson double")
+    found = extract.batches(pairs, both, "image long, ssim double, pearson double")
     return _round(found, ["ssim", "pearson"])

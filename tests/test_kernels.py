@@ -134,3 +134,14 @@ def test_machines_of_a_large_table_start_near_their_minimum(spark, monkeypatch):
     near, same, fewer = run()
     assert near == pytest.approx(flat, abs=1e-5) and same == pytest.approx(weights, abs=1e-4) and max(fewer, scans) < 120
     assert len(sizes) > fewer
+
+
+def test_similarity_takes_every_picture_that_has_a_next_one(spark, sf_dir):
+    """Odd pictures too."""
+    from lumenlake.plans import catalog
+    from lumenlake.plans.registry import read
+
+    images = {r[0] for r in read(spark, sf_dir, "embeddings").select("vec_id").collect()}
+    got = sorted(r["image"] for r in catalog.QUERIES["kernel_similarity"](spark, sf_dir).collect())
+    assert got == sorted(i for i in images if i + 1 in images) and any(i % 2 for i in got)
+    assert "% 2 = 0" not in catalog.ORACLE_SQL["kernel_similarity"]
