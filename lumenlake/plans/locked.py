@@ -47,8 +47,8 @@ def out_of_fold(source: DataFrame, protocol: Protocol) -> DataFrame:
     scores = selection.out_of_fold(source, slots, protocol.repeats, protocol.n_folds, ["image"], columns, "target", "patient_id", protocol.cs, protocol.designs())
     out = scores.select(F.col("subset").alias("method"), "c", "repeat", "image", "patient_id", "target", F.col("probability").alias("score"))
     for method, gamma in protocol.machines.items():
-        one = selection.machine_scores(source, slots, protocol.n_folds, ["image"], protocol.hand, "target", "patient_id", protocol.cs, (gamma,), protocol.landmarks)
-        out = out.unionByName(one.select(F.lit(method).alias("method"), "c", F.lit(0).alias("repeat"), "image", "patient_id", "target", F.col("probability").alias("score")))
+        one = selection.machine_scores(source, slots, protocol.n_folds, ["image"], protocol.hand, "target", "patient_id", protocol.cs, (gamma,), protocol.landmarks, protocol.repeats)
+        out = out.unionByName(one.select(F.lit(method).alias("method"), "c", "repeat", "image", "patient_id", "target", F.col("probability").alias("score")))
     return out
 
 

@@ -93,3 +93,21 @@ def test_locked_evaluation_resumes(spark, tmp_path, monkeypatch):
     scores = spark.read.parquet(Runner(spark, folder)._read("scored")["path"]).toPandas()
     wide = scores.pivot(index=["dataset", "image"], columns="method", values="probability")
     assert np.allclose(wide["mean_fusion"], (wide["hand"] + wide["embedding"]) / 2) and wide.min().min() >= 0 and wide.max().max() <= 1
+
+
+def test_locked_evaluation_tunes_by_the_whole_protocol(spark, sf_dir, monkeypatch):
+    """Five values of C, five repeats and all landmarks, also for the machines."""
+    from lumenlake.operators import kernels, selection
+    from lumenlake.plans import learn_queries
+
+    seen = []
+    monkeypatch.setattr(locked, "evaluate", lambda runner, frame, source, targets, protocol: seen.append(protocol))
+    learn_queries.locked_evaluation(spark, sf_dir)
+    assert tuple(seen[0].cs) == selection.C_GRID and len(seen[0].cs) == 5 and (seen[0].repeats, seen[0].n_folds, seen[0].landmarks) == (5, 4, kernels.LANDMARKS)
+    rng = np.random.default_rng(5)
+    rows = [(i, f"p{i // 2}", i // 2 % 2, float(i // 2 % 2 + rng.normal()), float(rng.normal())) for i in range(80)]
+    frame = spark.createDataFrame(rows, "image long, patient_id string, target int, a double, b double")
+    protocol = locked.Protocol(["a"], ["a", "b"], k=2, cs=(0.1, 1.0), repeats=2, n_folds=2, landmarks=5)
+    monkeypatch.setattr(locked.selection, "out_of_fold", lambda *a: spark.createDataFrame([], "subset string, c double, repeat int, image long, patient_id string, target int, probability double"))
+    got = locked.out_of_fold(frame, protocol).groupBy("method", "c", "repeat").count().collect()
+    assert sorted((r["method"], r["c"], r["repeat"], r["count"]) for r in got) == [(m, c, r, 80) for m in ("kernel_machine", "linear_machine") for c in (0.1, 1.0) for r in (0, 1)]
